@@ -129,22 +129,24 @@ def attach(ranked: DataFrame, attrs: DataFrame, cols: tuple[str, ...],
 
 
 def budget_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame, *,
-                  dim: int | None = None, salts: int = 16) -> DataFrame:
+                  dim: int | None = None, salts: int = 16) -> tuple[DataFrame, int | None]:
     """Word-budget retrieval for every accepted request.
 
     ``requests``: validated rows (query_id, query_vector, user_id, dataset,
     word_limit); ``documents``: id, dataset_id, vector, word_count.
-    Returns query_id, rank, id, word_count, cumulative_words, distance.
+    Returns (kept, bound): kept holds query_id, rank, id, word_count,
+    cumulative_words, distance; ``bound`` is a proven row bound (or None).
     """
     resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id",
                                                 "dataset", "word_limit"), datasets)
-    pairs, _ = score_pairs(resolved, documents, query_cols=("word_limit",),
+    pairs, n_q = score_pairs(resolved, documents, query_cols=("word_limit",),
                            doc_cols=("word_count",), dim=dim, salts=salts)
     max_limit = max_of(resolved, "word_limit")
     if max_limit is None:
         max_limit = 0
     kept = within_budget(pairs, max_limit)
-    return kept.select("query_id", "rank", "id", "word_count", "cumulative_words", "distance")
+    bound = None if n_q is None else n_q * max_limit
+    return kept.select("query_id", "rank", "id", "word_count", "cumulative_words", "distance"), bound
 
 
 def topk_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame, *,

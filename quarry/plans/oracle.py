@@ -109,3 +109,105 @@ ORACLE: dict[str, str] = {
     "budget_search": _budget("kb_documents"),
     "budget_search_ties": _budget("kb_ties"),
 }
+
+NL = "\n"
+CITATION = r"\[citation\](\d+)\[/citation\]"
+
+
+def go_escape(expr: str) -> str:
+    """Same replacements as ``functions.text.go_escape``."""
+    for raw, esc in (("'<'", "'\\u003c'"), ("'>'", "'\\u003e'"), ("'&'", "'\\u0026'"),
+                     ("chr(8232)", "'\\u2028'"), ("chr(8233)", "'\\u2029'")):
+        expr = f"replace({expr}, {raw}, {esc})"
+    return expr
+
+
+def doc_json(a: str = "") -> str:
+    """The service's document JSON (url omitted when '', vector null)."""
+    p = f"{a}." if a else ""
+    with_url = (f"to_json({{'id': {p}id, 'dataset_id': {p}dataset_id, 'title': {p}title, "
+                f"'url': {p}url, 'body': {p}body, 'vector': CAST(NULL AS FLOAT[])}})::VARCHAR")
+    without = (f"to_json({{'id': {p}id, 'dataset_id': {p}dataset_id, 'title': {p}title, "
+               f"'body': {p}body, 'vector': CAST(NULL AS FLOAT[])}})::VARCHAR")
+    return go_escape(f"CASE WHEN COALESCE({p}url, '') = '' THEN {without} ELSE {with_url} END")
+
+
+SEARCH_REQUESTS = ("search_requests", """SELECT query_id, query, query_vector, user_id,
+        COALESCE(NULLIF(dataset, ''), 'default') AS dataset, 5 AS k
+        FROM kb_queries
+        WHERE COALESCE(query, '') <> '' AND COALESCE(len(query_vector), 0) > 0""")
+
+TOPK_RANKED = ("topk_ranked", f"""SELECT * FROM (
+        SELECT r.query_id, d.id, d.title, d.url, d.body, {l2('d.vector', 'r.query_vector')} AS distance,
+               ROW_NUMBER() OVER (PARTITION BY r.query_id ORDER BY {l2('d.vector', 'r.query_vector')}, d.id) AS rn
+        FROM search_requests r JOIN kb_datasets ds ON ds.name = r.dataset AND ds.user_id = r.user_id
+        JOIN kb_documents d ON d.dataset_id = ds.id
+        WHERE len(d.vector) = len(r.query_vector)) t WHERE rn <= 5""")
+
+BUDGET_WINNERS = [
+    ("budget_pairs", f"""SELECT r.query_id, d.id, d.dataset_id, d.title, d.url, d.body, r.word_limit,
+        {word_count('d.body')} AS word_count, {l2('d.vector', 'r.query_vector')} AS distance
+        FROM answer_requests r JOIN kb_datasets ds ON ds.name = r.dataset AND ds.user_id = r.user_id
+        JOIN kb_documents d ON d.dataset_id = ds.id
+        WHERE len(d.vector) = len(r.query_vector)"""),
+    ("budget_ranked", """SELECT *,
+        ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn,
+        SUM(word_count) OVER (PARTITION BY query_id ORDER BY distance
+                              RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+        FROM budget_pairs"""),
+    ("budget_winners", "SELECT * FROM budget_ranked WHERE cum <= word_limit"),
+]
+
+PROMPTS = with_views(
+    ["kb_queries", "kb_datasets", "kb_documents"], [ANSWER_REQUESTS, *BUDGET_WINNERS,
+     ("blocks", f"""SELECT query_id, string_agg('```json{NL}' || {doc_json()} || '{NL}```{NL}{NL}', '' ORDER BY rn) AS docs
+        FROM budget_winners GROUP BY query_id""")],
+    f"""SELECT r.query_id, 'Search results: {NL}' || CASE WHEN b.docs IS NULL THEN 'No results {NL}{NL}' ELSE '' END
+        || COALESCE(b.docs, '') || r.query AS prompt
+        FROM answer_requests r LEFT JOIN blocks b ON b.query_id = r.query_id""")
+
+RESOLVE_STEPS = [
+    ("cite_src", f"""SELECT reply_id, string_split_regex(response, '{CITATION}') AS pieces,
+        regexp_extract_all(response, '{CITATION}', 1) AS ids,
+        regexp_extract_all(response, '{CITATION}', 0) AS ms FROM kb_replies"""),
+    ("cite_rows", """SELECT reply_id, unnest(range(1, len(pieces) + 1)) AS k, unnest(pieces) AS piece,
+        unnest(list_append(ids, NULL)) AS cid, unnest(list_append(ms, '')) AS m FROM cite_src"""),
+    ("cite_joined", """SELECT u.reply_id, u.k, u.piece || CASE WHEN u.cid IS NULL THEN ''
+            WHEN c.title IS NOT NULL THEN '[' || c.title || '](' || COALESCE(c.url, '') || ')' ELSE u.m END AS part
+        FROM cite_rows u LEFT JOIN kb_context c ON c.reply_id = u.reply_id AND c.id = TRY_CAST(u.cid AS BIGINT)"""),
+    ("resolved", f"""SELECT reply_id, replace(string_agg(part, '' ORDER BY k), '\\n', '{NL}') AS response
+        FROM cite_joined GROUP BY reply_id"""),
+]
+
+ORACLE.update({
+    "vector_distance": with_views(["kb_queries", "kb_datasets", "kb_documents"], [],
+        f"""SELECT q.query_id, d.id, round({l2('d.vector', 'q.query_vector')}, 6) AS distance
+        FROM kb_queries q JOIN kb_datasets ds ON ds.name = COALESCE(NULLIF(q.dataset, ''), 'default')
+             AND ds.user_id = q.user_id
+        JOIN kb_documents d ON d.dataset_id = ds.id WHERE len(d.vector) = len(q.query_vector)"""),
+    "word_count": f"SELECT doc_id, {word_count('text')} AS word_count FROM documents",
+    "topk_single": with_views(["kb_queries", "kb_datasets", "kb_documents"], [SEARCH_REQUESTS,
+        ("one", """SELECT r.query_vector, ds.id AS dataset_id FROM search_requests r
+            JOIN kb_datasets ds ON ds.name = r.dataset AND ds.user_id = r.user_id ORDER BY r.query_id LIMIT 1""")],
+        f"""SELECT d.id, d.title, d.url, round({l2('d.vector', 'o.query_vector')}, 6) AS distance
+        FROM kb_documents d JOIN one o ON o.dataset_id = d.dataset_id
+        WHERE len(d.vector) = len(o.query_vector)
+        ORDER BY {l2('d.vector', 'o.query_vector')}, d.id LIMIT 5"""),
+    "topk_search": with_views(["kb_queries", "kb_datasets", "kb_documents"], [SEARCH_REQUESTS, TOPK_RANKED],
+        """SELECT query_id, CAST(rn AS INTEGER) AS rank, id, title, url, round(distance, 6) AS distance
+        FROM topk_ranked"""),
+    "search_response_json": with_views(["kb_queries", "kb_datasets", "kb_documents"], [SEARCH_REQUESTS, TOPK_RANKED,
+        ("items", """SELECT query_id, list({'title': title, 'url': COALESCE(url, ''), 'text': body} ORDER BY rn) AS items
+            FROM topk_ranked GROUP BY query_id""")],
+        "SELECT r.query_id, " + go_escape("to_json({'responses': COALESCE(i.items, [])})::VARCHAR")
+        + " AS json FROM search_requests r LEFT JOIN items i ON i.query_id = r.query_id"),
+    "document_json": with_views(["kb_documents"], [], f"SELECT id, {doc_json()} AS json FROM kb_documents"),
+    "build_prompts": PROMPTS,
+    "extract_citations": with_views(["kb_replies"], [
+        ("c", f"SELECT reply_id, regexp_extract_all(response, '{CITATION}', 1) AS ids FROM kb_replies")],
+        """SELECT reply_id, CAST(unnest(range(1, len(ids) + 1)) AS INTEGER) AS position, unnest(ids) AS cited_id
+        FROM c"""),
+    "resolve_citations": with_views(["kb_context"], RESOLVE_STEPS, "SELECT reply_id, response FROM resolved"),
+    "answer_json": with_views(["kb_context"], RESOLVE_STEPS,
+        "SELECT reply_id, " + go_escape("to_json({'response': response})::VARCHAR") + " AS json FROM resolved"),
+})

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import word_count
-from quarry.operators import retrieve, validate
+from quarry.functions import defaults as D
+from quarry.functions.vectors import l2_distance, word_count
+from quarry.operators import context, retrieve, validate
 from quarry.sources import kb
 from quarry.sources.tables import Catalog
 
@@ -36,7 +37,7 @@ def _budget(spark: SparkSession, sf_dir: str, ties: bool) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.answer_requests(kb.queries(cat)))
     docs = kb.ties(cat) if ties else kb.documents(cat)
-    out = retrieve.budget_search(req, kb.datasets(cat), _counted_docs(docs))
+    out, _ = retrieve.budget_search(req, kb.datasets(cat), _counted_docs(docs))
     return out.select("query_id", "rank", "id", "word_count", "cumulative_words",
                       F.round("distance", 6).alias("distance"))
 
@@ -49,3 +50,96 @@ def budget_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("budget_search_ties")
 def budget_search_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _budget(spark, sf_dir, ties=True)
+
+
+def _search_hits(spark: SparkSession, sf_dir: str):
+    cat = Catalog(spark, sf_dir)
+    req = validate.accepted(validate.search_requests(kb.queries(cat)))
+    docs = kb.documents(cat)
+    ranked, bound = retrieve.topk_search(req, kb.datasets(cat), docs, k=D.DEFAULT_TOP_K)
+    return cat, req, docs, ranked, bound
+
+
+@register("vector_distance")
+def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    q = kb.queries(cat).withColumn("dataset", validate.default_if_empty(F.col("dataset"), D.DEFAULT_DATASET))
+    resolved = retrieve.resolve_datasets(q, kb.datasets(cat))
+    pairs, _ = retrieve.score_pairs(resolved, kb.documents(cat))
+    return pairs.select("query_id", "id", F.round("distance", 6).alias("distance"))
+
+
+@register("word_count")
+def word_count_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    return cat.documents.select("doc_id", word_count("text").alias("word_count"))
+
+
+@register("topk_single")
+def topk_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-request form: first accepted search request, k = 5."""
+    cat = Catalog(spark, sf_dir)
+    req = validate.accepted(validate.search_requests(kb.queries(cat)))
+    one = retrieve.resolve_datasets(req, kb.datasets(cat)).orderBy("query_id").limit(1)
+    docs = kb.documents(cat)
+    pairs = docs.select("id", "dataset_id", "vector").join(
+        F.broadcast(one.select("dataset_id", "query_vector")), "dataset_id")
+    best = (pairs.where(F.size("vector") == F.size("query_vector"))
+            .select("id", l2_distance("vector", "query_vector").alias("distance"))
+            .orderBy("distance", "id").limit(D.DEFAULT_TOP_K))
+    out = docs.select("id", "title", "url").join(F.broadcast(best), "id")
+    return out.select("id", "title", "url", F.round("distance", 6).alias("distance"))
+
+
+@register("topk_search")
+def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, docs, ranked, bound = _search_hits(spark, sf_dir)
+    out = retrieve.attach(ranked, docs, ("title", "url"), bound)
+    return out.select("query_id", "rank", "id", "title", "url", F.round("distance", 6).alias("distance"))
+
+
+@register("search_response_json")
+def search_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, req, docs, ranked, bound = _search_hits(spark, sf_dir)
+    hits = retrieve.attach(ranked, docs, ("title", "url", "body"), bound)
+    return context.search_responses(req, hits)
+
+
+@register("document_json")
+def document_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    return context.documents_json(kb.documents(cat))
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    req = validate.accepted(validate.answer_requests(kb.queries(cat)))
+    docs = kb.documents(cat)
+    kept, bound = retrieve.budget_search(req, kb.datasets(cat), _counted_docs(docs))
+    hits = retrieve.attach(kept, docs, ("dataset_id", "title", "url", "body"), bound)
+    return context.build_prompts(req, hits)
+
+
+@register("build_prompts")
+def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompts(spark, sf_dir)
+
+
+@register("extract_citations")
+def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.extract_citations(kb.replies(Catalog(spark, sf_dir)))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    return context.resolve_citations(kb.replies(cat), kb.context(cat))
+
+
+@register("resolve_citations")
+def resolve_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)
+
+
+@register("answer_json")
+def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.answer_json(_resolved(spark, sf_dir))
