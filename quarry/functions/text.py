@@ -58,6 +58,9 @@ def atoi_or(text, fallback: int) -> Column:
 
 
 def url_param(url, key: str) -> Column:
-    """First value of a query parameter, percent-decoded ('' when absent)."""
+    """First value of a query parameter, form-decoded ('+' is a space).
+
+    '' when absent or when its escapes are invalid (such pairs are dropped).
+    """
     raw = F.try_parse_url(_col(url), F.lit("QUERY"), F.lit(key))
-    return F.coalesce(F.try_url_decode(raw), raw, F.lit(""))
+    return F.coalesce(F.try_url_decode(raw), F.lit(""))

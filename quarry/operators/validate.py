@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
+from quarry.functions.text import atoi_or, url_param
 
 
 def default_if_empty(c: Column, value: str) -> Column:
@@ -53,3 +54,18 @@ def accepted(df: DataFrame) -> DataFrame:
 
 def rejected(df: DataFrame) -> DataFrame:
     return df.where(F.col("error").isNotNull())
+
+
+def parse_search_urls(urls: DataFrame, url_col: str = "url",
+                      default_k: int = D.DEFAULT_TOP_K) -> DataFrame:
+    """GET /query?query=..&limit=..&dataset=.. -> query, k, dataset, error.
+
+    ``limit`` must be a whole signed integer, anything else means the
+    default; k <= 0 and an empty query are rejected.
+    """
+    q = url_param(url_col, "query")
+    k = atoi_or(url_param(url_col, "limit"), default_k)
+    ds = default_if_empty(url_param(url_col, "dataset"), D.DEFAULT_DATASET)
+    error = (F.when(q == "", F.lit(D.ERR_EMPTY_QUERY))
+             .when(k <= 0, F.lit(D.ERR_BAD_K)))
+    return urls.select("*", q.alias("query"), k.alias("k"), ds.alias("dataset"), error.alias("error"))

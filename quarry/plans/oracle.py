@@ -211,3 +211,70 @@ ORACLE.update({
     "answer_json": with_views(["kb_context"], RESOLVE_STEPS,
         "SELECT reply_id, " + go_escape("to_json({'response': response})::VARCHAR") + " AS json FROM resolved"),
 })
+
+AS_OF = "TIMESTAMP '2002-02-13 00:00:00'"
+
+
+def _url_param(key: str) -> str:
+    return f"url_decode(replace(regexp_extract(url, '[?&]{key}=([^&#]*)', 1), '+', ' '))"
+
+
+URLS = ("urls", """SELECT item_id AS request_id, '/query?query=' || CASE WHEN item_id % 9 = 0 THEN '' ELSE url_encode(text) END
+        || CASE item_id % 7 WHEN 0 THEN '&limit=7' WHEN 1 THEN '&limit=%2B7' WHEN 2 THEN '&limit=+7'
+                            WHEN 3 THEN '&limit=7x' WHEN 4 THEN '' WHEN 5 THEN '&limit=0' ELSE '&limit=-3' END
+        || CASE WHEN item_id % 4 = 0 THEN '' ELSE '&dataset=ds' || CAST(item_id % 4 AS VARCHAR) END AS url
+        FROM benchmark""")
+
+AUTH_STEPS = [
+    ("live", f"SELECT user_id, token FROM kb_access_tokens WHERE expiration > {AS_OF}"),
+    ("parsed", """SELECT request_id,
+        CASE WHEN auth_header IS NULL OR auth_header = '' THEN 'authorization header is missing'
+             WHEN NOT starts_with(auth_header, 'Bearer ') THEN 'invalid authorization header format' END AS reason,
+        CASE WHEN starts_with(auth_header, 'Bearer ') THEN substr(auth_header, 8) END AS token
+        FROM kb_requests"""),
+]
+
+SESSION_STEPS = [
+    ("changes", """SELECT session_id AS id, (CAST(session_id AS BIGINT) + turn) % 5 + 1 AS user_id,
+        content AS messages, 'model-' || CAST(turn % 3 AS VARCHAR) AS model, turn AS version FROM kb_messages"""),
+    ("ordered", """SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY version DESC) AS rn_last,
+        ROW_NUMBER() OVER (PARTITION BY id ORDER BY version) AS rn_first FROM changes WHERE COALESCE(id, '') <> ''"""),
+    ("sessions", """SELECT l.id, f.user_id, l.model, l.messages, l.version FROM ordered l
+        JOIN ordered f ON f.id = l.id AND f.rn_first = 1 WHERE l.rn_last = 1"""),
+]
+
+ORACLE.update({
+    "validate_queries": with_views(["kb_queries"], [], """SELECT query_id,
+        COALESCE(NULLIF(dataset, ''), 'default') AS dataset, CAST(COALESCE(word_limit, 512) AS INTEGER) AS word_limit,
+        CASE WHEN COALESCE(query, '') = '' THEN 'empty query'
+             WHEN COALESCE(len(query_vector), 0) <= 0 THEN 'empty vector'
+             WHEN COALESCE(word_limit, 512) <= 0 THEN 'word limit must be greater than zero' END AS error
+        FROM kb_queries"""),
+    "parse_query_urls": with_views([], [URLS, ("vals", f"""SELECT request_id, {_url_param('query')} AS query,
+            {_url_param('limit')} AS lim, COALESCE(NULLIF({_url_param('dataset')}, ''), 'default') AS dataset FROM urls"""),
+        ("typed", """SELECT request_id, query, dataset,
+            COALESCE(CASE WHEN regexp_full_match(lim, '[+-]?[0-9]+') THEN TRY_CAST(lim AS BIGINT) END, 5) AS k FROM vals""")],
+        """SELECT request_id, query, k, dataset,
+        CASE WHEN query = '' THEN 'empty query' WHEN k <= 0 THEN 'k must be greater than zero' END AS error FROM typed"""),
+    "live_access_tokens": with_views(["kb_access_tokens"], [],
+        f"SELECT user_id, count(*) AS n FROM kb_access_tokens WHERE expiration > {AS_OF} GROUP BY user_id"),
+    "issue_tokens": with_views(["kb_users"], [],
+        f"SELECT id AS user_id, {AS_OF} + INTERVAL '1' YEAR AS expiration FROM kb_users"),
+    "authorize_requests": with_views(["kb_access_tokens", "kb_requests"], AUTH_STEPS,
+        """SELECT p.request_id, l.user_id FROM parsed p JOIN live l ON l.token = p.token WHERE p.reason IS NULL"""),
+    "unauthorized_requests": with_views(["kb_access_tokens", "kb_requests"], AUTH_STEPS,
+        """SELECT request_id, reason FROM parsed WHERE reason IS NOT NULL
+        UNION ALL
+        SELECT p.request_id, 'invalid token' AS reason FROM parsed p
+        WHERE p.reason IS NULL AND NOT EXISTS (SELECT 1 FROM live l WHERE l.token = p.token)"""),
+    "session_messages": with_views(["kb_messages"], [], f"""SELECT session_id, count(*) AS n,
+        string_agg(content, '{NL}' ORDER BY turn) AS messages FROM kb_messages GROUP BY session_id"""),
+    "session_upsert": with_views(["kb_messages"], SESSION_STEPS,
+        "SELECT id, user_id, model, messages, version FROM sessions"),
+    "session_lookup": with_views(["kb_messages"], [*SESSION_STEPS, ("req", """SELECT conv_id AS request_id,
+            CASE WHEN conv_id % 7 = 0 THEN 'x' || CAST(conv_id AS VARCHAR) WHEN conv_id % 11 = 0 THEN ''
+                 ELSE CAST(conv_id AS VARCHAR) END AS session_id FROM conversations WHERE turn = 0""")],
+        """SELECT q.request_id, q.session_id, (s.model IS NOT NULL AND COALESCE(q.session_id, '') <> '') AS found,
+        s.model, s.messages, CASE WHEN COALESCE(q.session_id, '') = '' THEN 'empty session id' END AS error
+        FROM req q LEFT JOIN sessions s ON s.id = q.session_id"""),
+})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.vectors import l2_distance, word_count
-from quarry.operators import context, retrieve, validate
+from quarry.operators import auth, context, retrieve, sessions, validate
 from quarry.sources import kb
 from quarry.sources.tables import Catalog
 
@@ -143,3 +143,99 @@ def resolve_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("answer_json")
 def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.answer_json(_resolved(spark, sf_dir))
+
+
+AS_OF = "2002-02-13 00:00:00"
+
+
+@register("validate_queries")
+def validate_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = validate.answer_requests(kb.queries(Catalog(spark, sf_dir)))
+    return req.select("query_id", "dataset", "word_limit", "error")
+
+
+def search_urls(cat: Catalog) -> DataFrame:
+    """GET request URLs built from the benchmark passages (every row)."""
+    i = F.col("item_id")
+    limit = (F.when(i % 7 == 0, F.lit("&limit=7")).when(i % 7 == 1, F.lit("&limit=%2B7"))
+             .when(i % 7 == 2, F.lit("&limit=+7")).when(i % 7 == 3, F.lit("&limit=7x"))
+             .when(i % 7 == 4, F.lit("")).when(i % 7 == 5, F.lit("&limit=0"))
+             .otherwise(F.lit("&limit=-3")))
+    ds = F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("&dataset=ds"), (i % 4).cast("string")))
+    q = F.when(i % 9 == 0, F.lit("")).otherwise(F.url_encode("text"))
+    return cat.benchmark.select(i.alias("request_id"),
+                                F.concat(F.lit("/query?query="), q, limit, ds).alias("url"))
+
+
+@register("parse_query_urls")
+def parse_query_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = validate.parse_search_urls(search_urls(Catalog(spark, sf_dir)))
+    return parsed.select("request_id", "query", "k", "dataset", "error")
+
+
+@register("live_access_tokens")
+def live_access_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auth.live_per_user(kb.access_tokens(Catalog(spark, sf_dir)), AS_OF)
+
+
+@register("issue_tokens")
+def issue_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auth.issue_tokens(kb.users(Catalog(spark, sf_dir)), AS_OF).select("user_id", "expiration")
+
+
+@register("authorize_requests")
+def authorize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    return auth.authorize(kb.requests(cat), kb.access_tokens(cat), AS_OF)
+
+
+@register("unauthorized_requests")
+def unauthorized_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    return auth.unauthorized(kb.requests(cat), kb.access_tokens(cat), AS_OF)
+
+
+@register("session_messages")
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sessions.session_messages(kb.messages(Catalog(spark, sf_dir)))
+    return out.select("session_id", "n", "messages")
+
+
+def session_changes(cat: Catalog) -> DataFrame:
+    """Save log: every turn re-saves its session (version = turn) with the
+    turn's lines as the whole message array and a model that changes."""
+    m = kb.messages(cat)
+    conv = F.col("session_id").cast("long")
+    return m.select(F.col("session_id").alias("id"),
+                    ((conv + F.col("turn")) % 5 + 1).alias("user_id"),
+                    F.split("content", "\n", -1).alias("messages"),
+                    F.concat(F.lit("model-"), (F.col("turn") % 3).cast("string")).alias("model"),
+                    F.col("turn").alias("version"))
+
+
+@register("session_upsert")
+def session_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions.upsert(None, session_changes(Catalog(spark, sf_dir)))
+    return s.select("id", "user_id", "model", F.array_join("messages", "\n").alias("messages"), "version")
+
+
+def session_lookup_requests(cat: Catalog) -> DataFrame:
+    c = F.col("conv_id")
+    sid = (F.when(c % 7 == 0, F.concat(F.lit("x"), c.cast("string")))
+           .when(c % 11 == 0, F.lit("")).otherwise(c.cast("string")))
+    return cat.conversations.where(F.col("turn") == 0).select(c.alias("request_id"), sid.alias("session_id"))
+
+
+@register("session_lookup")
+def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    s = sessions.upsert(None, session_changes(cat))
+    out = sessions.lookup(session_lookup_requests(cat), s)
+    return out.select("request_id", "session_id", "found", "model",
+                      F.array_join("messages", "\n").alias("messages"), "error")
+
+
+@register("assign_session_ids")
+def assign_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = kb.messages(Catalog(spark, sf_dir)).select("session_id").distinct()
+    return sessions.assign_ids(ids, "session_id")
