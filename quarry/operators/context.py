@@ -21,6 +21,12 @@ def ordered_join(rank_col: str, text_col: str):
     return F.array_join(F.transform(items, lambda x: x["t"]), "")
 
 
+def ordered_join_sep(rank_col: str, text_col: str, sep: str):
+    """Aggregate: texts joined with ``sep`` in rank order."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t"))))
+    return F.array_join(F.transform(items, lambda x: x["t"]), sep)
+
+
 def build_prompts(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """One prompt per accepted request.
 

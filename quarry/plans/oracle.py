@@ -278,3 +278,113 @@ ORACLE.update({
         s.model, s.messages, CASE WHEN COALESCE(q.session_id, '') = '' THEN 'empty session id' END AS error
         FROM req q LEFT JOIN sessions s ON s.id = q.session_id"""),
 })
+
+PAYLOADS = ("payloads", """SELECT doc_id AS request_id, doc_id // 4 AS batch_id,
+        CASE WHEN doc_id % 13 = 0 THEN substr(item, 1, 20) WHEN doc_id % 17 = 0 THEN '{}' ELSE item END AS payload
+        FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0
+                THEN to_json({'title': 'Document ' || CAST(doc_id AS VARCHAR), 'body': text,
+                              'dataset': 'ds' || CAST(doc_id % 4 AS VARCHAR)})::VARCHAR
+                ELSE to_json({'title': 'Document ' || CAST(doc_id AS VARCHAR),
+                              'url': 'https://kb.example/' || lang || '/' || CAST(doc_id AS VARCHAR), 'body': text,
+                              'dataset': 'ds' || CAST(doc_id % 4 AS VARCHAR)})::VARCHAR END AS item
+              FROM documents) s""")
+
+
+def _field(src: str, f: str) -> str:
+    return f"COALESCE(json_extract_string({src}, '$.{f}'), '')"
+
+
+INGEST_STEPS = [
+    ("req", """SELECT doc_id AS request_id, doc_id % 5 + 1 AS user_id,
+        COALESCE(NULLIF(CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 9 = 0 THEN 'new' || CAST(doc_id % 3 AS VARCHAR)
+                 ELSE 'ds' || CAST(doc_id % 4 AS VARCHAR) END, ''), 'default') AS dataset FROM documents"""),
+    ("vec", """SELECT vec_id AS request_id, CASE WHEN vec_id % 50 = 7 THEN CAST([] AS FLOAT[]) ELSE embedding END AS vector
+        FROM embeddings"""),
+    ("emb", """SELECT r.*, v.vector, v.request_id IS NOT NULL AS embedded FROM req r LEFT JOIN vec v
+        ON v.request_id = r.request_id"""),
+    ("pairs", "SELECT DISTINCT dataset AS name, user_id FROM emb WHERE embedded"),
+    ("newp", """SELECT p.* FROM pairs p WHERE NOT EXISTS
+        (SELECT 1 FROM kb_datasets d WHERE d.name = p.name AND d.user_id = p.user_id)"""),
+    ("created", """SELECT (SELECT max(id) FROM kb_datasets) + ROW_NUMBER() OVER (ORDER BY user_id, name) AS id, name, user_id
+        FROM newp"""),
+    ("resolved", """SELECT d.id, p.name, p.user_id, false AS created FROM pairs p
+        JOIN kb_datasets d ON d.name = p.name AND d.user_id = p.user_id
+        UNION ALL SELECT id, name, user_id, true AS created FROM created"""),
+    ("status", """SELECT e.request_id, e.user_id, e.dataset, r.id AS dataset_id,
+        CASE WHEN NOT e.embedded THEN 'x' WHEN len(e.vector) = 0 THEN 'x'
+             WHEN list_bool_or(list_transform(e.vector, lambda x: isnan(x))) THEN 'x' ELSE 'accepted' END AS status
+        FROM emb e LEFT JOIN resolved r ON r.name = e.dataset AND r.user_id = e.user_id"""),
+]
+
+PLANTED = [
+    ("kd", "SELECT id, dataset_id, title, url, 'b' AS body, vector FROM kb_documents"),
+    ("pdocs", """SELECT * FROM kd
+        UNION ALL SELECT id, dataset_id + 100, title, url, body, vector FROM kd WHERE id % 50 = 1
+        UNION ALL SELECT id + 5000000, dataset_id, title, url, body, vector[1:32] FROM kd WHERE id % 97 = 5"""),
+]
+
+
+def _dups(table: str, cols: str) -> str:
+    nn = " AND ".join(f"{c} IS NOT NULL" for c in cols.split(", "))
+    return (f"(SELECT count(*) FROM (SELECT {cols} FROM {table} WHERE {nn} GROUP BY {cols} "
+            f"HAVING count(*) > 1) t)")
+
+
+def _nulls(table: str, cols: str) -> str:
+    cond = " OR ".join(f"{c} IS NULL" for c in cols.split(", "))
+    return f"(SELECT count(*) FROM {table} WHERE {cond})"
+
+
+def _dangling(child: str, fk: str, parent: str, pk: str) -> str:
+    return (f"(SELECT count(*) FROM {child} c WHERE c.{fk} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk}))")
+
+
+_RULES = [
+    ("datasets.pk", _dups("kb_datasets", "id")),
+    ("datasets.unique_name_user", _dups("kb_datasets", "name, user_id")),
+    ("datasets.not_null", _nulls("kb_datasets", "id, user_id, name")),
+    ("documents.pk", _dups("pdocs", "id")),
+    ("documents.fk_dataset", _dangling("pdocs", "dataset_id", "kb_datasets", "id")),
+    ("documents.not_null", _nulls("pdocs", "id, dataset_id, title, body, vector")),
+    ("documents.one_dimension", """(SELECT count(*) FROM (SELECT dataset_id FROM pdocs GROUP BY dataset_id
+        HAVING count(DISTINCT len(vector)) > 1) t)"""),
+    ("documents.no_nan", "(SELECT count(*) FROM pdocs WHERE list_bool_or(list_transform(vector, lambda x: isnan(x))))"),
+    ("users.pk", _dups("kb_users", "id")),
+    ("users.unique_username", _dups("kb_users", "username")),
+    ("access_tokens.pk", _dups("kb_access_tokens", "id")),
+    ("access_tokens.unique_token", _dups("kb_access_tokens", "token")),
+    ("access_tokens.fk_user", _dangling("kb_access_tokens", "user_id", "kb_users", "id")),
+]
+
+ORACLE.update({
+    "decode_documents": with_views([], [PAYLOADS, ("p", """SELECT *, CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS ok
+            FROM payloads""")],
+        f"""SELECT request_id, CASE WHEN ok THEN {_field('payload', 'title')} END AS title,
+        CASE WHEN ok THEN {_field('payload', 'url')} END AS url, CASE WHEN ok THEN {_field('payload', 'body')} END AS body,
+        CASE WHEN ok THEN {_field('payload', 'dataset')} END AS dataset,
+        CASE WHEN ok THEN 'accepted' ELSE 'invalid json' END AS status FROM p"""),
+    "bulk_ingest_status": with_views([], [PAYLOADS,
+        ("b", """SELECT batch_id, CASE WHEN batch_id % 10 = 3
+                THEN substr('[' || string_agg(payload, ',' ORDER BY request_id) || ']', 1,
+                            length(string_agg(payload, ',' ORDER BY request_id)))
+                ELSE '[' || string_agg(payload, ',' ORDER BY request_id) || ']' END AS payload
+            FROM payloads WHERE payload <> '{}' AND request_id % 13 <> 0 GROUP BY batch_id"""),
+        ("items", """SELECT batch_id, CAST(unnest(range(1, CAST(json_array_length(payload) AS BIGINT) + 1)) AS INTEGER) AS position,
+            unnest(CAST(json_extract(payload, '$[*]') AS VARCHAR[])) AS item FROM b WHERE json_valid(payload)""")],
+        f"""SELECT batch_id, position, {_field('item', 'title')} AS title, {_field('item', 'url')} AS url,
+            {_field('item', 'body')} AS body, {_field('item', 'dataset')} AS dataset, 'accepted' AS status FROM items
+        UNION ALL SELECT batch_id, 0 AS position, NULL, NULL, NULL, NULL, 'invalid json' FROM b WHERE NOT json_valid(payload)"""),
+    "dataset_get_or_create": with_views(["kb_datasets"], INGEST_STEPS,
+        "SELECT id, name, user_id, created FROM resolved"),
+    "ingest_documents": with_views(["kb_datasets"], INGEST_STEPS,
+        """SELECT dataset, user_id, max(dataset_id) AS dataset_id,
+        count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status <> 'accepted') AS rejected
+        FROM status GROUP BY dataset, user_id"""),
+    "cascade_delete": with_views(["kb_datasets", "kb_documents"], [],
+        """SELECT dataset_id, count(*) AS n FROM kb_documents d
+        WHERE NOT EXISTS (SELECT 1 FROM kb_datasets s WHERE s.user_id = 3 AND s.id = d.dataset_id)
+        GROUP BY dataset_id"""),
+    "constraint_report": with_views(["kb_datasets", "kb_documents", "kb_users", "kb_access_tokens"], PLANTED,
+        "\nUNION ALL ".join(f"SELECT '{r}' AS rule, CAST({q} AS BIGINT) AS violations" for r, q in _RULES)),
+})

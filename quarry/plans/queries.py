@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.vectors import l2_distance, word_count
-from quarry.operators import auth, context, retrieve, sessions, validate
+from quarry.operators import auth, context, ingest, integrity, retrieve, sessions, validate
 from quarry.sources import kb
 from quarry.sources.tables import Catalog
 
@@ -239,3 +239,96 @@ def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assign_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = kb.messages(Catalog(spark, sf_dir)).select("session_id").distinct()
     return sessions.assign_ids(ids, "session_id")
+
+
+def doc_payloads(cat: Catalog) -> DataFrame:
+    """Add-document request bodies built from the documents table; every
+    13th is truncated (malformed), every 17th is an empty object."""
+    d = cat.documents
+    i = F.col("doc_id")
+    item = F.when(i % 5 == 0, F.to_json(F.struct(
+                F.concat(F.lit("Document "), i.cast("string")).alias("title"),
+                F.col("text").alias("body"), F.concat(F.lit("ds"), (i % 4).cast("string")).alias("dataset"))))
+    item = item.otherwise(F.to_json(F.struct(
+                F.concat(F.lit("Document "), i.cast("string")).alias("title"),
+                F.concat(F.lit("https://kb.example/"), F.col("lang"), F.lit("/"), i.cast("string")).alias("url"),
+                F.col("text").alias("body"), F.concat(F.lit("ds"), (i % 4).cast("string")).alias("dataset"))))
+    payload = (F.when(i % 13 == 0, F.substr(item, F.lit(1), F.lit(20)))
+               .when(i % 17 == 0, F.lit("{}")).otherwise(item))
+    return d.select(i.alias("request_id"), (F.floor(i / 4)).cast("long").alias("batch_id"),
+                    payload.alias("payload"))
+
+
+@register("decode_documents")
+def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.decode_documents(doc_payloads(Catalog(spark, sf_dir)))
+    return out.select("request_id", "title", "url", "body", "dataset", "status")
+
+
+@register("bulk_ingest_status")
+def bulk_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = doc_payloads(Catalog(spark, sf_dir)).where(~(F.col("payload") == "{}") & (F.col("request_id") % 13 != 0))
+    # batches of four items; every tenth batch arrives cut short
+    batches = p.groupBy("batch_id").agg(context.ordered_join_sep("request_id", "payload", ",").alias("items"))
+    body = F.concat(F.lit("["), F.col("items"), F.lit("]"))
+    body = F.when(F.col("batch_id") % 10 == 3, F.expr("substr(concat('[', items, ']'), 1, length(items))")).otherwise(body)
+    out = ingest.decode_bulk(batches.select("batch_id", body.alias("payload")))
+    return out.select("batch_id", "position", "title", "url", "body", "dataset", "status")
+
+
+def ingest_inputs(cat: Catalog):
+    d = cat.documents
+    i = F.col("doc_id")
+    ds = (F.when(i % 6 == 0, F.lit("")).when(i % 9 == 0, F.concat(F.lit("new"), (i % 3).cast("string")))
+          .otherwise(F.concat(F.lit("ds"), (i % 4).cast("string"))))
+    req = d.select(i.alias("request_id"), (i % 5 + 1).alias("user_id"),
+                   F.concat(F.lit("Document "), i.cast("string")).alias("title"),
+                   F.lit("").alias("url"), F.col("text").alias("body"), ds.alias("dataset"))
+    e = cat.embeddings
+    vec = e.select(F.col("vec_id").alias("request_id"),
+                   F.when(F.col("vec_id") % 50 == 7, F.array().cast("array<float>"))
+                    .otherwise(F.col("embedding")).alias("vector"))
+    return req, vec
+
+
+@register("dataset_get_or_create")
+def dataset_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    req, vec = ingest_inputs(cat)
+    res = ingest.ingest(req, vec, kb.datasets(cat), doc_id_base=None)["resolved"]
+    return res.select("id", "name", "user_id", "created")
+
+
+@register("ingest_documents")
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    req, vec = ingest_inputs(cat)
+    st = ingest.ingest(req, vec, kb.datasets(cat), doc_id_base=None)["status"]
+    return ingest.ingest_summary(st)
+
+
+@register("cascade_delete")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    gone = kb.datasets(cat).where(F.col("user_id") == 3)
+    left = ingest.cascade_delete(kb.documents(cat, with_body=False), gone)
+    return left.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def planted_documents(cat: Catalog) -> DataFrame:
+    """kb documents plus planted violations: every 50th re-inserted under a
+    dataset that does not exist (duplicate id, dangling key), every 97th
+    copied with half its vector (mixed dimensions)."""
+    kd = kb.documents(cat, with_body=False).withColumn("body", F.lit("b"))
+    dup = kd.where(F.col("id") % 50 == 1).withColumn("dataset_id", F.col("dataset_id") + 100)
+    half = (kd.where(F.col("id") % 97 == 5)
+            .withColumn("id", F.col("id") + 5000000)
+            .withColumn("vector", F.slice("vector", 1, 32)))
+    return kd.unionByName(dup).unionByName(half)
+
+
+@register("constraint_report")
+def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    return integrity.constraint_report(kb.datasets(cat), planted_documents(cat), kb.users(cat),
+                                       kb.access_tokens(cat))
