@@ -388,3 +388,59 @@ ORACLE.update({
     "constraint_report": with_views(["kb_datasets", "kb_documents", "kb_users", "kb_access_tokens"], PLANTED,
         "\nUNION ALL ".join(f"SELECT '{r}' AS rule, CAST({q} AS BIGINT) AS violations" for r, q in _RULES)),
 })
+
+SYSTEM_PROMPT = "Answer the question using only the search results above."
+SEARCH_WORDS = "Please create a search query for this. ONLY give me the search string. Do not use quotes: \n\n"
+CHAT_BODIES = ("bodies", """SELECT reply_id, CASE WHEN reply_id % 10 = 0 THEN '{"choices":[]}'
+        WHEN reply_id % 10 = 1 THEN 'not json'
+        ELSE to_json({'choices': [{'message': {'role': 'assistant', 'content': response}}]})::VARCHAR END AS body
+        FROM kb_replies""")
+EMB_BODIES = ("bodies", """SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN '{"data":[]}' WHEN vec_id % 10 = 1 THEN '{"data":'
+        ELSE to_json({'data': [{'embedding': embedding}]})::VARCHAR END AS body FROM embeddings""")
+SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"
+STYLE_RE = r"(?is)<style[^>]*>.*?</style>"
+TAG_RE = r"(?s)<[^>]*>"
+SPACE_RE = r"[ \t\r\n]+"
+
+ORACLE.update({
+    "chat_requests": f"""SELECT query_id, to_json({{'model': 'text-davinci-003', 'messages': [
+            {{'role': 'system', 'content': '{SYSTEM_PROMPT}'}}, {{'role': 'user', 'content': prompt}}],
+            'max_tokens': -1, 'temperature': 0}})::VARCHAR AS payload FROM ({PROMPTS}) t""",
+    "search_word_requests": with_views(["kb_queries"], [], f"""SELECT query_id, to_json({{'model': 'text-davinci-003',
+            'messages': [{{'role': 'user', 'content': '{SEARCH_WORDS}' || query}}],
+            'max_tokens': -1, 'temperature': 0, 'seed': 1234}})::VARCHAR AS payload FROM kb_queries"""),
+    "embedding_requests": with_views(["kb_queries"], [],
+        "SELECT query_id, to_json({'model': 'text-davinci-003', 'input': query})::VARCHAR AS payload FROM kb_queries"),
+    "parse_chat_responses": with_views(["kb_replies"], [CHAT_BODIES],
+        """SELECT reply_id,
+        CASE WHEN json_valid(body) AND COALESCE(json_array_length(body, '$.choices'), 0) > 0
+             THEN json_extract_string(body, '$.choices[0].message.content') END AS content,
+        CASE WHEN NOT json_valid(body) THEN 'response does not decode'
+             WHEN COALESCE(json_array_length(body, '$.choices'), 0) = 0 THEN 'no response from model server' END AS error
+        FROM bodies"""),
+    "parse_embedding_responses": with_views([], [EMB_BODIES, ("v", """SELECT vec_id, json_valid(body) AS ok,
+            CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.data[0].embedding') AS FLOAT[]) END AS vec
+            FROM bodies""")],
+        """SELECT vec_id, CASE WHEN vec IS NOT NULL THEN CAST(len(vec) AS INTEGER) END AS dim,
+        round(CAST(vec[1] AS DOUBLE), 6) AS first,
+        CASE WHEN NOT ok THEN 'response does not decode' WHEN vec IS NULL THEN 'no response from model server' END AS error
+        FROM v"""),
+    "embed_lookup": """SELECT d.doc_id, CASE WHEN e.vec_id IS NOT NULL THEN CAST(len(e.embedding) AS INTEGER) END AS dim,
+        CASE WHEN e.vec_id IS NULL THEN 'could not get document embedding' END AS error
+        FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
+    "hash_embedding": """WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS tok FROM documents),
+        h AS (SELECT doc_id, md5(tok) AS h FROM t WHERE tok <> '')
+        SELECT doc_id, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket,
+        CAST(sum(CASE WHEN CAST('0x' || substr(h, 9, 1) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS value
+        FROM h GROUP BY 1, 2
+        HAVING sum(CASE WHEN CAST('0x' || substr(h, 9, 1) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) <> 0""",
+    "intake_gate": """WITH f AS (SELECT page_id, regexp_extract(url, '/([^/?#]*)(?:[?#].*)?$', 1)
+            || ['.pdf', '.PDF', '.Pdf', '.txt', ''][page_id % 5 + 1] AS name,
+            CAST(strlen(html) AS BIGINT) * 2048 AS length FROM pages),
+        r AS (SELECT *, CASE WHEN length > 10485760 THEN 'file is larger than 10 MiB'
+            WHEN NOT (ends_with(name, '.pdf') OR ends_with(name, '.PDF')) THEN 'not a PDF file' END AS reason FROM f)
+        SELECT page_id, name, length, reason IS NULL AS accepted, reason FROM r""",
+    "page_text": f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+        '{SCRIPT_RE}', ' ', 'g'), '{STYLE_RE}', ' ', 'g'), '{TAG_RE}', ' ', 'g'), '{SPACE_RE}', ' ', 'g')) AS text
+        FROM pages""",
+})

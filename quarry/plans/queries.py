@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.vectors import l2_distance, word_count
-from quarry.operators import auth, context, ingest, integrity, retrieve, sessions, validate
+from quarry.operators import auth, context, embed, inference, ingest, intake, integrity, retrieve, sessions, validate
 from quarry.sources import kb
 from quarry.sources.tables import Catalog
 
@@ -332,3 +332,101 @@ def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     return integrity.constraint_report(kb.datasets(cat), planted_documents(cat), kb.users(cat),
                                        kb.access_tokens(cat))
+
+
+# Job configuration (the deployment supplies its own system prompt).
+SYSTEM_PROMPT = "Answer the question using only the search results above."
+HASH_DIM = 64
+
+
+@register("chat_requests")
+def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _prompts(spark, sf_dir)
+    return p.select("query_id", inference.chat_request(F.col("prompt"), SYSTEM_PROMPT).alias("payload"))
+
+
+@register("search_word_requests")
+def search_word_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = kb.queries(Catalog(spark, sf_dir))
+    return q.select("query_id", inference.search_words_request(F.col("query")).alias("payload"))
+
+
+@register("embedding_requests")
+def embedding_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = kb.queries(Catalog(spark, sf_dir))
+    return q.select("query_id", inference.embedding_request(F.col("query")).alias("payload"))
+
+
+def chat_bodies(cat: Catalog) -> DataFrame:
+    """Model server replies built from the assistant replies; every tenth
+    has no choices, every tenth+1 is not JSON."""
+    r = kb.replies(cat)
+    i = F.col("reply_id")
+    ok = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"),
+                                                      F.col("response").alias("content")).alias("message")))
+                            .alias("choices")))
+    body = F.when(i % 10 == 0, F.lit('{"choices":[]}')).when(i % 10 == 1, F.lit("not json")).otherwise(ok)
+    return r.select("reply_id", body.alias("body"))
+
+
+@register("parse_chat_responses")
+def parse_chat_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = chat_bodies(Catalog(spark, sf_dir))
+    content, error = inference.parse_chat_response(F.col("body"))
+    return b.select("reply_id", content.alias("content"), error.alias("error"))
+
+
+def embedding_bodies(cat: Catalog) -> DataFrame:
+    e = cat.embeddings
+    i = F.col("vec_id")
+    ok = F.to_json(F.struct(F.array(F.struct(F.col("embedding").alias("embedding"))).alias("data")))
+    body = F.when(i % 10 == 0, F.lit('{"data":[]}')).when(i % 10 == 1, F.lit('{"data":')).otherwise(ok)
+    return e.select("vec_id", body.alias("body"))
+
+
+@register("parse_embedding_responses")
+def parse_embedding_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = embedding_bodies(Catalog(spark, sf_dir))
+    vec, error = inference.parse_embedding_response(F.col("body"))
+    return b.select("vec_id", F.when(vec.isNotNull(), F.size(vec)).alias("dim"),
+                    F.round(F.try_element_at(vec, F.lit(1)).cast("double"), 6).alias("first"),
+                    error.alias("error"))
+
+
+@register("embed_lookup")
+def embed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    vectors = cat.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    out = embed.lookup(cat.documents.select("doc_id"), vectors, "doc_id", "embedding")
+    return out.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dim"),
+                      F.when(F.col("vector").isNull(), F.lit("could not get document embedding"))
+                      .alias("error"))
+
+
+@register("hash_embedding")
+def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.token_buckets(Catalog(spark, sf_dir).documents, "doc_id", "text", HASH_DIM)
+
+
+def upload_files(cat: Catalog) -> DataFrame:
+    """Each page as an uploaded file: named after its URL's last path
+    segment plus a suffix that cycles through cases; size scaled from the
+    page's bytes so that some pass and some exceed the cap."""
+    p = cat.pages
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".PDF", ".Pdf", ".txt", "")]),
+                       (F.col("page_id") % 5 + 1).cast("int"))
+    name = F.concat(F.regexp_extract("url", r"/([^/?#]*)(?:[?#].*)?$", 1), ext)
+    return p.select("page_id", name.alias("name"),
+                    (F.octet_length("html").cast("long") * 2048).alias("length"))
+
+
+@register("intake_gate")
+def intake_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = intake.intake_gate(upload_files(Catalog(spark, sf_dir)))
+    return out.select("page_id", "name", "length", "accepted", "reason")
+
+
+@register("page_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Catalog(spark, sf_dir).pages
+    return p.select("page_id", intake.html_text(F.col("html")).alias("text"))
