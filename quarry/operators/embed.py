@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.defaults import WORD_SPLIT_PATTERN
 from quarry.plans.broadcast import fits
+from quarry.plans.parallel import spread
 
 
 def lookup(requests: DataFrame, vectors: DataFrame, key: str, vector_col: str = "vector") -> DataFrame:
@@ -30,7 +31,8 @@ def token_buckets(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFr
     per document whatever the text length.
     """
     tokens = F.filter(F.split(F.lower(F.col(text_col)), WORD_SPLIT_PATTERN, -1), lambda t: t != "")
-    t = df.select(id_col, F.explode(tokens).alias("tok")).withColumn("h", F.md5("tok"))
+    t = spread(df.select(id_col, text_col)).select(id_col, F.explode(tokens).alias("tok"))
+    t = t.withColumn("h", F.md5("tok"))
     bucket = (F.conv(F.substr("h", F.lit(1), F.lit(8)), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.conv(F.substr("h", F.lit(9), F.lit(1)), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
     agg = t.groupBy(id_col, bucket.alias("bucket")).agg(F.sum(sign).cast("long").alias("value"))

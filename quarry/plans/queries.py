@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import defaults as D
 from quarry.functions.vectors import l2_distance, word_count
 from quarry.operators import auth, context, embed, inference, ingest, intake, integrity, retrieve, sessions, validate
+from quarry.plans.parallel import spread
 from quarry.sources import kb
 from quarry.sources.tables import Catalog
 
@@ -428,5 +429,5 @@ def intake_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("page_text")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Catalog(spark, sf_dir).pages
+    p = spread(Catalog(spark, sf_dir).pages)
     return p.select("page_id", intake.html_text(F.col("html")).alias("text"))

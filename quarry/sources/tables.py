@@ -1,7 +1,9 @@
 """Parquet table access.
 
 Readers return lazy DataFrames; Catalyst prunes columns and pushes filters
-into the scan, so callers just ``select`` what they need.
+into the scan, so callers just ``select`` what they need. Known tables are
+read with a declared schema (no footer-reading job per read), and a
+``Catalog`` reads each table once per query plan.
 """
 
 from __future__ import annotations
@@ -12,22 +14,49 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations")
 
+# Declared schemas of the input tables (timestamps are zone-less).
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    return reader.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
 class Catalog:
-    """Named tables under one folder (``<dir>/<name>.parquet``)."""
+    """Named tables under one folder (``<dir>/<name>.parquet``), read once."""
 
     def __init__(self, spark: SparkSession, base_dir: str):
         self.spark = spark
         self.base_dir = base_dir
+        self._tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.base_dir, name)
+        return self._tables[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return read_table(self.spark, self.base_dir, name)
-
-    def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.base_dir, name)
+        return self.table(name)
