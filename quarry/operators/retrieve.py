@@ -38,7 +38,8 @@ def score_pairs(queries: DataFrame, documents: DataFrame, *,
                 query_cols: tuple[str, ...] = (), doc_cols: tuple[str, ...] = (),
                 dim: int | None = None, salts: int = 16,
                 max_broadcast_rows: int = DEFAULT_MAX_ROWS,
-                max_broadcast_bytes: int = DEFAULT_MAX_BYTES) -> tuple[DataFrame, int | None]:
+                max_broadcast_bytes: int = DEFAULT_MAX_BYTES,
+                maxima: dict | None = None) -> tuple[DataFrame, int | None]:
     """Distance of every (query, document of the query's dataset) pair.
 
     ``queries``: query_id, dataset_id, query_vector (+ query_cols).
@@ -46,12 +47,18 @@ def score_pairs(queries: DataFrame, documents: DataFrame, *,
     Returns (pairs, n_queries): pairs hold query_id, id, distance
     (+ query_cols + doc_cols); ``n_queries`` is the proven row count of the
     query side when it was broadcast, else None. Pairs whose vectors differ
-    in dimension are dropped (never ranked first as NULL).
+    in dimension are dropped (never ranked first as NULL). When ``maxima``
+    is a dict, the maxima of ``query_cols`` are filled into it from the same
+    probe (exact when the side was broadcast, else computed separately).
     """
     q = queries.select("query_id", "dataset_id", "query_vector", *query_cols)
     d = documents.select("id", "dataset_id", "vector", *doc_cols)
-    n_q, size = measure(q, max_broadcast_rows, array_col="query_vector")
-    if n_q <= max_broadcast_rows and size <= max_broadcast_bytes:
+    want = tuple(query_cols) if maxima is not None else ()
+    n_q, size, got = measure(q, max_broadcast_rows, array_col="query_vector", max_cols=want)
+    small = n_q <= max_broadcast_rows and size <= max_broadcast_bytes
+    if maxima is not None:
+        maxima.update(got if small else {c: max_of(q, c) for c in want})
+    if small:
         pairs = d.join(F.broadcast(q), "dataset_id", "inner")
     else:
         n_q = None
@@ -139,11 +146,10 @@ def budget_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame
     """
     resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id",
                                                 "dataset", "word_limit"), datasets)
+    maxima: dict = {}
     pairs, n_q = score_pairs(resolved, documents, query_cols=("word_limit",),
-                           doc_cols=("word_count",), dim=dim, salts=salts)
-    max_limit = max_of(resolved, "word_limit")
-    if max_limit is None:
-        max_limit = 0
+                             doc_cols=("word_count",), dim=dim, salts=salts, maxima=maxima)
+    max_limit = int(maxima.get("word_limit") or 0)
     kept = within_budget(pairs, max_limit)
     bound = None if n_q is None else n_q * max_limit
     return kept.select("query_id", "rank", "id", "word_count", "cumulative_words", "distance"), bound
@@ -158,8 +164,10 @@ def topk_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
     """
     resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id",
                                                 "dataset", "k"), datasets)
-    pairs, n_q = score_pairs(resolved, documents, query_cols=("k",), dim=dim, salts=salts)
-    max_k = k if k is not None else (max_of(resolved, "k") or 0)
+    maxima: dict = {}
+    pairs, n_q = score_pairs(resolved, documents, query_cols=("k",), dim=dim, salts=salts,
+                             maxima=maxima if k is None else None)
+    max_k = k if k is not None else int(maxima.get("k") or 0)
     ranked = top_k(pairs, max_k, k_col="k")
     bound = None if n_q is None else n_q * max_k
     return ranked.select("query_id", "rank", "id", "distance"), bound

@@ -15,21 +15,27 @@ DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
 
 
-def measure(df: DataFrame, max_rows: int, array_col: str | None = None) -> tuple[int, int]:
-    """(rows, estimated bytes) of ``df``, reading at most ``max_rows + 1`` rows."""
+def measure(df: DataFrame, max_rows: int, array_col: str | None = None,
+            max_cols: tuple[str, ...] = ()) -> tuple[int, int, dict]:
+    """(rows, estimated bytes, {col: max}) of ``df``, reading at most ``max_rows + 1`` rows.
+
+    The maxima are exact only when rows <= max_rows (the whole side was read).
+    """
     probe = df.limit(max_rows + 1)
     aggs = [F.count(F.lit(1)).alias("n")]
     if array_col is not None:
         aggs.append(F.coalesce(F.sum(F.size(array_col)), F.lit(0)).alias("elems"))
+    aggs += [F.max(c).alias(f"max_{c}") for c in max_cols]
     row = probe.agg(*aggs).first()
     n = int(row["n"])
     elems = int(row["elems"]) if array_col is not None else 0
-    return n, n * ROW_OVERHEAD_BYTES + elems * 4
+    maxima = {c: row[f"max_{c}"] for c in max_cols}
+    return n, n * ROW_OVERHEAD_BYTES + elems * 4, maxima
 
 
 def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
          max_bytes: int = DEFAULT_MAX_BYTES, array_col: str | None = None) -> bool:
-    n, size = measure(df, max_rows, array_col)
+    n, size, _ = measure(df, max_rows, array_col)
     return n <= max_rows and size <= max_bytes
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.parallel import spread
 from quarry.sources.tables import Catalog
 
 
@@ -36,7 +35,7 @@ def datasets(cat: Catalog) -> DataFrame:
 
 def documents(cat: Catalog, with_body: bool = True) -> DataFrame:
     """id, dataset_id, title, url, body, vector (only documents with a vector)."""
-    d = spread(cat.documents).alias("d")
+    d = cat.spread("documents").alias("d")
     e = cat.embeddings.alias("e")
     cols = [(F.col("d.doc_id") + 1).alias("id"),
             (_source_no("d.source") + 1).alias("dataset_id"),

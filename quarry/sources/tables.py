@@ -56,6 +56,15 @@ class Catalog:
             self._tables[name] = read_table(self.spark, self.base_dir, name)
         return self._tables[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """The table spread over the cores when it arrives under-split (memoised)."""
+        from quarry.plans.parallel import spread
+
+        key = f"{name}#spread"
+        if key not in self._tables:
+            self._tables[key] = spread(self.table(name))
+        return self._tables[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
