@@ -26,23 +26,6 @@ def l2_distance(v, q) -> Column:
     return F.sqrt(F.aggregate(sq, F.lit(0.0).cast("double"), lambda s, x: s + x))
 
 
-def l2_distance_unrolled(v, q, dim: int) -> Column:
-    """Same value as :func:`l2_distance` for arrays of a known dimension.
-
-    Written as one flat arithmetic expression over ``v[i]`` / ``q[i]`` so it
-    compiles into whole-stage codegen instead of interpreting a lambda per
-    element. Same fold order, so the same bits. Arrays of another length
-    give NULL.
-    """
-    v, q = _col(v), _col(q)
-    acc = F.lit(0.0).cast("double")
-    for i in range(dim):
-        d = v.getItem(i).cast("double") - q.getItem(i).cast("double")
-        acc = acc + d * d
-    ok = (F.size(v) == F.lit(dim)) & (F.size(q) == F.lit(dim))
-    return F.when(ok, F.sqrt(acc))
-
-
 def word_count(body) -> Column:
     """Number of pieces of ``body`` split on runs of whitespace.
 

@@ -51,3 +51,13 @@ def hashed_bag_of_words(df: DataFrame, id_col: str, text_col: str, dim: int) ->
     with_raw = dense.select(id_col, raw.alias("v"))
     norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
     return with_raw.select(id_col, F.transform("v", lambda x: (x / norm).cast("float")).alias("vector"))
+
+
+def with_model(df: DataFrame, key_col: str, text_col: str, client_factory, model=None) -> DataFrame:
+    """(key, vector, error) from a model server client (batched, one per partition)."""
+    from quarry.operators import inference
+
+    req = df.select(key_col, inference.embedding_request(F.col(text_col), model).alias("payload"))
+    raw = inference.run_model(req, "payload", client_factory, key_col)
+    vec, parse_err = inference.parse_embedding_response(F.col("response"))
+    return raw.select(key_col, vec.alias("vector"), F.coalesce(F.col("error"), parse_err).alias("error"))

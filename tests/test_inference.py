@@ -43,3 +43,46 @@ def test_run_model_isolates_failures(spark):
     assert out[1] == ("R1", None)
     assert out[3][0] is None and "bad request" in out[3][1]
     assert sum(1 for v in out.values() if v[1] is None) == 9
+
+
+def test_answer_questions_end_to_end(spark):
+    from conftest import SF_SMALL
+    from quarry.operators.answer import answer_questions
+    from quarry.sources import kb
+    from quarry.sources.tables import Catalog
+
+    def factory():  # stub model: cites the first document of its prompt
+        import json as _json
+        import re as _re
+
+        def client(batch):
+            out = []
+            for payload in batch:
+                prompt = _json.loads(payload)["messages"][1]["content"]
+                m = _re.search(r'"id":(\d+)', prompt)
+                text = f"see [citation]{m.group(1)}[/citation]" if m else "I'm sorry."
+                out.append(_json.dumps({"choices": [{"message": {"role": "assistant", "content": text}}]}))
+            return out
+        return client
+
+    cat = Catalog(spark, SF_SMALL)
+    answers, errors = answer_questions(kb.queries(cat), kb.datasets(cat), kb.documents(cat), factory, "sys")
+    got = [json.loads(r.json)["response"] for r in answers.collect()]
+    assert got and any(a.startswith("see [Document ") for a in got)
+    assert all("[citation]" not in a for a in got)
+    assert errors.where(F.col("error") == "word limit must be greater than zero").count() > 0
+
+
+def test_embed_with_model(spark):
+    from quarry.operators import embed
+
+    def factory():
+        import json as _json
+
+        def client(batch):
+            return [_json.dumps({"data": [{"embedding": [float(len(_json.loads(p)["input"]))]}]}) for p in batch]
+        return client
+
+    df = spark.createDataFrame([(1, "ab"), (2, "abc")], "id long, t string")
+    got = {r.id: r.vector for r in embed.with_model(df, "id", "t", factory).collect()}
+    assert got == {1: [2.0], 2: [3.0]}
