@@ -24,6 +24,9 @@ from quarry.plans.broadcast import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, measure
 # WindowGroupLimit is only planned up to this conf (inclusive); budgets above
 # the default need it raised, which ``within_budget`` does for the session.
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Above this many candidates per query, ranking switches to the distributed
+# prefix-sum plan, so no single task holds one query's candidates.
+LARGE_LIMIT = 100_000
 
 
 def resolve_datasets(queries: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -79,12 +82,20 @@ def _rank_window():
     return Window.partitionBy("query_id").orderBy("distance", "id")
 
 
-def top_k(pairs: DataFrame, k: int, k_col: str | None = None) -> DataFrame:
+def top_k(pairs: DataFrame, k: int, k_col: str | None = None, large_limit: int = LARGE_LIMIT) -> DataFrame:
     """Rows with rank <= k per query, rank by (distance, id).
 
     ``k`` must be a literal (it becomes the WindowGroupLimit); with per-row
-    limits pass the maximum as ``k`` and the column as ``k_col``.
+    limits pass the maximum as ``k`` and the column as ``k_col``. Past
+    ``large_limit`` the distributed ranking is used instead.
     """
+    if k > large_limit:
+        ranked = distributed_rank(pairs.withColumn("word_count", F.lit(1))).drop("cumulative_words")
+        cond = F.col("rank") <= F.lit(k)
+        if k_col:
+            cond = cond & (F.col("rank") <= F.col(k_col))
+        return ranked.where(cond)
+    _ensure_group_limit(pairs.sparkSession, k)
     ranked = pairs.withColumn("rank", F.row_number().over(_rank_window()))
     cond = F.col("rank") <= F.lit(k)
     if k_col:
@@ -98,7 +109,41 @@ def _ensure_group_limit(spark: SparkSession, limit: int) -> None:
         spark.conf.set(GROUP_LIMIT_CONF, str(limit))
 
 
-def within_budget(pairs: DataFrame, max_limit: int, limit_col: str = "word_limit") -> DataFrame:
+def distributed_rank(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """rank (by distance, id) and cumulative_words (RANGE over distance) per
+    query, without holding any query's rows in one task.
+
+    Rows are range-partitioned on (query_id, distance, id); each partition
+    ranks and sums its own slice, per-(query, partition) totals become
+    offsets, and tie groups that straddle partitions take the largest
+    running sum of the group (an aggregate, combined map-side).
+    """
+    spark = pairs.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (pairs.repartitionByRange(n, "query_id", "distance", "id")
+               .withColumn("_pid", F.spark_partition_id())
+               .checkpoint(eager=True))
+    local_w = Window.partitionBy("query_id", "_pid").orderBy("distance", "id")
+    running = Window.partitionBy("query_id", "_pid").orderBy("distance", "id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = (ordered.withColumn("_rn", F.row_number().over(local_w))
+             .withColumn("_s", F.sum("word_count").over(running)))
+    totals = ordered.groupBy("query_id", "_pid").agg(F.count(F.lit(1)).alias("_n"),
+                                                     F.sum("word_count").alias("_w"))
+    before = Window.partitionBy("query_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("query_id", "_pid",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
+                            F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off_w"))
+    ranked = (local.join(offsets, ["query_id", "_pid"])
+              .withColumn("rank", (F.col("_off_n") + F.col("_rn")).cast("int"))
+              .withColumn("_S", F.col("_off_w") + F.col("_s")))
+    peers = ranked.groupBy("query_id", "distance").agg(F.max("_S").cast("long").alias("cumulative_words"))
+    return (ranked.join(peers, ["query_id", "distance"])
+            .drop("_pid", "_rn", "_s", "_n", "_w", "_off_n", "_off_w", "_S"))
+
+
+def within_budget(pairs: DataFrame, max_limit: int, limit_col: str = "word_limit",
+                  large_limit: int = LARGE_LIMIT) -> DataFrame:
     """Documents in distance order while the running word count fits the budget.
 
     Running sum uses the RANGE frame over ``distance`` (equal distances are
@@ -108,6 +153,9 @@ def within_budget(pairs: DataFrame, max_limit: int, limit_col: str = "word_limit
     (a tie group cut by the limit contains row B+1, whose sum exceeds B).
     """
     spark = pairs.sparkSession
+    if max_limit + 1 > large_limit:
+        ranked = distributed_rank(pairs)
+        return ranked.where(F.col("cumulative_words") <= F.col(limit_col))
     _ensure_group_limit(spark, max_limit + 1)
     cand = top_k(pairs, max_limit + 1, k_col=None)
     cand = cand.where(F.col("rank") <= F.col(limit_col) + 1)

@@ -143,3 +143,20 @@ def test_topk_nested(spark):
     k4, _ = retrieve.topk_search(req, dsdf, d, k=4)
     assert set(rows(k3, "query_id", "id")) <= set(rows(k4, "query_id", "id"))
     assert max(r[0] for r in rows(k3, "rank")) <= 3
+
+
+def test_distributed_ranking_equals_window_plan(spark):
+    rng = random.Random(21)
+    for _ in range(3):
+        docs, queries, ds = _random_case(rng, n_docs=80)
+        req = validate.accepted(validate.answer_requests(spark.createDataFrame(queries, Q_SCHEMA)))
+        resolved = retrieve.resolve_datasets(req, spark.createDataFrame(ds, DS_SCHEMA))
+        pairs, _ = retrieve.score_pairs(resolved, _docs(spark, docs), query_cols=("word_limit",),
+                                        doc_cols=("word_count",))
+        small = retrieve.within_budget(pairs, 25)
+        large = retrieve.within_budget(pairs, 25, large_limit=0)  # force the distributed plan
+        cols = ("query_id", "id", "rank", "cumulative_words")
+        assert rows(small, *cols) == rows(large, *cols)
+        k_small = retrieve.top_k(pairs.drop("word_count"), 7)
+        k_large = retrieve.top_k(pairs.drop("word_count"), 7, large_limit=0)
+        assert rows(k_small, "query_id", "id", "rank") == rows(k_large, "query_id", "id", "rank")
