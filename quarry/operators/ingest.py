@@ -20,6 +20,7 @@ from quarry.functions import defaults as D
 from quarry.functions.vectors import has_nan, word_count
 from quarry.operators.validate import default_if_empty
 from quarry.plans.broadcast import fits
+from quarry.session import ensure_checkpoint_dir
 
 DOC_REQUEST_SCHEMA = "title string, url string, body string, dataset string"
 CORRUPT = "_corrupt_record"
@@ -72,6 +73,7 @@ def assign_ids(df: DataFrame, order_cols: list[str], base: Column | int = 0,
                id_col: str = "id", partitions: int | None = None) -> DataFrame:
     """Dense ids base+1, base+2, ... in the order of ``order_cols`` (unique key)."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
                .withColumn("_pid", F.spark_partition_id())

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.vectors import l2_distance
 from quarry.plans.broadcast import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, measure
+from quarry.session import ensure_checkpoint_dir
 
 # WindowGroupLimit is only planned up to this conf (inclusive); budgets above
 # the default need it raised, which ``within_budget`` does for the session.
@@ -119,6 +120,7 @@ def distributed_rank(pairs: DataFrame, partitions: int | None = None) -> DataFra
     running sum of the group (an aggregate, combined map-side).
     """
     spark = pairs.sparkSession
+    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (pairs.repartitionByRange(n, "query_id", "distance", "id")
                .withColumn("_pid", F.spark_partition_id())

@@ -45,6 +45,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
+    """The session's checkpoint folder, taken from ``spark.checkpoint.dir``.
+
+    With ``local_fallback`` (tests, the driver's smoke/oracle runs on one
+    machine) a fresh temp folder is set when the session names none; library
+    code never passes it.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if conf_dir:
+        sc.setCheckpointDir(conf_dir)
+    elif local_fallback:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-ckpt-"))
+    else:
+        raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
+    return sc.getCheckpointDir()
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh path under the session's checkpoint folder.
 
