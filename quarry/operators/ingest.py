@@ -153,9 +153,31 @@ def ingest_summary(status: DataFrame) -> DataFrame:
         F.count(F.when(F.col("status") != ST_OK, 1)).alias("rejected"))
 
 
-def append_documents(docs: DataFrame, path: str) -> None:
-    """Append to the partitioned document store (``dataset_id`` folders)."""
-    docs.write.mode("append").partitionBy("dataset_id").parquet(path)
+def store_documents(docs: DataFrame, path: str, bucket_count: int | None = None,
+                    mode: str = "append", partitions: int | None = None) -> None:
+    """Write documents to the store, laid out for tenant pruning.
+
+    Up to a few thousand datasets: one folder per ``dataset_id``, so a
+    retrieval join on dataset_id gets dynamic partition pruning. Beyond
+    that (``bucket_count``): folders by ``dataset_id % N`` with rows sorted
+    by dataset_id inside, so row-group min/max still skip other datasets
+    without a small-file explosion. Rows are range-partitioned on
+    (dataset_id, id) first: a hot dataset spans many balanced tasks and each
+    task writes files for only a few datasets.
+    """
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.repartitionByRange(n, "dataset_id", "id").sortWithinPartitions("dataset_id", "id")
+    if bucket_count:
+        ordered = ordered.withColumn("dataset_bucket", F.pmod(F.col("dataset_id"), F.lit(bucket_count)))
+        ordered.write.mode(mode).partitionBy("dataset_bucket").parquet(path)
+    else:
+        ordered.write.mode(mode).partitionBy("dataset_id").parquet(path)
+
+
+def read_documents(spark, path: str, bucket_count: int | None = None) -> DataFrame:
+    """The stored documents (id, dataset_id, title, url, body, vector, word_count)."""
+    df = spark.read.parquet(path)
+    return df.drop("dataset_bucket") if bucket_count else df
 
 
 def cascade_delete(documents: DataFrame, deleted_datasets: DataFrame) -> DataFrame:

@@ -58,12 +58,17 @@ def score_pairs(queries: DataFrame, documents: DataFrame, *,
     q = queries.select("query_id", "dataset_id", "query_vector", *query_cols)
     d = documents.select("id", "dataset_id", "vector", *doc_cols)
     want = tuple(query_cols) if maxima is not None else ()
-    n_q, size, got = measure(q, max_broadcast_rows, array_col="query_vector", max_cols=want)
+    n_q, size, got = measure(q, max_broadcast_rows, array_col="query_vector", max_cols=want,
+                             set_cols=("dataset_id",))
     small = n_q <= max_broadcast_rows and size <= max_broadcast_bytes
     if maxima is not None:
-        maxima.update(got if small else {c: max_of(q, c) for c in want})
+        maxima.update({c: got[c] for c in want} if small else {c: max_of(q, c) for c in want})
     if small:
-        pairs = d.join(F.broadcast(q), "dataset_id", "inner")
+        # The probe read the whole (proven small) query side, so its dataset
+        # ids are exact: as an IN filter they prune dataset folders, or skip
+        # row groups by min/max when the store is bucketed and sorted.
+        ids = [int(x) for x in got["set:dataset_id"] or []]
+        pairs = d.where(F.col("dataset_id").isin(ids)).join(F.broadcast(q), "dataset_id", "inner")
     else:
         n_q = None
         salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")

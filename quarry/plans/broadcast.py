@@ -16,21 +16,25 @@ ROW_OVERHEAD_BYTES = 64
 
 
 def measure(df: DataFrame, max_rows: int, array_col: str | None = None,
-            max_cols: tuple[str, ...] = ()) -> tuple[int, int, dict]:
-    """(rows, estimated bytes, {col: max}) of ``df``, reading at most ``max_rows + 1`` rows.
+            max_cols: tuple[str, ...] = (), set_cols: tuple[str, ...] = ()) -> tuple[int, int, dict]:
+    """(rows, estimated bytes, {col: max} | {col: distinct values}) of ``df``,
+    reading at most ``max_rows + 1`` rows.
 
-    The maxima are exact only when rows <= max_rows (the whole side was read).
+    Maxima and value sets are exact only when rows <= max_rows (the whole
+    side was read); a value set then holds at most ``max_rows`` values.
     """
     probe = df.limit(max_rows + 1)
     aggs = [F.count(F.lit(1)).alias("n")]
     if array_col is not None:
         aggs.append(F.coalesce(F.sum(F.size(array_col)), F.lit(0)).alias("elems"))
     aggs += [F.max(c).alias(f"max_{c}") for c in max_cols]
+    aggs += [F.array_sort(F.collect_set(c)).alias(f"set_{c}") for c in set_cols]
     row = probe.agg(*aggs).first()
     n = int(row["n"])
     elems = int(row["elems"]) if array_col is not None else 0
-    maxima = {c: row[f"max_{c}"] for c in max_cols}
-    return n, n * ROW_OVERHEAD_BYTES + elems * 4, maxima
+    found = {c: row[f"max_{c}"] for c in max_cols}
+    found.update({f"set:{c}": row[f"set_{c}"] for c in set_cols})
+    return n, n * ROW_OVERHEAD_BYTES + elems * 4, found
 
 
 def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,

@@ -67,3 +67,31 @@ def test_constraint_report(spark):
     assert got["datasets.pk"] == 1 and got["datasets.unique_name_user"] == 1
     assert got["documents.pk"] == 1 and got["documents.fk_dataset"] == 1 and got["documents.no_nan"] == 1
     assert got["access_tokens.unique_token"] == 1 and got["access_tokens.fk_user"] == 1
+
+
+def test_store_layouts_prune_and_answer_alike(spark):
+    import tempfile
+
+    from conftest import SF_SMALL
+    from quarry.operators import retrieve, validate
+    from quarry.plans import checks
+    from quarry.sources import kb
+    from quarry.sources.tables import Catalog
+    from quarry.functions.vectors import word_count
+
+    cat = Catalog(spark, SF_SMALL)
+    docs = kb.documents(cat).withColumn("word_count", word_count("body"))
+    req = validate.accepted(validate.answer_requests(kb.queries(cat)))
+    want, _ = retrieve.budget_search(req, kb.datasets(cat), docs)
+    for buckets in (None, 4):
+        path = tempfile.mkdtemp(prefix="quarry-store-") + "/docs"
+        ingest.store_documents(docs, path, bucket_count=buckets)
+        stored = ingest.read_documents(spark, path, bucket_count=buckets)
+        got, _ = retrieve.budget_search(req, kb.datasets(cat), stored)
+        assert rows(got, "query_id", "id", "rank") == rows(want, "query_id", "id", "rank")
+        scans = [b for b in checks.plan_text(got).split("\n\n") if "quarry-store-" in b and "Scan" in b]
+        assert scans
+        if buckets is None:
+            assert all("PartitionFilters: [dataset_id" in b and "INSET" in b for b in scans)
+        else:
+            assert all("PushedFilters: [In(dataset_id" in b for b in scans)
