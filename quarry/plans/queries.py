@@ -88,21 +88,21 @@ def topk_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = (pairs.where(F.size("vector") == F.size("query_vector"))
             .select("id", l2_distance("vector", "query_vector").alias("distance"))
             .orderBy("distance", "id").limit(D.DEFAULT_TOP_K))
-    out = docs.select("id", "title", "url").join(F.broadcast(best), "id")
+    out = kb.document_attrs(cat, with_body=False).select("id", "title", "url").join(F.broadcast(best), "id")
     return out.select("id", "title", "url", F.round("distance", 6).alias("distance"))
 
 
 @register("topk_search")
 def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, docs, ranked, bound = _search_hits(spark, sf_dir)
-    out = retrieve.attach(ranked, docs, ("title", "url"), bound)
+    cat, _, _, ranked, bound = _search_hits(spark, sf_dir)
+    out = retrieve.attach(ranked, kb.document_attrs(cat, with_body=False), ("title", "url"), bound)
     return out.select("query_id", "rank", "id", "title", "url", F.round("distance", 6).alias("distance"))
 
 
 @register("search_response_json")
 def search_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, req, docs, ranked, bound = _search_hits(spark, sf_dir)
-    hits = retrieve.attach(ranked, docs, ("title", "url", "body"), bound)
+    cat, req, _, ranked, bound = _search_hits(spark, sf_dir)
+    hits = retrieve.attach(ranked, kb.document_attrs(cat), ("title", "url", "body"), bound)
     return context.search_responses(req, hits)
 
 
@@ -117,7 +117,7 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = validate.accepted(validate.answer_requests(kb.queries(cat)))
     docs = kb.documents(cat)
     kept, bound = retrieve.budget_search(req, kb.datasets(cat), _counted_docs(docs))
-    hits = retrieve.attach(kept, docs, ("dataset_id", "title", "url", "body"), bound)
+    hits = retrieve.attach(kept, kb.document_attrs(cat), ("dataset_id", "title", "url", "body"), bound)
     return context.build_prompts(req, hits)
 
 

@@ -49,6 +49,23 @@ def documents(cat: Catalog, with_body: bool = True) -> DataFrame:
     return d.join(e, F.col("e.vec_id") == F.col("d.doc_id"), "inner").select(*cols)
 
 
+def document_attrs(cat: Catalog, with_body: bool = True) -> DataFrame:
+    """id, dataset_id, title, url[, body] of every document (no vector join).
+
+    For late materialisation: winners already passed the vector join, so
+    their attributes come straight from the documents table.
+    """
+    d = cat.documents
+    cols = [(F.col("doc_id") + 1).alias("id"), (_source_no() + 1).alias("dataset_id"),
+            F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
+            F.when(F.col("doc_id") % 5 == 0, F.lit(""))
+             .otherwise(F.concat(F.lit("https://kb.example/"), F.col("lang"), F.lit("/"),
+                                 F.col("doc_id").cast("string"))).alias("url")]
+    if with_body:
+        cols.append(F.col("text").alias("body"))
+    return d.select(*cols)
+
+
 def ties(cat: Catalog) -> DataFrame:
     """Every document twice (ids offset by 1,000,000) with 60-char bodies."""
     kd = documents(cat)
