@@ -127,6 +127,9 @@ def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_
     wanted = emb.where("_embedded").select(F.col("dataset").alias("name"), "user_id")
     resolved, all_ds = get_or_create(datasets, wanted)
     ids = resolved.select(F.col("name").alias("dataset"), "user_id", F.col("id").alias("dataset_id"))
+    # one row per dataset: broadcast once proven small, so a dataset holding a
+    # third of the requests is never gathered into one join task
+    ids = F.broadcast(ids) if fits(ids) else ids
     joined = emb.join(ids, ["dataset", "user_id"], "left")
     status = (F.when(~F.col("_embedded"), F.lit(ST_EMBED_FAILED))
               .when(F.size("vector") == 0, F.lit(ST_EMPTY_VECTOR))
