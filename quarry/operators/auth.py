@@ -50,24 +50,34 @@ def _parsed(requests: DataFrame, header_col: str) -> DataFrame:
     return requests.select("request_id", strip_bearer(h).alias("token"), reason.alias("reason"))
 
 
-def _tokens_side(tokens: DataFrame) -> DataFrame:
+def _match_tokens(parsed: DataFrame, tokens: DataFrame, how: str, salts: int) -> DataFrame:
+    """Join requests to tokens on the token value.
+
+    Tokens are broadcast once a bounded probe proves them small. Otherwise a
+    salted join: requests get ``xxhash64(request_id) % salts``, each token is
+    replicated ``salts`` times, so one user sending a third of all requests
+    is spread over ``salts`` tasks instead of one.
+    """
     t = tokens.select("token", "user_id")
-    return F.broadcast(t) if fits(t) else t
+    if fits(t):
+        return parsed.join(F.broadcast(t), "token", how)
+    p = parsed.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int"))
+    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return p.join(t, ["token", "_salt"], how).drop("_salt")
 
 
-def authorize(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header") -> DataFrame:
+def authorize(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header",
+              salts: int = 32) -> DataFrame:
     """Requests with a live bearer token -> (request_id, user_id)."""
     p = _parsed(requests, header_col).where(F.col("reason").isNull())
-    live = _tokens_side(live_tokens(tokens, as_of))
-    return p.join(live, "token", "inner").select("request_id", "user_id")
+    return _match_tokens(p, live_tokens(tokens, as_of), "inner", salts).select("request_id", "user_id")
 
 
-def unauthorized(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header") -> DataFrame:
+def unauthorized(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header",
+                 salts: int = 32) -> DataFrame:
     """Every other request -> (request_id, reason)."""
     p = _parsed(requests, header_col)
     malformed = p.where(F.col("reason").isNotNull()).select("request_id", "reason")
-    live = _tokens_side(live_tokens(tokens, as_of))
-    unknown = (p.where(F.col("reason").isNull())
-               .join(live, "token", "left_anti")
+    unknown = (_match_tokens(p.where(F.col("reason").isNull()), live_tokens(tokens, as_of), "left_anti", salts)
                .select("request_id", F.lit(ERR_BAD_TOKEN).alias("reason")))
     return malformed.unionByName(unknown)

@@ -37,8 +37,9 @@ def measure(df: DataFrame, max_rows: int, array_col: str | None = None,
     return n, n * ROW_OVERHEAD_BYTES + elems * 4, found
 
 
-def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+def fits(df: DataFrame, max_rows: int | None = None,
          max_bytes: int = DEFAULT_MAX_BYTES, array_col: str | None = None) -> bool:
+    max_rows = DEFAULT_MAX_ROWS if max_rows is None else max_rows
     n, size, _ = measure(df, max_rows, array_col)
     return n <= max_rows and size <= max_bytes
 

@@ -46,3 +46,18 @@ def test_issue_tokens_expire_in_a_year(spark):
     r = auth.issue_tokens(users, "2002-02-13 00:00:00").first()
     assert r.expiration == dt.datetime(2003, 2, 13) and len(r.token) == 36
     assert F is not None
+
+
+def test_salted_token_join_equals_broadcast(spark, monkeypatch):
+    from quarry.plans import broadcast
+
+    tokens = spark.createDataFrame([(i, i % 3, f"t{i}", dt.datetime(2030, 1, 1)) for i in range(20)],
+                                   "id long, user_id long, token string, expiration timestamp_ntz")
+    # a hot token: most requests carry t1
+    reqs = spark.createDataFrame([(i, "Bearer t1" if i % 4 else f"Bearer t{i % 30}") for i in range(400)],
+                                 "request_id long, auth_header string")
+    as_of = "2002-02-13 00:00:00"
+    want_ok, want_bad = rows(auth.authorize(reqs, tokens, as_of)), rows(auth.unauthorized(reqs, tokens, as_of))
+    monkeypatch.setattr(broadcast, "DEFAULT_MAX_ROWS", 0)  # force the salted path
+    assert rows(auth.authorize(reqs, tokens, as_of, salts=5)) == want_ok
+    assert rows(auth.unauthorized(reqs, tokens, as_of, salts=5)) == want_bad
