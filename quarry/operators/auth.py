@@ -8,6 +8,7 @@ results repeat and expiry is honoured. Token values are never logged.
 from __future__ import annotations
 
 import datetime as _dt
+import secrets
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,18 @@ def live_per_user(tokens: DataFrame, as_of) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def issue_tokens(users: DataFrame, as_of) -> DataFrame:
-    """One new token per user, expiring one year after ``as_of``."""
-    return users.select(F.col("id").alias("user_id"), F.expr("uuid()").alias("token"),
-                        (as_of_literal(as_of) + F.expr(D.TOKEN_LIFETIME)).alias("expiration"))
+def issue_tokens(users: DataFrame, as_of, secret: str | None = None) -> DataFrame:
+    """One new token per user, expiring one year after ``as_of``.
+
+    token = sha2(secret || user_id || as_of): unpredictable without the
+    per-run secret (drawn here when not given), and identical when a lost
+    task is recomputed, unlike a random generator evaluated per attempt.
+    """
+    secret = secret or secrets.token_hex(32)
+    stamp = as_of_literal(as_of)
+    token = F.sha2(F.concat_ws("|", F.lit(secret), F.col("id").cast("string"), stamp.cast("string")), 256)
+    return users.select(F.col("id").alias("user_id"), token.alias("token"),
+                        (stamp + F.expr(D.TOKEN_LIFETIME)).alias("expiration"))
 
 
 def _parsed(requests: DataFrame, header_col: str) -> DataFrame:

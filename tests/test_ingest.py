@@ -49,6 +49,13 @@ def test_ingest_statuses(spark):
     assert rows(out["documents"], "id", "request_id", "word_count") == [(11, 1, 2), (12, 2, 1)]
 
 
+def test_nan_vector_rejected_at_ingest(spark):
+    req = spark.createDataFrame([(1, 1, "t", "", "b", "x"), (2, 1, "t", "", "b", "x")], REQ)
+    vec = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [0.5, 1.0])], "request_id long, vector array<float>")
+    out = ingest.ingest(req, vec, spark.createDataFrame([], DS), doc_id_base=0)
+    assert dict(out["status"].select("request_id", "status").collect()) == {1: ingest.ST_NAN_VECTOR, 2: "accepted"}
+
+
 def test_cascade(spark):
     docs = spark.createDataFrame([(1, 1), (2, 2), (3, 2)], "id long, dataset_id long")
     gone = spark.createDataFrame([(2, 1, "x")], DS)

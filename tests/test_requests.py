@@ -44,7 +44,9 @@ def test_url_parsing(spark):
 def test_issue_tokens_expire_in_a_year(spark):
     users = spark.createDataFrame([(1, "a", True)], "id long, username string, active boolean")
     r = auth.issue_tokens(users, "2002-02-13 00:00:00").first()
-    assert r.expiration == dt.datetime(2003, 2, 13) and len(r.token) == 36
+    assert r.expiration == dt.datetime(2003, 2, 13) and len(r.token) == 64
+    a = auth.issue_tokens(users, "2002-02-13 00:00:00", secret="k").first().token
+    assert a == auth.issue_tokens(users, "2002-02-13 00:00:00", secret="k").first().token != r.token
     assert F is not None
 
 
