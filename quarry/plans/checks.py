@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import DataFrame
@@ -9,7 +11,10 @@ from pyspark.sql import DataFrame
 
 def plan_text(df: DataFrame) -> str:
     """Formatted physical plan (AQE initial plan; nothing is executed)."""
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
 
 
 def read_schemas(plan: str, table: str) -> list[str]:

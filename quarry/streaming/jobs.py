@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions.vectors import word_count
@@ -25,18 +26,20 @@ from quarry.operators import context, ingest, retrieve, sessions, validate
 Embedder = Callable[[DataFrame], DataFrame]  # requests -> (request_id, vector)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The folder as a DataFrame, or None before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
     """Rows of a batch-partitioned folder written by batches before ``batch_id``."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
+    df = _read_or_none(spark, path, schema)
+    if df is None:
+        return spark.createDataFrame([], schema).drop("batch_id")
+    return df.where(F.col("batch_id") < batch_id).drop("batch_id")
 
 
 def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
@@ -87,8 +90,9 @@ def upsert_batch(batch: DataFrame, batch_id: int, store: str) -> None:
     spark = batch.sparkSession
     path = f"{store}/sessions"
     prev = None
-    if _exists(spark, path):
-        s = spark.read.schema(SESSION_SCHEMA).parquet(path).where(F.col("batch_id") < batch_id)
+    s = _read_or_none(spark, path, SESSION_SCHEMA)
+    if s is not None:
+        s = s.where(F.col("batch_id") < batch_id)
         last = s.agg(F.max("batch_id")).first()[0]
         if last is not None:
             prev = s.where(F.col("batch_id") == last).drop("batch_id")
