@@ -279,8 +279,7 @@ ORACLE.update({
         FROM req q LEFT JOIN sessions s ON s.id = q.session_id"""),
 })
 
-PAYLOADS = ("payloads", """SELECT doc_id AS request_id, doc_id // 4 AS batch_id,
-        CASE WHEN doc_id % 13 = 0 THEN substr(item, 1, 20) WHEN doc_id % 17 = 0 THEN '{}' ELSE item END AS payload
+ITEMS = ("items_src", """SELECT doc_id AS request_id, doc_id // 4 AS batch_id, item
         FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0
                 THEN to_json({'title': 'Document ' || CAST(doc_id AS VARCHAR), 'body': text,
                               'dataset': 'ds' || CAST(doc_id % 4 AS VARCHAR)})::VARCHAR
@@ -288,6 +287,9 @@ PAYLOADS = ("payloads", """SELECT doc_id AS request_id, doc_id // 4 AS batch_id,
                               'url': 'https://kb.example/' || lang || '/' || CAST(doc_id AS VARCHAR), 'body': text,
                               'dataset': 'ds' || CAST(doc_id % 4 AS VARCHAR)})::VARCHAR END AS item
               FROM documents) s""")
+PAYLOADS = ("payloads", """SELECT request_id, batch_id,
+        CASE WHEN request_id % 13 = 0 THEN substr(item, 1, 20) WHEN request_id % 17 = 0 THEN '{}' ELSE item END AS payload
+        FROM items_src""")
 
 
 def _field(src: str, f: str) -> str:
@@ -358,18 +360,18 @@ _RULES = [
 ]
 
 ORACLE.update({
-    "decode_documents": with_views([], [PAYLOADS, ("p", """SELECT *, CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS ok
+    "decode_documents": with_views([], [ITEMS, PAYLOADS, ("p", """SELECT *, CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS ok
             FROM payloads""")],
         f"""SELECT request_id, CASE WHEN ok THEN {_field('payload', 'title')} END AS title,
         CASE WHEN ok THEN {_field('payload', 'url')} END AS url, CASE WHEN ok THEN {_field('payload', 'body')} END AS body,
         CASE WHEN ok THEN {_field('payload', 'dataset')} END AS dataset,
         CASE WHEN ok THEN 'accepted' ELSE 'invalid json' END AS status FROM p"""),
-    "bulk_ingest_status": with_views([], [PAYLOADS,
+    "bulk_ingest_status": with_views([], [ITEMS,
         ("b", """SELECT batch_id, CASE WHEN batch_id % 10 = 3
-                THEN substr('[' || string_agg(payload, ',' ORDER BY request_id) || ']', 1,
-                            length(string_agg(payload, ',' ORDER BY request_id)))
-                ELSE '[' || string_agg(payload, ',' ORDER BY request_id) || ']' END AS payload
-            FROM payloads WHERE payload <> '{}' AND request_id % 13 <> 0 GROUP BY batch_id"""),
+                THEN substr('[' || string_agg(item, ',' ORDER BY request_id) || ']', 1,
+                            length(string_agg(item, ',' ORDER BY request_id)))
+                ELSE '[' || string_agg(item, ',' ORDER BY request_id) || ']' END AS payload
+            FROM items_src GROUP BY batch_id"""),
         ("items", """SELECT batch_id, CAST(unnest(range(1, CAST(json_array_length(payload) AS BIGINT) + 1)) AS INTEGER) AS position,
             unnest(CAST(json_extract(payload, '$[*]') AS VARCHAR[])) AS item FROM b WHERE json_valid(payload)""")],
         f"""SELECT batch_id, position, {_field('item', 'title')} AS title, {_field('item', 'url')} AS url,

@@ -242,22 +242,26 @@ def assign_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.assign_ids(ids, "session_id")
 
 
-def doc_payloads(cat: Catalog) -> DataFrame:
-    """Add-document request bodies built from the documents table; every
-    13th is truncated (malformed), every 17th is an empty object."""
+def doc_items(cat: Catalog) -> DataFrame:
+    """Add-document request bodies built from every document (url omitted
+    for every fifth, as an encoder with omitempty does)."""
     d = cat.documents
     i = F.col("doc_id")
-    item = F.when(i % 5 == 0, F.to_json(F.struct(
-                F.concat(F.lit("Document "), i.cast("string")).alias("title"),
-                F.col("text").alias("body"), F.concat(F.lit("ds"), (i % 4).cast("string")).alias("dataset"))))
-    item = item.otherwise(F.to_json(F.struct(
-                F.concat(F.lit("Document "), i.cast("string")).alias("title"),
-                F.concat(F.lit("https://kb.example/"), F.col("lang"), F.lit("/"), i.cast("string")).alias("url"),
-                F.col("text").alias("body"), F.concat(F.lit("ds"), (i % 4).cast("string")).alias("dataset"))))
-    payload = (F.when(i % 13 == 0, F.substr(item, F.lit(1), F.lit(20)))
-               .when(i % 17 == 0, F.lit("{}")).otherwise(item))
-    return d.select(i.alias("request_id"), (F.floor(i / 4)).cast("long").alias("batch_id"),
-                    payload.alias("payload"))
+    title = F.concat(F.lit("Document "), i.cast("string")).alias("title")
+    ds = F.concat(F.lit("ds"), (i % 4).cast("string")).alias("dataset")
+    url = F.concat(F.lit("https://kb.example/"), F.col("lang"), F.lit("/"), i.cast("string")).alias("url")
+    item = (F.when(i % 5 == 0, F.to_json(F.struct(title, F.col("text").alias("body"), ds)))
+            .otherwise(F.to_json(F.struct(title, url, F.col("text").alias("body"), ds))))
+    return d.select(i.alias("request_id"), F.floor(i / 4).cast("long").alias("batch_id"), item.alias("item"))
+
+
+def doc_payloads(cat: Catalog) -> DataFrame:
+    """Single-document requests: every 13th cut short (malformed), every
+    17th an empty object, the rest as built."""
+    i = F.col("request_id")
+    payload = (F.when(i % 13 == 0, F.substr("item", F.lit(1), F.lit(20)))
+               .when(i % 17 == 0, F.lit("{}")).otherwise(F.col("item")))
+    return doc_items(cat).select("request_id", "batch_id", payload.alias("payload"))
 
 
 @register("decode_documents")
@@ -268,9 +272,9 @@ def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bulk_ingest_status")
 def bulk_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = doc_payloads(Catalog(spark, sf_dir)).where(~(F.col("payload") == "{}") & (F.col("request_id") % 13 != 0))
-    # batches of four items; every tenth batch arrives cut short
-    batches = p.groupBy("batch_id").agg(context.ordered_join_sep("request_id", "payload", ",").alias("items"))
+    p = doc_items(Catalog(spark, sf_dir))
+    # every document, in batches of four items; every tenth batch arrives cut short
+    batches = p.groupBy("batch_id").agg(context.ordered_join_sep("request_id", "item", ",").alias("items"))
     body = F.concat(F.lit("["), F.col("items"), F.lit("]"))
     body = F.when(F.col("batch_id") % 10 == 3, F.expr("substr(concat('[', items, ']'), 1, length(items))")).otherwise(body)
     out = ingest.decode_bulk(batches.select("batch_id", body.alias("payload")))
