@@ -271,10 +271,10 @@ ORACLE.update({
         string_agg(content, '{NL}' ORDER BY turn) AS messages FROM kb_messages GROUP BY session_id"""),
     "session_upsert": with_views(["kb_messages"], SESSION_STEPS,
         "SELECT id, user_id, model, messages, version FROM sessions"),
-    "session_lookup": with_views(["kb_messages"], [*SESSION_STEPS, ("req", """SELECT conv_id AS request_id,
+    "session_lookup": with_views(["kb_messages"], [*SESSION_STEPS, ("req", """SELECT conv_id AS request_id, turn,
             CASE WHEN conv_id % 7 = 0 THEN 'x' || CAST(conv_id AS VARCHAR) WHEN conv_id % 11 = 0 THEN ''
-                 ELSE CAST(conv_id AS VARCHAR) END AS session_id FROM conversations WHERE turn = 0""")],
-        """SELECT q.request_id, q.session_id, (s.model IS NOT NULL AND COALESCE(q.session_id, '') <> '') AS found,
+                 ELSE CAST(conv_id AS VARCHAR) END AS session_id FROM conversations""")],
+        """SELECT q.request_id, q.turn, q.session_id, (s.model IS NOT NULL AND COALESCE(q.session_id, '') <> '') AS found,
         s.model, s.messages, CASE WHEN COALESCE(q.session_id, '') = '' THEN 'empty session id' END AS error
         FROM req q LEFT JOIN sessions s ON s.id = q.session_id"""),
 })

@@ -224,7 +224,8 @@ def session_lookup_requests(cat: Catalog) -> DataFrame:
     c = F.col("conv_id")
     sid = (F.when(c % 7 == 0, F.concat(F.lit("x"), c.cast("string")))
            .when(c % 11 == 0, F.lit("")).otherwise(c.cast("string")))
-    return cat.conversations.where(F.col("turn") == 0).select(c.alias("request_id"), sid.alias("session_id"))
+    # every conversation row looks up its session
+    return cat.conversations.select(c.alias("request_id"), "turn", sid.alias("session_id"))
 
 
 @register("session_lookup")
@@ -232,7 +233,7 @@ def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     s = sessions.upsert(None, session_changes(cat))
     out = sessions.lookup(session_lookup_requests(cat), s)
-    return out.select("request_id", "session_id", "found", "model",
+    return out.select("request_id", "turn", "session_id", "found", "model",
                       F.array_join("messages", "\n").alias("messages"), "error")
 
 
