@@ -56,7 +56,7 @@ def budget_search_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _search_hits(spark: SparkSession, sf_dir: str):
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.search_requests(kb.queries(cat)))
-    docs = kb.documents(cat)
+    docs = kb.documents(cat, with_body=False)
     ranked, bound = retrieve.topk_search(req, kb.datasets(cat), docs, k=D.DEFAULT_TOP_K)
     return cat, req, docs, ranked, bound
 
@@ -66,7 +66,7 @@ def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     q = kb.queries(cat).withColumn("dataset", validate.default_if_empty(F.col("dataset"), D.DEFAULT_DATASET))
     resolved = retrieve.resolve_datasets(q, kb.datasets(cat))
-    pairs, _ = retrieve.score_pairs(resolved, kb.documents(cat))
+    pairs, _ = retrieve.score_pairs(resolved, kb.documents(cat, with_body=False))
     return pairs.select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
@@ -82,7 +82,7 @@ def topk_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.search_requests(kb.queries(cat)))
     one = retrieve.resolve_datasets(req, kb.datasets(cat)).orderBy("query_id").limit(1)
-    docs = kb.documents(cat)
+    docs = kb.documents(cat, with_body=False)
     pairs = docs.select("id", "dataset_id", "vector").join(
         F.broadcast(one.select("dataset_id", "query_vector")), "dataset_id")
     best = (pairs.where(F.size("vector") == F.size("query_vector"))

@@ -34,8 +34,13 @@ def datasets(cat: Catalog) -> DataFrame:
 
 
 def documents(cat: Catalog, with_body: bool = True) -> DataFrame:
-    """id, dataset_id, title, url, body, vector (only documents with a vector)."""
-    d = cat.spread("documents").alias("d")
+    """id, dataset_id, title, url, body, vector (only documents with a vector).
+
+    With the body, the scan is spread over the cores when under-split (word
+    counts and JSON over whole texts are the CPU-heavy part); without it the
+    scan is left as it arrives.
+    """
+    d = (cat.spread("documents") if with_body else cat.documents).alias("d")
     e = cat.embeddings.alias("e")
     cols = [(F.col("d.doc_id") + 1).alias("id"),
             (_source_no("d.source") + 1).alias("dataset_id"),
