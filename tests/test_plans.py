@@ -23,3 +23,16 @@ def test_topk_ranking_reads_no_text(spark):
 def test_every_query_plans(spark):
     for key, fn in REGISTRY.items():
         assert fn(spark, SF_SMALL).columns, key
+
+
+def test_spread_only_for_under_split_input(spark):
+    import tempfile
+
+    from quarry.plans.parallel import spread
+
+    path = tempfile.mkdtemp(prefix="quarry-split-") + "/t"
+    spark.range(0, 10000).repartition(16).write.parquet(path)
+    many = spark.read.parquet(path)
+    assert "RoundRobinPartitioning" not in checks.plan_text(spread(many))
+    one = spark.read.parquet(path).coalesce(1)
+    assert "RoundRobinPartitioning" in checks.plan_text(spread(one))
