@@ -17,8 +17,7 @@ from quarry.functions.text import JSON_KEEP_NULLS, document_json, go_escape, mar
 
 def ordered_join(rank_col: str, text_col: str):
     """Aggregate: texts concatenated in rank order (array_sort of structs)."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t"))))
-    return F.array_join(F.transform(items, lambda x: x["t"]), "")
+    return ordered_join_sep(rank_col, text_col, "")
 
 
 def ordered_join_sep(rank_col: str, text_col: str, sep: str):

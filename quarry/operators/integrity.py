@@ -39,16 +39,6 @@ def nulls(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.count(F.when(cond, 1)).alias("n"))
 
 
-def mixed_dimensions(documents: DataFrame) -> DataFrame:
-    """Datasets whose vectors have more than one dimension."""
-    dims = documents.groupBy("dataset_id").agg(F.countDistinct(F.size("vector")).alias("d"))
-    return dims.agg(F.count(F.when(F.col("d") > 1, 1)).alias("n"))
-
-
-def nan_vectors(documents: DataFrame) -> DataFrame:
-    return documents.agg(F.count(F.when(has_nan("vector"), 1)).alias("n"))
-
-
 def document_checks(documents: DataFrame) -> DataFrame:
     """not_null, one_dimension and no_nan in one pass over the documents.
 

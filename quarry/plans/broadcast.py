@@ -1,8 +1,8 @@
 """Broadcast only what is proven small.
 
-``bounded_broadcast`` runs one bounded action (a LIMIT + aggregate, so it
-reads at most ``max_rows + 1`` rows) to prove the side fits; if it does the
-side is hinted for broadcast, otherwise the caller's shuffle plan is used.
+``measure`` / ``fits`` run one bounded action (a LIMIT + aggregate, so it
+reads at most ``max_rows + 1`` rows) to prove a side fits; only then do
+callers hint it for broadcast, otherwise they use their shuffle plan.
 """
 
 from __future__ import annotations
@@ -42,12 +42,3 @@ def fits(df: DataFrame, max_rows: int | None = None,
     max_rows = DEFAULT_MAX_ROWS if max_rows is None else max_rows
     n, size, _ = measure(df, max_rows, array_col)
     return n <= max_rows and size <= max_bytes
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BYTES,
-                      array_col: str | None = None) -> tuple[DataFrame, bool]:
-    """Return (df, True) hinted for broadcast when it fits, else (df, False)."""
-    if fits(df, max_rows, max_bytes, array_col):
-        return F.broadcast(df), True
-    return df, False

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,17 +63,3 @@ def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) ->
     else:
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
     return sc.getCheckpointDir()
-
-
-def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh path under the session's checkpoint folder.
-
-    Raises when the session names none: a machine-local temp folder is not
-    visible to other executors and would not survive their loss.
-    """
-    base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])

@@ -68,9 +68,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, embedder: Embedder, store: str
 
 
 def start_ingest(spark: SparkSession, source: str, request_schema: str, embedder: Embedder,
-                 store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+                 store: str, checkpoint: str, available_now: bool = True,
+                 max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Continuous document ingest from JSON request files."""
-    stream = spark.readStream.schema(request_schema).json(source)
+    reader = spark.readStream.schema(request_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.json(source)
     w = stream.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, embedder, store))
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -108,9 +112,13 @@ def read_sessions(spark: SparkSession, store: str) -> DataFrame:
 
 
 def start_session_upsert(spark: SparkSession, source: str, store: str, checkpoint: str,
-                         available_now: bool = True) -> StreamingQuery:
+                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Continuous session saves (id, user_id, messages, model, version) from JSON files."""
     schema = "id string, user_id long, messages array<string>, model string, version long"
-    stream = spark.readStream.schema(schema).json(source)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.json(source)
     w = (stream.writeStream.foreachBatch(lambda df, bid: upsert_batch(df, bid, store))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

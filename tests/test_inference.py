@@ -86,3 +86,12 @@ def test_embed_with_model(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abc")], "id long, t string")
     got = {r.id: r.vector for r in embed.with_model(df, "id", "t", factory).collect()}
     assert got == {1: [2.0], 2: [3.0]}
+
+
+def test_hashed_bag_of_words(spark):
+    from quarry.operators import embed
+
+    df = spark.createDataFrame([(1, "a b a"), (2, "A B a"), (3, "other words here")], "id long, t string")
+    got = {r.id: r.vector for r in embed.hashed_bag_of_words(df, "id", "t", 16).collect()}
+    assert got[1] == got[2]  # case-insensitive, order-free
+    assert abs(sum(x * x for x in got[3]) - 1.0) < 1e-5 and len(got[3]) == 16

@@ -38,10 +38,8 @@ def test_ingest_stream_equals_batch_and_replays(spark):
     os.makedirs(src)
     _write_json(src, "a.json", _requests(1, 6))
     _write_json(src, "b.json", _requests(6, 12))
-    spark.conf.set("spark.sql.streaming.schemaInference", "false")
-    q = (spark.readStream.schema(REQ_SCHEMA).option("maxFilesPerTrigger", 1).json(src).writeStream
-         .foreachBatch(lambda df, bid: jobs.ingest_batch(df, bid, _vectors, store))
-         .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
+    q = jobs.start_ingest(spark, src, REQ_SCHEMA, _vectors, store, os.path.join(root, "ckpt"),
+                          max_files_per_trigger=1)
     q.awaitTermination(180)
     streamed = spark.read.parquet(os.path.join(store, "documents"))
     all_req = spark.createDataFrame(_requests(1, 12), REQ_SCHEMA)
@@ -64,9 +62,7 @@ def test_session_stream_equals_batch(spark):
     _write_json(src, "a.json", ch[:4])
     _write_json(src, "b.json", ch[4:])
     schema = "id string, user_id long, messages array<string>, model string, version long"
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src).writeStream
-         .foreachBatch(lambda df, bid: jobs.upsert_batch(df, bid, store))
-         .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
+    q = jobs.start_session_upsert(spark, src, store, os.path.join(root, "ckpt"), max_files_per_trigger=1)
     q.awaitTermination(180)
     got = jobs.read_sessions(spark, store)
     want = sessions.upsert(None, spark.createDataFrame(ch, schema))
