@@ -63,3 +63,30 @@ def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) ->
     else:
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
     return sc.getCheckpointDir()
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000) -> dict[str, str]:
+    """Recommended session settings for a cluster reading ``input_bytes``.
+
+    * scan splits of 512 MiB keep task counts manageable at 100 TB (~200k
+      tasks) while a split still fits an executor core's memory;
+    * initial shuffle partitions sized for ~512 MiB each (at least 2x the
+      cores), then AQE coalesces toward 256 MiB and splits skewed partitions;
+    * the broadcast threshold equals the bound the probes prove
+      (``plans.broadcast.DEFAULT_MAX_BYTES``), so Spark never broadcasts more
+      on its own estimate than this library does on proof.
+    """
+    from quarry.plans.broadcast import DEFAULT_MAX_BYTES
+
+    mib = 1024 * 1024
+    cores = executor_cores * executors
+    partitions = max(2 * cores, min(200_000, input_bytes // (512 * mib)))
+    return {
+        **{k: v for k, v in ENGINE_CONF.items() if k != "spark.ui.enabled"},
+        "spark.sql.files.maxPartitionBytes": str(512 * mib),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mib),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * mib),
+        "spark.sql.autoBroadcastJoinThreshold": str(DEFAULT_MAX_BYTES),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(DEFAULT_MAX_BYTES),
+    }
