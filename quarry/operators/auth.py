@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.text import strip_bearer
-from quarry.plans.broadcast import fits
+from quarry.plans.joins import lookup_join
 
 ERR_NO_HEADER = "authorization header is missing"
 ERR_BAD_SCHEME = "invalid authorization header format"
@@ -60,19 +60,12 @@ def _parsed(requests: DataFrame, header_col: str) -> DataFrame:
 
 
 def _match_tokens(parsed: DataFrame, tokens: DataFrame, how: str, salts: int) -> DataFrame:
-    """Join requests to tokens on the token value.
+    """Join requests to tokens on the token value (one row per token).
 
-    Tokens are broadcast once a bounded probe proves them small. Otherwise a
-    salted join: requests get ``xxhash64(request_id) % salts``, each token is
-    replicated ``salts`` times, so one user sending a third of all requests
-    is spread over ``salts`` tasks instead of one.
+    Broadcast when proven small, else salted, so one user sending a third
+    of all requests is spread over ``salts`` tasks (``plans.joins``).
     """
-    t = tokens.select("token", "user_id")
-    if fits(t):
-        return parsed.join(F.broadcast(t), "token", how)
-    p = parsed.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int"))
-    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return p.join(t, ["token", "_salt"], how).drop("_salt")
+    return lookup_join(parsed, tokens.select("token", "user_id"), ["token"], how, salts)
 
 
 def authorize(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header",

@@ -20,6 +20,7 @@ from quarry.functions import defaults as D
 from quarry.functions.vectors import has_nan, word_count
 from quarry.operators.validate import default_if_empty
 from quarry.plans.broadcast import fits
+from quarry.plans.joins import lookup_join
 from quarry.session import ensure_checkpoint_dir
 
 DOC_REQUEST_SCHEMA = "title string, url string, body string, dataset string"
@@ -183,15 +184,19 @@ def read_documents(spark, path: str, bucket_count: int | None = None) -> DataFra
     return df.drop("dataset_bucket") if bucket_count else df
 
 
-def cascade_delete(documents: DataFrame, deleted_datasets: DataFrame) -> DataFrame:
-    """Documents left after deleting datasets (ON DELETE CASCADE)."""
+def cascade_delete(documents: DataFrame, deleted_datasets: DataFrame, salts: int = 32) -> DataFrame:
+    """Documents left after deleting datasets (ON DELETE CASCADE).
+
+    An anti join against one row per deleted dataset: broadcast when proven
+    small, else salted, so a dataset holding a third of all documents is not
+    gathered into one task.
+    """
     gone = deleted_datasets.select(F.col("id").alias("dataset_id")).distinct()
-    gone = F.broadcast(gone) if fits(gone) else gone
-    return documents.join(gone, "dataset_id", "left_anti")
+    return lookup_join(documents, gone, ["dataset_id"], "left_anti", salts)
 
 
-def cascade_update(documents: DataFrame, id_map: DataFrame) -> DataFrame:
+def cascade_update(documents: DataFrame, id_map: DataFrame, salts: int = 32) -> DataFrame:
     """ON UPDATE CASCADE: id_map(old_id, new_id) rewrites dataset_id."""
     m = id_map.select(F.col("old_id").alias("dataset_id"), "new_id")
-    return (documents.join(m, "dataset_id", "left")
+    return (lookup_join(documents, m, ["dataset_id"], "left", salts)
             .withColumn("dataset_id", F.coalesce("new_id", "dataset_id")).drop("new_id"))

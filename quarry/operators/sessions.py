@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
+from quarry.plans.joins import lookup_join
 
 
 def session_messages(turns: DataFrame, sep: str = "\n") -> DataFrame:
@@ -51,10 +52,15 @@ def rejected_saves(changes: DataFrame) -> DataFrame:
             .select("*", F.lit(D.ERR_EMPTY_SESSION).alias("error")))
 
 
-def lookup(requests: DataFrame, sessions: DataFrame, id_col: str = "session_id") -> DataFrame:
-    """Point lookups as a join: found flag, session fields, error for ''."""
+def lookup(requests: DataFrame, sessions: DataFrame, id_col: str = "session_id",
+           salts: int = 32) -> DataFrame:
+    """Point lookups as a join: found flag, session fields, error for ''.
+
+    Sessions hold one row per id, so a hot session (a third of all lookups)
+    goes through the salted lookup join rather than one task.
+    """
     s = sessions.select(F.col("id").alias(id_col), "messages", "model")
-    out = requests.join(s, id_col, "left")
+    out = lookup_join(requests, s, [id_col], "left", salts)
     empty = F.coalesce(F.col(id_col), F.lit("")) == ""
     return out.select(
         "*",

@@ -36,3 +36,21 @@ def test_spread_only_for_under_split_input(spark):
     assert "RoundRobinPartitioning" not in checks.plan_text(spread(many))
     one = spark.read.parquet(path).coalesce(1)
     assert "RoundRobinPartitioning" in checks.plan_text(spread(one))
+
+
+def test_lookup_join_salted_equals_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from conftest import rows
+    from quarry.plans import broadcast
+    from quarry.plans.joins import lookup_join
+
+    left = spark.range(0, 3000).select(F.col("id").alias("row"), (F.when(F.col("id") % 3 == 0, 7)
+                                                                  .otherwise(F.col("id") % 50)).alias("k"))
+    right = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = {how: rows(lookup_join(left, right, ["k"], how)) for how in ("inner", "left", "left_anti", "left_semi")}
+    monkeypatch.setattr(broadcast, "DEFAULT_MAX_ROWS", 0)  # force the salted plan
+    for how, expected in want.items():
+        got = lookup_join(left, right, ["k"], how, salts=5)
+        assert "_salt" in checks.plan_text(got)  # the salted plan was chosen
+        assert rows(got) == expected, how
