@@ -48,6 +48,7 @@ def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
 
 
 DATASET_SCHEMA = "id long, user_id long, name string, batch_id long"
+MARK_SCHEMA = "max_id long, batch_id long"
 DOCUMENT_SCHEMA = ("id long, title string, url string, body string, vector array<float>, "
                    "word_count long, request_id long, dataset_id long, batch_id long")
 
@@ -56,15 +57,21 @@ def ingest_batch(batch: DataFrame, batch_id: int, embedder: Embedder, store: str
     """One micro-batch of A4: embed, get-or-create datasets, append documents."""
     spark = batch.sparkSession
     ds_path, doc_path, st_path = f"{store}/datasets", f"{store}/documents", f"{store}/status"
+    mark_path = f"{store}/id_marks"
     existing = _earlier(spark, ds_path, batch_id, DATASET_SCHEMA)
-    docs_before = _earlier(spark, doc_path, batch_id, DOCUMENT_SCHEMA)
-    base = docs_before.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    # the next id comes from a one-row-per-batch high-water mark, not from a
+    # scan of every stored document
+    marks = _earlier(spark, mark_path, batch_id, MARK_SCHEMA)
+    base = marks.agg(F.coalesce(F.max("max_id"), F.lit(0))).first()[0]
     out = ingest.ingest(batch, embedder(batch), existing, doc_id_base=int(base))
     bid = F.lit(batch_id).cast("long")
     new_ds = out["resolved"].where("created").select("id", "user_id", "name", bid.alias("batch_id"))
     _overwrite_partitions(new_ds, ds_path, "batch_id")
-    _overwrite_partitions(out["documents"].withColumn("batch_id", bid), doc_path, "dataset_id", "batch_id")
+    docs = out["documents"]
+    _overwrite_partitions(docs.withColumn("batch_id", bid), doc_path, "dataset_id", "batch_id")
     _overwrite_partitions(out["status"].withColumn("batch_id", bid), st_path, "batch_id")
+    mark = docs.agg(F.coalesce(F.max("id"), F.lit(int(base))).alias("max_id")).withColumn("batch_id", bid)
+    _overwrite_partitions(mark, mark_path, "batch_id")
 
 
 def start_ingest(spark: SparkSession, source: str, request_schema: str, embedder: Embedder,
@@ -84,31 +91,38 @@ def start_ingest(spark: SparkSession, source: str, request_schema: str, embedder
 SESSION_SCHEMA = "id string, user_id long, messages array<string>, model string, version long, batch_id long"
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    """Latest row per session across batch folders (the newest batch wins)."""
+    return (rows.groupBy("id").agg(F.max_by(F.struct("user_id", "messages", "model", "version"),
+                                            F.col("batch_id")).alias("s"))
+            .select("id", "s.*"))
+
+
 def upsert_batch(batch: DataFrame, batch_id: int, store: str) -> None:
     """One micro-batch of session saves.
 
-    Each batch writes the whole table as its own ``batch_id`` folder, merged
-    from the newest earlier folder; older folders can be removed by a
-    retention job. A replay re-reads the same earlier folder.
+    Writes only the sessions this batch touches, merged with their state
+    from earlier batches (read for those ids only, via a semi join), so a
+    batch costs what it changes, not the size of the table. Readers take the
+    newest row per id (:func:`read_sessions`); a compaction job may fold old
+    folders. A replay re-reads the same earlier folders and rewrites the same
+    rows.
     """
     spark = batch.sparkSession
     path = f"{store}/sessions"
+    changes = batch.select("id", "user_id", "messages", "model", "version")
     prev = None
     s = _read_or_none(spark, path, SESSION_SCHEMA)
     if s is not None:
-        s = s.where(F.col("batch_id") < batch_id)
-        last = s.agg(F.max("batch_id")).first()[0]
-        if last is not None:
-            prev = s.where(F.col("batch_id") == last).drop("batch_id")
-    merged = sessions.upsert(prev, batch.select("id", "user_id", "messages", "model", "version"))
+        touched = changes.select("id").distinct()
+        prev = _latest(s.where(F.col("batch_id") < batch_id).join(touched, "id", "left_semi"))
+    merged = sessions.upsert(prev, changes)
     _overwrite_partitions(merged.withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id")
 
 
 def read_sessions(spark: SparkSession, store: str) -> DataFrame:
-    """Current sessions: the newest batch folder holds the whole table."""
-    s = spark.read.schema(SESSION_SCHEMA).parquet(f"{store}/sessions")
-    last = s.agg(F.max("batch_id")).first()[0]
-    return s.where(F.col("batch_id") == last).drop("batch_id")
+    """Current sessions: the newest row of each id across batch folders."""
+    return _latest(spark.read.schema(SESSION_SCHEMA).parquet(f"{store}/sessions"))
 
 
 def start_session_upsert(spark: SparkSession, source: str, store: str, checkpoint: str,

@@ -48,6 +48,8 @@ def test_ingest_stream_equals_batch_and_replays(spark):
     assert rows(streamed, "request_id", "id", "word_count") == rows(batch["documents"], "request_id", "id", "word_count")
     status = spark.read.parquet(os.path.join(store, "status"))
     assert rows(status, "request_id", "status") == rows(batch["status"], "request_id", "status")
+    marks = spark.read.parquet(os.path.join(store, "id_marks"))
+    assert rows(marks, "batch_id", "max_id")[-1][1] == streamed.agg({"id": "max"}).first()[0]
     # replay batch 1 (as after a crash before the commit): same rows, no duplicates
     before = rows(spark.read.parquet(os.path.join(store, "documents")))
     jobs.ingest_batch(spark.createDataFrame(_requests(6, 12), REQ_SCHEMA), 1, _vectors, store)
@@ -67,6 +69,12 @@ def test_session_stream_equals_batch(spark):
     got = jobs.read_sessions(spark, store)
     want = sessions.upsert(None, spark.createDataFrame(ch, schema))
     assert rows(got, "id", "user_id", "model", "version") == rows(want, "id", "user_id", "model", "version")
+    # each batch wrote only the sessions it touched; replaying batch 1 changes nothing
+    folders = spark.read.parquet(os.path.join(store, "sessions"))
+    assert folders.count() == 6  # s0..s2 touched by both batches
+    jobs.upsert_batch(spark.createDataFrame(ch[4:], schema), 1, store)
+    again = jobs.read_sessions(spark, store)
+    assert rows(again, "id", "user_id", "model", "version") == rows(want, "id", "user_id", "model", "version")
 
 
 def test_answer_stream_equals_batch(spark):
