@@ -81,7 +81,8 @@ def resolve_citations(replies: DataFrame, context: DataFrame, text_col: str = "r
                                   F.regexp_extract_all(F.col(text_col), pat, 0).alias("m"))).alias("pos", "c"))
     cites = cites.select("reply_id", "pos", F.col("c.cid").try_cast("bigint").alias("cid"),
                          F.col("c.m").alias("m"))
-    ctx = context.select("reply_id", F.col("id").alias("cid"), "title", "url")
+    # a document id names one document: repeated context rows must not repeat a link
+    ctx = context.select("reply_id", F.col("id").alias("cid"), "title", "url").dropDuplicates(["reply_id", "cid"])
     linked = cites.join(ctx, ["reply_id", "cid"], "left").select(
         "reply_id", "pos",
         F.when(F.col("title").isNotNull(), markdown_link("title", "url")).otherwise(F.col("m")).alias("rep"))
