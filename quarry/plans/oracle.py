@@ -17,8 +17,8 @@ VIEWS: dict[str, str] = {
         CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE concat('https://kb.example/', d.lang, '/', CAST(d.doc_id AS VARCHAR)) END AS url,
         d.text AS body, e.embedding AS vector
         FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
-    "kb_ties": """SELECT id, dataset_id, title, url, substr(body, 1, 60) AS body, vector FROM kb_documents
-        UNION ALL SELECT id + 1000000 AS id, dataset_id, title, url, substr(body, 61, 60) AS body, vector FROM kb_documents""",
+    "kb_ties": """SELECT id, dataset_id, title, url, body, vector FROM kb_documents
+        UNION ALL SELECT id + 1000000 AS id, dataset_id, title, url, body, vector FROM kb_documents""",
     "kb_queries": """SELECT e.vec_id AS query_id, b.text AS query, e.embedding AS query_vector,
         (e.vec_id * 7 + 3) % 5 + 1 AS user_id,
         CASE WHEN e.vec_id % 13 = 0 THEN 'missing' WHEN e.vec_id % 11 = 0 THEN ''
@@ -288,7 +288,7 @@ ITEMS = ("items_src", """SELECT doc_id AS request_id, doc_id // 4 AS batch_id, i
                               'dataset': 'ds' || CAST(doc_id % 4 AS VARCHAR)})::VARCHAR END AS item
               FROM documents) s""")
 PAYLOADS = ("payloads", """SELECT request_id, batch_id,
-        CASE WHEN request_id % 13 = 0 THEN substr(item, 1, 20) WHEN request_id % 17 = 0 THEN '{}' ELSE item END AS payload
+        CASE WHEN request_id % 13 = 0 THEN '{bad ' || item WHEN request_id % 17 = 0 THEN '{}' ELSE item END AS payload
         FROM items_src""")
 
 
@@ -319,7 +319,7 @@ INGEST_STEPS = [
 ]
 
 PLANTED = [
-    ("kd", "SELECT id, dataset_id, title, url, 'b' AS body, vector FROM kb_documents"),
+    ("kd", "SELECT id, dataset_id, title, url, body, vector FROM kb_documents"),
     ("pdocs", """SELECT * FROM kd
         UNION ALL SELECT id, dataset_id + 100, title, url, body, vector FROM kd WHERE id % 50 = 1
         UNION ALL SELECT id + 5000000, dataset_id, title, url, body, vector[1:32] FROM kd WHERE id % 97 = 5"""),
@@ -367,10 +367,8 @@ ORACLE.update({
         CASE WHEN ok THEN {_field('payload', 'dataset')} END AS dataset,
         CASE WHEN ok THEN 'accepted' ELSE 'invalid json' END AS status FROM p"""),
     "bulk_ingest_status": with_views([], [ITEMS,
-        ("b", """SELECT batch_id, CASE WHEN batch_id % 10 = 3
-                THEN substr('[' || string_agg(item, ',' ORDER BY request_id) || ']', 1,
-                            length(string_agg(item, ',' ORDER BY request_id)))
-                ELSE '[' || string_agg(item, ',' ORDER BY request_id) || ']' END AS payload
+        ("b", """SELECT batch_id, '[' || string_agg(item, ',' ORDER BY request_id)
+                || CASE WHEN batch_id % 10 = 3 THEN ',}]' ELSE ']' END AS payload
             FROM items_src GROUP BY batch_id"""),
         ("items", """SELECT batch_id, CAST(unnest(range(1, CAST(json_array_length(payload) AS BIGINT) + 1)) AS INTEGER) AS position,
             unnest(CAST(json_extract(payload, '$[*]') AS VARCHAR[])) AS item FROM b WHERE json_valid(payload)""")],

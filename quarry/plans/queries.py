@@ -257,10 +257,10 @@ def doc_items(cat: Catalog) -> DataFrame:
 
 
 def doc_payloads(cat: Catalog) -> DataFrame:
-    """Single-document requests: every 13th cut short (malformed), every
-    17th an empty object, the rest as built."""
+    """Single-document requests: every 13th malformed (a stray '{bad '
+    before the whole body), every 17th an empty object, the rest as built."""
     i = F.col("request_id")
-    payload = (F.when(i % 13 == 0, F.substr("item", F.lit(1), F.lit(20)))
+    payload = (F.when(i % 13 == 0, F.concat(F.lit("{bad "), F.col("item")))
                .when(i % 17 == 0, F.lit("{}")).otherwise(F.col("item")))
     return doc_items(cat).select("request_id", "batch_id", payload.alias("payload"))
 
@@ -274,10 +274,11 @@ def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bulk_ingest_status")
 def bulk_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = doc_items(Catalog(spark, sf_dir))
-    # every document, in batches of four items; every tenth batch arrives cut short
+    # every document, in batches of four items; every tenth batch is malformed
+    # (a stray ",}" before the closing bracket, all items kept whole)
     batches = p.groupBy("batch_id").agg(context.ordered_join_sep("request_id", "item", ",").alias("items"))
-    body = F.concat(F.lit("["), F.col("items"), F.lit("]"))
-    body = F.when(F.col("batch_id") % 10 == 3, F.expr("substr(concat('[', items, ']'), 1, length(items))")).otherwise(body)
+    tail = F.when(F.col("batch_id") % 10 == 3, F.lit(",}]")).otherwise(F.lit("]"))
+    body = F.concat(F.lit("["), F.col("items"), tail)
     out = ingest.decode_bulk(batches.select("batch_id", body.alias("payload")))
     return out.select("batch_id", "position", "title", "url", "body", "dataset", "status")
 
@@ -325,7 +326,7 @@ def planted_documents(cat: Catalog) -> DataFrame:
     """kb documents plus planted violations: every 50th re-inserted under a
     dataset that does not exist (duplicate id, dangling key), every 97th
     copied with half its vector (mixed dimensions)."""
-    kd = kb.documents(cat, with_body=False).withColumn("body", F.lit("b"))
+    kd = kb.documents(cat)
     dup = kd.where(F.col("id") % 50 == 1).withColumn("dataset_id", F.col("dataset_id") + 100)
     half = (kd.where(F.col("id") % 97 == 5)
             .withColumn("id", F.col("id") + 5000000)
