@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions.vectors import word_count
-from quarry.operators import context, ingest, retrieve, sessions, validate
+from quarry.operators import answer, context, ingest, retrieve, sessions, validate
 
 Embedder = Callable[[DataFrame], DataFrame]  # requests -> (request_id, vector)
 
@@ -139,22 +139,30 @@ def start_session_upsert(spark: SparkSession, source: str, store: str, checkpoin
     return w.start()
 
 
-def answer_batch(batch: DataFrame, batch_id: int, datasets: DataFrame, documents: DataFrame, out: str) -> None:
-    """One micro-batch of questions: budget retrieval -> prompts."""
+def answer_batch(batch: DataFrame, batch_id: int, datasets: DataFrame, documents: DataFrame, out: str,
+                 client_factory=None, system_prompt: str = "") -> None:
+    """One micro-batch of questions: budget retrieval -> prompts, and with a
+    model client the whole answer (model call, citations, JSON)."""
+    bid = F.lit(batch_id).cast("long")
+    if client_factory is not None:
+        answers, errors = answer.answer_questions(batch, datasets, documents, client_factory, system_prompt)
+        _overwrite_partitions(answers.withColumn("batch_id", bid), f"{out}/answers", "batch_id")
+        _overwrite_partitions(errors.withColumn("batch_id", bid), f"{out}/errors", "batch_id")
+        return
     req = validate.answer_requests(batch)
     ok = validate.accepted(req)
     counted = documents.select("id", "dataset_id", "vector", word_count("body").alias("word_count"))
     kept, bound = retrieve.budget_search(ok, datasets, counted)
     hits = retrieve.attach(kept, documents, ("dataset_id", "title", "url", "body"), bound)
     prompts = context.build_prompts(ok, hits)
-    bid = F.lit(batch_id).cast("long")
     _overwrite_partitions(prompts.withColumn("batch_id", bid), f"{out}/prompts", "batch_id")
     rej = validate.rejected(req).select("query_id", "error", bid.alias("batch_id"))
     _overwrite_partitions(rej, f"{out}/rejected", "batch_id")
 
 
 def start_answering(spark: SparkSession, source: str, query_schema: str, datasets: DataFrame,
-                    documents: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+                    documents: DataFrame, out: str, checkpoint: str, available_now: bool = True,
+                    client_factory=None, system_prompt: str = "") -> StreamingQuery:
     """Continuous question answering: query stream x static knowledge base.
 
     Ranking needs ``row_number``, which a streaming DataFrame does not allow,
@@ -162,7 +170,8 @@ def start_answering(spark: SparkSession, source: str, query_schema: str, dataset
     """
     stream = spark.readStream.schema(query_schema).parquet(source)
     w = (stream.writeStream
-         .foreachBatch(lambda df, bid: answer_batch(df, bid, datasets, documents, out))
+         .foreachBatch(lambda df, bid: answer_batch(df, bid, datasets, documents, out,
+                                                    client_factory, system_prompt))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

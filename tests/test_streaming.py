@@ -94,3 +94,36 @@ def test_answer_stream_equals_batch(spark):
     got = spark.read.parquet(os.path.join(root, "out", "prompts"))
     want = REGISTRY["build_prompts"](spark, SF_SMALL)
     assert rows(got, "query_id", "prompt") == rows(want, "query_id", "prompt")
+
+
+def test_answer_stream_with_model(spark):
+    from conftest import SF_SMALL
+    from quarry.sources import kb
+    from quarry.sources.tables import Catalog
+
+    def factory():  # stub model: cites the first document of its prompt
+        import json as _json
+        import re as _re
+
+        def client(batch):
+            out = []
+            for payload in batch:
+                prompt = _json.loads(payload)["messages"][1]["content"]
+                m = _re.search(r'"id":(\d+)', prompt)
+                text = f"[citation]{m.group(1)}[/citation]" if m else "none"
+                out.append(_json.dumps({"choices": [{"message": {"role": "assistant", "content": text}}]}))
+            return out
+        return client
+
+    cat = Catalog(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="quarry-ans-model-")
+    src = os.path.join(root, "q")
+    kb.queries(cat).write.parquet(src)
+    schema = "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit int"
+    q = jobs.start_answering(spark, src, schema, kb.datasets(cat), kb.documents(cat), os.path.join(root, "out"),
+                             os.path.join(root, "ckpt"), client_factory=factory, system_prompt="sys")
+    q.awaitTermination(300)
+    answers = [json.loads(r.json)["response"] for r in spark.read.parquet(os.path.join(root, "out", "answers")).collect()]
+    assert any(a.startswith("[Document ") for a in answers)
+    errors = spark.read.parquet(os.path.join(root, "out", "errors"))
+    assert errors.where("error = 'word limit must be greater than zero'").count() > 0
