@@ -127,3 +127,19 @@ def test_answer_stream_with_model(spark):
     assert any(a.startswith("[Document ") for a in answers)
     errors = spark.read.parquet(os.path.join(root, "out", "errors"))
     assert errors.where("error = 'word limit must be greater than zero'").count() > 0
+
+
+def test_ingest_stream_restart_continues(spark):
+    root = tempfile.mkdtemp(prefix="quarry-restart-")
+    src, store, ckpt = os.path.join(root, "in"), os.path.join(root, "store"), os.path.join(root, "ckpt")
+    os.makedirs(src)
+    _write_json(src, "a.json", _requests(1, 8))
+    jobs.start_ingest(spark, src, REQ_SCHEMA, _vectors, store, ckpt).awaitTermination(180)
+    _write_json(src, "b.json", _requests(8, 15))  # arrives while the job is down
+    jobs.start_ingest(spark, src, REQ_SCHEMA, _vectors, store, ckpt).awaitTermination(180)
+    streamed = spark.read.parquet(os.path.join(store, "documents"))
+    all_req = spark.createDataFrame(_requests(1, 15), REQ_SCHEMA)
+    empty = spark.createDataFrame([], "id long, user_id long, name string")
+    batch = ingest.ingest(all_req, _vectors(all_req), empty, doc_id_base=0)
+    assert rows(streamed, "request_id", "id") == rows(batch["documents"], "request_id", "id")
+    assert streamed.select("batch_id").distinct().count() == 2  # the restart processed only the new file
