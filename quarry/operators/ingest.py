@@ -128,10 +128,9 @@ def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_
     wanted = emb.where("_embedded").select(F.col("dataset").alias("name"), "user_id")
     resolved, all_ds = get_or_create(datasets, wanted)
     ids = resolved.select(F.col("name").alias("dataset"), "user_id", F.col("id").alias("dataset_id"))
-    # one row per dataset: broadcast once proven small, so a dataset holding a
-    # third of the requests is never gathered into one join task
-    ids = F.broadcast(ids) if fits(ids) else ids
-    joined = emb.join(ids, ["dataset", "user_id"], "left")
+    # one row per dataset: broadcast once proven small, else salted, so a
+    # dataset holding a third of the requests is never gathered into one task
+    joined = lookup_join(emb, ids, ["dataset", "user_id"], "left")
     status = (F.when(~F.col("_embedded"), F.lit(ST_EMBED_FAILED))
               .when(F.size("vector") == 0, F.lit(ST_EMPTY_VECTOR))
               .when(has_nan("vector"), F.lit(ST_NAN_VECTOR))
@@ -161,8 +160,8 @@ def store_documents(docs: DataFrame, path: str, bucket_count: int | None = None,
                     mode: str = "append", partitions: int | None = None) -> None:
     """Write documents to the store, laid out for tenant pruning.
 
-    Up to a few thousand datasets: one folder per ``dataset_id``, so a
-    retrieval join on dataset_id gets dynamic partition pruning. Beyond
+    Up to a few thousand datasets: one folder per ``dataset_id``, so the
+    retrieval's dataset-id IN filter (from its probe) prunes folders. Beyond
     that (``bucket_count``): folders by ``dataset_id % N`` with rows sorted
     by dataset_id inside, so row-group min/max still skip other datasets
     without a small-file explosion. Rows are range-partitioned on
