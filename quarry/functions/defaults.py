@@ -36,6 +36,5 @@ ERR_EMPTY_VECTOR = "empty vector"
 ERR_BAD_K = "k must be greater than zero"
 ERR_BAD_BUDGET = "word limit must be greater than zero"
 ERR_EMPTY_SESSION = "empty session id"
-ERR_EMPTY_DATASET = "empty dataset name"
 ERR_NAN_VECTOR = "vector holds NaN"
 ERR_DIMENSION = "vector dimension differs from its dataset"

@@ -31,6 +31,7 @@ ST_BAD_JSON = "invalid json"
 ST_EMBED_FAILED = "could not get document embedding"
 ST_EMPTY_VECTOR = "vector cannot be empty"
 ST_NAN_VECTOR = D.ERR_NAN_VECTOR
+ST_DIMENSION = D.ERR_DIMENSION
 
 
 def _fields_or_empty(s: Column) -> list[Column]:
@@ -108,7 +109,8 @@ def get_or_create(existing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Da
     return resolved, all_ds
 
 
-def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_base: int | None = 0):
+def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_base: int | None = 0,
+           dataset_dims: DataFrame | None = None):
     """Whole ingest pipeline.
 
     ``requests``: request_id, user_id, title, url, body, dataset.
@@ -120,6 +122,9 @@ def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_
     Datasets are created for every request that embedded, even when its
     vector is then rejected (the service creates the dataset first).
     ``doc_id_base=None`` skips document id assignment (status only).
+    One vector dimension per dataset: it comes from ``dataset_dims``
+    (dataset_id, dim; e.g. read from the store), else from the earliest
+    request of the dataset in this batch; other dimensions are rejected.
     """
     req = requests.withColumn("dataset", default_if_empty(F.col("dataset"), D.DEFAULT_DATASET))
     v = vectors.select("request_id", "vector")
@@ -131,9 +136,19 @@ def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_
     # one row per dataset: broadcast once proven small, else salted, so a
     # dataset holding a third of the requests is never gathered into one task
     joined = lookup_join(emb, ids, ["dataset", "user_id"], "left")
+    # the dataset's dimension: known, else its earliest request's (min_by
+    # combines map-side, so a hot dataset reaches the shuffle as one row per task)
+    sized = joined.where(F.col("_embedded") & (F.size("vector") > 0))
+    first = sized.groupBy("dataset_id").agg(F.min_by(F.size("vector"), "request_id").alias("_first_dim"))
+    if dataset_dims is not None:
+        known = dataset_dims.select("dataset_id", F.col("dim").alias("_known_dim"))
+        first = first.join(known, "dataset_id", "full").select(
+            "dataset_id", F.coalesce("_known_dim", "_first_dim").alias("_first_dim"))
+    joined = lookup_join(joined, first, ["dataset_id"], "left")
     status = (F.when(~F.col("_embedded"), F.lit(ST_EMBED_FAILED))
               .when(F.size("vector") == 0, F.lit(ST_EMPTY_VECTOR))
               .when(has_nan("vector"), F.lit(ST_NAN_VECTOR))
+              .when(F.size("vector") != F.col("_first_dim"), F.lit(ST_DIMENSION))
               .otherwise(F.lit(ST_OK)))
     st = joined.withColumn("status", status)
     out = {"status": st.select("request_id", "user_id", "dataset", "dataset_id", "status"),

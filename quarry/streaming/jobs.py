@@ -49,6 +49,7 @@ def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
 
 DATASET_SCHEMA = "id long, user_id long, name string, batch_id long"
 MARK_SCHEMA = "max_id long, batch_id long"
+DIM_SCHEMA = "dataset_id long, dim int, batch_id long"
 DOCUMENT_SCHEMA = ("id long, title string, url string, body string, vector array<float>, "
                    "word_count long, request_id long, dataset_id long, batch_id long")
 
@@ -57,13 +58,15 @@ def ingest_batch(batch: DataFrame, batch_id: int, embedder: Embedder, store: str
     """One micro-batch of A4: embed, get-or-create datasets, append documents."""
     spark = batch.sparkSession
     ds_path, doc_path, st_path = f"{store}/datasets", f"{store}/documents", f"{store}/status"
-    mark_path = f"{store}/id_marks"
+    mark_path, dim_path = f"{store}/id_marks", f"{store}/dims"
     existing = _earlier(spark, ds_path, batch_id, DATASET_SCHEMA)
+    # one row per dataset: the vector dimension fixed by its first batch
+    dims = _earlier(spark, dim_path, batch_id, DIM_SCHEMA)
     # the next id comes from a one-row-per-batch high-water mark, not from a
     # scan of every stored document
     marks = _earlier(spark, mark_path, batch_id, MARK_SCHEMA)
     base = marks.agg(F.coalesce(F.max("max_id"), F.lit(0))).first()[0]
-    out = ingest.ingest(batch, embedder(batch), existing, doc_id_base=int(base))
+    out = ingest.ingest(batch, embedder(batch), existing, doc_id_base=int(base), dataset_dims=dims)
     bid = F.lit(batch_id).cast("long")
     new_ds = out["resolved"].where("created").select("id", "user_id", "name", bid.alias("batch_id"))
     _overwrite_partitions(new_ds, ds_path, "batch_id")
@@ -72,6 +75,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, embedder: Embedder, store: str
     _overwrite_partitions(out["status"].withColumn("batch_id", bid), st_path, "batch_id")
     mark = docs.agg(F.coalesce(F.max("id"), F.lit(int(base))).alias("max_id")).withColumn("batch_id", bid)
     _overwrite_partitions(mark, mark_path, "batch_id")
+    new_dims = (docs.groupBy("dataset_id").agg(F.min(F.size("vector")).alias("dim"))
+                .join(dims.select("dataset_id"), "dataset_id", "left_anti"))
+    _overwrite_partitions(new_dims.withColumn("batch_id", bid), dim_path, "batch_id")
 
 
 def start_ingest(spark: SparkSession, source: str, request_schema: str, embedder: Embedder,

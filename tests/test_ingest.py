@@ -102,3 +102,18 @@ def test_store_layouts_prune_and_answer_alike(spark):
             assert all("PartitionFilters: [dataset_id" in b and "INSET" in b for b in scans)
         else:
             assert all("PushedFilters: [In(dataset_id" in b for b in scans)
+
+
+def test_one_dimension_per_dataset(spark):
+    req = spark.createDataFrame([(1, 1, "t", "", "b", "x"), (2, 1, "t", "", "b", "x"), (3, 1, "t", "", "b", "x"),
+                                 (4, 1, "t", "", "b", "y")], REQ)
+    vec = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (3, [0.5, 0.5]), (4, [1.0])],
+                                "request_id long, vector array<float>")
+    ds = spark.createDataFrame([(7, 1, "x")], DS)
+    out = ingest.ingest(req, vec, ds, doc_id_base=None)
+    assert dict(out["status"].select("request_id", "status").collect()) == {
+        1: "accepted", 2: ingest.ST_DIMENSION, 3: "accepted", 4: "accepted"}
+    known = spark.createDataFrame([(7, 3)], "dataset_id long, dim int")
+    out = ingest.ingest(req, vec, ds, doc_id_base=None, dataset_dims=known)
+    assert dict(out["status"].select("request_id", "status").collect()) == {
+        1: ingest.ST_DIMENSION, 2: "accepted", 3: ingest.ST_DIMENSION, 4: "accepted"}
