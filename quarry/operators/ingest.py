@@ -135,7 +135,8 @@ def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_
     ids = resolved.select(F.col("name").alias("dataset"), "user_id", F.col("id").alias("dataset_id"))
     # one row per dataset: broadcast once proven small, else salted, so a
     # dataset holding a third of the requests is never gathered into one task
-    joined = lookup_join(emb, ids, ["dataset", "user_id"], "left")
+    ids_small = fits(ids)
+    joined = lookup_join(emb, ids, ["dataset", "user_id"], "left", small=ids_small)
     # the dataset's dimension: known, else its earliest request's (min_by
     # combines map-side, so a hot dataset reaches the shuffle as one row per task)
     sized = joined.where(F.col("_embedded") & (F.size("vector") > 0))
@@ -144,7 +145,10 @@ def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_
         known = dataset_dims.select("dataset_id", F.col("dim").alias("_known_dim"))
         first = first.join(known, "dataset_id", "full").select(
             "dataset_id", F.coalesce("_known_dim", "_first_dim").alias("_first_dim"))
-    joined = lookup_join(joined, first, ["dataset_id"], "left")
+    # ``first`` has at most one row per dataset id of ``ids`` (already proven);
+    # known dimensions from a store are not bounded by it, so those are probed
+    joined = lookup_join(joined, first, ["dataset_id"], "left",
+                         small=ids_small if dataset_dims is None else None)
     status = (F.when(~F.col("_embedded"), F.lit(ST_EMBED_FAILED))
               .when(F.size("vector") == 0, F.lit(ST_EMPTY_VECTOR))
               .when(has_nan("vector"), F.lit(ST_NAN_VECTOR))

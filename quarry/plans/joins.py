@@ -20,8 +20,11 @@ SALT = "_salt"
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-                salts: int = 32) -> DataFrame:
-    if fits(right):
+                salts: int = 32, small: bool | None = None) -> DataFrame:
+    """``small`` passes a size bound the caller has already proven (e.g. the
+    right side has at most one row per key of a side that was probed);
+    None probes here."""
+    if small if small is not None else fits(right):
         return left.join(F.broadcast(right), on, how)
     l_s = left.withColumn(SALT, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
     r_s = right.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
