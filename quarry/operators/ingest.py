@@ -137,18 +137,19 @@ def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_
     # dataset holding a third of the requests is never gathered into one task
     ids_small = fits(ids)
     joined = lookup_join(emb, ids, ["dataset", "user_id"], "left", small=ids_small)
-    # the dataset's dimension: known, else its earliest request's (min_by
-    # combines map-side, so a hot dataset reaches the shuffle as one row per task)
-    sized = joined.where(F.col("_embedded") & (F.size("vector") > 0))
-    first = sized.groupBy("dataset_id").agg(F.min_by(F.size("vector"), "request_id").alias("_first_dim"))
+    # the dataset's dimension: known, else its earliest request's. Taken from
+    # the embedded requests keyed by (dataset, user) so it does not wait for
+    # the dataset ids; min_by combines map-side, so a hot dataset reaches the
+    # shuffle as one row per task.
+    sized = emb.where(F.col("_embedded") & (F.size("vector") > 0))
+    first = sized.groupBy("dataset", "user_id").agg(
+        F.min_by(F.size("vector"), "request_id").alias("_first_dim"))
     if dataset_dims is not None:
-        known = dataset_dims.select("dataset_id", F.col("dim").alias("_known_dim"))
-        first = first.join(known, "dataset_id", "full").select(
-            "dataset_id", F.coalesce("_known_dim", "_first_dim").alias("_first_dim"))
-    # ``first`` has at most one row per dataset id of ``ids`` (already proven);
-    # known dimensions from a store are not bounded by it, so those are probed
-    joined = lookup_join(joined, first, ["dataset_id"], "left",
-                         small=ids_small if dataset_dims is None else None)
+        known = dataset_dims.join(ids, "dataset_id").select("dataset", "user_id", F.col("dim").alias("_known_dim"))
+        first = first.join(known, ["dataset", "user_id"], "left").select(
+            "dataset", "user_id", F.coalesce("_known_dim", "_first_dim").alias("_first_dim"))
+    # ``first`` has at most one row per (dataset, user) of ``ids`` (already proven)
+    joined = lookup_join(joined, first, ["dataset", "user_id"], "left", small=ids_small)
     status = (F.when(~F.col("_embedded"), F.lit(ST_EMBED_FAILED))
               .when(F.size("vector") == 0, F.lit(ST_EMPTY_VECTOR))
               .when(has_nan("vector"), F.lit(ST_NAN_VECTOR))
