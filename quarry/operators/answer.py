@@ -37,6 +37,7 @@ def answer_questions(requests: DataFrame, datasets: DataFrame, documents: DataFr
     resolved = context.resolve_citations(replies.where(F.col("error").isNull()).drop("error"), ctx)
     answers = context.answer_json(resolved).withColumnRenamed("reply_id", "query_id")
     errors = (validate.rejected(req).select("query_id", "error")
+              .unionByName(retrieve.dimension_errors(ok, datasets, documents))
               .unionByName(replies.where(F.col("error").isNotNull())
                            .select(F.col("reply_id").alias("query_id"), "error")))
     return answers, errors

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import defaults as D
 from quarry.functions.vectors import l2_distance
 from quarry.plans.broadcast import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, measure
 from quarry.plans.joins import lookup_join
@@ -230,3 +231,17 @@ def topk_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
     ranked = top_k(pairs, max_k, k_col="k")
     bound = None if n_q is None else n_q * max_k
     return ranked.select("query_id", "rank", "id", "distance"), bound
+
+
+def dimension_errors(requests: DataFrame, datasets: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, error) for requests whose vector dimension no document of
+    their dataset has. Such pairs are dropped from ranking; this reports them.
+
+    Per dataset the set of document dimensions is tiny (``collect_set`` of
+    sizes, combined map-side), so the join is a lookup join.
+    """
+    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id", "dataset"), datasets)
+    dims = documents.groupBy("dataset_id").agg(F.collect_set(F.size("vector")).alias("_dims"))
+    j = lookup_join(resolved, dims, ["dataset_id"], "inner")
+    return (j.where(~F.array_contains("_dims", F.size("query_vector")))
+            .select("query_id", F.lit(D.ERR_DIMENSION).alias("error")))

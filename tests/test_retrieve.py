@@ -160,3 +160,11 @@ def test_distributed_ranking_equals_window_plan(spark):
         k_small = retrieve.top_k(pairs.drop("word_count"), 7)
         k_large = retrieve.top_k(pairs.drop("word_count"), 7, large_limit=0)
         assert rows(k_small, "query_id", "id", "rank") == rows(k_large, "query_id", "id", "rank")
+
+
+def test_dimension_errors_reported(spark):
+    docs = spark.createDataFrame([(1, 1, "a", [0.0, 0.0, 0.0]), (2, 1, "b", [0.5, 0.5, 0.5])], DOC_SCHEMA)
+    q = spark.createDataFrame([(1, "q", [0.0, 0.0], 7, "x", 10), (2, "q", [0.0, 0.0, 1.0], 7, "x", 10)], Q_SCHEMA)
+    req = validate.accepted(validate.answer_requests(q))
+    errs = retrieve.dimension_errors(req, spark.createDataFrame([(1, 7, "x")], DS_SCHEMA), docs)
+    assert rows(errs) == [(1, "vector dimension differs from its dataset")]
