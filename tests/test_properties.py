@@ -18,3 +18,35 @@ def test_prelimit_equals_full_window(spark, docs, budget, qx):
     fast = _budget(spark, data, queries, ds)
     slow = _full_window(spark, data, queries, ds)
     assert rows(fast, "id", "cumulative_words") == rows(slow, "id", "c")
+
+
+def _brute_resolve(text, ctx):
+    """Straight Python version of the service's rewrite, for comparison."""
+    import re
+
+    def rep(m):
+        try:
+            i = int(m.group(1))
+        except ValueError:
+            return m.group(0)
+        if i >= 2 ** 63:
+            return m.group(0)
+        return f"[{ctx[i][0]}]({ctx[i][1]})" if i in ctx else m.group(0)
+    return re.sub(r"\[citation\](\d+)\[/citation\]", rep, text).replace("\\n", "\n")
+
+
+piece = st.sampled_from(["a ", "b\\n", "[citation]1[/citation]", "[citation]2[/citation]", "[citation]9[/citation]",
+                         "[citation]123456789012345678901[/citation]", "[citation]x[/citation]", "$1 ", "\n"])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.lists(piece, max_size=8).map("".join), min_size=1, max_size=5))
+def test_citations_match_brute_force(spark, texts):
+    from quarry.operators import context
+
+    ctx = {1: ("T$1", "http://a"), 2: ("B\\nC", "")}
+    replies = spark.createDataFrame(list(enumerate(texts)), "reply_id long, response string")
+    cdf = spark.createDataFrame([(r, i, t, u) for r in range(len(texts)) for i, (t, u) in ctx.items()],
+                                "reply_id long, id long, title string, url string")
+    got = dict(context.resolve_citations(replies, cdf).collect())
+    assert got == {i: _brute_resolve(t, ctx) for i, t in enumerate(texts)}
