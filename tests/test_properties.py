@@ -50,3 +50,31 @@ def test_citations_match_brute_force(spark, texts):
                                 "reply_id long, id long, title string, url string")
     got = dict(context.resolve_citations(replies, cdf).collect())
     assert got == {i: _brute_resolve(t, ctx) for i, t in enumerate(texts)}
+
+
+def _brute_url(url):
+    import re
+    from urllib.parse import parse_qsl, urlsplit
+
+    first = {}
+    for k, v in parse_qsl(urlsplit(url).query, keep_blank_values=True):
+        first.setdefault(k, v)
+    q, lim, ds = first.get("query", ""), first.get("limit", ""), first.get("dataset", "")
+    k = int(lim) if re.fullmatch(r"[+-]?[0-9]+", lim) and -2**63 <= int(lim) < 2**63 else 5
+    err = "empty query" if q == "" else ("k must be greater than zero" if k <= 0 else None)
+    return q, k, ds or "default", err
+
+
+param = st.sampled_from(["query=a+b", "query=%C3%A9t%C3%A9", "query=", "limit=7", "limit=%2B7", "limit=+7",
+                         "limit=7x", "limit=0", "limit=-3", "dataset=ds1", "dataset=", "x=1", "query=second"])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(urls=st.lists(st.lists(param, min_size=1, max_size=5).map(lambda ps: "/query?" + "&".join(ps)),
+                     min_size=1, max_size=6))
+def test_url_parsing_matches_brute_force(spark, urls):
+    from quarry.operators import validate
+
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id long, url string")
+    got = {r.id: (r.query, r.k, r.dataset, r.error) for r in validate.parse_search_urls(df).collect()}
+    assert got == {i: _brute_url(u) for i, u in enumerate(urls)}
