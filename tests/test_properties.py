@@ -78,3 +78,31 @@ def test_url_parsing_matches_brute_force(spark, urls):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id long, url string")
     got = {r.id: (r.query, r.k, r.dataset, r.error) for r in validate.parse_search_urls(df).collect()}
     assert got == {i: _brute_url(u) for i, u in enumerate(urls)}
+
+
+def _brute_doc_json(i, ds, title, url, body):
+    import json
+
+    doc = {"id": i, "dataset_id": ds, "title": title}
+    if url:
+        doc["url"] = url
+    doc.update({"body": body, "vector": None})
+    s = json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+    for raw, esc in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        s = s.replace(raw, esc)
+    return s
+
+
+chars = st.lists(st.sampled_from(["a", "<", ">", "&", '"', "\\", "\n", "\t", "é", " ", "$1", " "]),
+                 max_size=10).map("".join)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(docs=st.lists(st.tuples(chars, st.sampled_from(["", "http://x/a?b=1&c=2"]), chars), min_size=1, max_size=6))
+def test_document_json_matches_brute_force(spark, docs):
+    from quarry.functions.text import document_json
+
+    data = [(i, i % 3, t, u, b) for i, (t, u, b) in enumerate(docs)]
+    df = spark.createDataFrame(data, "id long, dataset_id long, title string, url string, body string")
+    got = dict(df.select("id", document_json()).collect())
+    assert got == {i: _brute_doc_json(i, d, t, u, b) for i, d, t, u, b in data}
