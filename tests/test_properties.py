@@ -93,7 +93,7 @@ def _brute_doc_json(i, ds, title, url, body):
     return s
 
 
-chars = st.lists(st.sampled_from(["a", "<", ">", "&", '"', "\\", "\n", "\t", "é", " ", "$1", " "]),
+chars = st.lists(st.sampled_from(["a", "<", ">", "&", '"', "\\", "\n", "\t", "é", "\u2028", "$1", " "]),
                  max_size=10).map("".join)
 
 
