@@ -219,7 +219,9 @@ def topk_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
                 k: int | None = None, salts: int = 16) -> tuple[DataFrame, int | None]:
     """Top-k retrieval for every accepted request (per-row ``k`` column).
 
-    Returns (ranked, bound): ranked holds query_id, rank, id, distance;
+    Each request gets at most its own ``k``; the ``k`` argument is the
+    literal upper bound used for the group limit (default: the largest
+    request ``k``, read by the probe). Returns (ranked, bound): ranked holds query_id, rank, id, distance;
     ``bound`` is a proven row bound for late materialisation.
     """
     resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id",

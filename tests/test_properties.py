@@ -1,6 +1,7 @@
 """Hypothesis: the exact pre-limit equals the literal full-window plan."""
 
 from hypothesis import HealthCheck, given, settings
+from pyspark.sql import functions as F
 from hypothesis import strategies as st
 
 from conftest import rows
@@ -106,3 +107,38 @@ def test_document_json_matches_brute_force(spark, docs):
     df = spark.createDataFrame(data, "id long, dataset_id long, title string, url string, body string")
     got = dict(df.select("id", document_json()).collect())
     assert got == {i: _brute_doc_json(i, d, t, u, b) for i, d, t, u, b in data}
+
+
+def _brute_topk(docs, q, k):
+    import math
+
+    def dist(v):
+        acc = 0.0
+        for a, b in zip(v, q):
+            acc += (float(a) - float(b)) * (float(a) - float(b))
+        return math.sqrt(acc)
+    ranked = sorted((dist(v), i) for i, v in docs)
+    return [(r + 1, i) for r, (_, i) in enumerate(ranked[:k])]
+
+
+vec = st.lists(st.integers(-2, 2).map(float), min_size=3, max_size=3)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(vectors=st.lists(vec, min_size=1, max_size=30), q=vec, k=st.integers(1, 8))
+def test_topk_matches_brute_force(spark, vectors, q, k):
+    from quarry.functions.vectors import word_count
+    from quarry.operators import retrieve, validate
+
+    docs = [(i + 1, v) for i, v in enumerate(vectors)]
+    d = spark.createDataFrame([(i, 1, "w", v) for i, v in docs],
+                              "id long, dataset_id long, body string, vector array<float>")
+    d = d.select("id", "dataset_id", "vector", word_count("body").alias("word_count"))
+    req = validate.accepted(validate.search_requests(spark.createDataFrame(
+        [(1, "q", q, 7, "x", None)],
+        "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit int")))
+    req = req.withColumn("k", F.lit(k))  # the request's own k (the argument below is the upper bound)
+    ranked, _ = retrieve.topk_search(req, spark.createDataFrame([(1, 7, "x")], "id long, user_id long, name string"),
+                                     d, k=k)
+    got = sorted((r["rank"], r["id"]) for r in ranked.collect())
+    assert got == _brute_topk(docs, q, k)
