@@ -244,12 +244,19 @@ SESSION_STEPS = [
 ]
 
 ORACLE.update({
-    "validate_queries": with_views(["kb_queries"], [], """SELECT query_id,
-        COALESCE(NULLIF(dataset, ''), 'default') AS dataset, CAST(COALESCE(word_limit, 512) AS INTEGER) AS word_limit,
-        CASE WHEN COALESCE(query, '') = '' THEN 'empty query'
-             WHEN COALESCE(len(query_vector), 0) <= 0 THEN 'empty vector'
-             WHEN COALESCE(word_limit, 512) <= 0 THEN 'word limit must be greater than zero' END AS error
-        FROM kb_queries"""),
+    "validate_queries": with_views(["kb_queries", "kb_datasets", "kb_documents"], [
+        ("dims", "SELECT dataset_id, list(DISTINCT len(vector)) AS dims FROM kb_documents GROUP BY dataset_id"),
+        ("guarded", """SELECT query_id, user_id, query_vector,
+            COALESCE(NULLIF(dataset, ''), 'default') AS dataset, CAST(COALESCE(word_limit, 512) AS INTEGER) AS word_limit,
+            CASE WHEN COALESCE(query, '') = '' THEN 'empty query'
+                 WHEN COALESCE(len(query_vector), 0) <= 0 THEN 'empty vector'
+                 WHEN COALESCE(word_limit, 512) <= 0 THEN 'word limit must be greater than zero' END AS error
+            FROM kb_queries""")],
+        """SELECT g.query_id, g.dataset, g.word_limit,
+        COALESCE(g.error, CASE WHEN d.dims IS NOT NULL AND NOT list_contains(d.dims, len(g.query_vector))
+                               THEN 'vector dimension differs from its dataset' END) AS error
+        FROM guarded g LEFT JOIN kb_datasets ds ON g.error IS NULL AND ds.name = g.dataset AND ds.user_id = g.user_id
+        LEFT JOIN dims d ON d.dataset_id = ds.id"""),
     "parse_query_urls": with_views([], [URLS, ("vals", f"""SELECT request_id, {_url_param('query')} AS query,
             {_url_param('limit')} AS lim, COALESCE(NULLIF({_url_param('dataset')}, ''), 'default') AS dataset FROM urls"""),
         ("typed", """SELECT request_id, query, dataset,

@@ -151,8 +151,15 @@ AS_OF = "2002-02-13 00:00:00"
 
 @register("validate_queries")
 def validate_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req = validate.answer_requests(kb.queries(Catalog(spark, sf_dir)))
-    return req.select("query_id", "dataset", "word_limit", "error")
+    """Guards and defaults, plus the dimension rule: an otherwise accepted
+    request whose vector length no document of its dataset has is rejected."""
+    cat = Catalog(spark, sf_dir)
+    req = validate.answer_requests(kb.queries(cat))
+    dims = retrieve.dimension_errors(validate.accepted(req), kb.datasets(cat),
+                                     kb.documents(cat, with_body=False)).withColumnRenamed("error", "_dim_error")
+    out = req.join(dims, "query_id", "left")
+    return out.select("query_id", "dataset", "word_limit",
+                      F.coalesce(F.col("error"), F.col("_dim_error")).alias("error"))
 
 
 def search_urls(cat: Catalog) -> DataFrame:
