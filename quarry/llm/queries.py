@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, sharding, url_filter, warc
+from quarry.llm import bpe, exact_dedup, minhash, quality, sharding, url_filter, warc
 from quarry.llm.common import table
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -18,8 +22,17 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_nb_svm_quality(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_bpe_forced_cuts(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree_sharding(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op3_url_filter, op4_warc, op6_exact_dedup, op10_hash_tree_sharding)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_url_filter, op4_warc, op6_exact_dedup, op8_nb_svm_quality,
+                                  op9_bpe_forced_cuts, op10_hash_tree_sharding)}
