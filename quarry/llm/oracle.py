@@ -65,4 +65,28 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-ORACLE = {"op3_url_filter": OP3, "op4_warc": OP4, "op6_exact_dedup": OP6}
+# Words, windows of ten, and every place where a window's words stand in a document.
+OP5 = """
+WITH dw AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+bw AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+q AS (
+    SELECT DISTINCT item_id, len(least_w) AS n, array_to_string(least_w, ' ') AS phrase
+    FROM (SELECT item_id, w[s + 1:s + 10] AS least_w
+          FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS s FROM bw WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT n FROM q),
+spot AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM dw),
+grams AS (SELECT doc_id, p, n, array_to_string(w[p + 1:p + n], ' ') AS phrase FROM spot, sizes WHERE p + n <= len(w)),
+hit AS (SELECT DISTINCT doc_id, p, g.n, item_id FROM grams g JOIN q ON g.n = q.n AND g.phrase = q.phrase),
+covered AS (SELECT doc_id, count(DISTINCT c) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS c FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+          FROM hit GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE = {"op3_url_filter": OP3, "op4_warc": OP4, "op5_benchmark_decontamination": OP5, "op6_exact_dedup": OP6}

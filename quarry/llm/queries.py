@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, exact_dedup, minhash, quality, sharding, url_filter, warc
+from quarry.llm import bpe, decontam, exact_dedup, minhash, quality, sharding, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_hash_tree_sharding(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_url_filter, op4_warc, op6_exact_dedup, op8_nb_svm_quality,
-                                  op9_bpe_forced_cuts, op10_hash_tree_sharding)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_url_filter, op4_warc, op5_benchmark_decontamination, op6_exact_dedup,
+                                  op8_nb_svm_quality, op9_bpe_forced_cuts, op10_hash_tree_sharding)}
