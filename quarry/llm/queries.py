@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontam, exact_dedup, minhash, quality, sharding, url_filter, warc
+from quarry.llm import bpe, decontam, exact_dedup, minhash, quality, sharding, suffix_dedup, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_nb_svm_quality(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,4 +43,4 @@ def op10_hash_tree_sharding(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (op2_minhash_near_dedup, op3_url_filter, op4_warc, op5_benchmark_decontamination, op6_exact_dedup,
-                                  op8_nb_svm_quality, op9_bpe_forced_cuts, op10_hash_tree_sharding)}
+                                  op7_suffix_array_dedup, op8_nb_svm_quality, op9_bpe_forced_cuts, op10_hash_tree_sharding)}
