@@ -53,6 +53,15 @@ def key_sketch(keys: DataFrame, key: str) -> DataFrame:
             .groupBy("_slot").agg(F.bit_or("_bit").alias("_bits")))
 
 
+def flagged(df: DataFrame, sketch: DataFrame, key: str, flag: str) -> DataFrame:
+    """``df`` with a column that is false where the key is surely not in the sketch."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{key}`), 32), 64) as int))")
+    return (df.withColumn("_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(SKETCH_SLOTS)).cast("int"))
+            .join(F.broadcast(sketch), "_slot", "left")
+            .withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+            .drop("_slot", "_bits"))
+
+
 def maybe_in(df: DataFrame, sketch: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key may be in the sketch (a superset of those that are)."""
     h = F.xxhash64(F.col(key))

@@ -9,6 +9,8 @@ Equal payloads (SHA-256 and length) of at least ``min_bytes`` are stored once:
 the record with the largest page id is the response, the others are revisit
 records without payload that name it. The largest id per payload is a combined
 aggregate, joined back on the digest; a hot payload is split by the skew join.
+A fixed-size sketch of the repeated digests keeps all other payloads out of the
+shuffle.
 
 Reading. ``WarcSource`` (format ``warc``) plans one partition per group of whole
 files (an uncompressed WARC can't be entered safely in its middle, since a
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from quarry.llm.common import fresh_path
+from quarry.llm.common import flagged, fresh_path, key_sketch
 
 RECORD_END = "\r\n\r\n"
 PAGE_HEADER = "Quarry-Page-Id"
@@ -60,7 +62,10 @@ def planned_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # only ids and digests are aggregated; the key holds the length too
     first = (p.groupBy("_key", "payload_bytes").agg(F.max("page_id").alias("_response"), F.count(F.lit(1)).alias("_n"))
              .where((F.col("_n") > 1) & (F.col("payload_bytes") >= min_bytes)).drop("_n"))
-    out = p.join(first, ["_key", "payload_bytes"], "left")
+    # payloads that surely occur once are written where they are read, not moved
+    marked = flagged(p, key_sketch(first, "_key"), "_key", "_many")
+    alone = marked.where(~F.col("_many")).withColumn("_response", F.lit(None).cast(pages.schema["page_id"].dataType))
+    out = (marked.where("_many").join(first, ["_key", "payload_bytes"], "left").unionByName(alone))
     revisit = F.col("_response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_response"))
     return out.select("page_id", "url", "payload", "payload_bytes", base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"),
                       F.when(revisit, "revisit").otherwise("response").alias("record_type"),
