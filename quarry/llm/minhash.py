@@ -24,8 +24,8 @@ bucket pairs with another, through a fixed-size sketch of their ids. Hot
 buckets are pre-aggregated, and joins on them are split by the skew join.
 
 Defined results: null text is empty; documents without words are linked with
-nothing and are their own component. A document without id is not compared:
-it gets the component of an equal set, else null. Repeated rows of one id are
+nothing and are their own component. A document without id is not compared; its
+component is null and it stays. Repeated rows of one id are
 one document of that component. Other columns are not read.
 """
 
@@ -177,7 +177,7 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent:
     more = staged(verified(staged(near_in_size(second), "pairs"), docs, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
-    rep = F.coalesce("component", "rep", "doc_id")
+    rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = (sketches.join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"], "left")
            .join(found.withColumnRenamed("doc", "rep"), "rep", "left"))
     return out.select("doc_id", "n_shingles", rep.alias("component_id"), F.col("doc_id").eqNullSafe(rep).alias("kept"))
