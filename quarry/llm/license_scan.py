@@ -16,8 +16,8 @@ match. So repeated notices are all found, and the cost follows the text.
 Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased, and
 compared by 64-bit hashes computed for whole batches; the scan needs no shuffle.
 
-Defined results: null and empty texts match nothing. Ties of the best match go
-to the longer template, then the earlier place, then the name. Templates
+Defined results: null and empty texts match nothing. The best match has the most
+aligned words; ties go to the higher coverage, the earlier place, the name. Templates
 without words are ignored. Repeated rows give repeated results; other columns
 are not read.
 """
@@ -182,7 +182,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
     """One row per document: doc_id, license and coverage of the best match, its word places, n_matches."""
     wanted = TEMPLATES if templates is None else templates
     words = F.create_map(*[F.lit(x) for n, t in wanted.items() for x in (n, len(t.split()))])
-    ranked = F.transform("matches", lambda m: F.struct(-m["coverage"], -words[m["license"]], m["first_word"].alias("first_word"), m["license"].alias("license"),
+    ranked = F.transform("matches", lambda m: F.struct(-m["coverage"] * words[m["license"]], -m["coverage"], m["first_word"].alias("first_word"), m["license"].alias("license"),
                                                       m["coverage"].alias("coverage"), m["last_word"].alias("last_word")))
     best = scan(docs, wanted, least).select("doc_id", F.array_min(ranked).alias("best"), F.size("matches").cast("long").alias("n_matches"))
     return best.select("doc_id", F.col("best.license").alias("license"), F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"),
