@@ -17,10 +17,7 @@ PROMPT_HEADER = "Search results: \n"
 PROMPT_NO_RESULTS = "No results \n\n"
 PROMPT_DOC_OPEN = "```json\n"
 PROMPT_DOC_CLOSE = "\n```\n\n"
-SEARCH_WORDS_INSTRUCTION = (
-    "Please create a search query for this. ONLY give me the search string. "
-    "Do not use quotes: \n\n"
-)
+SEARCH_WORDS_INSTRUCTION = "Please create a search query for this. ONLY give me the search string. Do not use quotes: \n\n"
 SEARCH_WORDS_SEED = 1234
 CHAT_MAX_TOKENS = -1
 CHAT_TEMPERATURE = 0
@@ -31,10 +28,11 @@ GO_JSON_ESCAPES = (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"),
 # ---------------------------------------------------------------------------
 
 # Error codes for rejected rows (side outputs).
+ERR_BAD_REQUEST = "invalid request payload"
 ERR_EMPTY_QUERY = "empty query"
 ERR_EMPTY_VECTOR = "empty vector"
 ERR_BAD_K = "k must be greater than zero"
 ERR_BAD_BUDGET = "word limit must be greater than zero"
 ERR_EMPTY_SESSION = "empty session id"
-ERR_NAN_VECTOR = "vector holds NaN"
+ERR_BAD_VECTOR = "vector holds a NULL, NaN or infinite element"
 ERR_DIMENSION = "vector dimension differs from its dataset"

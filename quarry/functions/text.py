@@ -53,14 +53,20 @@ def strip_bearer(header) -> Column:
 def atoi_or(text, fallback: int) -> Column:
     """Whole-string signed decimal integer (strict, no spaces), else fallback."""
     t = _col(text)
-    parsed = F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+    parsed = F.when(t.rlike(r"\A[+-]?[0-9]+\z"), t.try_cast("bigint"))
     return F.coalesce(parsed, F.lit(fallback).cast("bigint"))
 
 
 def url_param(url, key: str) -> Column:
     """First value of a query parameter, form-decoded ('+' is a space).
 
-    '' when absent or when its escapes are invalid (such pairs are dropped).
+    The query string is cut at '&' without asking for a valid URI, so raw
+    characters such as '|' and '{' pass. Pairs with invalid escapes or a ';'
+    are dropped; '' when no valid pair has the key.
     """
-    raw = F.try_parse_url(_col(url), F.lit("QUERY"), F.lit(key))
-    return F.coalesce(F.try_url_decode(raw), F.lit(""))
+    query = F.regexp_extract(_col(url), r"\A[^?#]*\?([^#]*)", 1)
+    pairs = F.filter(F.split(query, "&", -1), lambda p: ~p.contains(";"))
+    key_of = lambda p: F.try_url_decode(F.regexp_extract(p, r"\A([^=]*)", 1))
+    value_of = lambda p: F.try_url_decode(F.regexp_extract(p, r"(?s)\A[^=]*=(.*)\z", 1))
+    values = F.transform(F.filter(pairs, lambda p: key_of(p) == F.lit(key)), value_of)
+    return F.coalesce(F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1)), F.lit(""))

@@ -18,7 +18,7 @@ def l2_distance(v, q) -> Column:
     The fold order is fixed (0 + d0^2 + d1^2 + ...), so the bits equal any
     other engine that folds the same way; ties and ordering then agree.
     Arrays of different length give NULL (``zip_with`` pads with NULL):
-    callers must drop such pairs before ranking, NULL sorts first.
+    callers drop such pairs, rank NULL last and keep finite distances only.
     """
     v, q = _col(v), _col(q)
     sq = F.zip_with(v, q, lambda a, b: (a.cast("double") - b.cast("double"))
@@ -35,6 +35,12 @@ def word_count(body) -> Column:
     return F.size(F.split(_col(body), WORD_SPLIT_PATTERN, -1)).cast("long")
 
 
-def has_nan(v) -> Column:
-    return F.exists(_col(v), lambda x: F.isnan(x))
+def has_bad_element(v) -> Column:
+    """Any element NULL, NaN or infinite (a vector column accepts none of them)."""
+    return F.exists(_col(v), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+
+
+def is_finite(c) -> Column:
+    c = _col(c)
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 

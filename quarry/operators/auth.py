@@ -43,12 +43,13 @@ def issue_tokens(users: DataFrame, as_of, secret: str | None = None) -> DataFram
 
     token = sha2(secret || user_id || as_of): unpredictable without the
     per-run secret (drawn here when not given), and identical when a lost
-    task is recomputed, unlike a random generator evaluated per attempt.
+    task is recomputed, unlike a random generator evaluated per attempt. The
+    secret is data, a one-row table, so no plan or event log shows it.
     """
-    secret = secret or secrets.token_hex(32)
+    one = users.sparkSession.createDataFrame([(secret or secrets.token_hex(32),)], "_secret string")
     stamp = as_of_literal(as_of)
-    token = F.sha2(F.concat_ws("|", F.lit(secret), F.col("id").cast("string"), stamp.cast("string")), 256)
-    return users.select(F.col("id").alias("user_id"), token.alias("token"),
+    token = F.sha2(F.concat_ws("|", F.col("_secret"), F.col("id").cast("string"), stamp.cast("string")), 256)
+    return users.crossJoin(F.broadcast(one)).select(F.col("id").alias("user_id"), token.alias("token"),
                         (stamp + F.expr(D.TOKEN_LIFETIME)).alias("expiration"))
 
 
@@ -59,27 +60,21 @@ def _parsed(requests: DataFrame, header_col: str) -> DataFrame:
     return requests.select("request_id", strip_bearer(h).alias("token"), reason.alias("reason"))
 
 
-def _match_tokens(parsed: DataFrame, tokens: DataFrame, how: str, salts: int) -> DataFrame:
-    """Join requests to tokens on the token value (one row per token).
-
-    Broadcast when proven small, else salted, so one user sending a third
-    of all requests is spread over ``salts`` tasks (``plans.joins``).
-    """
-    return lookup_join(parsed, tokens.select("token", "user_id"), ["token"], how, salts)
+def _match_tokens(parsed: DataFrame, tokens: DataFrame, how: str) -> DataFrame:
+    """Join requests to tokens on the token value (one row per token)."""
+    return lookup_join(parsed, tokens.select("token", "user_id"), ["token"], how)
 
 
-def authorize(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header",
-              salts: int = 32) -> DataFrame:
+def authorize(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header") -> DataFrame:
     """Requests with a live bearer token -> (request_id, user_id)."""
     p = _parsed(requests, header_col).where(F.col("reason").isNull())
-    return _match_tokens(p, live_tokens(tokens, as_of), "inner", salts).select("request_id", "user_id")
+    return _match_tokens(p, live_tokens(tokens, as_of), "inner").select("request_id", "user_id")
 
 
-def unauthorized(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header",
-                 salts: int = 32) -> DataFrame:
+def unauthorized(requests: DataFrame, tokens: DataFrame, as_of, header_col: str = "auth_header") -> DataFrame:
     """Every other request -> (request_id, reason)."""
     p = _parsed(requests, header_col)
     malformed = p.where(F.col("reason").isNotNull()).select("request_id", "reason")
-    unknown = (_match_tokens(p.where(F.col("reason").isNull()), live_tokens(tokens, as_of), "left_anti", salts)
+    unknown = (_match_tokens(p.where(F.col("reason").isNull()), live_tokens(tokens, as_of), "left_anti")
                .select("request_id", F.lit(ERR_BAD_TOKEN).alias("reason")))
     return malformed.unionByName(unknown)

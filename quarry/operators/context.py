@@ -1,9 +1,8 @@
 """Retrieved rows -> prompts and responses; replies -> resolved citations.
 
 Every per-query aggregate here collects the *winners* of one query, whose
-count is bounded by k or by the word budget, so no group is unbounded.
-Citation rewriting explodes citations and joins the context as a table
-(no per-reply map held in memory, no regex replacement with data text).
+count is bounded by k or by the word budget, or the pieces of one reply, so no
+group is unbounded.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ def ordered_join_sep(rank_col: str, text_col: str, sep: str):
 def build_prompts(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """One prompt per accepted request.
 
-    ``requests``: query_id, query. ``hits``: query_id, rank, id, dataset_id,
+    ``requests``: query_id, query (and model, which is kept). ``hits``: query_id, rank, id, dataset_id,
     title, url, body (the budget winners). Requests without hits get the
     "No results" line.
     """
@@ -37,12 +36,12 @@ def build_prompts(requests: DataFrame, hits: DataFrame) -> DataFrame:
         "query_id", "rank",
         F.concat(F.lit(D.PROMPT_DOC_OPEN), document_json(), F.lit(D.PROMPT_DOC_CLOSE)).alias("block"))
     per_query = blocks.groupBy("query_id").agg(ordered_join("rank", "block").alias("docs"))
-    joined = requests.select("query_id", "query").join(per_query, "query_id", "left")
+    joined = requests.join(per_query, "query_id", "left")
     prompt = F.concat(F.lit(D.PROMPT_HEADER),
                       F.when(F.col("docs").isNull(), F.lit(D.PROMPT_NO_RESULTS)).otherwise(F.lit("")),
                       F.coalesce(F.col("docs"), F.lit("")),
                       F.col("query"))
-    return joined.select("query_id", prompt.alias("prompt"))
+    return joined.select("query_id", prompt.alias("prompt"), *(["model"] if "model" in requests.columns else []))
 
 
 def search_responses(requests: DataFrame, hits: DataFrame) -> DataFrame:
@@ -65,39 +64,44 @@ def extract_citations(replies: DataFrame, text_col: str = "response") -> DataFra
             .select("reply_id", (F.col("pos") + 1).alias("position"), "cited_id"))
 
 
-def resolve_citations(replies: DataFrame, context: DataFrame, text_col: str = "response") -> DataFrame:
+def resolve_citations(replies: DataFrame, context: DataFrame, scope: str = "reply_id") -> DataFrame:
     """Rewrite each citation to a markdown link of the cited context document.
 
-    ``context``: reply_id, id, title, url (documents retrieved for the reply).
+    ``replies``: reply_id, response and any other columns, which are kept.
+    ``context``: id, title, url and ``scope``: the rows a reply may cite are
+    those with its value of ``scope`` (the reply itself, or its dataset).
     Unknown or unparsable ids stay verbatim; afterwards literal backslash-n
     becomes a newline (also inside titles, as in the service).
+
+    The replies are read once: each is cut into (text, citation) pieces, the
+    pieces look up their document by (scope, id), and are joined up again.
     """
-    pat = F.lit(D.CITATION_PATTERN)
-    r = replies.select("reply_id",
-                       F.split(F.col(text_col), D.CITATION_PATTERN, -1).alias("pieces"))
-    cites = replies.select(
-        "reply_id",
-        F.posexplode(F.arrays_zip(F.regexp_extract_all(F.col(text_col), pat, 1).alias("cid"),
-                                  F.regexp_extract_all(F.col(text_col), pat, 0).alias("m"))).alias("pos", "c"))
-    cites = cites.select("reply_id", "pos", F.col("c.cid").try_cast("bigint").alias("cid"),
-                         F.col("c.m").alias("m"))
-    # a document id names one document: repeated context rows must not repeat a link
-    ctx = context.select("reply_id", F.col("id").alias("cid"), "title", "url").dropDuplicates(["reply_id", "cid"])
-    linked = cites.join(ctx, ["reply_id", "cid"], "left").select(
-        "reply_id", "pos",
-        F.when(F.col("title").isNotNull(), markdown_link("title", "url")).otherwise(F.col("m")).alias("rep"))
-    reps = linked.groupBy("reply_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "rep"))), lambda x: x["rep"]).alias("reps"))
-    joined = r.join(reps, "reply_id", "left")
-    reps_padded = F.concat(F.coalesce(F.col("reps"), F.array().cast("array<string>")),
-                           F.array(F.lit("")))
-    text = F.array_join(F.zip_with("pieces", reps_padded, lambda p, x: F.concat(p, x)), "")
-    return joined.select("reply_id", unescape_newlines(text).alias("response"))
+    rest = [c for c in replies.columns if c not in ("reply_id", "response")]
+    found = F.regexp_extract_all("response", F.lit(D.CITATION_PATTERN), 0)
+    ids = F.regexp_extract_all("response", F.lit(D.CITATION_PATTERN), 1)
+    cut = F.arrays_zip(F.split("response", D.CITATION_PATTERN, -1).alias("text"), found.alias("match"), ids.alias("cid"))
+    pieces = (replies.select("reply_id", *rest, F.posexplode_outer(cut).alias("pos", "c"))
+              .select("reply_id", *rest, "pos", F.col("c.text").alias("text"), F.col("c.match").alias("match"),
+                      F.col("c.cid").try_cast("bigint").alias("cid")))
+    # a document id names one document: repeated context rows must not repeat a piece
+    cited = context.select(F.col(scope).alias("_scope"), F.col("id").alias("_id"), markdown_link("title", "url").alias("link"))
+    cited = cited.dropDuplicates(["_scope", "_id"])
+    linked = pieces.join(cited, (F.col(scope) == F.col("_scope")) & (F.col("cid") == F.col("_id")), "left")
+    part = F.concat(F.col("text"), F.coalesce("link", "match", F.lit("")))
+    whole = linked.groupBy("reply_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"),
+        *[F.first(c).alias(c) for c in rest])  # pieces of one reply: their number follows its own length
+    text = F.array_join(F.transform("parts", lambda x: x["part"]), "")
+    return whole.select("reply_id", F.when(F.col("parts")[0]["pos"].isNotNull(), unescape_newlines(text)).alias("response"), *rest)
+
+
+def response_json(text_col: str):
+    """{"response": text}, escaped as the service does."""
+    return go_escape(F.to_json(F.struct(F.col(text_col).alias("response"))))
 
 
 def answer_json(answers: DataFrame, id_col: str = "reply_id", text_col: str = "response") -> DataFrame:
-    payload = go_escape(F.to_json(F.struct(F.col(text_col).alias("response"))))
-    return answers.select(id_col, payload.alias("json"))
+    return answers.select(id_col, response_json(text_col).alias("json"))
 
 
 def documents_json(docs: DataFrame) -> DataFrame:

@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.defaults import WORD_SPLIT_PATTERN
-from quarry.plans.broadcast import fits
 from quarry.plans.parallel import spread
 
 
 def lookup(requests: DataFrame, vectors: DataFrame, key: str, vector_col: str = "vector") -> DataFrame:
     """requests + ``vector`` (NULL when the table has no row for the key)."""
     v = vectors.select(key, F.col(vector_col).alias("vector"))
-    v = F.broadcast(v) if fits(v, array_col="vector") else v
     return requests.join(v, key, "left")
 
 

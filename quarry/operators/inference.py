@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
+from quarry.functions.vectors import has_bad_element
 
 CORRUPT = "_corrupt_record"
 EMBEDDING_RESPONSE_SCHEMA = f"data array<struct<embedding: array<float>>>, {CORRUPT} string"
@@ -64,12 +65,14 @@ def parse_embedding_response(body: Column) -> tuple[Column, Column]:
     """(vector, error): first data item's embedding.
 
     Malformed JSON is a decode error; valid JSON with no data item is
-    "no response" (a missing list decodes as empty, as in Go).
+    "no response" (a missing list decodes as empty, as in Go). A vector with a
+    NULL, NaN or infinite element is an error, never a result.
     """
     parsed = F.from_json(body, EMBEDDING_RESPONSE_SCHEMA, PERMISSIVE)
     first = F.try_element_at(parsed["data"], F.lit(1))
     error = (F.when(parsed.isNull() | parsed[CORRUPT].isNotNull(), F.lit(ERR_BAD_RESPONSE))
-             .when(first.isNull(), F.lit(ERR_NO_RESPONSE)))
+             .when(first.isNull(), F.lit(ERR_NO_RESPONSE))
+             .when(has_bad_element(first["embedding"]), F.lit(D.ERR_BAD_VECTOR)))
     return F.when(error.isNull(), first["embedding"]), error
 
 

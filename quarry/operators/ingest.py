@@ -4,11 +4,10 @@ decode JSON -> embed (a vector lookup or any embedder returning a column)
 -> default dataset -> get-or-create datasets -> assign ids -> append.
 Each request keeps a status; one failing item never stops the others.
 
-Surrogate keys (``assign_ids``) are distributed: range-partition + sort by a
-unique key, checkpoint (reliable, under ``spark.checkpoint.dir``), count rows
-per partition (one row per partition to the driver), then add the running
-offset. The id equals base + global rank, so it is stable across retries and
-equal to ``ROW_NUMBER() OVER (ORDER BY key)`` in any engine.
+Surrogate keys (``assign_ids``) are distributed: ranges of the key, a count
+per range, a row number in each. The id equals base + global rank, so it is
+stable across retries and equal to ``ROW_NUMBER() OVER (ORDER BY key)`` in any
+engine.
 """
 
 from __future__ import annotations
@@ -17,11 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
-from quarry.functions.vectors import has_nan, word_count
+from quarry.functions.vectors import has_bad_element, word_count
 from quarry.operators.validate import default_if_empty
-from quarry.plans.broadcast import fits
 from quarry.plans.joins import lookup_join
-from quarry.session import ensure_checkpoint_dir
 
 DOC_REQUEST_SCHEMA = "title string, url string, body string, dataset string"
 CORRUPT = "_corrupt_record"
@@ -30,7 +27,7 @@ ST_OK = "accepted"
 ST_BAD_JSON = "invalid json"
 ST_EMBED_FAILED = "could not get document embedding"
 ST_EMPTY_VECTOR = "vector cannot be empty"
-ST_NAN_VECTOR = D.ERR_NAN_VECTOR
+ST_BAD_VECTOR = D.ERR_BAD_VECTOR
 ST_DIMENSION = D.ERR_DIMENSION
 
 
@@ -71,24 +68,30 @@ def decode_bulk(raw: DataFrame, json_col: str = "payload", batch_col: str = "bat
     return items.unionByName(bad)
 
 
-def assign_ids(df: DataFrame, order_cols: list[str], base: Column | int = 0,
-               id_col: str = "id", partitions: int | None = None) -> DataFrame:
-    """Dense ids base+1, base+2, ... in the order of ``order_cols`` (unique key)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_pos", F.monotonically_increasing_id()
-                           - F.spark_partition_id().cast("long") * F.lit(1 << 33)))
-    ordered = ordered.checkpoint(eager=True)
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: an unpartitioned window over at most n rows
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+def assign_ids(df: DataFrame, order_cols: list[str], base: Column | int = 0, id_col: str = "id",
+               when: Column | None = None, buckets: int = 256) -> DataFrame:
+    """Dense ids base+1, base+2, ... in the order of ``order_cols`` (a unique key).
+
+    The first column must be a number. Its approximate percentiles, one array
+    of ``buckets - 1`` values, cut the rows into ranges; a row's id is the count
+    of rows in earlier ranges plus its number in its own. So nothing is sorted
+    globally, no checkpoint is needed, and a recomputed task gives the same ids.
+    With ``when``, only rows that satisfy it are numbered; others get NULL.
+    """
+    key = F.col(order_cols[0]).cast("double")
+    cuts = df.select(key.alias("_key")).agg(
+        F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
+    flag = (F.lit(True) if when is None else F.coalesce(when, F.lit(False))).cast("long")
+    keyed = (df.withColumn("_flag", flag).crossJoin(F.broadcast(cuts))
+             .withColumn("_range", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < key))).drop("_cuts"))
+    counts = keyed.groupBy("_range").agg(F.sum("_flag").alias("_n"))
+    # at most ``buckets`` rows
+    offsets = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     base_c = base if isinstance(base, Column) else F.lit(base)
-    return (ordered.join(F.broadcast(offsets), "_pid")
-            .withColumn(id_col, (base_c + F.col("_off") + F.col("_pos") + 1).cast("long"))
-            .drop("_pid", "_pos", "_off"))
+    number = (base_c + F.col("_before") + F.sum("_flag").over(within)).cast("long")
+    return (keyed.join(F.broadcast(offsets), "_range")
+            .withColumn(id_col, F.when(F.col("_flag") == 1, number)).drop("_flag", "_range", "_before"))
 
 
 def get_or_create(existing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,79 +104,63 @@ def get_or_create(existing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Da
     pairs = wanted.select("name", "user_id").distinct()
     ex = existing.select("id", "user_id", "name")
     new = pairs.join(ex, ["name", "user_id"], "left_anti")
-    base = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    created = assign_ids(new, ["user_id", "name"], base=int(base))
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    created = (assign_ids(new, ["user_id", "name"], id_col="_no").crossJoin(F.broadcast(top))
+               .select("name", "user_id", (F.col("_top") + F.col("_no")).cast("long").alias("id")))
     all_ds = ex.unionByName(created.select("id", "user_id", "name"))
     resolved = (pairs.join(ex, ["name", "user_id"], "inner").withColumn("created", F.lit(False))
                 .unionByName(created.withColumn("created", F.lit(True))))
     return resolved, all_ds
 
 
-def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_base: int | None = 0,
-           dataset_dims: DataFrame | None = None):
+def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_base: int = 0,
+           dataset_dims: DataFrame | None = None) -> dict[str, DataFrame]:
     """Whole ingest pipeline.
 
     ``requests``: request_id, user_id, title, url, body, dataset.
     ``vectors``: request_id, vector (the embedder's output; a missing row
-    means the embedding call failed).
-    Returns dict with ``status`` (request_id, user_id, dataset, dataset_id,
-    status), ``documents`` (new rows: id, dataset_id, title, url, body,
-    vector, word_count) and ``datasets`` (existing + created).
+    means the embedding call failed). It is read more than once: an embedder
+    that calls a model hands over a stored table (``streaming.jobs`` does).
+    Returns ``results`` (every request with dataset_id, status, and, where
+    accepted, its document id), ``status`` and ``documents`` (its accepted
+    rows), ``datasets`` (existing + created) and ``resolved``.
     Datasets are created for every request that embedded, even when its
     vector is then rejected (the service creates the dataset first).
-    ``doc_id_base=None`` skips document id assignment (status only).
-    One vector dimension per dataset: it comes from ``dataset_dims``
-    (dataset_id, dim; e.g. read from the store), else from the earliest
-    request of the dataset in this batch; other dimensions are rejected.
+    One vector dimension per dataset: from ``dataset_dims`` (dataset_id, dim;
+    e.g. read from the store), else from the dataset's earliest request with a
+    valid vector; other dimensions are rejected.
     """
     req = requests.withColumn("dataset", default_if_empty(F.col("dataset"), D.DEFAULT_DATASET))
-    v = vectors.select("request_id", "vector")
-    v = F.broadcast(v) if fits(v, array_col="vector") else v
-    emb = req.join(v, "request_id", "left").withColumn("_embedded", F.col("vector").isNotNull())
+    emb = req.join(vectors.select("request_id", "vector"), "request_id", "left").withColumn(
+        "_embedded", F.col("vector").isNotNull())
     wanted = emb.where("_embedded").select(F.col("dataset").alias("name"), "user_id")
     resolved, all_ds = get_or_create(datasets, wanted)
     ids = resolved.select(F.col("name").alias("dataset"), "user_id", F.col("id").alias("dataset_id"))
-    # one row per dataset: broadcast once proven small, else salted, so a
-    # dataset holding a third of the requests is never gathered into one task
-    ids_small = fits(ids)
-    joined = lookup_join(emb, ids, ["dataset", "user_id"], "left", small=ids_small)
-    # the dataset's dimension: known, else its earliest request's. Taken from
-    # the embedded requests keyed by (dataset, user) so it does not wait for
-    # the dataset ids; min_by combines map-side, so a hot dataset reaches the
-    # shuffle as one row per task.
-    sized = emb.where(F.col("_embedded") & (F.size("vector") > 0))
-    first = sized.groupBy("dataset", "user_id").agg(
-        F.min_by(F.size("vector"), "request_id").alias("_first_dim"))
+    joined = lookup_join(emb, ids, ["dataset", "user_id"], "left")
+    # min_by combines map-side, so a hot dataset reaches the shuffle as one row per task
+    valid = emb.where(F.col("_embedded") & (F.size("vector") > 0) & ~has_bad_element("vector"))
+    first = valid.groupBy("dataset", "user_id").agg(F.min_by(F.size("vector"), "request_id").alias("_first_dim"))
+    joined = lookup_join(joined, first, ["dataset", "user_id"], "left")
+    dim = F.col("_first_dim")
     if dataset_dims is not None:
-        known = dataset_dims.join(ids, "dataset_id").select("dataset", "user_id", F.col("dim").alias("_known_dim"))
-        first = first.join(known, ["dataset", "user_id"], "left").select(
-            "dataset", "user_id", F.coalesce("_known_dim", "_first_dim").alias("_first_dim"))
-    # ``first`` has at most one row per (dataset, user) of ``ids`` (already proven)
-    joined = lookup_join(joined, first, ["dataset", "user_id"], "left", small=ids_small)
+        joined = lookup_join(joined, dataset_dims.select("dataset_id", F.col("dim").alias("_known_dim")), ["dataset_id"], "left")
+        dim = F.coalesce("_known_dim", "_first_dim")
     status = (F.when(~F.col("_embedded"), F.lit(ST_EMBED_FAILED))
               .when(F.size("vector") == 0, F.lit(ST_EMPTY_VECTOR))
-              .when(has_nan("vector"), F.lit(ST_NAN_VECTOR))
-              .when(F.size("vector") != F.col("_first_dim"), F.lit(ST_DIMENSION))
+              .when(has_bad_element("vector"), F.lit(ST_BAD_VECTOR))
+              .when(F.size("vector") != dim, F.lit(ST_DIMENSION))
               .otherwise(F.lit(ST_OK)))
-    st = joined.withColumn("status", status)
-    out = {"status": st.select("request_id", "user_id", "dataset", "dataset_id", "status"),
-           "datasets": all_ds, "resolved": resolved}
-    if doc_id_base is None:
-        return out
-    accepted = st.where(F.col("status") == ST_OK)
-    docs = assign_ids(accepted.select("request_id", "dataset_id", "title", "url", "body", "vector"),
-                      ["request_id"], base=doc_id_base)
-    docs = docs.select("id", "dataset_id", "title", "url", "body", "vector",
-                       word_count("body").alias("word_count"), "request_id")
-    out["documents"] = docs
-    return out
-
-
-def ingest_summary(status: DataFrame) -> DataFrame:
-    return status.groupBy("dataset", "user_id").agg(
-        F.max("dataset_id").alias("dataset_id"),
-        F.count(F.when(F.col("status") == ST_OK, 1)).alias("accepted"),
-        F.count(F.when(F.col("status") != ST_OK, 1)).alias("rejected"))
+    st = joined.withColumn("status", status).select("request_id", "user_id", "dataset", "dataset_id", "status",
+                                                    "title", "url", "body", "vector")
+    results = assign_ids(st, ["request_id"], base=doc_id_base, when=F.col("status") == ST_OK)
+    return {"results": results, "status": st.select("request_id", "user_id", "dataset", "dataset_id", "status"),
+            "documents": accepted_documents(results), "datasets": all_ds, "resolved": resolved}
+
+
+def accepted_documents(results: DataFrame) -> DataFrame:
+    """The new documents among the results of an ingest, as the store keeps them."""
+    return results.where(F.col("status") == ST_OK).select(
+        "id", "dataset_id", "title", "url", "body", "vector", word_count("body").alias("word_count"), "request_id")
 
 
 def store_documents(docs: DataFrame, path: str, bucket_count: int | None = None,
@@ -203,19 +190,14 @@ def read_documents(spark, path: str, bucket_count: int | None = None) -> DataFra
     return df.drop("dataset_bucket") if bucket_count else df
 
 
-def cascade_delete(documents: DataFrame, deleted_datasets: DataFrame, salts: int = 32) -> DataFrame:
-    """Documents left after deleting datasets (ON DELETE CASCADE).
-
-    An anti join against one row per deleted dataset: broadcast when proven
-    small, else salted, so a dataset holding a third of all documents is not
-    gathered into one task.
-    """
+def cascade_delete(documents: DataFrame, deleted_datasets: DataFrame) -> DataFrame:
+    """Documents left after deleting datasets (ON DELETE CASCADE)."""
     gone = deleted_datasets.select(F.col("id").alias("dataset_id")).distinct()
-    return lookup_join(documents, gone, ["dataset_id"], "left_anti", salts)
+    return lookup_join(documents, gone, ["dataset_id"], "left_anti")
 
 
-def cascade_update(documents: DataFrame, id_map: DataFrame, salts: int = 32) -> DataFrame:
+def cascade_update(documents: DataFrame, id_map: DataFrame) -> DataFrame:
     """ON UPDATE CASCADE: id_map(old_id, new_id) rewrites dataset_id."""
     m = id_map.select(F.col("old_id").alias("dataset_id"), "new_id")
-    return (lookup_join(documents, m, ["dataset_id"], "left", salts)
+    return (lookup_join(documents, m, ["dataset_id"], "left")
             .withColumn("dataset_id", F.coalesce("new_id", "dataset_id")).drop("new_id"))

@@ -19,6 +19,7 @@ from quarry.functions import defaults as D
 
 ERR_TOO_BIG = "file is larger than 10 MiB"
 ERR_NOT_PDF = "not a PDF file"
+ERR_NO_SIZE = "file size is unknown"
 
 
 def is_pdf(name: Column) -> Column:
@@ -31,9 +32,13 @@ def is_pdf(name: Column) -> Column:
 
 
 def gate_reason(name: Column, length: Column) -> Column:
-    """NULL when accepted; size is checked before the name, as the service did."""
-    return (F.when(length > D.UPLOAD_MAX_BYTES, F.lit(ERR_TOO_BIG))
-            .when(~is_pdf(name), F.lit(ERR_NOT_PDF)))
+    """NULL when accepted; size is checked before the name, as the service did.
+
+    An unknown size or name is a rejection of its own kind.
+    """
+    return (F.when(length.isNull(), F.lit(ERR_NO_SIZE))
+            .when(length > D.UPLOAD_MAX_BYTES, F.lit(ERR_TOO_BIG))
+            .when(~F.coalesce(is_pdf(name), F.lit(False)), F.lit(ERR_NOT_PDF)))
 
 
 def intake_gate(files: DataFrame, name_col: str = "name", length_col: str = "length") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Parquet tables enforce no keys, so each rule is a query: duplicate keys
 (aggregate), dangling foreign keys (anti join), NULLs (count), plus the
-one-dimension-per-dataset and no-NaN rules retrieval depends on. One row
+one-dimension-per-dataset and finite-vector rules retrieval depends on. One row
 per rule: rule, violations (number of offending keys / rows).
 """
 
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import has_nan
+from quarry.functions.vectors import has_bad_element
 
 
 def _rule(name: str, n_df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def nulls(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def document_checks(documents: DataFrame) -> DataFrame:
-    """not_null, one_dimension and no_nan in one pass over the documents.
+    """not_null, one_dimension and finite_vectors in one pass over the documents.
 
     One group per dataset (combined map-side, so a hot dataset is fine);
     the vector column is read once for all three rules.
@@ -50,18 +50,18 @@ def document_checks(documents: DataFrame) -> DataFrame:
     per_ds = documents.groupBy("dataset_id").agg(
         F.countDistinct(F.size("vector")).alias("dims"),
         F.count(F.when(null_cond, 1)).alias("nulls"),
-        F.count(F.when(has_nan("vector"), 1)).alias("nans"))
+        F.count(F.when(has_bad_element("vector"), 1)).alias("bad"))
     total = per_ds.agg(F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
                        F.count(F.when(F.col("dims") > 1, 1)).alias("mixed"),
-                       F.coalesce(F.sum("nans"), F.lit(0)).alias("nans"))
+                       F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(c).cast("long").alias("violations"))
                      for name, c in (("documents.not_null", "nulls"), ("documents.one_dimension", "mixed"),
-                                     ("documents.no_nan", "nans"))])
+                                     ("documents.finite_vectors", "bad"))])
     return total.select(F.explode(rows).alias("r")).select("r.rule", "r.violations")
 
 
 def constraint_report(datasets: DataFrame, documents: DataFrame, users: DataFrame,
-                      tokens: DataFrame) -> DataFrame:
+                      tokens: DataFrame, sessions: DataFrame) -> DataFrame:
     parts = [
         _rule("datasets.pk", duplicate_keys(datasets, ["id"])),
         _rule("datasets.unique_name_user", duplicate_keys(datasets, ["name", "user_id"])),
@@ -71,8 +71,12 @@ def constraint_report(datasets: DataFrame, documents: DataFrame, users: DataFram
         document_checks(documents),
         _rule("users.pk", duplicate_keys(users, ["id"])),
         _rule("users.unique_username", duplicate_keys(users, ["username"])),
+        _rule("users.not_null", nulls(users, ["id", "username", "active"])),
+        _rule("access_tokens.not_null", nulls(tokens, ["id", "user_id", "token", "expiration"])),
         _rule("access_tokens.pk", duplicate_keys(tokens, ["id"])),
         _rule("access_tokens.unique_token", duplicate_keys(tokens, ["token"])),
         _rule("access_tokens.fk_user", dangling(tokens, "user_id", users, "id")),
+        _rule("sessions.pk", duplicate_keys(sessions, ["id"])),
+        _rule("sessions.not_null", nulls(sessions, ["id", "user_id", "messages", "model"])),
     ]
     return reduce(DataFrame.unionByName, parts)

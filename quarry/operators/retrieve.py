@@ -3,247 +3,163 @@
 Plan shape (see ``plans.checks``):
 
 * queries are resolved to a dataset id (tenant filter: name + user);
-* the query side is broadcast when a bounded probe proves it small, so the
-  documents are streamed from the scan and never shuffled; otherwise both
-  sides meet in a salted shuffle join that spreads every dataset (a hot one
-  may hold a third of all documents) over ``salts`` buckets;
-* ranking rows are narrow (query_id, id, distance[, word_count]); a partial
-  ``WindowGroupLimit`` keeps k (or budget+1) rows per query in each map task
-  before the single shuffle on ``query_id``;
-* titles / urls / bodies are joined back for the winners only.
+* the query side is broadcast when one aggregate over it proves it small, so
+  documents are streamed from the scan; otherwise both sides meet in a
+  sort-merge join whose hot datasets adaptive execution splits;
+* ranking rows are narrow (query_id, id, distance): no text is read before
+  the candidates are known. Three limits: per map task (``WindowGroupLimit``),
+  per (query, group of map tasks), per query. So a hot query never brings the
+  candidates of all map tasks into one task;
+* word counts and titles / urls / bodies are looked up for candidates and
+  winners only; a fixed-size sketch of their ids keeps all other texts out of
+  the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
-from quarry.functions.vectors import l2_distance
+from quarry.functions.vectors import is_finite, l2_distance, word_count
 from quarry.plans.broadcast import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, measure
 from quarry.plans.joins import lookup_join
-from quarry.session import ensure_checkpoint_dir
+from quarry.plans.sketch import key_sketch, maybe_in
 
-# WindowGroupLimit is only planned up to this conf (inclusive); budgets above
-# the default need it raised, which ``within_budget`` does for the session.
-GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-# Above this many candidates per query, ranking switches to the distributed
-# prefix-sum plan, so no single task holds one query's candidates.
-LARGE_LIMIT = 100_000
+# Requests up to this many rows are ranked with a group limit in each map task
+# (Spark plans one up to its default threshold, 1000). Larger requests are
+# ranked apart, so they never change the plan or the rows of the others.
+GROUP_LIMIT = 1000
+GROUPS = 64  # groups of map tasks that cut their candidates before the last limit
 
 
 def resolve_datasets(queries: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Attach ``dataset_id`` by (dataset name, user_id); unknown datasets drop out.
-
-    One dataset row per (name, user), so a dataset targeted by a third of
-    all queries goes through the hot-key-safe lookup join.
-    """
+    """Attach ``dataset_id`` by (dataset name, user_id); unknown datasets drop out."""
     ds = datasets.select(F.col("name").alias("dataset"), "user_id", F.col("id").alias("dataset_id"))
     return lookup_join(queries, ds, ["dataset", "user_id"], "inner")
 
 
-def score_pairs(queries: DataFrame, documents: DataFrame, *,
-                query_cols: tuple[str, ...] = (), doc_cols: tuple[str, ...] = (),
-                salts: int = 16,
-                max_broadcast_rows: int = DEFAULT_MAX_ROWS,
-                max_broadcast_bytes: int = DEFAULT_MAX_BYTES,
-                maxima: dict | None = None) -> tuple[DataFrame, int | None]:
-    """Distance of every (query, document of the query's dataset) pair.
+def score_pairs(queries: DataFrame, documents: DataFrame, broadcast_queries: bool,
+                query_cols: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, id, distance (+ query_cols) of every (query, document of its dataset).
 
     ``queries``: query_id, dataset_id, query_vector (+ query_cols).
-    ``documents``: id, dataset_id, vector (+ doc_cols).
-    Returns (pairs, n_queries): pairs hold query_id, id, distance
-    (+ query_cols + doc_cols); ``n_queries`` is the proven row count of the
-    query side when it was broadcast, else None. Pairs whose vectors differ
-    in dimension are dropped (never ranked first as NULL). When ``maxima``
-    is a dict, the maxima of ``query_cols`` are filled into it from the same
-    probe (exact when the side was broadcast, else computed separately).
+    ``documents``: id, dataset_id, vector. Pairs of differing dimension are
+    dropped (``dimension_errors`` reports their queries).
     """
     q = queries.select("query_id", "dataset_id", "query_vector", *query_cols)
-    d = documents.select("id", "dataset_id", "vector", *doc_cols)
-    want = tuple(query_cols) if maxima is not None else ()
-    n_q, size, got = measure(q, max_broadcast_rows, array_col="query_vector", max_cols=want,
-                             set_cols=("dataset_id",))
-    small = n_q <= max_broadcast_rows and size <= max_broadcast_bytes
-    if maxima is not None:
-        maxima.update({c: got[c] for c in want} if small else {c: max_of(q, c) for c in want})
-    if small:
-        # The probe read the whole (proven small) query side, so its dataset
-        # ids are exact: as an IN filter they prune dataset folders, or skip
-        # row groups by min/max when the store is bucketed and sorted.
-        ids = [int(x) for x in got["set:dataset_id"] or []]
-        pairs = d.where(F.col("dataset_id").isin(ids)).join(F.broadcast(q), "dataset_id", "inner")
-    else:
-        n_q = None
-        salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-        d_s = d.withColumn("_salt", salt)
-        q_s = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = d_s.join(q_s, ["dataset_id", "_salt"], "inner").drop("_salt")
+    d = documents.select("id", "dataset_id", "vector")
+    pairs = d.join(F.broadcast(q) if broadcast_queries else q, "dataset_id", "inner")
     # The lambda fold measured 4.5x faster than a 64-term unrolled expression
     # (whose generated method is too large to JIT) on 4M pairs.
-    dist = l2_distance("vector", "query_vector")
-    pairs = (pairs
-             .where(F.size("vector") == F.size("query_vector"))
-             .select("query_id", "id", dist.alias("distance"), *query_cols, *doc_cols))
-    return pairs, n_q
+    return (pairs.where(F.size("vector") == F.size("query_vector"))
+            .select("query_id", "id", l2_distance("vector", "query_vector").alias("distance"), *query_cols))
+
 
+def top_k(pairs: DataFrame, k: int, limit=None) -> DataFrame:
+    """Rows with rank <= ``limit`` per query, rank by (distance, id).
 
-def _rank_window():
-    return Window.partitionBy("query_id").orderBy("distance", "id")
+    ``k`` is a literal no less than any ``limit`` (a column; default ``k``).
+    Distances that are no number (a bad element in a stored vector) rank last
+    and are never returned.
+    """
+    limit = F.lit(k) if limit is None else limit
+    order = (F.col("distance").asc_nulls_last(), F.col("id"))
+    grouped = pairs.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    some = (grouped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(*order)))
+            .where((F.col("rank") <= k) & (F.col("rank") <= limit)).drop("rank", "_group"))
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return best.where((F.col("rank") <= k) & (F.col("rank") <= limit) & is_finite("distance"))
 
 
-def top_k(pairs: DataFrame, k: int, k_col: str | None = None, large_limit: int = LARGE_LIMIT) -> DataFrame:
-    """Rows with rank <= k per query, rank by (distance, id).
+def by_size(queries: DataFrame, limit_col: str, most: int, rank) -> DataFrame:
+    """``rank(queries, k)`` for the requests within ``GROUP_LIMIT`` and, apart, for larger ones."""
+    small = rank(queries.where(F.col(limit_col) <= GROUP_LIMIT) if most > GROUP_LIMIT else queries, min(most, GROUP_LIMIT))
+    if most <= GROUP_LIMIT:
+        return small
+    return small.unionByName(rank(queries.where(F.col(limit_col) > GROUP_LIMIT), most))
 
-    ``k`` must be a literal (it becomes the WindowGroupLimit); with per-row
-    limits pass the maximum as ``k`` and the column as ``k_col``. Past
-    ``large_limit`` the distributed ranking is used instead.
-    """
-    if k > large_limit:
-        ranked = distributed_rank(pairs.withColumn("word_count", F.lit(1))).drop("cumulative_words")
-        cond = F.col("rank") <= F.lit(k)
-        if k_col:
-            cond = cond & (F.col("rank") <= F.col(k_col))
-        return ranked.where(cond)
-    _ensure_group_limit(pairs.sparkSession, k)
-    ranked = pairs.withColumn("rank", F.row_number().over(_rank_window()))
-    cond = F.col("rank") <= F.lit(k)
-    if k_col:
-        cond = cond & (F.col("rank") <= F.col(k_col))
-    return ranked.where(cond)
-
-
-def _ensure_group_limit(spark: SparkSession, limit: int) -> None:
-    current = int(spark.conf.get(GROUP_LIMIT_CONF, "1000"))
-    if limit > current:
-        spark.conf.set(GROUP_LIMIT_CONF, str(limit))
-
-
-def distributed_rank(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """rank (by distance, id) and cumulative_words (RANGE over distance) per
-    query, without holding any query's rows in one task.
-
-    Rows are range-partitioned on (query_id, distance, id); each partition
-    ranks and sums its own slice, per-(query, partition) totals become
-    offsets, and tie groups that straddle partitions take the largest
-    running sum of the group (an aggregate, combined map-side).
-    """
-    spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (pairs.repartitionByRange(n, "query_id", "distance", "id")
-               .withColumn("_pid", F.spark_partition_id())
-               .checkpoint(eager=True))
-    local_w = Window.partitionBy("query_id", "_pid").orderBy("distance", "id")
-    running = Window.partitionBy("query_id", "_pid").orderBy("distance", "id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = (ordered.withColumn("_rn", F.row_number().over(local_w))
-             .withColumn("_s", F.sum("word_count").over(running)))
-    totals = ordered.groupBy("query_id", "_pid").agg(F.count(F.lit(1)).alias("_n"),
-                                                     F.sum("word_count").alias("_w"))
-    before = Window.partitionBy("query_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("query_id", "_pid",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
-                            F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off_w"))
-    ranked = (local.join(offsets, ["query_id", "_pid"])
-              .withColumn("rank", (F.col("_off_n") + F.col("_rn")).cast("int"))
-              .withColumn("_S", F.col("_off_w") + F.col("_s")))
-    peers = ranked.groupBy("query_id", "distance").agg(F.max("_S").cast("long").alias("cumulative_words"))
-    return (ranked.join(peers, ["query_id", "distance"])
-            .drop("_pid", "_rn", "_s", "_n", "_w", "_off_n", "_off_w", "_S"))
-
-
-def within_budget(pairs: DataFrame, max_limit: int, limit_col: str = "word_limit",
-                  large_limit: int = LARGE_LIMIT) -> DataFrame:
+
+def word_counts(documents: DataFrame) -> DataFrame:
+    """id, word_count: as stored, else counted from the bodies."""
+    return documents.select("id", "word_count" if "word_count" in documents.columns else word_count("body").alias("word_count"))
+
+
+def within_budget(candidates: DataFrame, limit_col: str = "word_limit") -> DataFrame:
     """Documents in distance order while the running word count fits the budget.
 
-    Running sum uses the RANGE frame over ``distance`` (equal distances are
-    peers and share the sum, so ties are kept or dropped together). Exact
-    pre-limit: every word_count >= 1, so at most B documents fit budget B;
-    keeping the first B+1 rows by (distance, id) never changes the result
-    (a tie group cut by the limit contains row B+1, whose sum exceeds B).
+    ``candidates``: the first ``budget + 1`` rows of each query with rank and
+    word_count. The running sum uses the RANGE frame over ``distance`` (equal
+    distances are peers and share the sum, so ties are kept or dropped
+    together). The limit is exact: every word_count >= 1, so at most B documents
+    fit budget B; a tie group cut by the limit contains row B + 1, whose sum
+    exceeds B.
     """
-    spark = pairs.sparkSession
-    if max_limit + 1 > large_limit:
-        ranked = distributed_rank(pairs)
-        return ranked.where(F.col("cumulative_words") <= F.col(limit_col))
-    _ensure_group_limit(spark, max_limit + 1)
-    cand = top_k(pairs, max_limit + 1, k_col=None)
-    cand = cand.where(F.col("rank") <= F.col(limit_col) + 1)
     peers = Window.partitionBy("query_id").orderBy("distance")
-    cum = cand.withColumn("cumulative_words", F.sum("word_count").over(peers).cast("long"))
+    cum = candidates.withColumn("cumulative_words", F.sum("word_count").over(peers).cast("long"))
     return cum.where(F.col("cumulative_words") <= F.col(limit_col))
 
 
-def max_of(df: DataFrame, col: str) -> int | None:
-    """One scalar through the driver (a bounded aggregate)."""
-    v = df.agg(F.max(col).alias("m")).first()["m"]
-    return None if v is None else int(v)
+def looked_up(rows: DataFrame, attrs: DataFrame) -> DataFrame:
+    """``rows`` joined to ``attrs`` by id; attributes of other ids are left in their scan."""
+    return rows.join(maybe_in(attrs, key_sketch(rows, "id"), "id"), "id", "inner")
 
 
-def attach(ranked: DataFrame, attrs: DataFrame, cols: tuple[str, ...],
-           bound_rows: int | None, max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Late materialisation: join document attributes for the winners only.
+def attach(ranked: DataFrame, attrs: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """Late materialisation: document attributes for the winners only."""
+    return looked_up(ranked, attrs.select("id", *cols))
 
-    ``bound_rows`` is a proven upper bound on ``ranked`` (queries x k); when
-    it is within the broadcast limit the winners are broadcast and the
-    attribute scan is streamed, not shuffled.
-    """
-    a = attrs.select("id", *cols)
-    if bound_rows is not None and bound_rows <= max_broadcast_rows:
-        return a.join(F.broadcast(ranked), "id", "inner")
-    return ranked.join(a, "id", "inner")
+
+def _fits(n: int, size: int) -> bool:
+    return n <= DEFAULT_MAX_ROWS and size <= DEFAULT_MAX_BYTES
 
 
-def budget_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame, *,
-                  salts: int = 16) -> tuple[DataFrame, int | None]:
+def budget_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
+                  broadcast_queries: bool | None = None) -> DataFrame:
     """Word-budget retrieval for every accepted request.
 
     ``requests``: validated rows (query_id, query_vector, user_id, dataset,
-    word_limit); ``documents``: id, dataset_id, vector, word_count.
-    Returns (kept, bound): kept holds query_id, rank, id, word_count,
-    cumulative_words, distance; ``bound`` is a proven row bound (or None).
-    """
-    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id",
-                                                "dataset", "word_limit"), datasets)
-    maxima: dict = {}
-    pairs, n_q = score_pairs(resolved, documents, query_cols=("word_limit",),
-                             doc_cols=("word_count",), salts=salts, maxima=maxima)
-    max_limit = int(maxima.get("word_limit") or 0)
-    kept = within_budget(pairs, max_limit)
-    bound = None if n_q is None else n_q * max_limit
-    return kept.select("query_id", "rank", "id", "word_count", "cumulative_words", "distance"), bound
-
-
-def topk_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame, *,
-                k: int | None = None, salts: int = 16) -> tuple[DataFrame, int | None]:
-    """Top-k retrieval for every accepted request (per-row ``k`` column).
-
-    Each request gets at most its own ``k``; the ``k`` argument is the
-    literal upper bound used for the group limit (default: the largest
-    request ``k``, read by the probe). Returns (ranked, bound): ranked holds query_id, rank, id, distance;
-    ``bound`` is a proven row bound for late materialisation.
+    word_limit); ``documents``: id, dataset_id, vector and word_count or body.
+    Returns query_id, rank, id, word_count, cumulative_words, distance.
     """
-    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id",
-                                                "dataset", "k"), datasets)
-    maxima: dict = {}
-    pairs, n_q = score_pairs(resolved, documents, query_cols=("k",), salts=salts,
-                             maxima=maxima if k is None else None)
-    max_k = k if k is not None else int(maxima.get("k") or 0)
-    ranked = top_k(pairs, max_k, k_col="k")
-    bound = None if n_q is None else n_q * max_k
-    return ranked.select("query_id", "rank", "id", "distance"), bound
-
-
-def dimension_errors(requests: DataFrame, datasets: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, error) for requests whose vector dimension no document of
-    their dataset has. Such pairs are dropped from ranking; this reports them.
-
-    Per dataset the set of document dimensions is tiny (``collect_set`` of
-    sizes, combined map-side), so the join is a lookup join.
+    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id", "dataset", "word_limit"), datasets)
+    resolved = resolved.withColumn("_rows", F.col("word_limit") + 1)
+    n, size, most = measure(resolved, "_rows")
+    small = _fits(n, size) if broadcast_queries is None else broadcast_queries
+
+    def rank(queries: DataFrame, k: int) -> DataFrame:
+        return top_k(score_pairs(queries, documents, small, ("word_limit", "_rows")), k, F.col("_rows"))
+
+    candidates = looked_up(by_size(resolved, "_rows", most, rank).drop("_rows"), word_counts(documents))
+    return within_budget(candidates).select("query_id", "rank", "id", "word_count", "cumulative_words", "distance")
+
+
+def topk_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
+                broadcast_queries: bool | None = None) -> DataFrame:
+    """Top-k retrieval for every accepted request (its own ``k``): query_id, rank, id, distance."""
+    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id", "dataset", "k"), datasets)
+    n, size, most = measure(resolved, "k")
+    small = _fits(n, size) if broadcast_queries is None else broadcast_queries
+
+    def rank(queries: DataFrame, k: int) -> DataFrame:
+        return top_k(score_pairs(queries, documents, small, ("k",)), k, F.col("k"))
+
+    return by_size(resolved, "k", most, rank).select("query_id", "rank", "id", "distance")
+
+
+def dataset_dimensions(documents: DataFrame) -> DataFrame:
+    """dataset_id, dims: the dimensions present (a tiny set per dataset, combined in each task)."""
+    return documents.groupBy("dataset_id").agg(F.collect_set(F.size("vector")).alias("dims"))
+
+
+def dimension_errors(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
+                     dims: DataFrame | None = None) -> DataFrame:
+    """(query_id, error) for requests whose dataset holds a vector of another dimension.
+
+    The service fails such a query. ``dims`` (dataset_id, dims) is read instead
+    of the vectors when the store keeps it.
     """
     resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id", "dataset"), datasets)
-    dims = documents.groupBy("dataset_id").agg(F.collect_set(F.size("vector")).alias("_dims"))
-    j = lookup_join(resolved, dims, ["dataset_id"], "inner")
-    return (j.where(~F.array_contains("_dims", F.size("query_vector")))
+    j = lookup_join(resolved, dataset_dimensions(documents) if dims is None else dims, ["dataset_id"], "inner")
+    return (j.where(F.exists("dims", lambda d: d != F.size("query_vector")))
             .select("query_id", F.lit(D.ERR_DIMENSION).alias("error")))

@@ -52,15 +52,10 @@ def rejected_saves(changes: DataFrame) -> DataFrame:
             .select("*", F.lit(D.ERR_EMPTY_SESSION).alias("error")))
 
 
-def lookup(requests: DataFrame, sessions: DataFrame, id_col: str = "session_id",
-           salts: int = 32) -> DataFrame:
-    """Point lookups as a join: found flag, session fields, error for ''.
-
-    Sessions hold one row per id, so a hot session (a third of all lookups)
-    goes through the salted lookup join rather than one task.
-    """
+def lookup(requests: DataFrame, sessions: DataFrame, id_col: str = "session_id") -> DataFrame:
+    """Point lookups as a join: found flag, session fields, error for ''."""
     s = sessions.select(F.col("id").alias(id_col), "messages", "model")
-    out = lookup_join(requests, s, [id_col], "left", salts)
+    out = lookup_join(requests, s, [id_col], "left")
     empty = F.coalesce(F.col(id_col), F.lit("")) == ""
     return out.select(
         "*",

@@ -1,8 +1,8 @@
-"""Broadcast only what is proven small.
+"""Broadcast the query side of a retrieval only when its size is proven.
 
-``measure`` / ``fits`` run one bounded action (a LIMIT + aggregate, so it
-reads at most ``max_rows + 1`` rows) to prove a side fits; only then do
-callers hint it for broadcast, otherwise they use their shuffle plan.
+``measure`` is one distributed aggregate over that side (nothing is gathered);
+it counts the bytes of every column as JSON text, which is no less than what a
+broadcast of the rows holds.
 """
 
 from __future__ import annotations
@@ -15,30 +15,9 @@ DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
 
 
-def measure(df: DataFrame, max_rows: int, array_col: str | None = None,
-            max_cols: tuple[str, ...] = (), set_cols: tuple[str, ...] = ()) -> tuple[int, int, dict]:
-    """(rows, estimated bytes, {col: max} | {col: distinct values}) of ``df``,
-    reading at most ``max_rows + 1`` rows.
-
-    Maxima and value sets are exact only when rows <= max_rows (the whole
-    side was read); a value set then holds at most ``max_rows`` values.
-    """
-    probe = df.limit(max_rows + 1)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if array_col is not None:
-        aggs.append(F.coalesce(F.sum(F.size(array_col)), F.lit(0)).alias("elems"))
-    aggs += [F.max(c).alias(f"max_{c}") for c in max_cols]
-    aggs += [F.array_sort(F.collect_set(c)).alias(f"set_{c}") for c in set_cols]
-    row = probe.agg(*aggs).first()
-    n = int(row["n"])
-    elems = int(row["elems"]) if array_col is not None else 0
-    found = {c: row[f"max_{c}"] for c in max_cols}
-    found.update({f"set:{c}": row[f"set_{c}"] for c in set_cols})
-    return n, n * ROW_OVERHEAD_BYTES + elems * 4, found
-
-
-def fits(df: DataFrame, max_rows: int | None = None,
-         max_bytes: int = DEFAULT_MAX_BYTES, array_col: str | None = None) -> bool:
-    max_rows = DEFAULT_MAX_ROWS if max_rows is None else max_rows
-    n, size, _ = measure(df, max_rows, array_col)
-    return n <= max_rows and size <= max_bytes
+def measure(df: DataFrame, max_col: str | None = None) -> tuple[int, int, int]:
+    """(rows, bytes, maximum of ``max_col`` or 0) of the whole of ``df``."""
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")), F.lit(0)).alias("bytes"),
+                 F.coalesce(F.max(max_col) if max_col else F.lit(0), F.lit(0)).cast("long").alias("most")).first()
+    return int(row["n"]), int(row["bytes"]) + ROW_OVERHEAD_BYTES * int(row["n"]), int(row["most"])

@@ -38,3 +38,24 @@ def partial_group_limit_before_exchange(plan: str) -> bool:
             if "WindowGroupLimit" in below:
                 return True
     return False
+
+
+def unfiltered_text_exchanges(df: DataFrame, column: str) -> list[str]:
+    """Shuffles whose rows hold ``column`` straight from a scan, with no join in between."""
+    out: list[str] = []
+
+    def walk(node) -> bool:
+        """True when the rows of ``node`` are those of a scan with the column."""
+        name, kids = node.nodeName(), [node.children().apply(i) for i in range(node.children().size())]
+        below = [walk(k) for k in kids]
+        has = f"{column}#" in node.output().mkString(",")
+        if name.startswith("Scan"):
+            return has
+        whole = has and any(below) and "Join" not in name
+        if "Exchange" in name and "Broadcast" not in name and whole and "RoundRobin" not in node.simpleString(200):
+            out.append(node.simpleString(200))
+        return whole
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return out

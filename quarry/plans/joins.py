@@ -1,31 +1,18 @@
 """Joins against a side with at most one row per key, safe under hot keys.
 
-The right side is broadcast once a bounded probe proves it small. Otherwise
-a salted shuffle join: each left row gets a deterministic salt
-(``xxhash64`` of its columns, so a recomputed task sends it to the same
-place), each right row is replicated once per salt. A key carrying a third
-of the left rows is then spread over ``salts`` tasks instead of one.
-Correct for inner, left outer, left semi and left anti joins because every
-salt sees the full right side for its keys.
+Nothing is measured while the plan is built. Spark broadcasts the right side
+when its size, known from storage or measured at run time by adaptive
+execution, is below the session's threshold. Otherwise both sides meet in a
+sort-merge join, whose skewed left partitions adaptive execution splits: a
+key carrying a third of the left rows is spread over many tasks, since each
+of them can read the one right row again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.plans.broadcast import fits
 
-SALT = "_salt"
-
-
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-                salts: int = 32, small: bool | None = None) -> DataFrame:
-    """``small`` passes a size bound the caller has already proven (e.g. the
-    right side has at most one row per key of a side that was probed);
-    None probes here."""
-    if small if small is not None else fits(right):
-        return left.join(F.broadcast(right), on, how)
-    l_s = left.withColumn(SALT, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-    r_s = right.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l_s.join(r_s, [*on, SALT], how).drop(SALT)
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``how`` is inner, left, left_semi or left_anti."""
+    return left.join(right, on, how)

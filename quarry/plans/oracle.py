@@ -7,6 +7,8 @@ so the derivations are inlined as CTEs.
 
 from __future__ import annotations
 
+from quarry.functions import defaults as D
+
 VIEWS: dict[str, str] = {
     "kb_users": """SELECT CAST(r_regionkey AS BIGINT) + 1 AS id, r_name AS username,
         r_regionkey <> 4 AS active FROM region""",
@@ -23,8 +25,12 @@ VIEWS: dict[str, str] = {
         (e.vec_id * 7 + 3) % 5 + 1 AS user_id,
         CASE WHEN e.vec_id % 13 = 0 THEN 'missing' WHEN e.vec_id % 11 = 0 THEN ''
              ELSE concat('ds', CAST((e.vec_id * 7 + 3) % 4 AS VARCHAR)) END AS dataset,
-        CASE WHEN e.vec_id % 3 = 0 THEN NULL ELSE CAST(100 * (e.vec_id % 17) AS INTEGER) END AS word_limit
+        CASE WHEN e.vec_id % 3 = 0 THEN NULL WHEN e.vec_id % 31 = 5 THEN 3000000000
+             ELSE CAST(100 * (e.vec_id % 17) AS BIGINT) END AS word_limit
         FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id""",
+    "kb_planted_queries": """SELECT * REPLACE (CASE query_id % 19 WHEN 4 THEN list_append(query_vector, CAST('nan' AS FLOAT))
+             WHEN 5 THEN list_append(query_vector, CAST(NULL AS FLOAT)) WHEN 6 THEN list_append(query_vector, CAST('inf' AS FLOAT))
+             WHEN 7 THEN query_vector[1:32] ELSE query_vector END AS query_vector) FROM kb_queries""",
     "kb_access_tokens": """SELECT c.c_custkey AS id, c.c_custkey % 5 + 1 AS user_id,
         md5(CAST(c.c_custkey AS VARCHAR)) AS token, o.last_order + INTERVAL '1' YEAR AS expiration
         FROM customer c JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY o_custkey) o
@@ -34,16 +40,17 @@ VIEWS: dict[str, str] = {
              WHEN event_id % 10 = 1 THEN concat('Token ', md5(CAST(user_id AS VARCHAR)))
              ELSE concat('Bearer ', md5(CAST(user_id AS VARCHAR))) END AS auth_header FROM events""",
     "kb_messages": """SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, text AS content FROM conversations""",
-    "kb_replies": """SELECT conv_id AS reply_id, concat(text, ' [citation]', CAST(conv_id % 700 + 1 AS VARCHAR),
+    "kb_replies": """SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS reply_id, conv_id, concat(text, ' [citation]', CAST(conv_id % 700 + 1 AS VARCHAR),
         '[/citation] and [citation]', CAST(conv_id % 7 + 1 AS VARCHAR), '[/citation]') AS response
-        FROM conversations WHERE role = 'assistant' AND turn = 1""",
+        FROM conversations WHERE role = 'assistant'""",
     "kb_context": """SELECT r.reply_id, d.id, d.title, d.url FROM kb_replies r
-        JOIN kb_documents d ON d.dataset_id = r.reply_id % 20 + 1""",
+        JOIN kb_documents d ON d.dataset_id = r.conv_id % 20 + 1""",
 }
 
 DEPS: dict[str, tuple[str, ...]] = {
     "kb_ties": ("kb_documents",),
     "kb_context": ("kb_replies", "kb_documents"),
+    "kb_planted_queries": ("kb_queries",),
 }
 
 
@@ -79,13 +86,34 @@ def word_count(body: str) -> str:
     return f"CAST(len(regexp_split_to_array({body}, '\\s+')) AS BIGINT)"
 
 
+def bad_element(v: str) -> str:
+    return f"COALESCE(list_bool_or(list_transform({v}, lambda x: x IS NULL OR isnan(x) OR isinf(x))), false)"
+
+
 # Accepted answer requests with defaults (dataset '' -> 'default', limit NULL -> 512).
-ANSWER_REQUESTS = ("answer_requests", """SELECT query_id, query, query_vector, user_id,
-        COALESCE(NULLIF(dataset, ''), 'default') AS dataset,
-        CAST(COALESCE(word_limit, 512) AS INTEGER) AS word_limit
+ANSWER_REQUESTS = ("answer_requests", f"""SELECT query_id, query, query_vector, user_id,
+        COALESCE(NULLIF(dataset, ''), '{D.DEFAULT_DATASET}') AS dataset,
+        COALESCE(word_limit, {D.DEFAULT_WORD_LIMIT}) AS word_limit
         FROM kb_queries
         WHERE COALESCE(query, '') <> '' AND COALESCE(len(query_vector), 0) > 0
-          AND COALESCE(word_limit, 512) > 0""")
+          AND NOT {bad_element('query_vector')} AND COALESCE(word_limit, {D.DEFAULT_WORD_LIMIT}) > 0""")
+
+# Every planted request with its reason, in the order of the guards.
+GUARDED = [
+    ("dims", "SELECT dataset_id, list(DISTINCT len(vector)) AS dims FROM kb_documents GROUP BY dataset_id"),
+    ("guarded", f"""SELECT *, COALESCE(NULLIF(dataset, ''), '{D.DEFAULT_DATASET}') AS ds_name,
+        COALESCE(word_limit, {D.DEFAULT_WORD_LIMIT}) AS lim,
+        CASE WHEN COALESCE(query, '') = '' THEN '{D.ERR_EMPTY_QUERY}'
+             WHEN COALESCE(len(query_vector), 0) <= 0 THEN '{D.ERR_EMPTY_VECTOR}'
+             WHEN {bad_element('query_vector')} THEN '{D.ERR_BAD_VECTOR}'
+             WHEN COALESCE(word_limit, {D.DEFAULT_WORD_LIMIT}) <= 0 THEN '{D.ERR_BAD_BUDGET}' END AS reason
+        FROM kb_planted_queries"""),
+    ("judged", f"""SELECT g.query_id, g.query, g.query_vector, g.user_id, g.ds_name AS dataset, g.lim AS word_limit,
+        COALESCE(g.reason, CASE WHEN d.dims IS NOT NULL AND len(list_filter(d.dims, lambda x: x <> len(g.query_vector))) > 0
+                                THEN '{D.ERR_DIMENSION}' END) AS error
+        FROM guarded g LEFT JOIN kb_datasets ds ON g.reason IS NULL AND ds.name = g.ds_name AND ds.user_id = g.user_id
+        LEFT JOIN dims d ON d.dataset_id = ds.id"""),
+]
 
 
 def _budget(doc_view: str) -> str:
@@ -111,14 +139,13 @@ ORACLE: dict[str, str] = {
 }
 
 NL = "\n"
-CITATION = r"\[citation\](\d+)\[/citation\]"
+CITATION = D.CITATION_PATTERN
 
 
 def go_escape(expr: str) -> str:
     """Same replacements as ``functions.text.go_escape``."""
-    for raw, esc in (("'<'", "'\\u003c'"), ("'>'", "'\\u003e'"), ("'&'", "'\\u0026'"),
-                     ("chr(8232)", "'\\u2028'"), ("chr(8233)", "'\\u2029'")):
-        expr = f"replace({expr}, {raw}, {esc})"
+    for raw, esc in D.GO_JSON_ESCAPES:
+        expr = f"replace({expr}, chr({ord(raw)}), '{esc}')"
     return expr
 
 
@@ -132,10 +159,10 @@ def doc_json(a: str = "") -> str:
     return go_escape(f"CASE WHEN COALESCE({p}url, '') = '' THEN {without} ELSE {with_url} END")
 
 
-SEARCH_REQUESTS = ("search_requests", """SELECT query_id, query, query_vector, user_id,
-        COALESCE(NULLIF(dataset, ''), 'default') AS dataset, 5 AS k
+SEARCH_REQUESTS = ("search_requests", f"""SELECT query_id, query, query_vector, user_id,
+        COALESCE(NULLIF(dataset, ''), '{D.DEFAULT_DATASET}') AS dataset, {D.DEFAULT_TOP_K} AS k
         FROM kb_queries
-        WHERE COALESCE(query, '') <> '' AND COALESCE(len(query_vector), 0) > 0""")
+        WHERE COALESCE(query, '') <> '' AND COALESCE(len(query_vector), 0) > 0 AND NOT {bad_element('query_vector')}""")
 
 TOPK_RANKED = ("topk_ranked", f"""SELECT * FROM (
         SELECT r.query_id, d.id, d.title, d.url, d.body, {l2('d.vector', 'r.query_vector')} AS distance,
@@ -158,13 +185,25 @@ BUDGET_WINNERS = [
     ("budget_winners", "SELECT * FROM budget_ranked WHERE cum <= word_limit"),
 ]
 
-PROMPTS = with_views(
-    ["kb_queries", "kb_datasets", "kb_documents"], [ANSWER_REQUESTS, *BUDGET_WINNERS,
-     ("blocks", f"""SELECT query_id, string_agg('```json{NL}' || {doc_json()} || '{NL}```{NL}{NL}', '' ORDER BY rn) AS docs
-        FROM budget_winners GROUP BY query_id""")],
-    f"""SELECT r.query_id, 'Search results: {NL}' || CASE WHEN b.docs IS NULL THEN 'No results {NL}{NL}' ELSE '' END
+PROMPT_STEPS = [*BUDGET_WINNERS,
+    ("blocks", f"""SELECT query_id, string_agg('{D.PROMPT_DOC_OPEN}' || {doc_json()} || '{D.PROMPT_DOC_CLOSE}', '' ORDER BY rn) AS docs,
+        min_by(id, rn) AS first_id, min_by('[' || title || '](' || COALESCE(url, '') || ')', rn) AS first_link
+        FROM budget_winners GROUP BY query_id"""),
+    ("prompts", f"""SELECT r.query_id, b.first_id, b.first_link,
+        '{D.PROMPT_HEADER}' || CASE WHEN b.docs IS NULL THEN '{D.PROMPT_NO_RESULTS}' ELSE '' END
         || COALESCE(b.docs, '') || r.query AS prompt
-        FROM answer_requests r LEFT JOIN blocks b ON b.query_id = r.query_id""")
+        FROM answer_requests r LEFT JOIN blocks b ON b.query_id = r.query_id""")]
+PROMPTS = with_views(["kb_queries", "kb_datasets", "kb_documents"], [ANSWER_REQUESTS, *PROMPT_STEPS],
+                     "SELECT query_id, prompt FROM prompts")
+
+# The stand-in client of ``queries.citing_client``: one question in nine gets no choice.
+ANSWERS = with_views(["kb_planted_queries", "kb_datasets", "kb_documents"], [*GUARDED,
+    ("answer_requests", "SELECT * FROM judged WHERE error IS NULL"), *PROMPT_STEPS,
+    ("replied", f"""SELECT query_id, length(prompt) % 9 = 0 AS failed, 'n=' || CAST(length(prompt) AS VARCHAR) || ' '
+            || COALESCE(first_link, 'none') || ' [citation]0[/citation]{NL}.' AS response FROM prompts""")],
+    f"""SELECT query_id, CASE WHEN NOT failed THEN {go_escape("to_json({'response': response})::VARCHAR")} END AS json,
+        CASE WHEN failed THEN 'no response from model server' END AS error FROM replied
+        UNION ALL SELECT query_id, NULL AS json, error FROM judged WHERE error IS NOT NULL""")
 
 RESOLVE_STEPS = [
     ("cite_src", f"""SELECT reply_id, string_split_regex(response, '{CITATION}') AS pieces,
@@ -181,10 +220,13 @@ RESOLVE_STEPS = [
 
 ORACLE.update({
     "vector_distance": with_views(["kb_queries", "kb_datasets", "kb_documents"], [],
-        f"""SELECT q.query_id, d.id, round({l2('d.vector', 'q.query_vector')}, 6) AS distance
-        FROM kb_queries q JOIN kb_datasets ds ON ds.name = COALESCE(NULLIF(q.dataset, ''), 'default')
-             AND ds.user_id = q.user_id
-        JOIN kb_documents d ON d.dataset_id = ds.id WHERE len(d.vector) = len(q.query_vector)"""),
+        f"""SELECT query_id, count(*) AS n, round(min(distance), 6) AS nearest, round(max(distance), 6) AS farthest,
+            round(avg(distance), 6) AS mean
+        FROM (SELECT q.query_id, d.id, {l2('d.vector', 'q.query_vector')} AS distance
+              FROM kb_queries q JOIN kb_datasets ds ON ds.name = COALESCE(NULLIF(q.dataset, ''), 'default')
+                   AND ds.user_id = q.user_id
+              JOIN kb_documents d ON d.dataset_id = ds.id WHERE len(d.vector) = len(q.query_vector)) t
+        GROUP BY query_id"""),
     "word_count": f"SELECT doc_id, {word_count('text')} AS word_count FROM documents",
     "topk_single": with_views(["kb_queries", "kb_datasets", "kb_documents"], [SEARCH_REQUESTS,
         ("one", """SELECT r.query_vector, ds.id AS dataset_id FROM search_requests r
@@ -207,6 +249,8 @@ ORACLE.update({
         ("c", f"SELECT reply_id, regexp_extract_all(response, '{CITATION}', 1) AS ids FROM kb_replies")],
         """SELECT reply_id, CAST(unnest(range(1, len(ids) + 1)) AS INTEGER) AS position, unnest(ids) AS cited_id
         FROM c"""),
+    "answer_questions": ANSWERS,
+    "stream_answers": ANSWERS,
     "resolve_citations": with_views(["kb_context"], RESOLVE_STEPS, "SELECT reply_id, response FROM resolved"),
     "answer_json": with_views(["kb_context"], RESOLVE_STEPS,
         "SELECT reply_id, " + go_escape("to_json({'response': response})::VARCHAR") + " AS json FROM resolved"),
@@ -215,13 +259,13 @@ ORACLE.update({
 AS_OF = "TIMESTAMP '2002-02-13 00:00:00'"
 
 
-def _url_param(key: str) -> str:
-    return f"url_decode(replace(regexp_extract(url, '[?&]{key}=([^&#]*)', 1), '+', ' '))"
-
-
-URLS = ("urls", """SELECT item_id AS request_id, '/query?query=' || CASE WHEN item_id % 9 = 0 THEN '' ELSE url_encode(text) END
+# What each url says, stated beside it: the query is the passage (and what is planted
+# behind it), the limit that of its first valid pair.
+URLS = ("urls", """SELECT item_id AS request_id, text, CASE item_id % 8 WHEN 4 THEN '/query?query=%zz&query=' WHEN 5 THEN '/query?a;b=1&query=' ELSE '/query?query=' END
+        || CASE WHEN item_id % 9 = 0 THEN '' ELSE url_encode(text) END
+        || CASE item_id % 8 WHEN 1 THEN '|{x}' WHEN 2 THEN '&query=second' WHEN 3 THEN '&limit=7%0A' ELSE '' END
         || CASE item_id % 7 WHEN 0 THEN '&limit=7' WHEN 1 THEN '&limit=%2B7' WHEN 2 THEN '&limit=+7'
-                            WHEN 3 THEN '&limit=7x' WHEN 4 THEN '' WHEN 5 THEN '&limit=0' ELSE '&limit=-3' END
+                            WHEN 3 THEN '&limit=7x' WHEN 4 THEN '' WHEN 5 THEN '&limit=0' ELSE '&limit=3000000000' END
         || CASE WHEN item_id % 4 = 0 THEN '' ELSE '&dataset=ds' || CAST(item_id % 4 AS VARCHAR) END AS url
         FROM benchmark""")
 
@@ -244,29 +288,24 @@ SESSION_STEPS = [
 ]
 
 ORACLE.update({
-    "validate_queries": with_views(["kb_queries", "kb_datasets", "kb_documents"], [
-        ("dims", "SELECT dataset_id, list(DISTINCT len(vector)) AS dims FROM kb_documents GROUP BY dataset_id"),
-        ("guarded", """SELECT query_id, user_id, query_vector,
-            COALESCE(NULLIF(dataset, ''), 'default') AS dataset, CAST(COALESCE(word_limit, 512) AS INTEGER) AS word_limit,
-            CASE WHEN COALESCE(query, '') = '' THEN 'empty query'
-                 WHEN COALESCE(len(query_vector), 0) <= 0 THEN 'empty vector'
-                 WHEN COALESCE(word_limit, 512) <= 0 THEN 'word limit must be greater than zero' END AS error
-            FROM kb_queries""")],
-        """SELECT g.query_id, g.dataset, g.word_limit,
-        COALESCE(g.error, CASE WHEN d.dims IS NOT NULL AND NOT list_contains(d.dims, len(g.query_vector))
-                               THEN 'vector dimension differs from its dataset' END) AS error
-        FROM guarded g LEFT JOIN kb_datasets ds ON g.error IS NULL AND ds.name = g.dataset AND ds.user_id = g.user_id
-        LEFT JOIN dims d ON d.dataset_id = ds.id"""),
-    "parse_query_urls": with_views([], [URLS, ("vals", f"""SELECT request_id, {_url_param('query')} AS query,
-            {_url_param('limit')} AS lim, COALESCE(NULLIF({_url_param('dataset')}, ''), 'default') AS dataset FROM urls"""),
+    "validate_queries": with_views(["kb_planted_queries", "kb_datasets", "kb_documents"], GUARDED,
+        "SELECT query_id, dataset, word_limit, error FROM judged"),
+    "parse_query_urls": with_views([], [URLS, ("vals", """SELECT request_id,
+            CASE WHEN request_id % 9 = 0 THEN '' ELSE text END || CASE WHEN request_id % 8 = 1 THEN '|{x}' ELSE '' END AS query,
+            CASE WHEN request_id % 8 = 3 THEN '7' || chr(10) ELSE url_decode(replace(regexp_extract(url, '&limit=([^&#]*)', 1), '+', ' ')) END AS lim,
+            CASE WHEN request_id % 4 = 0 THEN 'default' ELSE 'ds' || CAST(request_id % 4 AS VARCHAR) END AS dataset FROM urls"""),
         ("typed", """SELECT request_id, query, dataset,
-            COALESCE(CASE WHEN regexp_full_match(lim, '[+-]?[0-9]+') THEN TRY_CAST(lim AS BIGINT) END, 5) AS k FROM vals""")],
+            COALESCE(CASE WHEN regexp_full_match(lim, '[+-]?[0-9]+') AND NOT contains(lim, chr(10)) THEN TRY_CAST(lim AS BIGINT) END, 5) AS k FROM vals""")],
         """SELECT request_id, query, k, dataset,
         CASE WHEN query = '' THEN 'empty query' WHEN k <= 0 THEN 'k must be greater than zero' END AS error FROM typed"""),
     "live_access_tokens": with_views(["kb_access_tokens"], [],
         f"SELECT user_id, count(*) AS n FROM kb_access_tokens WHERE expiration > {AS_OF} GROUP BY user_id"),
     "issue_tokens": with_views(["kb_users"], [],
-        f"SELECT id AS user_id, {AS_OF} + INTERVAL '1' YEAR AS expiration FROM kb_users"),
+        f"""SELECT id AS user_id, sha256(concat('not a secret|', CAST(id AS VARCHAR), '|', CAST({AS_OF} AS VARCHAR))) AS token,
+        {AS_OF} + INTERVAL '1' YEAR AS expiration FROM kb_users"""),
+    "assign_session_ids": """SELECT session_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-4', substr(h, 14, 3), '-',
+            substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS uuid
+        FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, sha256('quarry' || CAST(conv_id AS VARCHAR)) AS h FROM conversations) t""",
     "authorize_requests": with_views(["kb_access_tokens", "kb_requests"], AUTH_STEPS,
         """SELECT p.request_id, l.user_id FROM parsed p JOIN live l ON l.token = p.token WHERE p.reason IS NULL"""),
     "unauthorized_requests": with_views(["kb_access_tokens", "kb_requests"], AUTH_STEPS,
@@ -303,12 +342,23 @@ def _field(src: str, f: str) -> str:
     return f"COALESCE(json_extract_string({src}, '$.{f}'), '')"
 
 
-INGEST_STEPS = [
-    ("req", """SELECT doc_id AS request_id, doc_id % 5 + 1 AS user_id,
+def planted_vector(i: str, v: str) -> str:
+    """As ``queries.planted_vector``."""
+    with_last = lambda x: f"list_append({v}[1:63], CAST({x} AS FLOAT))"
+    return (f"CASE {i} WHEN 7 THEN CAST([] AS FLOAT[]) WHEN 8 THEN {with_last(chr(39) + 'nan' + chr(39))} WHEN 9 THEN {with_last('NULL')} "
+            f"WHEN 11 THEN {with_last(chr(39) + 'inf' + chr(39))} WHEN 12 THEN {v}[1:32] ELSE {v} END")
+
+
+def vector_digest(v: str) -> str:
+    return (f"md5(array_to_string(list_transform({v}, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ','))")
+
+
+INGEST_REQUESTS = ("req", """SELECT doc_id AS request_id, doc_id % 5 + 1 AS user_id, concat('Document ', CAST(doc_id AS VARCHAR)) AS title,
+        '' AS url, text AS body,
         COALESCE(NULLIF(CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 9 = 0 THEN 'new' || CAST(doc_id % 3 AS VARCHAR)
-                 ELSE 'ds' || CAST(doc_id % 4 AS VARCHAR) END, ''), 'default') AS dataset FROM documents"""),
-    ("vec", """SELECT vec_id AS request_id, CASE WHEN vec_id % 50 = 7 THEN CAST([] AS FLOAT[]) ELSE embedding END AS vector
-        FROM embeddings"""),
+                 ELSE 'ds' || CAST(doc_id % 4 AS VARCHAR) END, ''), 'default') AS dataset FROM documents""")
+INGEST_STEPS = [
+    ("vec", f"SELECT vec_id AS request_id, {planted_vector('vec_id % 50', 'embedding')} AS vector FROM embeddings"),
     ("emb", """SELECT r.*, v.vector, v.request_id IS NOT NULL AS embedded FROM req r LEFT JOIN vec v
         ON v.request_id = r.request_id"""),
     ("pairs", "SELECT DISTINCT dataset AS name, user_id FROM emb WHERE embedded"),
@@ -319,17 +369,27 @@ INGEST_STEPS = [
     ("resolved", """SELECT d.id, p.name, p.user_id, false AS created FROM pairs p
         JOIN kb_datasets d ON d.name = p.name AND d.user_id = p.user_id
         UNION ALL SELECT id, name, user_id, true AS created FROM created"""),
-    ("status", """SELECT e.request_id, e.user_id, e.dataset, r.id AS dataset_id,
-        CASE WHEN NOT e.embedded THEN 'x' WHEN len(e.vector) = 0 THEN 'x'
-             WHEN list_bool_or(list_transform(e.vector, lambda x: isnan(x))) THEN 'x' ELSE 'accepted' END AS status
-        FROM emb e LEFT JOIN resolved r ON r.name = e.dataset AND r.user_id = e.user_id"""),
+    ("first_dims", f"""SELECT dataset, user_id, min_by(len(vector), request_id) AS dim FROM emb
+        WHERE embedded AND len(vector) > 0 AND NOT {bad_element('vector')} GROUP BY dataset, user_id"""),
+    ("statuses", f"""SELECT e.*, r.id AS dataset_id,
+        CASE WHEN NOT e.embedded THEN 'could not get document embedding' WHEN len(e.vector) = 0 THEN 'vector cannot be empty'
+             WHEN {bad_element('e.vector')} THEN '{D.ERR_BAD_VECTOR}' WHEN len(e.vector) <> f.dim THEN '{D.ERR_DIMENSION}'
+             ELSE 'accepted' END AS status
+        FROM emb e LEFT JOIN resolved r ON r.name = e.dataset AND r.user_id = e.user_id
+        LEFT JOIN first_dims f ON f.dataset = e.dataset AND f.user_id = e.user_id"""),
+    ("numbered", """SELECT *, CASE WHEN status = 'accepted'
+            THEN count(*) FILTER (WHERE status = 'accepted') OVER (ORDER BY request_id) END AS id FROM statuses"""),
 ]
 
 PLANTED = [
     ("kd", "SELECT id, dataset_id, title, url, body, vector FROM kb_documents"),
     ("pdocs", """SELECT * FROM kd
         UNION ALL SELECT id, dataset_id + 100, title, url, body, vector FROM kd WHERE id % 50 = 1
-        UNION ALL SELECT id + 5000000, dataset_id, title, url, body, vector[1:32] FROM kd WHERE id % 97 = 5"""),
+        UNION ALL SELECT id + 5000000, dataset_id, title, url, body, vector[1:32] FROM kd WHERE id % 97 = 5
+        UNION ALL SELECT id + 7000000, dataset_id, title, url, body, """ + planted_vector("8 + (id + 7000000) % 2", "vector") + """ FROM kd WHERE id % 89 = 4"""),
+    *SESSION_STEPS,
+    ("marked", "SELECT id, user_id, messages, CASE WHEN CAST(id AS BIGINT) % 41 <> 0 THEN model END AS model FROM sessions"),
+    ("psessions", "SELECT * FROM marked UNION ALL SELECT * FROM marked WHERE CAST(id AS BIGINT) % 40 = 0"),
 ]
 
 
@@ -358,9 +418,13 @@ _RULES = [
     ("documents.not_null", _nulls("pdocs", "id, dataset_id, title, body, vector")),
     ("documents.one_dimension", """(SELECT count(*) FROM (SELECT dataset_id FROM pdocs GROUP BY dataset_id
         HAVING count(DISTINCT len(vector)) > 1) t)"""),
-    ("documents.no_nan", "(SELECT count(*) FROM pdocs WHERE list_bool_or(list_transform(vector, lambda x: isnan(x))))"),
+    ("documents.finite_vectors", f"(SELECT count(*) FROM pdocs WHERE {bad_element('vector')})"),
     ("users.pk", _dups("kb_users", "id")),
     ("users.unique_username", _dups("kb_users", "username")),
+    ("users.not_null", _nulls("kb_users", "id, username, active")),
+    ("access_tokens.not_null", _nulls("kb_access_tokens", "id, user_id, token, expiration")),
+    ("sessions.pk", _dups("psessions", "id")),
+    ("sessions.not_null", _nulls("psessions", "id, user_id, messages, model")),
     ("access_tokens.pk", _dups("kb_access_tokens", "id")),
     ("access_tokens.unique_token", _dups("kb_access_tokens", "token")),
     ("access_tokens.fk_user", _dangling("kb_access_tokens", "user_id", "kb_users", "id")),
@@ -373,36 +437,47 @@ ORACLE.update({
         CASE WHEN ok THEN {_field('payload', 'url')} END AS url, CASE WHEN ok THEN {_field('payload', 'body')} END AS body,
         CASE WHEN ok THEN {_field('payload', 'dataset')} END AS dataset,
         CASE WHEN ok THEN 'accepted' ELSE 'invalid json' END AS status FROM p"""),
-    "bulk_ingest_status": with_views([], [ITEMS,
+    "bulk_ingest_status": with_views(["kb_datasets"], [ITEMS,
         ("b", """SELECT batch_id, '[' || string_agg(item, ',' ORDER BY request_id)
                 || CASE WHEN batch_id % 10 = 3 THEN ',}]' ELSE ']' END AS payload
             FROM items_src GROUP BY batch_id"""),
         ("items", """SELECT batch_id, CAST(unnest(range(1, CAST(json_array_length(payload) AS BIGINT) + 1)) AS INTEGER) AS position,
-            unnest(CAST(json_extract(payload, '$[*]') AS VARCHAR[])) AS item FROM b WHERE json_valid(payload)""")],
-        f"""SELECT batch_id, position, {_field('item', 'title')} AS title, {_field('item', 'url')} AS url,
-            {_field('item', 'body')} AS body, {_field('item', 'dataset')} AS dataset, 'accepted' AS status FROM items
-        UNION ALL SELECT batch_id, 0 AS position, NULL, NULL, NULL, NULL, 'invalid json' FROM b WHERE NOT json_valid(payload)"""),
-    "dataset_get_or_create": with_views(["kb_datasets"], INGEST_STEPS,
+            unnest(CAST(json_extract(payload, '$[*]') AS VARCHAR[])) AS item FROM b WHERE json_valid(payload)"""),
+        ("req", f"""SELECT batch_id * 4 + position - 1 AS request_id, batch_id % 5 + 1 AS user_id, {_field('item', 'title')} AS title,
+            {_field('item', 'url')} AS url, {_field('item', 'body')} AS body,
+            COALESCE(NULLIF({_field('item', 'dataset')}, ''), 'default') AS dataset FROM items"""), *INGEST_STEPS],
+        """SELECT CAST(request_id // 4 AS BIGINT) AS batch_id, CAST(request_id % 4 + 1 AS INTEGER) AS position, title, url, md5(body) AS body_md5,
+            dataset, dataset_id, id, status FROM numbered
+        UNION ALL SELECT batch_id, 0 AS position, NULL, NULL, NULL, NULL, NULL, NULL, 'invalid json' FROM b WHERE NOT json_valid(payload)"""),
+    "dataset_get_or_create": with_views(["kb_datasets"], [INGEST_REQUESTS, *INGEST_STEPS],
         "SELECT id, name, user_id, created FROM resolved"),
-    "ingest_documents": with_views(["kb_datasets"], INGEST_STEPS,
-        """SELECT dataset, user_id, max(dataset_id) AS dataset_id,
-        count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status <> 'accepted') AS rejected
-        FROM status GROUP BY dataset, user_id"""),
+    "ingest_documents": with_views(["kb_datasets"], [INGEST_REQUESTS, *INGEST_STEPS],
+        f"""SELECT request_id, user_id, dataset, dataset_id, status, id, title, url, md5(body) AS body_md5,
+        {word_count('body')} AS word_count, CASE WHEN id IS NOT NULL THEN CAST(len(vector) AS INTEGER) END AS dim,
+        CASE WHEN id IS NOT NULL THEN {vector_digest('vector')} END AS vector_md5 FROM numbered"""),
+    "stream_ingest": with_views(["kb_datasets"], [INGEST_REQUESTS, *INGEST_STEPS[:3],
+        ("newp", "SELECT DISTINCT dataset AS name, user_id FROM emb WHERE embedded"),
+        ("resolved", "SELECT ROW_NUMBER() OVER (ORDER BY user_id, name) AS id, name, user_id FROM newp"), *INGEST_STEPS[6:]],
+        f"""SELECT request_id, id, title, md5(body) AS body_md5, {word_count('body')} AS word_count, {vector_digest('vector')} AS vector_md5
+        FROM numbered WHERE id IS NOT NULL"""),
     "cascade_delete": with_views(["kb_datasets", "kb_documents"], [],
         """SELECT dataset_id, count(*) AS n FROM kb_documents d
         WHERE NOT EXISTS (SELECT 1 FROM kb_datasets s WHERE s.user_id = 3 AND s.id = d.dataset_id)
         GROUP BY dataset_id"""),
-    "constraint_report": with_views(["kb_datasets", "kb_documents", "kb_users", "kb_access_tokens"], PLANTED,
+    "cascade_update": with_views(["kb_datasets", "kb_documents"], [],
+        """SELECT d.id, CASE WHEN s.user_id = 2 THEN d.dataset_id + 1000 ELSE d.dataset_id END AS dataset_id
+        FROM kb_documents d LEFT JOIN kb_datasets s ON s.id = d.dataset_id"""),
+    "constraint_report": with_views(["kb_datasets", "kb_documents", "kb_users", "kb_access_tokens", "kb_messages"], PLANTED,
         "\nUNION ALL ".join(f"SELECT '{r}' AS rule, CAST({q} AS BIGINT) AS violations" for r, q in _RULES)),
 })
 
 SYSTEM_PROMPT = "Answer the question using only the search results above."
-SEARCH_WORDS = "Please create a search query for this. ONLY give me the search string. Do not use quotes: \n\n"
-CHAT_BODIES = ("bodies", """SELECT reply_id, CASE WHEN reply_id % 10 = 0 THEN '{"choices":[]}'
-        WHEN reply_id % 10 = 1 THEN 'not json'
+CHAT_BODIES = ("bodies", """SELECT reply_id, CASE WHEN conv_id % 10 = 0 THEN '{"choices":[]}'
+        WHEN conv_id % 10 = 1 THEN 'not json'
         ELSE to_json({'choices': [{'message': {'role': 'assistant', 'content': response}}]})::VARCHAR END AS body
         FROM kb_replies""")
 EMB_BODIES = ("bodies", """SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN '{"data":[]}' WHEN vec_id % 10 = 1 THEN '{"data":'
+        WHEN vec_id % 10 = 2 THEN replace(to_json({'data': [{'embedding': embedding}]})::VARCHAR, ']}]}', ',null]}]}')
         ELSE to_json({'data': [{'embedding': embedding}]})::VARCHAR END AS body FROM embeddings""")
 SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"
 STYLE_RE = r"(?is)<style[^>]*>.*?</style>"
@@ -410,14 +485,17 @@ TAG_RE = r"(?s)<[^>]*>"
 SPACE_RE = r"[ \t\r\n]+"
 
 ORACLE.update({
-    "chat_requests": f"""SELECT query_id, to_json({{'model': 'text-davinci-003', 'messages': [
+    "chat_requests": f"""SELECT query_id, to_json({{'model': '{D.DEFAULT_MODEL}', 'messages': [
             {{'role': 'system', 'content': '{SYSTEM_PROMPT}'}}, {{'role': 'user', 'content': prompt}}],
-            'max_tokens': -1, 'temperature': 0}})::VARCHAR AS payload FROM ({PROMPTS}) t""",
-    "search_word_requests": with_views(["kb_queries"], [], f"""SELECT query_id, to_json({{'model': 'text-davinci-003',
-            'messages': [{{'role': 'user', 'content': '{SEARCH_WORDS}' || query}}],
-            'max_tokens': -1, 'temperature': 0, 'seed': 1234}})::VARCHAR AS payload FROM kb_queries"""),
+            'max_tokens': {D.CHAT_MAX_TOKENS}, 'temperature': {D.CHAT_TEMPERATURE}}})::VARCHAR AS payload FROM ({PROMPTS}) t""",
+    "search_word_requests": with_views(["kb_queries"], [], f"""SELECT query_id, to_json({{'model': '{D.DEFAULT_MODEL}',
+            'messages': [{{'role': 'user', 'content': '{D.SEARCH_WORDS_INSTRUCTION}' || query}}],
+            'max_tokens': {D.CHAT_MAX_TOKENS}, 'temperature': {D.CHAT_TEMPERATURE}, 'seed': {D.SEARCH_WORDS_SEED}}})::VARCHAR AS payload FROM kb_queries"""),
     "embedding_requests": with_views(["kb_queries"], [],
-        "SELECT query_id, to_json({'model': 'text-davinci-003', 'input': query})::VARCHAR AS payload FROM kb_queries"),
+        f"SELECT query_id, to_json({{'model': '{D.DEFAULT_MODEL}', 'input': query}})::VARCHAR AS payload FROM kb_queries"),
+    "rewrite_queries": with_views(["kb_queries"], [("p", f"SELECT query_id, length('{D.SEARCH_WORDS_INSTRUCTION}' || query) AS n FROM kb_queries")],
+        """SELECT query_id, CASE WHEN n % 9 <> 0 THEN 'n=' || CAST(n AS VARCHAR) || ' none [citation]0[/citation]' || chr(92) || 'n.' END AS search_words,
+        CASE WHEN n % 9 = 0 THEN 'no response from model server' END AS error FROM p"""),
     "parse_chat_responses": with_views(["kb_replies"], [CHAT_BODIES],
         """SELECT reply_id,
         CASE WHEN json_valid(body) AND COALESCE(json_array_length(body, '$.choices'), 0) > 0
@@ -428,9 +506,10 @@ ORACLE.update({
     "parse_embedding_responses": with_views([], [EMB_BODIES, ("v", """SELECT vec_id, json_valid(body) AS ok,
             CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.data[0].embedding') AS FLOAT[]) END AS vec
             FROM bodies""")],
-        """SELECT vec_id, CASE WHEN vec IS NOT NULL THEN CAST(len(vec) AS INTEGER) END AS dim,
-        round(CAST(vec[1] AS DOUBLE), 6) AS first,
-        CASE WHEN NOT ok THEN 'response does not decode' WHEN vec IS NULL THEN 'no response from model server' END AS error
+        f"""SELECT vec_id, CASE WHEN vec IS NOT NULL AND NOT {bad_element('vec')} THEN CAST(len(vec) AS INTEGER) END AS dim,
+        CASE WHEN NOT {bad_element('vec')} THEN {vector_digest('vec')} END AS vector_md5,
+        CASE WHEN NOT ok THEN 'response does not decode' WHEN vec IS NULL THEN 'no response from model server'
+             WHEN {bad_element('vec')} THEN '{D.ERR_BAD_VECTOR}' END AS error
         FROM v"""),
     "embed_lookup": """SELECT d.doc_id, CASE WHEN e.vec_id IS NOT NULL THEN CAST(len(e.embedding) AS INTEGER) END AS dim,
         CASE WHEN e.vec_id IS NULL THEN 'could not get document embedding' END AS error
@@ -442,12 +521,26 @@ ORACLE.update({
         FROM h GROUP BY 1, 2
         HAVING sum(CASE WHEN CAST('0x' || substr(h, 9, 1) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) <> 0""",
     "intake_gate": """WITH f AS (SELECT page_id, regexp_extract(url, '/([^/?#]*)(?:[?#].*)?$', 1)
-            || ['.pdf', '.PDF', '.Pdf', '.txt', ''][page_id % 5 + 1] AS name,
-            CAST(strlen(html) AS BIGINT) * 2048 AS length FROM pages),
-        r AS (SELECT *, CASE WHEN length > 10485760 THEN 'file is larger than 10 MiB'
-            WHEN NOT (ends_with(name, '.pdf') OR ends_with(name, '.PDF')) THEN 'not a PDF file' END AS reason FROM f)
+            || ['.pdf', '.PDF', '.Pdf', '.txt', ''][page_id % 5 + 1] AS full_name,
+            CASE WHEN page_id % 23 <> 0 THEN full_name END AS name,
+            CASE WHEN page_id % 29 <> 0 THEN CAST(strlen(html) AS BIGINT) * 2048 END AS length FROM pages),
+        r AS (SELECT *, CASE WHEN length IS NULL THEN 'file size is unknown' WHEN length > 10485760 THEN 'file is larger than 10 MiB'
+            WHEN NOT COALESCE(ends_with(name, '.pdf') OR ends_with(name, '.PDF'), false) THEN 'not a PDF file' END AS reason FROM f)
         SELECT page_id, name, length, reason IS NULL AS accepted, reason FROM r""",
     "page_text": f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
         '{SCRIPT_RE}', ' ', 'g'), '{STYLE_RE}', ' ', 'g'), '{TAG_RE}', ' ', 'g'), '{SPACE_RE}', ' ', 'g')) AS text
         FROM pages""",
 })
+
+ORACLE["stream_session_upsert"] = ORACLE["session_upsert"]
+ORACLE["decode_query_requests"] = f"""WITH r AS (
+    SELECT conv_id, turn, conv_id * 3 + turn AS i, text FROM conversations),
+v AS (
+    SELECT *, i % 13 = 0 AS bad, CASE WHEN i % 11 = 0 THEN '' ELSE text END AS q,
+        CASE WHEN i % 7 = 0 OR i % 6 = 1 THEN {D.DEFAULT_WORD_LIMIT} WHEN i % 6 = 0 THEN 0 WHEN i % 6 = 2 THEN 3000000000 ELSE i % 700 END AS lim FROM r)
+SELECT conv_id, turn, CASE WHEN NOT bad THEN q END AS query, CASE WHEN NOT bad THEN CAST(conv_id AS VARCHAR) END AS session_id,
+    CASE WHEN NOT bad THEN CAST(lim AS BIGINT) END AS word_limit,
+    CASE WHEN NOT bad THEN CASE WHEN i % 5 = 0 THEN '{D.DEFAULT_MODEL}' ELSE 'model-' || CAST(i % 3 AS VARCHAR) END END AS model,
+    CASE WHEN NOT bad THEN CASE WHEN i % 4 = 0 THEN '{D.DEFAULT_DATASET}' ELSE 'ds' || CAST(i % 4 AS VARCHAR) END END AS dataset,
+    CASE WHEN bad THEN '{D.ERR_BAD_REQUEST}' WHEN q = '' THEN '{D.ERR_EMPTY_QUERY}' WHEN lim <= 0 THEN '{D.ERR_BAD_BUDGET}' END AS error
+FROM v"""

@@ -1,22 +1,23 @@
-"""Spread under-split input before CPU-heavy per-row work.
+"""Spread small under-split input before CPU-heavy per-row work.
 
-A large table arrives in many splits and is left alone. When a scan yields
-fewer partitions than the cluster has cores (one big row group, a small
-table), CPU-heavy expressions (tokenising, regex, distances) would run in a
-few tasks; a round-robin repartition to the default parallelism spreads
-them. The check plans the scan only (no job); apply it to plain scans.
+A table of at most ``MAX_BYTES`` in fewer partitions than the cluster has cores
+(one row group, a small file) would keep most cores idle through tokenising,
+regex or distances; a round-robin repartition spreads it. Larger tables are
+never moved: their splits are the reader's business
+(``spark.sql.files.maxPartitionBytes``). Both figures come from the plan; no
+job runs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+MAX_BYTES = 1 << 30
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    try:
-        sc = df.sparkSession.sparkContext
-        target = min_partitions or sc.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > MAX_BYTES:
         return df
-    return df.repartition(target) if n < target else df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.vectors import l2_distance, word_count
-from quarry.operators import auth, context, embed, inference, ingest, intake, integrity, retrieve, sessions, validate
+from quarry.operators import answer, auth, context, embed, inference, ingest, intake, integrity, retrieve, sessions, validate
 from quarry.plans.parallel import spread
 from quarry.sources import kb
 from quarry.sources.tables import Catalog
+from quarry.streaming import jobs
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -30,15 +31,11 @@ def register(key: str):
     return deco
 
 
-def _counted_docs(docs: DataFrame) -> DataFrame:
-    return docs.select("id", "dataset_id", "vector", word_count("body").alias("word_count"))
-
-
 def _budget(spark: SparkSession, sf_dir: str, ties: bool) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.answer_requests(kb.queries(cat)))
     docs = kb.ties(cat) if ties else kb.documents(cat)
-    out, _ = retrieve.budget_search(req, kb.datasets(cat), _counted_docs(docs))
+    out = retrieve.budget_search(req, kb.datasets(cat), docs)
     return out.select("query_id", "rank", "id", "word_count", "cumulative_words",
                       F.round("distance", 6).alias("distance"))
 
@@ -57,8 +54,7 @@ def _search_hits(spark: SparkSession, sf_dir: str):
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.search_requests(kb.queries(cat)))
     docs = kb.documents(cat, with_body=False)
-    ranked, bound = retrieve.topk_search(req, kb.datasets(cat), docs, k=D.DEFAULT_TOP_K)
-    return cat, req, docs, ranked, bound
+    return cat, req, retrieve.topk_search(req, kb.datasets(cat), docs)
 
 
 @register("vector_distance")
@@ -66,8 +62,10 @@ def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     q = kb.queries(cat).withColumn("dataset", validate.default_if_empty(F.col("dataset"), D.DEFAULT_DATASET))
     resolved = retrieve.resolve_datasets(q, kb.datasets(cat))
-    pairs, _ = retrieve.score_pairs(resolved, kb.documents(cat, with_body=False))
-    return pairs.select("query_id", "id", F.round("distance", 6).alias("distance"))
+    # one row per query: how many documents it was compared with, and their nearest, farthest and mean distance
+    pairs = retrieve.score_pairs(resolved, kb.documents(cat, with_body=False), broadcast_queries=False)
+    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("distance"), 6).alias("nearest"),
+                                         F.round(F.max("distance"), 6).alias("farthest"), F.round(F.avg("distance"), 6).alias("mean"))
 
 
 @register("word_count")
@@ -94,15 +92,15 @@ def topk_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("topk_search")
 def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cat, _, _, ranked, bound = _search_hits(spark, sf_dir)
-    out = retrieve.attach(ranked, kb.document_attrs(cat, with_body=False), ("title", "url"), bound)
+    cat, _, ranked = _search_hits(spark, sf_dir)
+    out = retrieve.attach(ranked, kb.document_attrs(cat, with_body=False), ("title", "url"))
     return out.select("query_id", "rank", "id", "title", "url", F.round("distance", 6).alias("distance"))
 
 
 @register("search_response_json")
 def search_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cat, req, _, ranked, bound = _search_hits(spark, sf_dir)
-    hits = retrieve.attach(ranked, kb.document_attrs(cat), ("title", "url", "body"), bound)
+    cat, req, ranked = _search_hits(spark, sf_dir)
+    hits = retrieve.attach(ranked, kb.document_attrs(cat), ("title", "url", "body"))
     return context.search_responses(req, hits)
 
 
@@ -116,8 +114,8 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.answer_requests(kb.queries(cat)))
     docs = kb.documents(cat)
-    kept, bound = retrieve.budget_search(req, kb.datasets(cat), _counted_docs(docs))
-    hits = retrieve.attach(kept, kb.document_attrs(cat), ("dataset_id", "title", "url", "body"), bound)
+    kept = retrieve.budget_search(req, kb.datasets(cat), docs)
+    hits = retrieve.attach(kept, kb.document_attrs(cat), ("dataset_id", "title", "url", "body"))
     return context.build_prompts(req, hits)
 
 
@@ -133,7 +131,7 @@ def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
-    return context.resolve_citations(kb.replies(cat), kb.context(cat))
+    return context.resolve_citations(kb.replies(cat), kb.context(cat), scope="dataset_id").select("reply_id", "response")
 
 
 @register("resolve_citations")
@@ -147,6 +145,19 @@ def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AS_OF = "2002-02-13 00:00:00"
+TEST_SECRET = "not a secret"
+
+
+def _float(x: float | None):
+    return F.array(F.lit(x).cast("float"))
+
+
+def planted_queries(cat: Catalog) -> DataFrame:
+    """kb queries with bad vectors planted: a NaN, NULL or infinite element, another dimension."""
+    i, v = F.col("query_id") % 19, F.col("query_vector")
+    bad = (F.when(i == 4, F.concat(v, _float(float("nan")))).when(i == 5, F.concat(v, _float(None)))
+           .when(i == 6, F.concat(v, _float(float("inf")))).when(i == 7, F.slice(v, 1, 32)).otherwise(v))
+    return kb.queries(cat).withColumn("query_vector", bad)
 
 
 @register("validate_queries")
@@ -154,7 +165,7 @@ def validate_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guards and defaults, plus the dimension rule: an otherwise accepted
     request whose vector length no document of its dataset has is rejected."""
     cat = Catalog(spark, sf_dir)
-    req = validate.answer_requests(kb.queries(cat))
+    req = validate.answer_requests(planted_queries(cat))
     dims = retrieve.dimension_errors(validate.accepted(req), kb.datasets(cat),
                                      kb.documents(cat, with_body=False)).withColumnRenamed("error", "_dim_error")
     out = req.join(dims, "query_id", "left")
@@ -168,11 +179,15 @@ def search_urls(cat: Catalog) -> DataFrame:
     limit = (F.when(i % 7 == 0, F.lit("&limit=7")).when(i % 7 == 1, F.lit("&limit=%2B7"))
              .when(i % 7 == 2, F.lit("&limit=+7")).when(i % 7 == 3, F.lit("&limit=7x"))
              .when(i % 7 == 4, F.lit("")).when(i % 7 == 5, F.lit("&limit=0"))
-             .otherwise(F.lit("&limit=-3")))
+             .otherwise(F.lit("&limit=3000000000")))
+    # raw characters, an invalid escape before a good value, a repeated key, an escaped newline
+    extra = (F.when(i % 8 == 1, F.lit("|{x}")).when(i % 8 == 2, F.lit("&query=second"))
+             .when(i % 8 == 3, F.lit("&limit=7%0A")).otherwise(F.lit("")))
+    first = F.when(i % 8 == 4, F.lit("/query?query=%zz&query=")).when(i % 8 == 5, F.lit("/query?a;b=1&query=")).otherwise(F.lit("/query?query="))
     ds = F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("&dataset=ds"), (i % 4).cast("string")))
     q = F.when(i % 9 == 0, F.lit("")).otherwise(F.url_encode("text"))
     return cat.benchmark.select(i.alias("request_id"),
-                                F.concat(F.lit("/query?query="), q, limit, ds).alias("url"))
+                                F.concat(first, q, extra, limit, ds).alias("url"))
 
 
 @register("parse_query_urls")
@@ -188,7 +203,8 @@ def live_access_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("issue_tokens")
 def issue_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return auth.issue_tokens(kb.users(Catalog(spark, sf_dir)), AS_OF).select("user_id", "expiration")
+    """Tokens of a fixed secret, so that they can be compared; a deployment's is drawn per run."""
+    return auth.issue_tokens(kb.users(Catalog(spark, sf_dir)), AS_OF, secret=TEST_SECRET)
 
 
 @register("authorize_requests")
@@ -247,7 +263,7 @@ def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("assign_session_ids")
 def assign_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = kb.messages(Catalog(spark, sf_dir)).select("session_id").distinct()
-    return sessions.assign_ids(ids, "session_id")
+    return sessions.assign_ids(ids, "session_id", salt="quarry")
 
 
 def doc_items(cat: Catalog) -> DataFrame:
@@ -286,8 +302,31 @@ def bulk_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = p.groupBy("batch_id").agg(context.ordered_join_sep("request_id", "item", ",").alias("items"))
     tail = F.when(F.col("batch_id") % 10 == 3, F.lit(",}]")).otherwise(F.lit("]"))
     body = F.concat(F.lit("["), F.col("items"), tail)
-    out = ingest.decode_bulk(batches.select("batch_id", body.alias("payload")))
-    return out.select("batch_id", "position", "title", "url", "body", "dataset", "status")
+    items = ingest.decode_bulk(batches.select("batch_id", body.alias("payload")))
+    good = items.where("position > 0")
+    # items go on one by one: embedded (the vector of their document), given a dataset and an id
+    cat = Catalog(spark, sf_dir)
+    req = good.select((F.col("batch_id") * 4 + F.col("position") - 1).alias("request_id"), (F.col("batch_id") % 5 + 1).alias("user_id"),
+                      "title", "url", "body", "dataset")
+    done = ingest.ingest(req, ingest_inputs(cat)[1], kb.datasets(cat))["results"]
+    named = done.select(F.floor(F.col("request_id") / 4).cast("long").alias("batch_id"), (F.col("request_id") % 4 + 1).cast("int").alias("position"),
+                        "title", "url", F.md5("body").alias("body_md5"), "dataset", "dataset_id", "id", "status")
+    refused = items.where("position = 0").select(
+        "batch_id", "position", "title", "url", F.md5("body").alias("body_md5"), "dataset", F.lit(None).cast("long").alias("dataset_id"),
+        F.lit(None).cast("long").alias("id"), "status")
+    return named.unionByName(refused)
+
+
+def planted_vector(i, v):
+    """An embedding, or a bad one: empty, with a NaN, NULL or infinite element, of another dimension."""
+    return (F.when(i == 7, F.array().cast("array<float>")).when(i == 8, F.concat(F.slice(v, 1, 63), _float(float("nan"))))
+            .when(i == 9, F.concat(F.slice(v, 1, 63), _float(None)))
+            .when(i == 11, F.concat(F.slice(v, 1, 63), _float(float("inf")))).when(i == 12, F.slice(v, 1, 32)).otherwise(v))
+
+
+def vector_digest(v):
+    """All elements of a vector, to six places, as one value."""
+    return F.md5(F.array_join(F.transform(v, lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ","))
 
 
 def ingest_inputs(cat: Catalog):
@@ -300,8 +339,7 @@ def ingest_inputs(cat: Catalog):
                    F.lit("").alias("url"), F.col("text").alias("body"), ds.alias("dataset"))
     e = cat.embeddings
     vec = e.select(F.col("vec_id").alias("request_id"),
-                   F.when(F.col("vec_id") % 50 == 7, F.array().cast("array<float>"))
-                    .otherwise(F.col("embedding")).alias("vector"))
+                   planted_vector(F.col("vec_id") % 50, F.col("embedding")).alias("vector"))
     return req, vec
 
 
@@ -309,7 +347,7 @@ def ingest_inputs(cat: Catalog):
 def dataset_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req, vec = ingest_inputs(cat)
-    res = ingest.ingest(req, vec, kb.datasets(cat), doc_id_base=None)["resolved"]
+    res = ingest.ingest(req, vec, kb.datasets(cat))["resolved"]
     return res.select("id", "name", "user_id", "created")
 
 
@@ -317,8 +355,11 @@ def dataset_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req, vec = ingest_inputs(cat)
-    st = ingest.ingest(req, vec, kb.datasets(cat), doc_id_base=None)["status"]
-    return ingest.ingest_summary(st)
+    out = ingest.ingest(req, vec, kb.datasets(cat))["results"]
+    ok = F.col("id").isNotNull()
+    return out.select("request_id", "user_id", "dataset", "dataset_id", "status", "id", "title", "url", F.md5("body").alias("body_md5"),
+                      word_count("body").alias("word_count"), F.when(ok, F.size("vector")).alias("dim"),
+                      F.when(ok, vector_digest(F.col("vector"))).alias("vector_md5"))
 
 
 @register("cascade_delete")
@@ -329,23 +370,43 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("cascade_update")
+def cascade_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User 2's datasets get new ids; their documents follow."""
+    cat = Catalog(spark, sf_dir)
+    moved = kb.datasets(cat).where(F.col("user_id") == 2).select(F.col("id").alias("old_id"), (F.col("id") + 1000).alias("new_id"))
+    docs = ingest.cascade_update(kb.documents(cat, with_body=False), moved)
+    return docs.select("id", "dataset_id")
+
+
 def planted_documents(cat: Catalog) -> DataFrame:
     """kb documents plus planted violations: every 50th re-inserted under a
     dataset that does not exist (duplicate id, dangling key), every 97th
-    copied with half its vector (mixed dimensions)."""
+    copied with half its vector (mixed dimensions), every 89th copied with a
+    NaN or NULL element."""
     kd = kb.documents(cat)
     dup = kd.where(F.col("id") % 50 == 1).withColumn("dataset_id", F.col("dataset_id") + 100)
     half = (kd.where(F.col("id") % 97 == 5)
             .withColumn("id", F.col("id") + 5000000)
             .withColumn("vector", F.slice("vector", 1, 32)))
-    return kd.unionByName(dup).unionByName(half)
+    bad = kd.where(F.col("id") % 89 == 4).withColumn("id", F.col("id") + 7000000).withColumn(
+        "vector", planted_vector(8 + F.col("id") % 2, F.col("vector")))
+    return kd.unionByName(dup).unionByName(half).unionByName(bad)
+
+
+def planted_sessions(cat: Catalog) -> DataFrame:
+    """The saved sessions, with every 40th saved twice and every 41st without a model."""
+    s = sessions.upsert(None, session_changes(cat)).select("id", "user_id", "messages", "model")
+    i = F.col("id").cast("long")
+    s = s.withColumn("model", F.when(i % 41 != 0, F.col("model")))
+    return s.unionByName(s.where(i % 40 == 0))
 
 
 @register("constraint_report")
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     return integrity.constraint_report(kb.datasets(cat), planted_documents(cat), kb.users(cat),
-                                       kb.access_tokens(cat))
+                                       kb.access_tokens(cat), planted_sessions(cat))
 
 
 # Job configuration (the deployment supplies its own system prompt).
@@ -375,7 +436,7 @@ def chat_bodies(cat: Catalog) -> DataFrame:
     """Model server replies built from the assistant replies; every tenth
     has no choices, every tenth+1 is not JSON."""
     r = kb.replies(cat)
-    i = F.col("reply_id")
+    i = F.col("conv_id")
     ok = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"),
                                                       F.col("response").alias("content")).alias("message")))
                             .alias("choices")))
@@ -394,7 +455,8 @@ def embedding_bodies(cat: Catalog) -> DataFrame:
     e = cat.embeddings
     i = F.col("vec_id")
     ok = F.to_json(F.struct(F.array(F.struct(F.col("embedding").alias("embedding"))).alias("data")))
-    body = F.when(i % 10 == 0, F.lit('{"data":[]}')).when(i % 10 == 1, F.lit('{"data":')).otherwise(ok)
+    body = (F.when(i % 10 == 0, F.lit('{"data":[]}')).when(i % 10 == 1, F.lit('{"data":'))
+            .when(i % 10 == 2, F.replace(ok, F.lit("]}]}"), F.lit(",null]}]}"))).otherwise(ok))
     return e.select("vec_id", body.alias("body"))
 
 
@@ -402,9 +464,7 @@ def embedding_bodies(cat: Catalog) -> DataFrame:
 def parse_embedding_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = embedding_bodies(Catalog(spark, sf_dir))
     vec, error = inference.parse_embedding_response(F.col("body"))
-    return b.select("vec_id", F.when(vec.isNotNull(), F.size(vec)).alias("dim"),
-                    F.round(F.try_element_at(vec, F.lit(1)).cast("double"), 6).alias("first"),
-                    error.alias("error"))
+    return b.select("vec_id", F.when(vec.isNotNull(), F.size(vec)).alias("dim"), vector_digest(vec).alias("vector_md5"), error.alias("error"))
 
 
 @register("embed_lookup")
@@ -430,8 +490,9 @@ def upload_files(cat: Catalog) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".PDF", ".Pdf", ".txt", "")]),
                        (F.col("page_id") % 5 + 1).cast("int"))
     name = F.concat(F.regexp_extract("url", r"/([^/?#]*)(?:[?#].*)?$", 1), ext)
-    return p.select("page_id", name.alias("name"),
-                    (F.octet_length("html").cast("long") * 2048).alias("length"))
+    # every 23rd without a name, every 29th without a size
+    return p.select("page_id", F.when(F.col("page_id") % 23 != 0, name).alias("name"),
+                    F.when(F.col("page_id") % 29 != 0, F.octet_length("html").cast("long") * 2048).alias("length"))
 
 
 @register("intake_gate")
@@ -444,3 +505,114 @@ def intake_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spread(Catalog(spark, sf_dir).pages)
     return p.select("page_id", intake.html_text(F.col("html")).alias("text"))
+
+
+def query_bodies(cat: Catalog) -> DataFrame:
+    """POST /query bodies built from every conversation turn: with and without
+    a limit (0, NULL, absent), a model, a dataset; every 13th malformed."""
+    c = cat.conversations
+    i = F.col("conv_id") * 3 + F.col("turn")
+    query = F.when(i % 11 == 0, F.lit("")).otherwise(F.col("text"))
+    ds = F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("ds"), (i % 4).cast("string")))
+    model = F.when(i % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("model-"), (i % 3).cast("string")))
+    fields = [query.alias("query"), F.col("conv_id").cast("string").alias("session_id"), model.alias("model"), ds.alias("dataset")]
+    limit = (F.when(i % 6 == 0, F.lit(0)).when(i % 6 == 1, F.lit(None)).when(i % 6 == 2, F.lit(3_000_000_000)).otherwise(i % 700)).cast("long")
+    body = F.when(i % 7 == 0, F.to_json(F.struct(*fields))).otherwise(
+        F.to_json(F.struct(*fields, limit.alias("limit")), {"ignoreNullFields": "false"}))
+    return c.select("conv_id", "turn", F.when(i % 13 == 0, F.concat(F.lit("{bad "), body)).otherwise(body).alias("payload"))
+
+
+@register("decode_query_requests")
+def decode_query_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = validate.decode_query_requests(query_bodies(Catalog(spark, sf_dir)))
+    return out.select("conv_id", "turn", "query", "session_id", "word_limit", "model", "dataset", "error")
+
+
+def citing_client():
+    """A deterministic stand-in for the model server: it cites the first
+    document of its prompt and one that is not there, and fails on every
+    question of a length divisible by nine."""
+    import json
+    import re
+
+    def client(payloads):
+        out = []
+        for p in payloads:
+            prompt = json.loads(p)["messages"][-1]["content"]
+            if len(prompt) % 9 == 0:
+                out.append('{"choices":[]}')
+                continue
+            first = re.search(r'"id":([0-9]+)', prompt)
+            text = f"n={len(prompt)} [citation]{first.group(1)}[/citation]" if first else f"n={len(prompt)} none"
+            out.append(json.dumps({"choices": [{"message": {"role": "assistant", "content": text + " [citation]0[/citation]\\n."}}]}))
+        return out
+
+    return client
+
+
+def _shipped(factory):
+    """The client by value, so that workers need not import this module."""
+    import types
+
+    return types.FunctionType(factory.__code__, {"__builtins__": __builtins__, "__name__": "__main__"}, factory.__name__)
+
+
+@register("answer_questions")
+def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole answer path over every query, with a deterministic client."""
+    cat = Catalog(spark, sf_dir)
+    return answer.answer_questions(planted_queries(cat), kb.datasets(cat), kb.documents(cat), _shipped(citing_client), SYSTEM_PROMPT)
+
+
+@register("rewrite_queries")
+def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query rewriting of every query, with the same client."""
+    return answer.rewrite_queries(kb.queries(Catalog(spark, sf_dir)), _shipped(citing_client))
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder for a stream's input, output and progress: under the
+    cluster's shared folder, or a local one where the session names none."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(root or tempfile.mkdtemp(prefix='quarry-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+STREAM_REQUEST_SCHEMA = "request_id long, user_id long, title string, url string, body string, dataset string"
+
+
+@register("stream_ingest")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ingest request through the streaming job; its stored documents."""
+    cat = Catalog(spark, sf_dir)
+    req, vec = ingest_inputs(cat)
+    at = _stream_folder(spark)
+    req.write.json(f"{at}/in")
+    embedder = lambda batch: batch.select("request_id").join(vec, "request_id")
+    jobs.start_ingest(spark, f"{at}/in", STREAM_REQUEST_SCHEMA, embedder, f"{at}/store", f"{at}/progress").awaitTermination()
+    docs = spark.read.schema(jobs.DOCUMENT_SCHEMA).parquet(f"{at}/store/documents")
+    return docs.select("request_id", "id", "title", F.md5("body").alias("body_md5"), "word_count", vector_digest(F.col("vector")).alias("vector_md5"))
+
+
+@register("stream_session_upsert")
+def stream_session_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session save through the streaming job, in four files; the sessions it left."""
+    at = _stream_folder(spark)
+    session_changes(Catalog(spark, sf_dir)).repartition(4, "version").write.json(f"{at}/in")
+    jobs.start_session_upsert(spark, f"{at}/in", at, f"{at}/progress").awaitTermination()
+    return jobs.read_sessions(spark, at).select("id", "user_id", "model", F.array_join("messages", "\n").alias("messages"), "version")
+
+
+@register("stream_answers")
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query through the streaming answer job, with the deterministic client."""
+    cat = Catalog(spark, sf_dir)
+    at = _stream_folder(spark)
+    q = planted_queries(cat)
+    q.write.parquet(f"{at}/in")
+    schema = "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit long"
+    jobs.start_answering(spark, f"{at}/in", schema, kb.datasets(cat), kb.documents(cat), f"{at}/out", f"{at}/progress",
+                         client_factory=_shipped(citing_client), system_prompt=SYSTEM_PROMPT).awaitTermination()
+    return spark.read.parquet(f"{at}/out/answers").select("query_id", "json", "error")

@@ -44,34 +44,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
-    """The session's checkpoint folder, taken from ``spark.checkpoint.dir``.
-
-    With ``local_fallback`` (tests, the driver's smoke/oracle runs on one
-    machine) a fresh temp folder is set when the session names none; library
-    code never passes it.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-    elif local_fallback:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-ckpt-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
-    return sc.getCheckpointDir()
-
-
 def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000) -> dict[str, str]:
     """Recommended session settings for a cluster reading ``input_bytes``.
 
     * scan splits of 512 MiB keep task counts manageable at 100 TB (~200k
       tasks) while a split still fits an executor core's memory;
-    * initial shuffle partitions sized for ~512 MiB each (at least 2x the
-      cores), then AQE coalesces toward 256 MiB and splits skewed partitions;
+    * initial shuffle partitions: at least twice the cores, at most 20,000
+      (map x reduce bookkeeping on the driver grows with the product; only
+      narrow rows are shuffled, see the README), then AQE coalesces toward
+      256 MiB and splits skewed partitions;
     * the broadcast threshold equals the bound the probes prove
       (``plans.broadcast.DEFAULT_MAX_BYTES``), so Spark never broadcasts more
       on its own estimate than this library does on proof.
@@ -80,7 +61,7 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 100
 
     mib = 1024 * 1024
     cores = executor_cores * executors
-    partitions = max(2 * cores, min(200_000, input_bytes // (512 * mib)))
+    partitions = max(2 * cores, min(20_000, input_bytes // (512 * mib)))
     return {
         **{k: v for k, v in ENGINE_CONF.items() if k != "spark.ui.enabled"},
         "spark.sql.files.maxPartitionBytes": str(512 * mib),

@@ -93,8 +93,9 @@ def queries(cat: Catalog) -> DataFrame:
         F.when(v % 13 == 0, F.lit("missing"))
          .when(v % 11 == 0, F.lit(""))
          .otherwise(F.concat(F.lit("ds"), (key % 4).cast("string"))).alias("dataset"),
-        F.when(v % 3 == 0, F.lit(None).cast("int"))
-         .otherwise((F.lit(100) * (v % 17)).cast("int")).alias("word_limit"))
+        F.when(v % 3 == 0, F.lit(None).cast("bigint"))
+         .when(v % 31 == 5, F.lit(3_000_000_000))
+         .otherwise((F.lit(100) * (v % 17)).cast("bigint")).alias("word_limit"))
 
 
 def access_tokens(cat: Catalog) -> DataFrame:
@@ -125,16 +126,16 @@ def messages(cat: Catalog) -> DataFrame:
 
 
 def replies(cat: Catalog) -> DataFrame:
-    c = cat.conversations
-    return c.where((F.col("role") == "assistant") & (F.col("turn") == 1)).select(
-        F.col("conv_id").alias("reply_id"),
+    """Every assistant turn: reply_id (conversation and turn), conv_id, the
+    dataset its documents come from, response."""
+    return cat.conversations.where(F.col("role") == "assistant").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("reply_id"), "conv_id",
+        (F.col("conv_id") % 20 + 1).alias("dataset_id"),
         F.concat(F.col("text"), F.lit(" [citation]"), (F.col("conv_id") % 700 + 1).cast("string"),
                  F.lit("[/citation] and [citation]"), (F.col("conv_id") % 7 + 1).cast("string"),
                  F.lit("[/citation]")).alias("response"))
 
 
 def context(cat: Catalog) -> DataFrame:
-    """Documents retrieved for each reply: reply_id, id, title, url."""
-    r = replies(cat).select("reply_id")
-    d = documents(cat, with_body=False).select("id", "dataset_id", "title", "url")
-    return r.join(d, d.dataset_id == r.reply_id % 20 + 1, "inner").select("reply_id", "id", "title", "url")
+    """The documents a reply may cite are those of its dataset: dataset_id, id, title, url."""
+    return documents(cat, with_body=False).select("dataset_id", "id", "title", "url")

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.functions.vectors import word_count
 from quarry.operators import answer, context, ingest, retrieve, sessions, validate
 
 Embedder = Callable[[DataFrame], DataFrame]  # requests -> (request_id, vector)
@@ -48,6 +47,9 @@ def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
 
 
 DATASET_SCHEMA = "id long, user_id long, name string, batch_id long"
+VECTOR_SCHEMA = "request_id long, vector array<float>, batch_id long"
+RESULT_SCHEMA = ("request_id long, user_id long, dataset string, dataset_id long, status string, title string, url string, "
+                 "body string, vector array<float>, id long, batch_id long")
 MARK_SCHEMA = "max_id long, batch_id long"
 DIM_SCHEMA = "dataset_id long, dim int, batch_id long"
 DOCUMENT_SCHEMA = ("id long, title string, url string, body string, vector array<float>, "
@@ -66,13 +68,20 @@ def ingest_batch(batch: DataFrame, batch_id: int, embedder: Embedder, store: str
     # scan of every stored document
     marks = _earlier(spark, mark_path, batch_id, MARK_SCHEMA)
     base = marks.agg(F.coalesce(F.max("max_id"), F.lit(0))).first()[0]
-    out = ingest.ingest(batch, embedder(batch), existing, doc_id_base=int(base), dataset_dims=dims)
     bid = F.lit(batch_id).cast("long")
+    # the model is called once per document: its output is stored before anything reads it
+    _overwrite_partitions(embedder(batch).select("request_id", "vector").withColumn("batch_id", bid), f"{store}/vectors", "batch_id")
+    vectors = spark.read.schema(VECTOR_SCHEMA).parquet(f"{store}/vectors").where(F.col("batch_id") == batch_id).drop("batch_id")
+    out = ingest.ingest(batch, vectors, existing, doc_id_base=int(base), dataset_dims=dims)
     new_ds = out["resolved"].where("created").select("id", "user_id", "name", bid.alias("batch_id"))
     _overwrite_partitions(new_ds, ds_path, "batch_id")
-    docs = out["documents"]
+    # the batch's results are computed once and stored; all that follows reads them
+    _overwrite_partitions(out["results"].withColumn("batch_id", bid), f"{store}/results", "batch_id")
+    results = spark.read.schema(RESULT_SCHEMA).parquet(f"{store}/results").where(F.col("batch_id") == batch_id).drop("batch_id")
+    docs = ingest.accepted_documents(results)
     _overwrite_partitions(docs.withColumn("batch_id", bid), doc_path, "dataset_id", "batch_id")
-    _overwrite_partitions(out["status"].withColumn("batch_id", bid), st_path, "batch_id")
+    status = results.select("request_id", "user_id", "dataset", "dataset_id", "status")
+    _overwrite_partitions(status.withColumn("batch_id", bid), st_path, "batch_id")
     mark = docs.agg(F.coalesce(F.max("id"), F.lit(int(base))).alias("max_id")).withColumn("batch_id", bid)
     _overwrite_partitions(mark, mark_path, "batch_id")
     new_dims = (docs.groupBy("dataset_id").agg(F.min(F.size("vector")).alias("dim"))
@@ -151,15 +160,13 @@ def answer_batch(batch: DataFrame, batch_id: int, datasets: DataFrame, documents
     model client the whole answer (model call, citations, JSON)."""
     bid = F.lit(batch_id).cast("long")
     if client_factory is not None:
-        answers, errors = answer.answer_questions(batch, datasets, documents, client_factory, system_prompt)
+        answers = answer.answer_questions(batch, datasets, documents, client_factory, system_prompt)
         _overwrite_partitions(answers.withColumn("batch_id", bid), f"{out}/answers", "batch_id")
-        _overwrite_partitions(errors.withColumn("batch_id", bid), f"{out}/errors", "batch_id")
         return
     req = validate.answer_requests(batch)
     ok = validate.accepted(req)
-    counted = documents.select("id", "dataset_id", "vector", word_count("body").alias("word_count"))
-    kept, bound = retrieve.budget_search(ok, datasets, counted)
-    hits = retrieve.attach(kept, documents, ("dataset_id", "title", "url", "body"), bound)
+    kept = retrieve.budget_search(ok, datasets, documents)
+    hits = retrieve.attach(kept, documents, ("dataset_id", "title", "url", "body"))
     prompts = context.build_prompts(ok, hits)
     _overwrite_partitions(prompts.withColumn("batch_id", bid), f"{out}/prompts", "batch_id")
     rej = validate.rejected(req).select("query_id", "error", bid.alias("batch_id"))

@@ -66,11 +66,46 @@ def test_answer_questions_end_to_end(spark):
         return client
 
     cat = Catalog(spark, SF_SMALL)
-    answers, errors = answer_questions(kb.queries(cat), kb.datasets(cat), kb.documents(cat), factory, "sys")
-    got = [json.loads(r.json)["response"] for r in answers.collect()]
+    answers = answer_questions(kb.queries(cat), kb.datasets(cat), kb.documents(cat), factory, "sys").cache()
+    got = [json.loads(r.json)["response"] for r in answers.where("error is null").collect()]
     assert got and any(a.startswith("see [Document ") for a in got)
     assert all("[citation]" not in a for a in got)
-    assert errors.where(F.col("error") == "word limit must be greater than zero").count() > 0
+    assert answers.where(F.col("error") == "word limit must be greater than zero").count() > 0
+    assert answers.count() == kb.queries(cat).count()
+
+
+def test_every_question_is_asked_once_and_nothing_is_mixed(spark, tmp_path):
+    """A client that counts its calls and answers differently each time."""
+    from conftest import SF_SMALL
+    from quarry.operators.answer import answer_questions
+    from quarry.sources import kb
+    from quarry.sources.tables import Catalog
+
+    folder = str(tmp_path)
+
+    def factory():
+        import json as _json
+        import re as _re
+        import uuid as _uuid
+
+        def client(batch):
+            out = []
+            for payload in batch:
+                call = _uuid.uuid4().hex
+                open(f"{folder}/{call}", "w").close()
+                ids = _re.findall(r'"id":([0-9]+)', _json.loads(payload)["messages"][1]["content"])
+                text = call + "".join(f" [citation]{i}[/citation] {call}" for i in ids)
+                out.append(_json.dumps({"choices": [{"message": {"role": "assistant", "content": text}}]}))
+            return out
+        return client
+
+    cat = Catalog(spark, SF_SMALL)
+    rows_ = answer_questions(kb.queries(cat), kb.datasets(cat), kb.documents(cat), factory, "sys").collect()
+    replies = [json.loads(r.json)["response"] for r in rows_ if r.error is None]
+    calls = {p.name for p in tmp_path.iterdir()}
+    assert len(calls) == len(replies) and {r[:32] for r in replies} == calls
+    for r in replies:
+        assert r.count(r[:32]) == r.count("](") + 1 and "[citation]" not in r
 
 
 def test_embed_with_model(spark):

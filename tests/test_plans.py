@@ -25,9 +25,11 @@ def test_every_query_plans(spark):
         assert fn(spark, SF_SMALL).columns, key
 
 
-def test_spread_only_for_under_split_input(spark):
+def test_spread_only_for_under_split_input(spark, monkeypatch):
     import tempfile
 
+    from quarry.plans import parallel
+
     from quarry.plans.parallel import spread
 
     path = tempfile.mkdtemp(prefix="quarry-split-") + "/t"
@@ -36,21 +38,23 @@ def test_spread_only_for_under_split_input(spark):
     assert "RoundRobinPartitioning" not in checks.plan_text(spread(many))
     one = spark.read.parquet(path).coalesce(1)
     assert "RoundRobinPartitioning" in checks.plan_text(spread(one))
+    monkeypatch.setattr(parallel, "MAX_BYTES", 10)  # a large table is never moved
+    assert "RoundRobinPartitioning" not in checks.plan_text(spread(one))
+
 
+def test_ranking_and_texts(spark):
+    """The ranking scan reads no text, and no exchange carries the texts of all documents."""
+    for sf in (SF_SMALL, "/root/testdata/sf0.1"):
+        plan = checks.plan_text(REGISTRY["budget_search"](spark, sf))
+        assert any("text" not in s for s in checks.read_schemas(plan, "documents"))
+        for key in ("build_prompts", "search_response_json", "chat_requests"):
+            df = REGISTRY[key](spark, sf)
+            assert checks.unfiltered_text_exchanges(df, "text") == [], key
 
-def test_lookup_join_salted_equals_broadcast(spark, monkeypatch):
-    from pyspark.sql import functions as F
 
-    from conftest import rows
-    from quarry.plans import broadcast
-    from quarry.plans.joins import lookup_join
+def test_query_sides_are_measured_in_full(spark):
+    from quarry.plans.broadcast import measure
 
-    left = spark.range(0, 3000).select(F.col("id").alias("row"), (F.when(F.col("id") % 3 == 0, 7)
-                                                                  .otherwise(F.col("id") % 50)).alias("k"))
-    right = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    want = {how: rows(lookup_join(left, right, ["k"], how)) for how in ("inner", "left", "left_anti", "left_semi")}
-    monkeypatch.setattr(broadcast, "DEFAULT_MAX_ROWS", 0)  # force the salted plan
-    for how, expected in want.items():
-        got = lookup_join(left, right, ["k"], how, salts=5)
-        assert "_salt" in checks.plan_text(got)  # the salted plan was chosen
-        assert rows(got) == expected, how
+    df = spark.range(2000).selectExpr("id", "array_repeat(repeat('x', 5000), 10) AS messages")
+    n, size, most = measure(df, "id")
+    assert n == 2000 and size > 100_000_000 and most == 1999

@@ -136,9 +136,9 @@ def test_topk_matches_brute_force(spark, vectors, q, k):
     d = d.select("id", "dataset_id", "vector", word_count("body").alias("word_count"))
     req = validate.accepted(validate.search_requests(spark.createDataFrame(
         [(1, "q", q, 7, "x", None)],
-        "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit int")))
-    req = req.withColumn("k", F.lit(k))  # the request's own k (the argument below is the upper bound)
-    ranked, _ = retrieve.topk_search(req, spark.createDataFrame([(1, 7, "x")], "id long, user_id long, name string"),
-                                     d, k=k)
+        "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit long")))
+    req = req.withColumn("k", F.lit(k))
+    ranked = retrieve.topk_search(req, spark.createDataFrame([(1, 7, "x")], "id long, user_id long, name string"),
+                                   d)
     got = sorted((r["rank"], r["id"]) for r in ranked.collect())
     assert got == _brute_topk(docs, q, k)

@@ -50,9 +50,7 @@ def test_issue_tokens_expire_in_a_year(spark):
     assert F is not None
 
 
-def test_salted_token_join_equals_broadcast(spark, monkeypatch):
-    from quarry.plans import broadcast
-
+def test_shuffled_token_join_equals_broadcast(spark):
     tokens = spark.createDataFrame([(i, i % 3, f"t{i}", dt.datetime(2030, 1, 1)) for i in range(20)],
                                    "id long, user_id long, token string, expiration timestamp_ntz")
     # a hot token: most requests carry t1
@@ -60,6 +58,9 @@ def test_salted_token_join_equals_broadcast(spark, monkeypatch):
                                  "request_id long, auth_header string")
     as_of = "2002-02-13 00:00:00"
     want_ok, want_bad = rows(auth.authorize(reqs, tokens, as_of)), rows(auth.unauthorized(reqs, tokens, as_of))
-    monkeypatch.setattr(broadcast, "DEFAULT_MAX_ROWS", 0)  # force the salted path
-    assert rows(auth.authorize(reqs, tokens, as_of, salts=5)) == want_ok
-    assert rows(auth.unauthorized(reqs, tokens, as_of, salts=5)) == want_bad
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    assert rows(auth.authorize(reqs, tokens, as_of)) == want_ok
+    assert rows(auth.unauthorized(reqs, tokens, as_of)) == want_bad
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

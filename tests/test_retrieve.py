@@ -10,7 +10,7 @@ from quarry.functions.vectors import l2_distance, word_count
 from quarry.operators import retrieve, validate
 
 DOC_SCHEMA = "id long, dataset_id long, body string, vector array<float>"
-Q_SCHEMA = "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit int"
+Q_SCHEMA = "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit long"
 DS_SCHEMA = "id long, user_id long, name string"
 
 
@@ -21,8 +21,7 @@ def _docs(spark, data):
 
 def _budget(spark, docs, queries, datasets, **kw):
     req = validate.accepted(validate.answer_requests(spark.createDataFrame(queries, Q_SCHEMA)))
-    out, _ = retrieve.budget_search(req, spark.createDataFrame(datasets, DS_SCHEMA), _docs(spark, docs), **kw)
-    return out
+    return retrieve.budget_search(req, spark.createDataFrame(datasets, DS_SCHEMA), _docs(spark, docs), **kw)
 
 
 def test_ties_at_the_edge_are_all_or_nothing(spark):
@@ -120,16 +119,11 @@ def test_budget_is_monotone(spark):
     assert a <= b
 
 
-def test_salted_shuffle_path_equals_broadcast_path(spark):
+def test_shuffle_path_equals_broadcast_path(spark):
     rng = random.Random(11)
     docs, queries, ds = _random_case(rng)
-    a = _budget(spark, docs, queries, ds)
-    req = validate.accepted(validate.answer_requests(spark.createDataFrame(queries, Q_SCHEMA)))
-    resolved = retrieve.resolve_datasets(req, spark.createDataFrame(ds, DS_SCHEMA))
-    pairs, n_q = retrieve.score_pairs(resolved, _docs(spark, docs), query_cols=("word_limit",),
-                                      doc_cols=("word_count",), max_broadcast_rows=0, salts=5)
-    assert n_q is None
-    b = retrieve.within_budget(pairs, 25)
+    a = _budget(spark, docs, queries, ds, broadcast_queries=True)
+    b = _budget(spark, docs, queries, ds, broadcast_queries=False)
     assert rows(a, "query_id", "id", "rank") == rows(b, "query_id", "id", "rank")
 
 
@@ -139,32 +133,39 @@ def test_topk_nested(spark):
     req = validate.accepted(validate.search_requests(spark.createDataFrame(queries, Q_SCHEMA)))
     dsdf = spark.createDataFrame(ds, DS_SCHEMA)
     d = _docs(spark, docs)
-    k3, _ = retrieve.topk_search(req, dsdf, d, k=3)
-    k4, _ = retrieve.topk_search(req, dsdf, d, k=4)
+    k3 = retrieve.topk_search(req.withColumn("k", F.lit(3)), dsdf, d)
+    k4 = retrieve.topk_search(req.withColumn("k", F.lit(4)), dsdf, d)
     assert set(rows(k3, "query_id", "id")) <= set(rows(k4, "query_id", "id"))
     assert max(r[0] for r in rows(k3, "rank")) <= 3
 
 
-def test_distributed_ranking_equals_window_plan(spark):
+def test_a_large_budget_changes_no_other_query(spark):
     rng = random.Random(21)
-    for _ in range(3):
-        docs, queries, ds = _random_case(rng, n_docs=80)
-        req = validate.accepted(validate.answer_requests(spark.createDataFrame(queries, Q_SCHEMA)))
-        resolved = retrieve.resolve_datasets(req, spark.createDataFrame(ds, DS_SCHEMA))
-        pairs, _ = retrieve.score_pairs(resolved, _docs(spark, docs), query_cols=("word_limit",),
-                                        doc_cols=("word_count",))
-        small = retrieve.within_budget(pairs, 25)
-        large = retrieve.within_budget(pairs, 25, large_limit=0)  # force the distributed plan
-        cols = ("query_id", "id", "rank", "cumulative_words")
-        assert rows(small, *cols) == rows(large, *cols)
-        k_small = retrieve.top_k(pairs.drop("word_count"), 7)
-        k_large = retrieve.top_k(pairs.drop("word_count"), 7, large_limit=0)
-        assert rows(k_small, "query_id", "id", "rank") == rows(k_large, "query_id", "id", "rank")
+    docs, queries, ds = _random_case(rng, n_docs=80)
+    docs.append((1000, 2, "w", [0.0, None]))  # a bad stored vector is never returned
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    alone = _budget(spark, docs, queries, ds)
+    with_large = _budget(spark, docs, [*queries, (99, "q", [0.0, 0.0], 7, "x", 3_000_000_000)], ds)
+    cols = ("query_id", "id", "rank", "cumulative_words")
+    assert rows(alone, *cols) == [r for r in rows(with_large, *cols) if r[0] != 99]
+    assert with_large.where("query_id = 99").count() == 40
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == before
+
+
+def test_hot_dataset_and_copies(spark):
+    """A third of all documents in one dataset, most of them exact copies: ties stay whole."""
+    docs = [(i, 1 if i % 3 else 2, "w", [1.0, 0.0] if i % 4 else [float(i), 0.0]) for i in range(1, 601)]
+    q = [(1, "q", [1.0, 0.0], 7, "x", 10), (2, "q", [1.0, 0.0], 7, "x", 1000)]
+    out = _budget(spark, docs, q, [(1, 7, "x"), (2, 7, "y")])
+    assert out.where("query_id = 1").count() == 0  # 300 copies tie and don't fit
+    assert out.where("query_id = 2").count() == 400
 
 
 def test_dimension_errors_reported(spark):
     docs = spark.createDataFrame([(1, 1, "a", [0.0, 0.0, 0.0]), (2, 1, "b", [0.5, 0.5, 0.5])], DOC_SCHEMA)
     q = spark.createDataFrame([(1, "q", [0.0, 0.0], 7, "x", 10), (2, "q", [0.0, 0.0, 1.0], 7, "x", 10)], Q_SCHEMA)
     req = validate.accepted(validate.answer_requests(q))
+    mixed = spark.createDataFrame([(1, 1, "a", [0.0, 0.0, 0.0]), (2, 1, "b", [0.5, 0.5])], DOC_SCHEMA)
+    assert retrieve.dimension_errors(req, spark.createDataFrame([(1, 7, "x")], DS_SCHEMA), mixed).count() == 2
     errs = retrieve.dimension_errors(req, spark.createDataFrame([(1, 7, "x")], DS_SCHEMA), docs)
     assert rows(errs) == [(1, "vector dimension differs from its dataset")]
