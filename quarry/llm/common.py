@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: tables, staged results, id filters."""
+"""Helpers shared by the operators: tables and staged results."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A membership sketch is at most SKETCH_SLOTS rows of (slot, 64 bits): 2 MiB,
-# whatever the number of keys. That is the bound that lets it be broadcast.
-SKETCH_SLOTS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -40,33 +35,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def key_sketch(keys: DataFrame, key: str) -> DataFrame:
-    """Fixed-size membership sketch of a hash column (long): (slot, bits).
-
-    No false negatives. At most ``SKETCH_SLOTS`` rows.
-    """
-    h = F.xxhash64(F.col(key))
-    return (keys.select(F.pmod(h, F.lit(SKETCH_SLOTS)).cast("int").alias("_slot"),
-                        F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{key}`), 32), 64) as int))").alias("_bit"))
-            .groupBy("_slot").agg(F.bit_or("_bit").alias("_bits")))
-
-
-def flagged(df: DataFrame, sketch: DataFrame, key: str, flag: str) -> DataFrame:
-    """``df`` with a column that is false where the key is surely not in the sketch."""
-    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{key}`), 32), 64) as int))")
-    return (df.withColumn("_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(SKETCH_SLOTS)).cast("int"))
-            .join(F.broadcast(sketch), "_slot", "left")
-            .withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
-            .drop("_slot", "_bits"))
-
-
-def maybe_in(df: DataFrame, sketch: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key may be in the sketch (a superset of those that are)."""
-    h = F.xxhash64(F.col(key))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{key}`), 32), 64) as int))")
-    return (df.withColumn("_slot", F.pmod(h, F.lit(SKETCH_SLOTS)).cast("int"))
-            .join(F.broadcast(sketch), "_slot", "inner")
-            .where(F.col("_bits").bitwiseAND(bit) != 0)
-            .drop("_slot", "_bits"))

@@ -32,7 +32,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import key_sketch, maybe_in, staged
+from quarry.llm.common import staged
+from quarry.plans.sketch import key_sketch, maybe_in
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10

@@ -15,7 +15,10 @@ at 0.75 share no bucket with probability (1 - 0.75^rows)^bands, 1e-6 as set.
 2. Every member of a bucket is compared with the bucket's smallest id, on full
    sets; verified links are contracted to components.
 3. In buckets that still hold several components, members of different
-   components are compared, so no link between different texts is lost.
+   components are compared, so no link between different texts is lost. Pairs
+   that can't be similar enough never leave the join: a set's profile counts its
+   shingles in ``PARTS`` hash classes, and the smaller counts of two profiles
+   sum to no less than what the sets share.
 4. Components of all links: smallest labels with pointer jumping. Each round is
    a written table in the shared folder; only a count comes to the driver.
 
@@ -39,10 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import key_sketch, maybe_in, staged
+from quarry.llm.common import staged
+from quarry.plans.sketch import key_sketch, maybe_in
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 72, 6
+PARTS = 256  # classes of a profile
 BETWEEN = hashing.byte_set((0x09, 0x0D), (0x20, 0x20))
 _C = np.random.default_rng(11).integers(1, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _C[WORDS:] * np.arange(256, dtype=np.uint64)  # for a sequence of n words
@@ -93,19 +98,24 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits of the whole set), bands."""
+    """doc_id, n_shingles, set_a, set_b (128 bits of the whole set), bands, profile.
 
-    @F.pandas_udf("n_shingles long, set_a long, set_b long, bands array<long>")
+    The profile is null where a count exceeds a byte (very long texts): such sets are compared unseen.
+    """
+
+    @F.pandas_udf("n_shingles long, set_a long, set_b long, bands array<long>, profile array<tinyint>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             out = []
             for s in shingle_sets(batch):
                 if len(s):
                     ends = np.array([hashing.mix(s).sum(), (hashing.mix(s ^ _SEEDS[0]) * _C[0]).sum()]).view(np.int64)
-                    out.append((len(s), ends[0], ends[1], band_keys(similarity_sketch(s, bands * rows), bands, rows)))
+                    counts = np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+                    profile = counts.astype(np.int8) if counts.max() < 128 else None
+                    out.append((len(s), ends[0], ends[1], band_keys(similarity_sketch(s, bands * rows), bands, rows), profile))
                 else:
-                    out.append((0, 0, 0, np.zeros(0, np.int64)))
-            yield pd.DataFrame(out, columns=["n_shingles", "set_a", "set_b", "bands"])
+                    out.append((0, 0, 0, np.zeros(0, np.int64), None))
+            yield pd.DataFrame(out, columns=["n_shingles", "set_a", "set_b", "bands", "profile"])
 
     return docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
 
@@ -153,28 +163,30 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketches = staged(sketched(docs, bands, rows), "sketches")
     classes = staged(sketches.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
-                     .agg(F.min("doc_id").alias("rep"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands")), "classes")
-    sizes = classes.where("rep is not null").select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"))
+                     .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "profile"), F.coalesce("doc_id", F.lit(0))).alias("s"))
+                     .select("set_a", "set_b", "n_shingles", "rep", "s.*"), "classes")
+    sizes = classes.where("rep is not null").select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "profile")
     keyed = classes.where("rep is not null").select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = staged(keyed.join(buckets.drop("members"), "key"), "buckets")
 
-    def near_in_size(pairs: DataFrame) -> DataFrame:
-        a, b = (sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-        sized = pairs.join(a, "a").join(b, "b")
-        return sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-
+    # the most that two sets can share; a null profile leaves it to the sizes
+    most = F.coalesce(F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x).cast("long"),
+                      F.least("n_a", "n_b"))
+    possible = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    side = {c: sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"p_{c}")) for c in "ab"}
     first = shared.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    links = staged(verified(staged(near_in_size(first), "pairs"), docs, percent), "links")
+    near = first.join(side["a"], "a").join(side["b"], "b").where(possible).select("a", "b")
+    links = staged(verified(staged(near, "pairs"), docs, percent), "links")
     found = components(links)
     # what is left: members of one bucket in different components
     labelled = shared.join(found, "doc", "left").select("key", "doc", "leader", F.coalesce("component", "doc").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     members = staged(labelled.join(mixed.select("key"), "key"), "mixed")
-    one = members.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
-    two = members.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"), "leader")
-    second = (one.join(two, "key").where("a < b and ca <> cb and a <> leader").select("a", "b").distinct())
-    more = staged(verified(staged(near_in_size(second), "pairs"), docs, percent), "links")
+    one = members.select("key", F.col("doc").alias("a"), F.col("component").alias("ca")).join(side["a"], "a")
+    two = members.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"), "leader").join(side["b"], "b")
+    second = one.join(two, "key").where(F.expr("a < b and ca <> cb and a <> leader") & possible).select("a", "b").distinct()
+    more = staged(verified(staged(second, "pairs"), docs, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

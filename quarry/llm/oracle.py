@@ -44,8 +44,7 @@ m AS (
     FROM q JOIN {_rules()} ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
     GROUP BY page_id, url)
 SELECT q.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
-       coalesce(says, CASE WHEN len(strict_hits) > 0 OR len(soft_hits) >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       strict_hits, soft_hits
+       coalesce(says, CASE WHEN len(strict_hits) > 0 OR len(soft_hits) >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN m ON q.page_id = m.page_id AND q.url IS NOT DISTINCT FROM m.url
 """
 

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import key_sketch, maybe_in, staged
+from quarry.llm.common import staged
+from quarry.plans.sketch import key_sketch, maybe_in
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS

@@ -15,7 +15,7 @@ def op2_minhash_near_dedup(spark, sf_dir):
 
 
 def op3_url_filter(spark, sf_dir):
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("strict_hits", "soft_hits")
 
 
 def op4_warc(spark, sf_dir):

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from quarry.llm.common import flagged, fresh_path, key_sketch
+from quarry.llm.common import fresh_path
+from quarry.plans.sketch import flagged, key_sketch
 
 RECORD_END = "\r\n\r\n"
 PAGE_HEADER = "Quarry-Page-Id"
