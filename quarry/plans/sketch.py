@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 17
+SLOT, BITS = "__sketch_slot", "__sketch_bits"
 
 
 def _slot(key: str):
@@ -23,17 +24,17 @@ def _bit(key: str):
 
 
 def key_sketch(keys: DataFrame, key: str) -> DataFrame:
-    """(_slot, _bits) of the keys in a column."""
-    return keys.select(_slot(key).alias("_slot"), _bit(key).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    """(slot, bits) of the keys in a column."""
+    return keys.select(_slot(key).alias(SLOT), _bit(key).alias("__sketch_bit")).groupBy(SLOT).agg(F.bit_or("__sketch_bit").alias(BITS))
 
 
 def maybe_in(df: DataFrame, sketch: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key may be in the sketch (a superset of those that are)."""
-    return (df.withColumn("_slot", _slot(key)).join(F.broadcast(sketch), "_slot", "inner")
-            .where(F.col("_bits").bitwiseAND(_bit(key)) != 0).drop("_slot", "_bits"))
+    return (df.withColumn(SLOT, _slot(key)).join(F.broadcast(sketch), SLOT, "inner")
+            .where(F.col(BITS).bitwiseAND(_bit(key)) != 0).drop(SLOT, BITS))
 
 
 def flagged(df: DataFrame, sketch: DataFrame, key: str, flag: str) -> DataFrame:
     """``df`` with a column that is false where the key is surely not in the sketch."""
-    return (df.withColumn("_slot", _slot(key)).join(F.broadcast(sketch), "_slot", "left")
-            .withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(_bit(key)) != 0, F.lit(False))).drop("_slot", "_bits"))
+    return (df.withColumn(SLOT, _slot(key)).join(F.broadcast(sketch), SLOT, "left")
+            .withColumn(flag, F.coalesce(F.col(BITS).bitwiseAND(_bit(key)) != 0, F.lit(False))).drop(SLOT, BITS))
