@@ -16,8 +16,8 @@ can't be built in one place, so equal strings must meet in one shard first:
    by Larsson-Sadakane refinement: sort by eight bytes, then sort only the
    unfinished groups by the rank of the suffix ``h`` bytes on, doubling ``h``. Kasai's common prefixes (capped at the window; many lanes of
    the text at once) mark the runs of equal windows; all but the earliest go.
-4. An anchor with very many segments (a line that countless documents share) is
-   split over several shards. Their sorted lists of earliest windows are then
+4. An anchor whose segments exceed a shard (a line that countless documents
+   share) is split over several shards. Their sorted lists of earliest windows are then
    merged by binary search, dealt by window digest.
 
 Numpy works on bounded blocks inside tasks; Spark deals, groups and joins. The
@@ -49,7 +49,6 @@ from quarry.plans.sketch import key_sketch, maybe_in
 WINDOW = 100
 GRAM = 24  # bytes of an anchor, a multiple of 8
 SHARD_BYTES = 2 << 20  # text of a shard
-SPLIT = 4_000  # segments of one anchor in one shard
 MERGE_ROWS = 200_000  # windows of a merging task
 LANES = 4096
 _C = np.random.default_rng(21).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -314,7 +313,7 @@ def merged_across(windows: DataFrame, parts: int) -> DataFrame:
             .groupBy("part").applyInArrow(merge, f"doc_id {id_type}, at long, to long"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, split: int = SPLIT) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """All repeated stretches (doc_id, at, to); they overlap."""
     common = staged(anchors(docs, window).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     found = staged(maybe_in(located_segments(docs, window), key_sketch(common, "anchor"), "anchor"), "segments")
@@ -324,12 +323,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     copies = (found.join(many, ["anchor", "digest"])
               .where(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("at") == F.col("f_at"))))
               .select("doc_id", "at", (F.col("at") + F.col("n") + (window - 1)).alias("to")))
-    mixed = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = staged(firsts.join(mixed, "anchor").select("anchor", "digest", "doc_id", "at", "n", "kinds"), "several")
+    mixed = (firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + window).alias("bytes"))
+             .where("kinds > 1").drop("kinds"))
+    several = staged(firsts.join(mixed, "anchor").select("anchor", "digest", "doc_id", "at", "n", "bytes"), "several")
     size = several.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("bytes")).first()["bytes"]
     shards = max(1, -(-int(size) // shard_bytes))
-    is_split = F.col("kinds") > split
-    salt = F.when(is_split, F.pmod("digest", F.ceil(F.col("kinds") / F.lit(split)))).otherwise(F.lit(0))
+    is_split = F.col("bytes") > shard_bytes
+    salt = F.when(is_split, F.pmod("digest", F.ceil(F.col("bytes") / F.lit(shard_bytes)))).otherwise(F.lit(0))
     dealt = several.select("doc_id", "at", "n", is_split.alias("split"),
                            F.when(is_split, -1 - F.abs(F.xxhash64("anchor", salt) % (1 << 62)))
                            .otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard"))

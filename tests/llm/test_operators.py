@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_fixture import docs, fixture_rows, no_docs  # noqa: F401 - fixtures
 from quarry.llm import decontam, exact_dedup, license_scan, minhash, quality, sharding, suffix_dedup, url_filter, warc
 
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -281,7 +282,7 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 2000, "split": 2}], ids=["whole", "split"])
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 300}], ids=["whole", "split"])
 def test_suffix_dedup(docs, no_docs, fixture_rows, sizes):
     rows = [r for r in fixture_rows if r[0] is not None or r[1] == "no id here"]
     df = docs.where("doc_id is not null or text = 'no id here'")
