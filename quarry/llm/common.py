@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.plans.sketch import flagged, key_sketch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -35,3 +38,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone``, with all their columns.
+
+    Documents that surely stay are not moved: a fixed-size sketch of the ids
+    that go picks out the few that must be looked up. A row without id stays.
+    """
+    ids = staged(gone.where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    marked = flagged(docs, key_sketch(ids, "__gone"), "doc_id", "__maybe")
+    looked_up = marked.where("__maybe").join(ids, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return marked.where("not __maybe").unionByName(looked_up).select(*docs.columns)

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import staged
+from quarry.llm.common import staged, without
 from quarry.plans.sketch import key_sketch, maybe_in
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -132,7 +132,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without any occurrence, with all their columns."""
-    bad = contamination(docs.select("doc_id", "text"), benchmark, width).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = staged(bad, "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    """The documents without any occurrence, with all their columns (those without id stay)."""
+    return without(docs, contamination(docs.select("doc_id", "text"), benchmark, width).where("contaminated"))

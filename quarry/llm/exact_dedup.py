@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.sketch import key_sketch, maybe_in
+from quarry.llm.common import staged
+from quarry.plans.sketch import flagged, key_sketch, maybe_in
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -70,15 +71,14 @@ def exact_groups(docs: DataFrame, hash_fn=content_hash) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Only copies are looked up: the groups (narrow) are joined to the documents
-    by hash, and of repeated rows of a kept id one is returned.
+    Documents whose hash surely occurs once are not moved; the others look up
+    their group by hash. Of repeated rows of a kept id one is returned.
     """
     cols = docs.columns
-    g = copy_groups(docs).select(F.col("hash").alias("__hash"), F.col("text_sha256").alias("__sha"),
-                                 F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    d = docs.withColumn("__norm", normalised())
-    d = (d.withColumn("__hash", content_hash(F.col("__norm"))).withColumn("__sha", F.sha2("__norm", 256)).drop("__norm"))
-    joined = d.join(g, ["__hash", "__sha"], "left")
-    single = joined.where(F.col("__size").isNull()).select(*cols)
+    g = staged(copy_groups(docs).select(F.col("hash").alias("__hash"), F.col("text_sha256").alias("__sha"),
+                                        F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size")), "copy-groups")
+    d = flagged(docs.withColumn("__hash", content_hash(normalised())), key_sketch(g, "__hash"), "__hash", "__maybe")
+    joined = d.where("__maybe").withColumn("__sha", F.sha2(normalised(), 256)).join(g, ["__hash", "__sha"], "left")
+    single = d.where("not __maybe").select(*cols).unionByName(joined.where(F.col("__size").isNull()).select(*cols))
     kept = joined.where(F.col("__size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep")))
     return single.unionByName(kept.dropDuplicates(["__hash", "__sha"]).select(*cols))

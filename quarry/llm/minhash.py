@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import staged
+from quarry.llm.common import staged, without
 from quarry.plans.sketch import key_sketch, maybe_in
 
 WORDS, PERCENT = 5, 75
@@ -197,5 +197,4 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    gone = near_groups(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(staged(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_groups(docs.select("doc_id", "text")).where(~F.col("kept")))

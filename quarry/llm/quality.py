@@ -112,7 +112,8 @@ def held_out(doc_id="doc_id"):
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, label, features of every labelled row that is not held out."""
-    lab = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    id_type = docs.schema["doc_id"].dataType  # hashes of ids must be of one type
+    lab = (labels.withColumn("doc_id", F.col("doc_id").cast(id_type)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
            .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label")))
 
     @F.pandas_udf("array<int>")
