@@ -24,9 +24,9 @@ def naive(spark, sf, ties):
     cat = Catalog(spark, sf)
     req = validate.accepted(validate.answer_requests(kb.queries(cat)))
     docs = (kb.ties(cat) if ties else kb.documents(cat))
-    docs = docs.select("id", "dataset_id", "vector", word_count("body").alias("word_count"))
+    counted = docs.select("id", word_count("body").alias("word_count"))
     resolved = retrieve.resolve_datasets(req, kb.datasets(cat))
-    pairs, _ = retrieve.score_pairs(resolved, docs, query_cols=("word_limit",), doc_cols=("word_count",))
+    pairs = retrieve.score_pairs(resolved, docs, True, query_cols=("word_limit",)).join(counted, "id")
     w = Window.partitionBy("query_id").orderBy("distance")
     return pairs.withColumn("c", F.sum("word_count").over(w)).where("c <= word_limit")
 
