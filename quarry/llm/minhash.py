@@ -16,9 +16,10 @@ at 0.75 share no bucket with probability (1 - 0.75^rows)^bands, 1e-6 as set.
    sets; verified links are contracted to components.
 3. In buckets that still hold several components, members of different
    components are compared, so no link between different texts is lost. Pairs
-   that can't be similar enough never leave the join: a set's profile counts its
-   shingles in ``PARTS`` hash classes, and the smaller counts of two profiles
-   sum to no less than what the sets share.
+   that can't be similar enough never leave the join: a set's profile has a bit
+   for each of ``64 * PARTS`` hash classes, set if the class holds an odd number
+   of its shingles. Two sets differ in at least as many shingles as their
+   profiles differ in bits, which bounds their similarity from above.
 4. Components of all links: smallest labels with pointer jumping. Each round is
    a written table in the shared folder; only a count comes to the driver.
 
@@ -47,7 +48,7 @@ from quarry.plans.sketch import key_sketch, maybe_in
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 72, 6
-PARTS = 256  # classes of a profile
+PARTS = 16  # longs of a profile
 BETWEEN = hashing.byte_set((0x09, 0x0D), (0x20, 0x20))
 _C = np.random.default_rng(11).integers(1, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _C[WORDS:] * np.arange(256, dtype=np.uint64)  # for a sequence of n words
@@ -98,23 +99,20 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits of the whole set), bands, profile.
+    """doc_id, n_shingles, set_a, set_b (128 bits of the whole set), bands, profile."""
 
-    The profile is null where a count exceeds a byte (very long texts): such sets are compared unseen.
-    """
-
-    @F.pandas_udf("n_shingles long, set_a long, set_b long, bands array<long>, profile array<tinyint>")
+    @F.pandas_udf("n_shingles long, set_a long, set_b long, bands array<long>, profile array<long>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             out = []
             for s in shingle_sets(batch):
                 if len(s):
                     ends = np.array([hashing.mix(s).sum(), (hashing.mix(s ^ _SEEDS[0]) * _C[0]).sum()]).view(np.int64)
-                    counts = np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
-                    profile = counts.astype(np.int8) if counts.max() < 128 else None
+                    odd = np.bincount((s % np.uint64(64 * PARTS)).astype(np.int64), minlength=64 * PARTS) & 1
+                    profile = np.packbits(odd.astype(bool)).view(np.int64)
                     out.append((len(s), ends[0], ends[1], band_keys(similarity_sketch(s, bands * rows), bands, rows), profile))
                 else:
-                    out.append((0, 0, 0, np.zeros(0, np.int64), None))
+                    out.append((0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)))
             yield pd.DataFrame(out, columns=["n_shingles", "set_a", "set_b", "bands", "profile"])
 
     return docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
@@ -170,10 +168,11 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent:
     buckets = keyed.groupBy("key").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = staged(keyed.join(buckets.drop("members"), "key"), "buckets")
 
-    # the most that two sets can share; a null profile leaves it to the sizes
-    most = F.coalesce(F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x).cast("long"),
-                      F.least("n_a", "n_b"))
-    possible = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    # sets that differ in d shingles share (n_a + n_b - d) / 2 of (n_a + n_b + d) / 2
+    differ = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(1, PARTS)),
+                 F.bit_count(F.col("p_a")[0].bitwiseXOR(F.col("p_b")[0])))
+    differ = F.greatest(differ, F.abs(F.col("n_a") - F.col("n_b")))
+    possible = (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     side = {c: sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"p_{c}")) for c in "ab"}
     first = shared.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     near = first.join(side["a"], "a").join(side["b"], "b").where(possible).select("a", "b")
