@@ -6,10 +6,18 @@ increasing subsequence is kept, and the gaps between are aligned the same way,
 after equal words at a gap's ends are matched. Coverage is the share of the
 template's words that are aligned; a match has ``least`` or more.
 
-Where to align. A match needs nearly all of a template's distinct words: a
-document without them is passed by (this loses nothing: ``distinct - (1 -
-least) * words`` of them are in any match). Else its words are walked from left
-to right; wherever a stretch of at most ``STRETCH`` times the template's length
+Where to align. The words that tell a license from its rivals (name, variant,
+version) are its template's key phrases. A match has all of them aligned, with
+no other word between the words of a phrase: "BSD License" is no altered "MIT
+License", and "GNU Lesser General Public License" no GNU General one. So places
+of the first phrase are looked up in whole batches, and only around them the
+words before and behind it are aligned, up to the next such place and in
+stretches of at most ``STRETCH`` times the template's words.
+
+A template without key phrases (a caller's own) is looked for by its words
+alone. A match needs nearly all of its distinct words: a document without them is
+passed by (this loses nothing: ``distinct - (1 - least) * words`` of them are in
+any match). Else its words are walked from left to right; wherever a stretch
 holds enough distinct words, it is aligned, and the walk goes on behind the
 match. So repeated notices are all found, and the cost follows the text.
 
@@ -25,7 +33,7 @@ are not read.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +49,13 @@ BETWEEN = ~hashing.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xF
 
 # The notices to look for (public license texts).
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for "
+        "more details."),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -48,7 +63,23 @@ TEMPLATES = {
         "by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
         "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
         "language governing permissions and limitations under the License."),
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0": "Licensed under CC0 1.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+        "details."),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -56,6 +87,15 @@ TEMPLATES = {
         "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
         "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
         "details."),
+    "ISC": "Released under the ISC License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+        "version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for "
+        "more details."),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -63,9 +103,52 @@ TEMPLATES = {
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
         "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
         "and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+}
+
+# Key phrases of each template; the first occurs once in it.
+_GNU = "GNU {}General Public License as published"
+KEYS = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3",),
+    "AGPL-3.0-header": (_GNU.format("Affero "), "version 3 of the License"),
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "Apache-2.0-header": ("Apache License, Version 2.0",),
+    "BSD": ("BSD License",),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "CC-BY-4.0": ("CC BY 4.0",),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0",),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0",),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0",),
+    "CC0-1.0": ("CC0 1.0",),
+    "GPL-2.0": ("GNU General Public License, version 2",),
+    "GPL-2.0-header": (_GNU.format(""), "version 2 of the License"),
+    "GPL-3.0": ("GNU General Public License, version 3",),
+    "GPL-3.0-header": (_GNU.format(""), "version 3 of the License"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-2.1-header": (_GNU.format("Lesser "), "version 2.1 of the License"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3",),
+    "MIT": ("MIT License",),
+    "MIT-text": ("The above copyright notice and this permission notice shall be included in all copies",),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0",),
 }
 
 
+def hashed(text: str) -> list[int]:
+    return hashing.words_of([text.encode()], BETWEEN, hashing.LOWER)[0].tolist()
+
+
+def places_of(phrase: list[int], words: np.ndarray) -> np.ndarray:
+    """Where the words of a phrase stand side by side."""
+    at = np.flatnonzero(words[:max(0, len(words) - len(phrase) + 1)] == np.uint64(phrase[0]))
+    for j, w in enumerate(phrase[1:], 1):
+        at = at[words[at + j] == np.uint64(w)]
+    return at
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Places of a longest strictly increasing subsequence (patience piles)."""
     tops, places, back = [], [], [-1] * len(values)
@@ -108,15 +191,36 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def side(text: list[int], template: list[int]) -> list[tuple[int, int]]:
+    """Aligned places from the start of a text on, in the stretch where they are densest.
+
+    A word passed over costs half of what an aligned word gains, so a far word
+    of the next notice does not stand in for one that is altered here.
+    """
+    best, most, n = [], 0.0, len(template)
+    for width in sorted({min(len(text), w) for w in (n, n + n // 4, n + n // 2, STRETCH * n)}):
+        pairs = align(text[:width], template)
+        gain = len(pairs) - 0.5 * (pairs[-1][0] + 1 - len(pairs)) if pairs else 0.0
+        if gain > most:
+            best, most = pairs, gain
+        if len(pairs) == n:
+            break
+    return best
+
+
 class Scanner:
     """All templates, ready to be looked for in hashed words."""
 
-    def __init__(self, templates: dict[str, str], least: float):
-        self.least, self.templates = least, []
+    def __init__(self, templates: dict[str, str], least: float, keys: dict[str, tuple[str, ...]] | None = None):
+        self.least, self.templates, self.keyed = least, [], []
         for name, text in sorted(templates.items()):
-            h, _ = hashing.words_of([text.encode()], BETWEEN, hashing.LOWER)
-            if len(h):
-                words = h.tolist()
+            words = hashed(text)
+            if phrases := [hashed(p) for p in (keys or {}).get(name, ())]:
+                at = [places_of(p, np.array(words, np.uint64)).tolist() for p in phrases]
+                if len(at[0]) != 1 or not all(at):
+                    raise ValueError(f"template {name} lacks a key phrase, or repeats the first")
+                self.keyed.append((name, words, phrases[0], [(a[0], a[0] + len(p)) for a, p in zip(at, phrases)]))
+            elif words:
                 need = max(1, int(np.ceil(len(set(words)) - (1 - least) * len(words) - 1e-9)))
                 self.templates.append((name, words, frozenset(words), need))
         self.vocabulary = np.unique(np.array([w for _, words, _, _ in self.templates for w in words], np.uint64))
@@ -152,25 +256,58 @@ class Scanner:
             i = behind
             right = max(right, i)
 
+    def around(self, words: np.ndarray, places: list[int], template: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple]:
+        """The matches around the places of the first key phrase in a text."""
+        (a, b), behind = spans[0], 0
+        for p, following in zip(places, [*places[1:], len(words)]):
+            q = p + b - a
+            left = side(words[max(behind, p - STRETCH * a):p][::-1].tolist(), template[:a][::-1])
+            right = side(words[q:min(following, q + STRETCH * (len(template) - b))].tolist(), template[b:])
+            at = {a - 1 - j: p - 1 - i for i, j in left} | {j: p + j - a for j in range(a, b)} | {b + j: q + i for i, j in right}
+            behind = q
+            whole = all(c in at and at.get(j) == at[c] + j - c for c, d in spans[1:] for j in range(c, d))
+            if whole and len(at) >= self.least * len(template) - 1e-9:
+                yield len(at) / len(template), min(at.values()), max(at.values())
+                behind = max(at.values()) + 1
+
+    def key_places(self, words: np.ndarray, counts: np.ndarray) -> dict[int, dict[int, list[int]]]:
+        """Number of the text -> number of the keyed template -> places of its first key phrase in the text."""
+        ends, out = np.cumsum(counts), defaultdict(lambda: defaultdict(list))
+        for k, (_, _, phrase, _) in enumerate(self.keyed):
+            at = places_of(phrase, words)
+            text = np.searchsorted(ends, at, "right")
+            for t, p in zip(text.tolist(), at.tolist()):
+                if p + len(phrase) <= ends[t]:
+                    out[t][k].append(p - int(ends[t] - counts[t]))
+        return out
+
     def scan(self, texts) -> Iterator[list[tuple]]:
         for _, group in hashing.blocks(texts):
             h, counts = hashing.words_of(group, BETWEEN, hashing.LOWER)
+            keys = self.key_places(h, counts)
             at = np.searchsorted(self.vocabulary, h)
             known = np.flatnonzero(self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == h) if len(self.vocabulary) else h[:0].astype(np.int64)
             start = 0
-            for n in counts.tolist():
-                a, b = np.searchsorted(known, [start, start + n])
-                yield self.matches(h[start:start + n], known[a:b] - start) if a < b else []
+            for t, n in enumerate(counts.tolist()):
+                a, b = np.searchsorted(known, [start, start + n]) if len(known) else (0, 0)
+                words = h[start:start + n]
+                out = self.matches(words, known[a:b] - start) if a < b else []
+                for k, places in keys.get(t, {}).items():
+                    name, template, _, spans = self.keyed[k]
+                    out += [(name, *m) for m in self.around(words, places, template, spans)]
+                yield out
                 start += n
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST,
+         keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, matches: every notice found, with coverage and word places."""
     wanted = dict(TEMPLATES if templates is None else templates)
+    keys = dict(KEYS if templates is None and keys is None else keys or {})
 
     @F.pandas_udf("array<struct<license:string,coverage:double,first_word:long,last_word:long>>")
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(wanted, least)
+        scanner = Scanner(wanted, least, keys)
         for batch in texts:
             yield pd.Series([[{"license": n, "coverage": c, "first_word": a, "last_word": b} for n, c, a, b in m]
                              for m in scanner.scan(batch)], dtype=object)
@@ -178,12 +315,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     return docs.select("doc_id", found("text").alias("matches"))
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST,
+             keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row per document: doc_id, license and coverage of the best match, its word places, n_matches."""
     wanted = TEMPLATES if templates is None else templates
-    words = F.create_map(*[F.lit(x) for n, t in wanted.items() for x in (n, len(t.split()))])
+    words = F.create_map(*[F.lit(x) for n, t in wanted.items() for x in (n, len(hashed(t)))])
     ranked = F.transform("matches", lambda m: F.struct(-m["coverage"] * words[m["license"]], -m["coverage"], m["first_word"].alias("first_word"), m["license"].alias("license"),
                                                       m["coverage"].alias("coverage"), m["last_word"].alias("last_word")))
-    best = scan(docs, wanted, least).select("doc_id", F.array_min(ranked).alias("best"), F.size("matches").cast("long").alias("n_matches"))
+    best = scan(docs, templates, least, keys).select("doc_id", F.array_min(ranked).alias("best"), F.size("matches").cast("long").alias("n_matches"))
     return best.select("doc_id", F.col("best.license").alias("license"), F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"),
                        F.col("best.first_word").alias("first_word"), F.col("best.last_word").alias("last_word"), "n_matches")

@@ -51,6 +51,34 @@ def test_license_scan(spark, no_docs):
     assert license_scan.licenses(no_docs).count() == 0
 
 
+def found_in(text, **kw):
+    """(license, coverage, first word, last word) of all matches in a text."""
+    scanner = license_scan.Scanner(kw.get("templates", license_scan.TEMPLATES), 0.8, kw.get("keys", license_scan.KEYS))
+    return sorted(next(scanner.scan([text])), key=lambda m: m[2])
+
+
+@pytest.mark.parametrize("text, name", [
+    ("Released under the BSD License.", "BSD"), ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Released under the Foo License.", None), ("Released under the MIT Foo License.", None), ("Licensed under the MIT License.", "MIT"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY-NC 3.0", None), ("Licensed under the Apache License, Version 1.1.", None),
+    ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 1", None),
+    ("This work is licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+    (license_scan.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"), "GPL-2.0-header"),
+    (license_scan.TEMPLATES["GPL-3.0-header"].replace("General", "Foo General"), None)])
+def test_license_near_misses(text, name):
+    assert [m[0] for m in found_in(f"Some words. {text} More words.")] == [name] * (name is not None)
+
+
+def test_license_templates_find_themselves():
+    assert set(license_scan.KEYS) == set(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        last = len(license_scan.hashed(text)) + 1
+        assert (name, 1.0, 2, last) in found_in(f"a b {text} c d"), name
+
+
 # 2: near duplicates
 
 def brute_components(rows):
