@@ -35,6 +35,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,7 @@ TEMPLATES = {
         "more details."),
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
-    "MIT-text": (
+    "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
@@ -106,6 +107,46 @@ TEMPLATES = {
     "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
 }
 
+# Whole license texts: short ones put together here, long ones in ``licenses/``.
+_GRANT = TEMPLATES["MIT-grant"].split(", subject to the following conditions: ")[0]
+_NO_WARRANTY = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. {}"
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE.")
+_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: This "
+    "product includes software developed by the organization. ")
+_ENDORSE = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. ")
+TEMPLATES |= {
+    "BSD-2-Clause-text": _BSD.format(""),
+    "BSD-3-Clause-text": _BSD.format(_ENDORSE),
+    "BSD-4-Clause-text": _BSD.format(_ADVERTISING + _ENDORSE),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" "
+        "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "MIT-text": TEMPLATES["MIT-grant"] + _NO_WARRANTY,
+    "MIT-0-text": _GRANT + "." + _NO_WARRANTY,
+} | {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in Path(__file__).with_name("licenses").glob("*.txt")}
+
 # Key phrases of each template; the first occurs once in it.
 _GNU = "GNU {}General Public License as published"
 KEYS = {
@@ -132,8 +173,23 @@ KEYS = {
     "LGPL-2.1-header": (_GNU.format("Lesser "), "version 2.1 of the License"),
     "LGPL-3.0": ("GNU Lesser General Public License, version 3",),
     "MIT": ("MIT License",),
-    "MIT-text": ("The above copyright notice and this permission notice shall be included in all copies",),
+    "MIT-grant": ("The above copyright notice and this permission notice shall be included in all copies",),
     "MPL-2.0": ("Mozilla Public License, Version 2.0",),
+    # texts
+    "Apache-2.0-text": ("Apache License Version 2.0, January 2004",),
+    "BSD-2-Clause-text": ("provided with the distribution. THIS SOFTWARE IS PROVIDED",),
+    "BSD-3-Clause-text": ("to endorse or promote products derived from this software",),
+    "BSD-4-Clause-text": ("must display the following acknowledgement", "to endorse or promote products derived from this software"),
+    "CC-BY-SA-4.0-text": ("Creative Commons Attribution-ShareAlike 4.0 International Public License By exercising",),
+    "CC0-1.0-text": ("CC0 1.0 Universal",),
+    "GPL-2.0-text": ("GNU General Public License Version 2, June 1991",),
+    "GPL-3.0-text": ("GNU General Public License Version 3, 29 June 2007",),
+    "ISC-text": ("provided that the above copyright notice and this permission notice appear in all copies",),
+    "LGPL-2.1-text": ("GNU Lesser General Public License Version 2.1, February 1999",),
+    "LGPL-3.0-text": ("GNU Lesser General Public License Version 3, 29 June 2007",),
+    "MIT-text": ("The above copyright notice and this permission notice shall be included in all copies",),
+    "MIT-0-text": ("furnished to do so. THE SOFTWARE IS PROVIDED",),
+    "MPL-2.0-text": ("Mozilla Public License Version 2.0",),
 }
 
 

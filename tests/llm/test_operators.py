@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -79,6 +80,26 @@ def test_license_templates_find_themselves():
         assert (name, 1.0, 2, last) in found_in(f"a b {text} c d"), name
 
 
+@pytest.mark.parametrize("name, license", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"),
+                                           ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")])
+def test_whole_license_texts(spark, name, license):
+    """Texts from elsewhere, with some lines lost."""
+    path = pathlib.Path("/usr/share/common-licenses", name)
+    if not path.exists():
+        pytest.skip("no license texts on this machine")
+    lines = path.read_text().splitlines()
+    text = "\n".join(["Copyright somebody", *lines[:len(lines) * 19 // 20], "and their own words"])
+    (r,) = license_scan.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.license == f"{license}-text" and 0.85 < r.coverage <= 1
+
+
+def test_rival_license_texts(spark):
+    t = license_scan.TEMPLATES
+    for name in ("MIT-text", "MIT-0-text", "MIT-grant", "BSD-2-Clause-text", "BSD-3-Clause-text", "BSD-4-Clause-text", "ISC-text"):
+        best = max(found_in(f"x {t[name]} y"), key=lambda m: m[1] * len(license_scan.hashed(t[m[0]])))
+        assert best[:2] == (name, 1.0)
+
+
 # 2: near duplicates
 
 def brute_components(rows):
