@@ -301,7 +301,7 @@ class Scanner:
                 right += 1
             behind = i + 1
             if distinct >= need:
-                pairs = align(words[start:start + span].tolist(), template)
+                pairs = side(words[start:start + span].tolist(), template)
                 if len(pairs) >= self.least * len(template) - 1e-9 and pairs[0][0] == 0:
                     last = start + pairs[-1][0]
                     yield len(pairs) / len(template), start, last

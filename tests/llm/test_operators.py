@@ -100,6 +100,15 @@ def test_rival_license_texts(spark):
         assert best[:2] == (name, 1.0)
 
 
+@pytest.mark.parametrize("keys", [license_scan.KEYS, {}], ids=["keys", "words alone"])
+def test_altered_notices_in_a_row(keys):
+    notice = license_scan.TEMPLATES["GPL-3.0"]
+    altered, longer = notice.replace("work", "file"), notice.replace("is licensed", "is hereby licensed")
+    one = {"templates": {"GPL-3.0": notice}, "keys": {k: v for k, v in keys.items() if k == "GPL-3.0"}}
+    got = [m[1:] for m in found_in(" ".join([altered, notice, longer, altered, altered, notice]), **one)]
+    assert got == [(11 / 12, 0, 11), (1.0, 12, 23), (1.0, 24, 36), (11 / 12, 37, 48), (11 / 12, 49, 60), (1.0, 61, 72)]
+
+
 # 2: near duplicates
 
 def brute_components(rows):
