@@ -1,9 +1,12 @@
 """Quality classifier: naive Bayes support vector machine.
 
-Features are indicators of n-grams (one to three words) of word shapes: a
-shape keeps a word's punctuation and the kinds of its bytes, and says whether
-the word repeats the one before. They are hashed to ``BUCKETS`` buckets, so the
-model has a fixed size whatever the corpus.
+Features are indicators of n-grams (one to three words), of the words and of
+their shapes. Words are lower-cased runs of ASCII letters, digits and non-ASCII
+bytes. A shape keeps a word's punctuation and the kinds of its bytes, and says
+whether the word repeats the one before. Shapes carry over to words not seen in
+training; words tell what has an ordinary shape (spam vocabulary, boilerplate).
+Both are hashed to the same ``BUCKETS`` buckets, so the model has a fixed size
+whatever the corpus.
 
 1. Every labelled training row (all of them) is featurised where it is scanned;
    a fixed-size sketch of the labelled ids keeps the other texts out. Labels are
@@ -60,6 +63,7 @@ def _kinds() -> np.ndarray:
 KIND = _kinds()
 BETWEEN = KIND == WHITE
 IS_KIND = np.arange(256) == WHITE
+BETWEEN_WORDS = ~hashing.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 REPEATED = np.uint64(0x27D4EB2F165667C5)
 
@@ -79,21 +83,30 @@ def shapes(data: bytes) -> bytes:
     return kind[~drop].tobytes()
 
 
-def features_of(texts) -> Iterator[np.ndarray]:
+def ngrams(h: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of one to three of some hashed words."""
+    a, b, c = (h * k for k in ODD)
+    two = (a[:-1] ^ (b[1:] >> np.uint64(7))) * ODD[1]
+    three = ((a[:-2] ^ (b[1:-1] >> np.uint64(7))) * ODD[1] ^ (c[2:] >> np.uint64(11))) * ODD[2]
+    return np.concatenate([a, two, three])
+
+
+def features_of(texts, use_shapes: bool = True, use_words: bool = True) -> Iterator[np.ndarray]:
     """The distinct buckets of each text's n-grams, sorted."""
     shift = np.uint64(64 - BUCKET_BITS)
     for _, group in hashing.blocks(texts):
         exact, counts = hashing.words_of(group, BETWEEN)
         one, _ = hashing.words_of([shapes(g) for g in group], IS_KIND)
-        start = 0
-        for n in counts.tolist():
+        plain, plain_counts = hashing.words_of(group, BETWEEN_WORDS, hashing.LOWER)
+        start = plain_start = 0
+        for n, m in zip(counts.tolist(), plain_counts.tolist()):
             w, h = exact[start:start + n], one[start:start + n].copy()
             start += n
             h[1:][w[1:] == w[:-1]] ^= REPEATED
-            a, b, c = (h * k for k in ODD)
-            two = (a[:-1] ^ (b[1:] >> np.uint64(7))) * ODD[1]
-            three = ((a[:-2] ^ (b[1:-1] >> np.uint64(7))) * ODD[1] ^ (c[2:] >> np.uint64(11))) * ODD[2]
-            yield np.unique((np.concatenate([a, two, three]) >> shift).astype(np.int64))
+            own = plain[plain_start:plain_start + m]
+            plain_start += m
+            grams = np.concatenate([ngrams(x) for x, used in ((h, use_shapes), (own, use_words)) if used])
+            yield np.unique((grams >> shift).astype(np.int32))
 
 
 @dataclass
@@ -130,12 +143,12 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     """Weights (over scaled indicators) and bias of the L1-loss linear SVM."""
     w, bias, rng = np.zeros(len(scale)), 0.0, np.random.default_rng(seed)
     alpha = np.zeros(len(rows))
-    values = [scale[r] for r in rows]
-    diagonal = np.array([v @ v + 1.0 for v in values])
+    square = scale * scale
+    diagonal = np.array([square[r].sum() + 1.0 for r in rows])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v, label = rows[i], values[i], y[i]
+            r, v, label = rows[i], scale[rows[i]], y[i]  # looked up each time: the driver holds only the rows' buckets
             gradient = label * (w[r] @ v + bias) - 1.0
             new = min(max(alpha[i] - gradient / diagonal[i], 0.0), cost)
             step = (new - alpha[i]) * label
@@ -164,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
     if not len(y):
         return Model(np.zeros(BUCKETS), 0.0)
-    features = [np.asarray(x, np.int64) for x in sample["features"].combine_chunks().to_pylist()]
+    features = [x.values.to_numpy() for chunk in sample["features"].chunks for x in chunk]
     w, bias = dual_coordinate_descent(features, y, ratio)
     mean = np.abs(w).sum() / max(1, np.count_nonzero(w))
     return Model(((1 - beta) * mean + beta * w) * ratio, bias)

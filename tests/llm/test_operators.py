@@ -391,6 +391,16 @@ def test_quality_held_out_accuracy(spark):
     assert all(v == (zlib.crc32(str(d).encode()) % 3 == 1) for d, v in held.items())
 
 
+def test_quality_tells_words_of_equal_shapes(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(w) for w in rng.choice(list("abcdefghij"), (400, 5))]
+    rows = [(i, " ".join(rng.choice(words[:200] if i % 2 else words[200:], 40, replace=False))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    held = quality.scored(docs, labels).where("held_out").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+
+
 def test_quality_edge_cases(spark, docs, no_docs, fixture_rows):
     labels = spark.createDataFrame([(i, i % 2, None, 1) for i in range(40)] + [(0, None, 1, 1), (None, 1, 0, 1), (5, 0, 0, 0)],
                                    "doc_id long, quality int, toxic int, text int")
