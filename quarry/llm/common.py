@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.sketch import flagged, key_sketch
+from quarry.plans.sketch import flagged, key_sketch, maybe_in
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -40,13 +40,46 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``gone``, with all their columns.
+ROW = "__row"
 
-    Documents that surely stay are not moved: a fixed-size sketch of the ids
-    that go picks out the few that must be looked up. A row without id stays.
+
+def text_hash(text: str = "text"):
+    """128 bits of a text, as binary(16); null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``ROW``: one number (long) for each different (doc_id, text).
+
+    It is the doc_id itself, but for rows without id and for all but the first
+    text of an id: these get numbers above all ids, in order of id (null last)
+    and text hash. Only they are looked up; a fixed-size sketch of their ids
+    keeps the others where they are.
+    """
+    seen = docs.select(F.col("doc_id").alias("__id"), text_hash().alias("__text")).distinct()
+    per_id = seen.where("__id is not null").groupBy("__id").agg(F.min("__text").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    several = staged(per_id.drop("__n"), "repeated-ids")
+    later = (maybe_in(seen.where("__id is not null"), key_sketch(several, "__id"), "__id").join(several, "__id")
+             .where("__text <> __first").select("__id", "__text"))
+    top = F.lit(docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long").alias("top")).first()["top"])
+    extra = (seen.where("__id is null").unionByName(later).orderBy(F.asc_nulls_last("__id"), "__text")
+             .withColumn("__number", top + 1 + F.monotonically_increasing_id()))
+    extra = staged(extra, "row-keys")
+    d = flagged(docs, key_sketch(extra, "__id"), "doc_id", "__maybe")
+    found = d.where("__maybe").join(extra, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__text")), "left")
+    own = F.col("doc_id").cast("long")
+    return (d.where("not __maybe").select(*docs.columns, own.alias(ROW))
+            .unionByName(found.select(*docs.columns, F.coalesce("__number", own).alias(ROW))))
+
+
+def without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (``with_row_key``) whose key is not in ``gone`` (doc_id), with all their columns but the key.
+
+    Documents that surely stay are not moved: a fixed-size sketch of the keys
+    that go picks out the few that must be looked up.
     """
-    ids = staged(gone.where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    marked = flagged(docs, key_sketch(ids, "__gone"), "doc_id", "__maybe")
-    looked_up = marked.where("__maybe").join(ids, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return marked.where("not __maybe").unionByName(looked_up).select(*docs.columns)
+    cols = [c for c in keyed.columns if c != ROW]
+    ids = staged(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    marked = flagged(keyed, key_sketch(ids, "__gone"), ROW, "__maybe")
+    looked_up = marked.where("__maybe").join(ids, F.col(ROW) == F.col("__gone"), "left_anti")
+    return marked.where("not __maybe").unionByName(looked_up).select(*cols)

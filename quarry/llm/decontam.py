@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import staged, without
+from quarry.llm.common import ROW, staged, with_row_key, without
 from quarry.plans.sketch import key_sketch, maybe_in
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -132,5 +132,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without any occurrence, with all their columns (those without id stay)."""
-    return without(docs, contamination(docs.select("doc_id", "text"), benchmark, width).where("contaminated"))
+    """The documents without any occurrence, with all their columns; each row is judged by its own text."""
+    docs = with_row_key(docs)
+    return without(docs, contamination(docs.select(F.col(ROW).alias("doc_id"), "text"), benchmark, width).where("contaminated"))

@@ -29,8 +29,8 @@ buckets are pre-aggregated, and joins on them are split by the skew join.
 
 Defined results: null text is empty; documents without words are linked with
 nothing and are their own component. A document without id is not compared; its
-component is null and it stays. Repeated rows of one id are
-one document of that component. Other columns are not read.
+component is null (``one_of_each`` compares it by a number of its own). Repeated
+rows of one id are one document of that component. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import staged, without
+from quarry.llm.common import ROW, staged, with_row_key, without
 from quarry.plans.sketch import key_sketch, maybe_in
 
 WORDS, PERCENT = 5, 75
@@ -195,5 +195,10 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    return without(docs, near_groups(docs.select("doc_id", "text")).where(~F.col("kept")))
+    """The documents that stay, one of each group, with all their columns.
+
+    Rows without id are compared too, and so are the texts of one id; an id's
+    first text stays before these.
+    """
+    docs = with_row_key(docs)
+    return without(docs, near_groups(docs.select(F.col(ROW).alias("doc_id"), "text")).where(~F.col("kept")))

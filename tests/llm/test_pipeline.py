@@ -1,12 +1,13 @@
 """The corpus pipeline, stage by stage against brute force, on whole small tables."""
 
 import hashlib
+from collections import Counter
 
 import tokenizers
 
 import corpus_pipeline
 from corpus_fixture import docs, fixture_rows, no_docs  # noqa: F401 - fixtures
-from quarry.llm import bpe, quality
+from quarry.llm import bpe, decontam, minhash, quality
 from quarry.llm.common import table
 from test_operators import brute_components, brute_contamination, brute_copies
 
@@ -56,5 +57,20 @@ def test_stages_take_empty_and_odd_tables(spark, docs, no_docs):
         assert out.count() > 0, name
 
 
+def test_rows_without_id_and_of_one_id_are_judged_apart(spark):
+    words = [f"w{i}" for i in range(90)]
+    passage, clean, other = " ".join(words[:30]), " ".join(words[30:60]), " ".join(words[60:])
+    near = clean + " more"
+    rows = [(1, passage), (1, clean), (2, other), (None, passage), (None, near), (None, "quite another text"), (None, "quite another text"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    left = decontam.clean_documents(docs, items)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(r for r in rows if r[1] != passage)
+    left = minhash.one_of_each(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(
+        [(1, passage), (1, clean), (2, other), (None, "quite another text"), (None, "quite another text"), (3, None)])
+
+
 def test_run_writes_every_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
