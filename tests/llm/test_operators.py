@@ -351,6 +351,27 @@ def test_suffix_dedup(docs, no_docs, fixture_rows, sizes):
         assert suffix_dedup.report(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 300}], ids=["whole", "split"])
+def test_suffix_dedup_texts_of_one_id(spark, docs, fixture_rows, sizes):
+    """All fixture rows, and other texts under ids that are taken: each text is a document of its own."""
+    more = [(61, fixture_rows[76][1]), (61, fixture_rows[60][1][:300] + "x" * 150), (None, fixture_rows[76][1]), (5, "y" + fixture_rows[5][1] * 3)]
+    rows = [*fixture_rows, *more]
+    order = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+    seen, want = set(), {}
+    for d, t in sorted({(d, t or "") for d, t in rows}, key=order):
+        data = t.encode()
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - 99):
+            if data[i:i + 100] in seen:
+                gone[i:i + 100] = True
+            seen.add(data[i:i + 100])
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        want[d, t] = (d, len(data), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = Counter(tuple(r) for r in suffix_dedup.report(df, **sizes).collect())
+    assert got == Counter(want[d, t or ""] for d, t in rows)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     for _ in range(60):
