@@ -61,7 +61,7 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     several = staged(per_id.drop("__n"), "repeated-ids")
     later = (maybe_in(seen.where("__id is not null"), key_sketch(several, "__id"), "__id").join(several, "__id")
              .where("__text <> __first").select("__id", "__text"))
-    top = F.lit(docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long").alias("top")).first()["top"])
+    top = F.lit(docs.agg(F.greatest(F.max("doc_id").cast("long"), F.lit(0).cast("long")).alias("top")).first()["top"])
     extra = (seen.where("__id is null").unionByName(later).orderBy(F.asc_nulls_last("__id"), "__text")
              .withColumn("__number", top + 1 + F.monotonically_increasing_id()))
     extra = staged(extra, "row-keys")

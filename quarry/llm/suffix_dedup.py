@@ -25,10 +25,11 @@ driver gets two counts. Texts are moved only for documents with something to
 remove.
 
 Defined results: null text is empty; texts shorter than the window lose
-nothing. Null ids come before all others. Rows of one id and one text are one
-document. Different texts of one id, and different texts without id, are
-documents of their own, in the order of their MD5; ``nth`` tells them apart (0
-for the first text of an id). Other columns are not read.
+nothing. Rows of one id and one text are one document. Different texts of one id,
+and different texts without id, are documents of their own (``numbered``). Null
+ids come before all others, in order of their texts' MD5; an id stands for its
+text of smallest MD5, and its other texts come behind all ids, in order of id
+and MD5. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -219,11 +220,10 @@ def merged_earliest(lists: list[tuple]) -> list[np.ndarray]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, nth, text: with doc_id, ``nth`` names a text and orders the texts of one id."""
-    if "nth" in docs.columns and len(docs.columns) == 3:
-        return docs
-    nth = F.when(F.col(ROW).eqNullSafe(F.col("doc_id").cast("long")), F.lit(0)).otherwise(F.col(ROW)).cast("long").alias("nth")
-    return with_row_key(docs.select("doc_id", "text")).select("doc_id", nth, "text")
+    """own_id, doc_id, text: ``doc_id`` is now one number for each different (own_id, text), in the defined order."""
+    keyed = with_row_key(docs.select("doc_id", "text"))
+    number = F.when(F.col("doc_id").isNull(), F.col(ROW) + F.lit(-(1 << 63))).otherwise(F.col(ROW))
+    return keyed.select(F.col("doc_id").alias("own_id"), number.alias("doc_id"), "text")
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -238,49 +238,47 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def located_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """anchor, digest, doc_id, nth, at, n of all segments of numbered documents."""
+    """anchor, digest, doc_id, at, n of all segments."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, group in hashing.blocks(batch.column(2).to_pylist()):
+            for base, group in hashing.blocks(batch.column(1).to_pylist()):
                 text, at, n, anchor, digest = segments(group, window)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(text + base)),
-                     batch.column(1).take(pa.array(text + base)), pa.array(at), pa.array(n)], ["anchor", "digest", "doc_id", "nth", "at", "n"])
+                     pa.array(at), pa.array(n)], ["anchor", "digest", "doc_id", "at", "n"])
 
-    return docs.select("doc_id", "nth", "text").mapInArrow(emit, f"anchor long, digest long, doc_id {id_type}, nth long, at long, n long")
+    return docs.select("doc_id", "text").mapInArrow(emit, f"anchor long, digest long, doc_id {id_type}, at long, n long")
 
 
 def cut_out(places: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``places`` (doc_id, nth, at, n, shard, split) with the bytes of each segment."""
+    """``places`` (doc_id, at, n, shard, split, anchor) with the bytes of each segment."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    wanted = places.groupBy("doc_id", "nth").agg(F.collect_list(F.struct("at", "n", "shard", "split")).alias("cuts"))  # at most a text's windows
-    texts = maybe_in(docs.select("doc_id", "nth", "text"), key_sketch(places, "doc_id"), "doc_id").dropDuplicates(["doc_id", "nth"])
-    wanted = wanted.withColumnsRenamed({"doc_id": "w_doc", "nth": "w_nth"})
-    both = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("nth") == F.col("w_nth"))).select("doc_id", "nth", "text", "cuts")
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "shard", "split")).alias("cuts"))  # at most a text's windows
+    texts = maybe_in(docs.select("doc_id", "text"), key_sketch(places, "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    both = texts.join(wanted.withColumnRenamed("doc_id", "w_doc"), F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("doc_id", "text", "cuts")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, cuts) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (text, cuts) in enumerate(zip(batch.column(1), batch.column(2))):
                 data, cuts = (text.as_py() or "").encode("utf-8", "surrogatepass"), cuts.values
                 at, n = cuts.field("at").to_pylist(), cuts.field("n").to_pylist()
                 pieces = [data[a:a + k + window - 1] for a, k in zip(at, n)]
-                row = pa.array(np.full(len(at), i))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), cuts.field("at"), cuts.field("n"), cuts.field("shard"),
-                     cuts.field("split"), pa.array(pieces, pa.binary())], ["doc_id", "nth", "at", "n", "shard", "split", "bytes"])
+                    [batch.column(0).take(pa.array(np.full(len(at), i))), cuts.field("at"), cuts.field("n"), cuts.field("shard"),
+                     cuts.field("split"), pa.array(pieces, pa.binary())], ["doc_id", "at", "n", "shard", "split", "bytes"])
 
-    return both.mapInArrow(emit, f"doc_id {id_type}, nth long, at long, n long, shard long, split boolean, bytes binary")
+    return both.mapInArrow(emit, f"doc_id {id_type}, at long, n long, shard long, split boolean, bytes binary")
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("nth", "ascending"), ("at", "ascending")], null_placement="at_start"))
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("at", "ascending")], null_placement="at_start"))
 
 
 def repeats_in_shards(cuts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Suffix arrays of all shards: repeated stretches (kind 0: doc_id, nth, at, to) and,
-    of anchors split over shards, the earliest windows (kind 1: doc_id, nth, at, digest)."""
+    """Suffix arrays of all shards: repeated stretches (kind 0: doc_id, at, to) and,
+    of anchors split over shards, the earliest windows (kind 1: doc_id, at, digest)."""
     id_type = cuts.schema["doc_id"].dataType.simpleString()
 
     def shard(table: pa.Table) -> pa.Table:
@@ -293,17 +291,17 @@ def repeats_in_shards(cuts: DataFrame, window: int = WINDOW) -> DataFrame:
         digests = [hashlib.blake2b(pieces[o][k:k + window], digest_size=16).digest() for o, k in zip(owner[own], offset[own])]
         rows = pa.array(np.concatenate([who, owner[own]]))
         return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [len(who), len(own)]),
-                         "doc_id": table["doc_id"].combine_chunks().take(rows), "nth": table["nth"].combine_chunks().take(rows),
+                         "doc_id": table["doc_id"].combine_chunks().take(rows),
                          "at": np.concatenate([at[who] + a, at[owner[own]] + offset[own]]),
                          "to": np.concatenate([at[who] + b, at[owner[own]] + offset[own] + window]),
                          "shard": np.concatenate([np.zeros(len(who), np.int64), np.resize(table["shard"].to_numpy()[:1], len(own))]),
                          "digest": pa.array([None] * len(who) + digests, pa.binary())})
 
-    return cuts.groupBy("shard").applyInArrow(shard, f"kind int, doc_id {id_type}, nth long, at long, to long, shard long, digest binary")
+    return cuts.groupBy("shard").applyInArrow(shard, f"kind int, doc_id {id_type}, at long, to long, shard long, digest binary")
 
 
 def merged_across(windows: DataFrame, parts: int) -> DataFrame:
-    """The repeats (doc_id, nth, at, to) among the earliest windows of several shards."""
+    """The repeats (doc_id, at, to) among the earliest windows of several shards."""
     id_type = windows.schema["doc_id"].dataType.simpleString()
 
     def merge(table: pa.Table) -> pa.Table:
@@ -317,54 +315,51 @@ def merged_across(windows: DataFrame, parts: int) -> DataFrame:
             rows.append(mine)
             lists.append((digest[mine], order[mine]))
         late = np.concatenate([r[f] for r, f in zip(rows, merged_earliest(lists))])
-        return table.take(pa.array(late)).select(["doc_id", "nth", "at", "to"])
+        return table.take(pa.array(late)).select(["doc_id", "at", "to"])
 
     part = F.pmod(F.xxhash64("digest"), F.lit(parts))
-    return (windows.select("doc_id", "nth", "at", "to", "shard", "digest", part.alias("part"))
-            .groupBy("part").applyInArrow(merge, f"doc_id {id_type}, nth long, at long, to long"))
+    return (windows.select("doc_id", "at", "to", "shard", "digest", part.alias("part"))
+            .groupBy("part").applyInArrow(merge, f"doc_id {id_type}, at long, to long"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """All repeated stretches (doc_id, nth, at, to); they overlap."""
-    docs = numbered(docs)
+    """All repeated stretches (doc_id, at, to); they overlap."""
     common = staged(anchors(docs, window).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     found = staged(maybe_in(located_segments(docs, window), key_sketch(common, "anchor"), "anchor"), "segments")
-    firsts = found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "nth", "at", "n")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "at", "n")).alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = staged(firsts.select("anchor", "digest", "first.*", "copies"), "firsts")
-    many = firsts.where("copies > 1").select("anchor", "digest", F.col("doc_id").alias("f_doc"), F.col("nth").alias("f_nth"), F.col("at").alias("f_at"))
+    many = firsts.where("copies > 1").select("anchor", "digest", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"))
     copies = (found.join(many, ["anchor", "digest"])
-              .where(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("nth") == F.col("f_nth")) & (F.col("at") == F.col("f_at"))))
-              .select("doc_id", "nth", "at", (F.col("at") + F.col("n") + (window - 1)).alias("to")))
+              .where(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("at") == F.col("f_at"))))
+              .select("doc_id", "at", (F.col("at") + F.col("n") + (window - 1)).alias("to")))
     mixed = (firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + window).alias("bytes"))
              .where("kinds > 1").drop("kinds"))
-    several = staged(firsts.join(mixed, "anchor").select("anchor", "digest", "doc_id", "nth", "at", "n", "bytes"), "several")
+    several = staged(firsts.join(mixed, "anchor").select("anchor", "digest", "doc_id", "at", "n", "bytes"), "several")
     size = several.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("bytes")).first()["bytes"]
     shards = max(1, -(-int(size) // shard_bytes))
     is_split = F.col("bytes") > shard_bytes
     salt = F.when(is_split, F.pmod("digest", F.ceil(F.col("bytes") / F.lit(shard_bytes)))).otherwise(F.lit(0))
-    dealt = several.select("doc_id", "nth", "at", "n", is_split.alias("split"),
+    dealt = several.select("doc_id", "at", "n", is_split.alias("split"),
                            F.when(is_split, -1 - F.abs(F.xxhash64("anchor", salt) % (1 << 62)))
                            .otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard"))
     judged = staged(repeats_in_shards(cut_out(dealt, docs, window), window), "judged")
     windows = judged.where("kind = 1")
     parts = max(1, -(-windows.count() // MERGE_ROWS))
-    return (copies.unionByName(judged.where("kind = 0").select("doc_id", "nth", "at", "to"))
+    return (copies.unionByName(judged.where("kind = 0").select("doc_id", "at", "to"))
             .unionByName(merged_across(windows, parts)))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
-    """doc_id, nth, kept (bytes), n_bytes, n_removed, n_spans of the documents that lose something."""
+    """doc_id, kept (bytes), n_bytes, n_removed, n_spans of the ``numbered`` documents that lose something."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    docs = numbered(docs)
     marks = staged(repeats(docs, window, **sizes), "repeats")
-    spans = marks.groupBy("doc_id", "nth").agg(F.collect_list(F.struct("at", "to")).alias("spans"))  # at most a text's windows
-    texts = maybe_in(docs.select("doc_id", "nth", "text"), key_sketch(marks, "doc_id"), "doc_id").dropDuplicates(["doc_id", "nth"])
-    spans = spans.withColumnsRenamed({"doc_id": "s_doc", "nth": "s_nth"})
-    both = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("nth") == F.col("s_nth"))).select("doc_id", "nth", "text", "spans")
+    spans = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("spans"))  # at most a text's windows
+    texts = maybe_in(docs.select("doc_id", "text"), key_sketch(marks, "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    both = texts.join(spans.withColumnRenamed("doc_id", "s_doc"), F.col("doc_id").eqNullSafe(F.col("s_doc"))).select("doc_id", "text", "spans")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (text, spans) in enumerate(zip(batch.column(1), batch.column(2))):
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 depth = np.zeros(len(data) + 1, np.int32)
                 np.add.at(depth, spans.values.field("at").to_numpy(), 1)
@@ -372,19 +367,19 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
                 gone = np.cumsum(depth[:-1]) > 0
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([data[~gone].tobytes()], pa.binary()), pa.array([len(data)]),
-                     pa.array([int(gone.sum())]), pa.array([n_spans])], ["doc_id", "nth", "kept", "n_bytes", "n_removed", "n_spans"])
+                    [batch.column(0).slice(i, 1), pa.array([data[~gone].tobytes()], pa.binary()), pa.array([len(data)]),
+                     pa.array([int(gone.sum())]), pa.array([n_spans])], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return both.mapInArrow(emit, f"doc_id {id_type}, nth long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return both.mapInArrow(emit, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def report(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = numbered(docs)
-    cut = deduplicated(docs, window, **sizes).select(F.col("doc_id").alias("c_doc"), F.col("nth").alias("c_nth"), "n_removed", "n_spans", F.sha2("kept", 256).alias("c_sha"))
+    cut = deduplicated(docs, window, **sizes).select(F.col("doc_id").alias("c_doc"), "n_removed", "n_spans", F.sha2("kept", 256).alias("c_sha"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select("doc_id", "nth", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    whole = docs.select("own_id", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     zero = F.lit(0).cast("long")
-    return whole.join(cut, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("nth") == F.col("c_nth")), "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+    return whole.join(cut, F.col("doc_id") == F.col("c_doc"), "left").select(
+        F.col("own_id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("c_sha", "sha").alias("kept_sha256"))

@@ -356,7 +356,11 @@ def test_suffix_dedup_texts_of_one_id(spark, docs, fixture_rows, sizes):
     """All fixture rows, and other texts under ids that are taken: each text is a document of its own."""
     more = [(61, fixture_rows[76][1]), (61, fixture_rows[60][1][:300] + "x" * 150), (None, fixture_rows[76][1]), (5, "y" + fixture_rows[5][1] * 3)]
     rows = [*fixture_rows, *more]
-    order = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+    md5 = lambda r: hashlib.md5((r[1] or "").encode()).digest()
+    first = {}
+    for r in sorted(rows, key=md5):
+        first.setdefault(r[0], md5(r))
+    order = lambda r: (r[0] is not None, r[0] is not None and md5(r) != first[r[0]], r[0] or 0, md5(r))
     seen, want = set(), {}
     for d, t in sorted({(d, t or "") for d, t in rows}, key=order):
         data = t.encode()
