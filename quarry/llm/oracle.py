@@ -89,3 +89,42 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 ORACLE = {"op3_url_filter": OP3, "op4_warc": OP4, "op5_benchmark_decontamination": OP5, "op6_exact_dedup": OP6}
+
+# CRC-32 of a decimal number: the table of 256 remainders, then byte by byte.
+# Rebuilt conversations as lists of turns; a node is a distinct beginning.
+OP12 = """
+WITH bits AS (
+    SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+                            lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab
+    FROM range(256) AS r(i)),
+t AS (
+    SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                              md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT c, list({'r': r, 'x': x} ORDER BY pos) AS turns, CAST(c AS VARCHAR) AS name FROM t GROUP BY c),
+h AS (
+    SELECT c, turns, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(s) AS BIGINT) FOR s IN string_split(name, '')]),
+                                     lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295) % 6 AS h
+    FROM own, bits),
+rebuilt AS (
+    SELECT h.c, list_concat(coalesce(s.turns[1:h], []), h.turns[h + 1:]) AS path
+    FROM h LEFT JOIN own s ON s.c = h.c - h.c % 100),
+rows AS (SELECT c, d, path[1:d] AS key, d = len(path) AS at_end FROM (SELECT c, path, unnest(range(len(path) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT key, d, min(c) AS m, count(*) AS n, coalesce(length(key[len(key)].x), 0) AS points,
+           coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE at_end), '') AS ends
+    FROM rows GROUP BY key, d),
+member AS (SELECT rows.c, rows.d, m FROM rows JOIN nodes ON rows.d = nodes.d AND rows.key = nodes.key),
+linked AS (SELECT nodes.*, p.m AS parent FROM nodes LEFT JOIN member p ON p.c = nodes.m AND p.d = nodes.d - 1),
+children AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children k ON k.parent = l.m AND k.d = l.d),
+sums AS (
+    SELECT a.m, a.d, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, CAST(sum((f.n - 1) * f.points) AS BIGINT) AS saved_tokens
+    FROM full_nodes f JOIN member a ON a.c = f.m AND a.d <= f.d GROUP BY a.m, a.d)
+SELECT f.m AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+FROM full_nodes f JOIN sums ON sums.m = f.m AND sums.d = f.d
+"""
+
+ORACLE["op12_prefix_trie"] = OP12
