@@ -128,3 +128,55 @@ FROM full_nodes f JOIN sums ON sums.m = f.m AND sums.d = f.d
 """
 
 ORACLE["op12_prefix_trie"] = OP12
+
+# Every document's score for every item; integers but for the weight.
+OP11 = """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (
+    SELECT row_number() OVER () AS q, item_id,
+           list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w
+    FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+whole AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, whole GROUP BY term, n_docs),
+scores AS (
+    SELECT q, item_id, r, doc_id,
+           CAST(sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM (SELECT q, item_id, unnest(w) AS term FROM i) JOIN weight USING (term) JOIN tf USING (term), whole
+    GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+def _near(words: int, percent: int, kept: str) -> str:
+    """Links by the shingles that two different sets share, and the smallest id reachable over them."""
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+                   ELSE list_sort(list_distinct([array_to_string(w[i:i + {words - 1}], ' ') FOR i IN range(1, len(w) - {words - 2})])) END AS s
+    FROM d),
+class AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+item AS (SELECT rep, n, unnest(s) AS e FROM class),
+link AS (
+    SELECT a.rep AS x, b.rep AS y FROM item a JOIN item b ON a.e = b.e AND a.rep <> b.rep
+       AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS x, rep AS y FROM class UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+low AS (SELECT x AS rep, min(y) AS component FROM reach GROUP BY x)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component, doc_id) AS component_id{kept}
+FROM sets LEFT JOIN class ON sets.s = class.s LEFT JOIN low ON low.rep = class.rep
+"""
+
+
+ORACLE |= {"op2_minhash_near_dedup": _near(5, 75, ", doc_id = component_id AS kept"), "op11_ranked_search": OP11,
+           "op13_jaccard_join": _near(3, 90, "")}
