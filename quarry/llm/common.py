@@ -27,22 +27,22 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
     It is the doc_id itself, but for rows without id and for all but the first
     text of an id: these get numbers above all ids, in order of id (null last)
-    and text hash. Only they are looked up; a fixed-size sketch of their ids
-    keeps the others where they are.
+    and text hash. Only ids are counted; texts are hashed and looked up for rows
+    without id or of an id that occurs again.
     """
-    seen = docs.select(F.col("doc_id").alias("__id"), text_hash().alias("__text")).distinct()
-    per_id = seen.where("__id is not null").groupBy("__id").agg(F.min("__text").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    several = staged(per_id.drop("__n"), "repeated-ids")
-    later = (maybe_in(seen.where("__id is not null"), key_sketch(several, "__id"), "__id").join(several, "__id")
-             .where("__text <> __first").select("__id", "__text"))
+    ids = docs.select(F.col("doc_id").alias("__id"))
+    again = staged(ids.where("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"), "repeated-ids")
+    d = flagged(docs, key_sketch(again, "__id"), "doc_id", "__again").withColumn("__again", F.col("__again") | F.col("doc_id").isNull())
+    seen = staged(d.where("__again").select(F.col("doc_id").alias("__id"), text_hash().alias("__text")).distinct(), "repeated-texts")
+    first = seen.where("__id is not null").groupBy("__id").agg(F.min("__text").alias("__first"))
+    later = seen.join(first, "__id").where("__text <> __first").select("__id", "__text")
     top = F.lit(docs.agg(F.greatest(F.max("doc_id").cast("long"), F.lit(0).cast("long")).alias("top")).first()["top"])
     extra = (seen.where("__id is null").unionByName(later).orderBy(F.asc_nulls_last("__id"), "__text")
              .withColumn("__number", top + 1 + F.monotonically_increasing_id()))
     extra = staged(extra, "row-keys")
-    d = flagged(docs, key_sketch(extra, "__id"), "doc_id", "__maybe")
-    found = d.where("__maybe").join(extra, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__text")), "left")
+    found = d.where("__again").join(extra, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__text")), "left")
     own = F.col("doc_id").cast("long")
-    return (d.where("not __maybe").select(*docs.columns, own.alias(ROW))
+    return (d.where("not __again").select(*docs.columns, own.alias(ROW))
             .unionByName(found.select(*docs.columns, F.coalesce("__number", own).alias(ROW))))
 
 

@@ -16,14 +16,14 @@ is one window). Lists are intersected from the rarest terms on:
    Postings of other documents stay out by a fixed-size sketch of the ids.
 3. Runs of ``width`` or more matched places are the occurrences, exactly.
 
-Terms, anchors and alignments are stored tables, so Spark knows their size and
+Texts are read and split once. Terms, anchors and alignments are stored tables, so Spark knows their size and
 broadcasts them only below its threshold; above it they are shuffled. Nothing
 is keyed by a term alone except the small side, so a frequent word is no hot
 key; aggregates combine in each task.
 
-Defined results: null text has no words; null ids are compared like values, and
-documents without id count as one document. A null item id is not listed in
-``items`` but its windows hit. Repeated rows of an id change nothing. Items with
+Defined results: null text has no words; each row is judged by its own text, also
+rows without id and different texts of one id (``with_row_key``). A null item id
+is not listed in ``items`` but its windows hit. Repeated rows change nothing. Items with
 one id and different texts are separate, listed once. Other columns are not read.
 """
 
@@ -111,27 +111,44 @@ def proximity_matches(index: DataFrame, test: DataFrame, slop: int) -> DataFrame
     return full.unionByName(pivot.where("size = 1").select("item", "item_id", "doc_id", "pos"))
 
 
+def indexed(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, sizes) of rows with a key ``ROW``, from one pass over the texts, stored.
+
+    index: (term, doc_id, pos) of the given terms, doc_id being the row's key.
+    sizes: (row, doc_id, n_words) of every row.
+    """
+    ended = F.concat(words(), F.array(F.lit(None).cast("string")))  # the place behind the last word tells their number
+    places = docs.select(F.col(ROW).alias("row"), "doc_id", F.posexplode(ended).alias("pos", "term"))
+    marked = terms.select("term", F.lit(True).alias("wanted"))
+    stored = staged(places.join(marked, "term", "left").where("wanted or term is null")
+                    .select("term", "row", F.when(F.col("term").isNull(), F.col("doc_id")).alias("doc_id"), "pos"), "postings")
+    index = stored.where("term is not null").select("term", F.col("row").alias("doc_id"), "pos")
+    return index, stored.where("term is null").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; each row is judged by its own text."""
+    return _contamination(with_row_key(docs.select("doc_id", "text")), benchmark, width).drop("row")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     test = staged(places(benchmark), "test-places")
     terms = staged(test.select("term").distinct(), "test-terms")
-    index = staged(postings(docs, terms), "postings")
-    hits = staged(occurrences(index, test, width), "occurrences")
-    covered = (hits.select("doc_id", F.explode(F.sequence("start", "end")).alias("pos")).distinct()
-               .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit")))
-    items = (hits.select("doc_id", F.col("item_id").cast("string").alias("id")).distinct()
-             .groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("ids")))  # at most the items of the test set
-    per_doc = covered.join(items.withColumnRenamed("doc_id", "i_doc"), F.col("doc_id").eqNullSafe(F.col("i_doc"))).select(
-        F.col("doc_id").alias("h_doc"), "n_hit", "ids")
-    out = docs.select("doc_id", F.size(words()).cast("long").alias("n_words")).join(
-        per_doc, F.col("doc_id").eqNullSafe(F.col("h_doc")), "left")
+    index, sizes = indexed(docs, terms)
+    hits = staged(occurrences(index, test, width).withColumnRenamed("doc_id", "row"), "occurrences")
+    covered = (hits.select("row", F.explode(F.sequence("start", "end")).alias("pos")).distinct()
+               .groupBy("row").agg(F.count(F.lit(1)).alias("n_hit")))
+    items = (hits.select("row", F.col("item_id").cast("string").alias("id")).distinct()
+             .groupBy("row").agg(F.array_sort(F.collect_set("id")).alias("ids")))  # at most the items of the test set
+    out = sizes.join(covered.join(items, "row"), "row", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
                       F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any occurrence, with all their columns; each row is judged by its own text."""
     docs = with_row_key(docs)
-    return without(docs, contamination(docs.select(F.col(ROW).alias("doc_id"), "text"), benchmark, width).where("contaminated"))
+    hit = _contamination(docs.select(ROW, "doc_id", "text"), benchmark, width).where("contaminated")
+    return without(docs, hit.select(F.col("row").alias("doc_id")))

@@ -72,7 +72,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
     Documents whose hash surely occurs once are not moved; the others look up
-    their group by hash. Of repeated rows of a kept id one is returned.
+    their group by hash. Of several rows of a kept id the one with the longest text
+    is returned; of these the last in order of all columns, whatever the partitions.
     """
     cols = docs.columns
     g = staged(copy_groups(docs).select(F.col("hash").alias("__hash"), F.col("text_sha256").alias("__sha"),
@@ -81,4 +82,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = d.where("__maybe").withColumn("__sha", F.sha2(normalised(), 256)).join(g, ["__hash", "__sha"], "left")
     single = d.where("not __maybe").select(*cols).unionByName(joined.where(F.col("__size").isNull()).select(*cols))
     kept = joined.where(F.col("__size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep")))
-    return single.unionByName(kept.dropDuplicates(["__hash", "__sha"]).select(*cols))
+    row = F.struct(*cols)
+    best = kept.groupBy("__hash", "__sha").agg(F.max_by(row, F.struct(F.coalesce(F.char_length("text"), F.lit(0)), F.to_json(row))).alias("__row"))
+    return single.unionByName(best.select("__row.*"))

@@ -45,8 +45,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm import hashing
 from quarry.llm.common import staged
-from quarry.llm.minhash import components, shingle_sets
+from quarry.llm.minhash import components
 from quarry.llm.set_pairs import verified
+from quarry.llm.shingles import shingle_sets
 from quarry.plans.sketch import key_sketch, maybe_in
 
 WORDS, PERCENT = 3, 90

@@ -12,9 +12,10 @@ at 0.75 share no bucket with probability (1 - 0.75^rows)^bands, 1e-6 as set.
 
 1. Documents with equal sets are one class: the smallest id stands for it, and
    only representatives go on. No pair is made of copies.
-2. Every member of a bucket is compared with the bucket's smallest id, on full
-   sets; verified links are contracted to components.
-3. In buckets that still hold several components, members of different
+2. Every document is compared, on full sets, with one leader: the smallest id of
+   all its buckets. Links are contracted to components. Where a bucket's leader is
+   still in another component, a document is compared with one more such leader.
+3. In buckets that still hold several components, all members of different
    components are compared, so no link between different texts is lost. Pairs
    that can't be similar enough never leave the join: a set's profile has a bit
    for each of ``64 * PARTS`` hash classes, set if the class holds an odd number
@@ -24,8 +25,9 @@ at 0.75 share no bucket with probability (1 - 0.75^rows)^bands, 1e-6 as set.
    a written table in the shared folder; only a count comes to the driver.
 
 Sketches, buckets and labels are narrow. Texts move only for documents that a
-bucket pairs with another, through a fixed-size sketch of their ids. Hot
-buckets are pre-aggregated, and joins on them are split by the skew join.
+bucket pairs with another, through a sketch of their ids; a leader's text goes
+once to each chunk of its members (``set_pairs``). Hot buckets are
+pre-aggregated, and joins on them are split by the skew join.
 
 Defined results: null text is empty; documents without words are linked with
 nothing and are their own component. A document without id is not compared; its
@@ -35,7 +37,7 @@ rows of one id are one document of that component. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,37 +46,17 @@ from pyspark.sql import functions as F
 
 from quarry.llm import hashing
 from quarry.llm.common import ROW, staged, with_row_key, without
-from quarry.plans.sketch import key_sketch, maybe_in
+from quarry.llm.set_pairs import verified
+from quarry.llm.shingles import WORDS, shingle_sets
 
-WORDS, PERCENT = 5, 75
+PERCENT = 75
 BANDS, ROWS = 72, 6
 PARTS = 16  # longs of a profile
-BETWEEN = hashing.byte_set((0x09, 0x0D), (0x20, 0x20))
-_C = np.random.default_rng(11).integers(1, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _C[WORDS:] * np.arange(256, dtype=np.uint64)  # for a sequence of n words
 _BAND = np.random.default_rng(13).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_C = np.random.default_rng(11).integers(1, 1 << 63, 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = np.random.default_rng(12).integers(1, 1 << 63, 4 * BANDS * ROWS + 64, np.uint64)
 
 
-def shingle_sets(texts: Iterable[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text (whole sequence if shorter)."""
-    for _, group in hashing.blocks(texts):
-        h, counts = hashing.words_of(group, BETWEEN, hashing.LOWER)
-        full = np.full(max(0, len(h) - words + 1), _SALT[words], np.uint64)
-        for j in range(words):
-            full += h[j:j + len(full)] * _C[j]
-        full = hashing.mix(full)
-        start = 0
-        for n in counts.tolist():
-            if n >= words:
-                yield np.unique(full[start:start + n - words + 1])
-            elif n:
-                yield hashing.mix((h[start:start + n] * _C[:n]).sum(keepdims=True) + _SALT[n])
-            else:
-                yield np.zeros(0, np.uint64)
-            start += n
-
-
 def similarity_sketch(items: np.ndarray, t: int) -> np.ndarray:
     """t coordinates, each the smallest (round << 48 | value) thrown into it."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -118,33 +100,12 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of the pairs (a, b), those similar enough on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = maybe_in(docs.select("doc_id", "text"), key_sketch(ids, "doc_id"), "doc_id")
-
-    @F.pandas_udf("boolean")
-    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for one, two in batches:
-            leaders = list(dict.fromkeys(one))
-            sets = dict(zip(leaders, shingle_sets(leaders)))
-            out = []
-            for a, b in zip(one, shingle_sets(two)):
-                both = len(np.intersect1d(sets[a], b, assume_unique=True))
-                out.append(both > 0 and 100 * both >= percent * (len(sets[a]) + len(b) - both))
-            yield pd.Series(out, dtype=bool)
-
-    return (pairs.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b")
-            .join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
-            .where(similar("text_a", "text_b")).select("a", "b"))
-
-
-def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(doc, component): the smallest id reachable over links (a, b)."""
+def components(links: DataFrame) -> DataFrame:
+    """(doc, component): the smallest id reachable over links (a, b); rounds go on until no label changes."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component"))
                     .withColumnRenamed("a", "doc"), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (both.join(labels.withColumnRenamed("doc", "b").withColumnRenamed("component", "other"), "b")
                 .groupBy("a").agg(F.min("other").alias("other")))
         least = labels.join(near, labels.doc == near.a).select(
@@ -154,7 +115,13 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         labels = new.select("doc", "component")
         if not new.where("old <> component").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def in_several(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, doc, leader, component) of the buckets that hold several components, stored."""
+    labelled = shared.join(found, "doc", "left").select("key", "doc", "leader", F.coalesce("component", "doc").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return staged(labelled.join(mixed.select("key"), "key"), "mixed")
 
 
 def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
@@ -174,18 +141,27 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent:
     differ = F.greatest(differ, F.abs(F.col("n_a") - F.col("n_b")))
     possible = (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     side = {c: sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"p_{c}")) for c in "ab"}
-    first = shared.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    near = first.join(side["a"], "a").join(side["b"], "b").where(possible).select("a", "b")
-    links = staged(verified(staged(near, "pairs"), docs, percent), "links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side["a"], "a").join(side["b"], "b").where(possible).select("a", "b")
+        return staged(verified(staged(near, "pairs"), docs, WORDS, percent), "links")
+
+    # one leader for each document, then one of another component for those it did not link
+    offers = shared.where("doc <> leader").groupBy("doc").agg(F.min("leader").alias("a")).select("a", F.col("doc").alias("b"))
+    links = linked(offers)
     found = components(links)
-    # what is left: members of one bucket in different components
-    labelled = shared.join(found, "doc", "left").select("key", "doc", "leader", F.coalesce("component", "doc").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    members = staged(labelled.join(mixed.select("key"), "key"), "mixed")
+    members = in_several(shared, found)
+    leaders = members.where("doc = leader").select("key", "leader", F.col("component").alias("other"))
+    offers = (members.join(leaders, ["key", "leader"]).where("component <> other").groupBy("doc").agg(F.min("leader").alias("a"))
+              .select("a", F.col("doc").alias("b")))
+    links = staged(links.unionByName(linked(offers)), "links")
+    found = components(links)
+    # what is left: all members of one bucket in different components
+    members = in_several(shared, found)
     one = members.select("key", F.col("doc").alias("a"), F.col("component").alias("ca")).join(side["a"], "a")
-    two = members.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"), "leader").join(side["b"], "b")
-    second = one.join(two, "key").where(F.expr("a < b and ca <> cb and a <> leader") & possible).select("a", "b").distinct()
-    more = staged(verified(staged(second, "pairs"), docs, percent), "links")
+    two = members.select("key", F.col("doc").alias("b"), F.col("component").alias("cb")).join(side["b"], "b")
+    rest = one.join(two, "key").where(F.expr("a < b and ca <> cb") & possible).select("a", "b").distinct()
+    more = staged(verified(staged(rest, "pairs"), docs, WORDS, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

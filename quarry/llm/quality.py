@@ -8,15 +8,18 @@ training; words tell what has an ordinary shape (spam vocabulary, boilerplate).
 Both are hashed to the same ``BUCKETS`` buckets, so the model has a fixed size
 whatever the corpus.
 
-1. Every labelled training row (all of them) is featurised where it is scanned;
-   a fixed-size sketch of the labelled ids keeps the other texts out. Labels are
-   joined to the narrow features, not to the texts.
-2. Class counts of every bucket over all training rows, a combined aggregate,
-   give the log-count ratios ``r``: log((p / |p|) / (q / |q|)), smoothed by one.
+1. Labels are joined to ids first. Texts of labelled training rows, kept apart by
+   a fixed-size sketch of their ids, meet their label in one shuffle; where they
+   arrive each task featurises them, adds up its own two count vectors and
+   hands on features of the sample alone. No feature is shuffled.
+2. Class counts of every bucket over all training rows give the log-count ratios
+   ``r``: log((p / |p|) / (q / |q|)), smoothed by one.
 3. A linear hinge-loss model over the indicators scaled by ``r`` is fitted by
-   dual coordinate descent on at most ``max_rows`` training rows (those of the
-   smallest id hash). That bound is the only sample here. The weights are
-   pulled towards their mean size by ``1 - beta``.
+   dual coordinate descent, in one task, on at most ``max_rows`` training rows
+   and ``MAX_VALUES`` features of theirs, those of the smallest hash of id and
+   text (chosen before any feature exists; repeated rows once). These bounds are
+   the only sample here. The weights are pulled towards their mean size by
+   ``1 - beta``.
 4. Every whole text is scored in its scan: a look-up per distinct n-gram.
 
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out and never learnt from.
@@ -45,6 +48,8 @@ from quarry.plans.sketch import key_sketch, maybe_in
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 MAX_ROWS = 20_000  # training rows of the fit; the counts take all rows
+MAX_VALUES = 1 << 25  # features of these rows together (128 MiB)
+HASHES = 1 << 62
 
 
 WHITE, LOWER, UPPER, DIGIT, OTHER = range(5)
@@ -123,19 +128,47 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """doc_id, label, features of every labelled row that is not held out."""
+def training_labels(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, label of every labelled id that is not held out."""
     id_type = docs.schema["doc_id"].dataType  # hashes of ids must be of one type
-    lab = (labels.withColumn("doc_id", F.col("doc_id").cast(id_type)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-           .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label")))
+    return (labels.withColumn("doc_id", F.col("doc_id").cast(id_type)).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+            .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label")))
 
-    @F.pandas_udf("array<int>")
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series(list(features_of(batch)), dtype=object)
 
-    near = maybe_in(docs.select("doc_id", "text"), key_sketch(lab, "doc_id"), "doc_id")
-    return near.select("doc_id", features("text").alias("features")).join(lab, "doc_id")
+GATHERED = "bucket int, p long, q long, label int, hash long, n int, features binary"
+
+
+def _gather(least_hash: int):
+    """Count vectors of a task's training rows, and the features of those whose hash is below ``least_hash``."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p, q, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), set()
+        for b in batches:
+            kept = []
+            for label, h, f in zip(b.label.tolist(), b.hash.tolist(), features_of(b.text)):
+                (p if label else q)[f] += 1
+                if h < least_hash and h not in seen:
+                    seen.add(h)
+                    kept.append((label, h, len(f), f.tobytes()))
+            if kept:
+                yield pd.DataFrame(kept, columns=["label", "hash", "n", "features"]).assign(bucket=-1, p=0, q=0)[GATHERED_NAMES]
+        at = np.flatnonzero(p + q).astype(np.int32)
+        yield pd.DataFrame({"bucket": at, "p": p[at], "q": q[at], "label": 0, "hash": 0, "n": 0, "features": None})
+
+    return gather
+
+
+GATHERED_NAMES = [x.split()[0] for x in GATHERED.split(", ")]
+
+
+def gathered(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """Counts (bucket, p, q) and, with bucket -1, the sample (label, hash, n, features), stored."""
+    lab = staged(training_labels(docs, labels, label), "quality-labels")
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES))
+    rows = docs.select("doc_id").join(lab.select("doc_id"), "doc_id").count()
+    part = min(1.0, 1.2 * (max_rows + 1000) / max(1, rows))  # the few too many are cut later
+    near = maybe_in(docs.select("doc_id", "text"), key_sketch(lab, "doc_id"), "doc_id").join(lab, "doc_id")
+    return staged(near.select("label", hashed.alias("hash"), "text").mapInPandas(_gather(int(part * HASHES)), GATHERED), "quality-gathered")
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = 0.01,
@@ -148,7 +181,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v, label = rows[i], scale[rows[i]], y[i]  # looked up each time: the driver holds only the rows' buckets
+            r, v, label = rows[i], scale[rows[i]], y[i]  # looked up each time: only the rows' buckets are held
             gradient = label * (w[r] @ v + bias) - 1.0
             new = min(max(alpha[i] - gradient / diagonal[i], 0.0), cost)
             step = (new - alpha[i]) * label
@@ -162,23 +195,47 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, beta: float = 0.75) -> Model:
-    rows = staged(training_rows(docs, labels, label), "quality-features")
-    counts = (rows.select("label", F.explode("features").alias("bucket")).groupBy("bucket")
-              .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).toArrow())  # at most BUCKETS rows
+def log_count_ratios(counts: DataFrame) -> np.ndarray:
+    """``r`` of every bucket, from (bucket, p, q); buckets that never occur have 0."""
+    total = counts.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()  # at most BUCKETS rows
     p, q = np.ones(BUCKETS), np.ones(BUCKETS)
-    at = counts["bucket"].to_numpy()
-    p[at] += counts["p"].to_numpy()
-    q[at] += counts["q"].to_numpy()
+    at = total["bucket"].to_numpy()
+    p[at] += total["p"].to_numpy()
+    q[at] += total["q"].to_numpy()
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
     seen = np.zeros(BUCKETS, bool)
     seen[at] = True
-    ratio = np.where(seen, np.log((p / p.sum()) / (q / q.sum())), 0.0)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("label", "features").toArrow()
-    y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
-    if not len(y):
+    return np.where(seen, ratio, 0.0)
+
+
+def _fitter(ratio):
+    """Fits the rows of the sample, in order of their hash; one row: weights over scaled indicators, and the bias."""
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = ratio.value
+        by_hash = {h: (label, f) for b in batches for h, label, f in zip(b.hash.tolist(), b.label.tolist(), b.features)}
+        rows = [by_hash[h] for h in sorted(by_hash)]
+        y = np.array([1.0 if label else -1.0 for label, _ in rows])
+        w, bias = dual_coordinate_descent([np.frombuffer(f, np.int32) for _, f in rows], y, r)
+        yield pd.DataFrame({"weights": [w.tobytes()], "bias": [bias]})
+
+    return fitted
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, beta: float = 0.75,
+        max_values: int = MAX_VALUES) -> Model:
+    rows = gathered(docs, labels, label, max_rows)
+    ratio = log_count_ratios(rows.where("bucket >= 0").select("bucket", "p", "q"))
+    sample = rows.where("bucket < 0").select("label", "hash", "n", "features")
+    # the last hash within both bounds, from a little over max_rows narrow rows
+    sizes = sample.groupBy("hash").agg(F.max("n").alias("n")).toArrow().to_pandas().sort_values("hash")
+    within = sizes[(np.arange(len(sizes)) < max_rows) & (sizes.n.cumsum() <= max_values)]
+    if not len(within):
         return Model(np.zeros(BUCKETS), 0.0)
-    features = [x.values.to_numpy() for chunk in sample["features"].chunks for x in chunk]
-    w, bias = dual_coordinate_descent(features, y, ratio)
+    sample = sample.where(F.col("hash") <= int(within.hash.iloc[-1]))
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    got = sample.coalesce(1).mapInPandas(_fitter(shared), "weights binary, bias double").first()
+    w, bias = np.frombuffer(got["weights"]), got["bias"]
     mean = np.abs(w).sum() / max(1, np.count_nonzero(w))
     return Model(((1 - beta) * mean + beta * w) * ratio, bias)
 

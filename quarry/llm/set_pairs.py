@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.minhash import shingle_sets
+from quarry.llm.shingles import shingle_sets
 from quarry.plans.sketch import key_sketch, maybe_in
 
 CHUNK = 64

@@ -274,16 +274,28 @@ def benchmark_items(fixture_rows):
 def test_contamination(spark, docs, no_docs, fixture_rows, benchmark_items):
     items = spark.createDataFrame([(i, t, "x") for i, t in benchmark_items], "item_id long, text string, term string")
     out = decontam.contamination(docs, items)
-    want = brute_contamination([r for r in fixture_rows if r[0] is not None], benchmark_items, 10)
-    got = {d: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for d, r in by_id(out).items()}
-    assert got == want and out.count() == len(fixture_rows) and any(v[4] for v in want.values())
+    each = brute_contamination([(i, t) for i, (_, t) in enumerate(fixture_rows)], benchmark_items, 10)
+    want = Counter((d, *each[i]) for i, (d, _) in enumerate(fixture_rows))
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()) == want
+    assert any(v[-1] for v in want)
     clean = decontam.clean_documents(docs, items)
     assert clean.columns == docs.columns
-    assert {r.doc_id for r in clean.collect()} - {None} == {d for d, v in want.items() if not v[4]}
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(d for i, (d, _) in enumerate(fixture_rows) if not each[i][4])
     assert decontam.contamination(no_docs, items).count() == 0
     assert decontam.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_of_rows_that_share_an_id(spark):
+    """No text holds the window: its halves stand in two rows of one id, or without id."""
+    w = [f"w{i}" for i in range(10)]
+    halves = [" ".join(w[:5]), " ".join(w[5:])]
+    rows = [(1, halves[0]), (1, halves[1]), (None, halves[0]), (None, halves[1]), (2, " ".join(w)), (2, "clean"), (None, " ".join(w).upper())]
+    items = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    out = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in out)
+    assert got == Counter([(1, 5, 0, False), (1, 5, 0, False), (None, 5, 0, False), (None, 5, 0, False), (2, 10, 10, True), (2, 1, 0, False), (None, 10, 10, True)])
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a x x b c"), (2, "a x x x x x x b c"), (3, "c b a"), (4, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
@@ -323,6 +335,16 @@ def test_exact_dedup_keeps_columns(docs, fixture_rows):
     assert out.columns == docs.columns and {r.doc_id for r in rows} == want and len(rows) == len({(r.doc_id, r.text) for r in rows})
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_exact_dedup_of_rows_of_one_id(spark, partitions):
+    """The survivor is the longest text of the kept id, however the rows are dealt."""
+    rows = [(5, "ab", "z"), (5, "a b", "y"), (6, "ab", "x"), (5, "a b", "q"), (7, None, "n"), (7, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(partitions)
+    out = exact_dedup.dedup(docs).collect()
+    assert sorted((r.doc_id, r.text or "", r.lang) for r in out) in ([(5, "a b", "y"), (7, "", "n")], [(5, "a b", "y"), (7, "", "m")])
+    assert [tuple(r) for r in out if r.doc_id == 5] == [(5, "a b", "y")]
+
+
 # 7: repeated byte strings
 
 def brute_repeats(rows, window):
@@ -446,6 +468,62 @@ def test_dual_coordinate_descent_separates():
     assert (margins > 0.9).all()
 
 
+def test_dual_coordinate_descent_against_projected_gradient():
+    """The dual of the hinge loss solved independently, on the whole Gram matrix."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 60, 10)) for _ in range(80)]
+    y = np.where(rng.random(80) < 0.5, 1.0, -1.0)
+    scale, cost = rng.normal(size=60), 0.1
+    x = np.zeros((80, 61))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r]
+    x[:, 60] = 1.0  # the bias
+    signed = x * y[:, None]
+    gram = signed @ signed.T
+    alpha = np.zeros(80)
+    for _ in range(40_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    w, bias = quality.dual_coordinate_descent(rows, y, scale, cost=cost, epochs=3000)
+    assert np.allclose(signed.T @ alpha, np.append(w, bias), atol=1e-3)
+
+
+def plain_model(rows, labels, max_rows=10**9):
+    """Counts, ratios and fit of the training rows in plain Python; ``rows``: (hash, id, text)."""
+    train = [(h, i, next(quality.features_of([t]))) for h, i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = {1: Counter(), 0: Counter()}
+    for _, i, f in train:
+        counts[labels[i]].update(f.tolist())
+    n = {k: quality.BUCKETS + c.total() for k, c in counts.items()}
+    ratio = np.zeros(quality.BUCKETS)
+    for b in set(counts[0]) | set(counts[1]):
+        ratio[b] = math.log((1 + counts[1][b]) / n[1]) - math.log((1 + counts[0][b]) / n[0])
+    sample = sorted(train)[:max_rows] if max_rows < len(train) else sorted(train, key=lambda x: x[0])
+    w, bias = quality.dual_coordinate_descent([f for _, _, f in sample], np.array([1.0 if labels[i] else -1.0 for _, i, _ in sample]), ratio)
+    mean = np.abs(w).sum() / np.count_nonzero(w)
+    return ((0.25 * mean + 0.75 * w) * ratio), bias
+
+
+@pytest.mark.parametrize("max_rows", [10**9, 50])
+def test_quality_scores_against_a_plain_fit(spark, max_rows):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r.h, r.doc_id, r.text) for r in docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(quality.HASHES)).alias("h")).collect()]
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    weights, bias = plain_model(rows, marks, max_rows)
+    model = quality.fit(docs.repartition(7), labels, max_rows=max_rows)
+    assert np.allclose(model.weights, weights) and model.bias == pytest.approx(bias)
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and some more") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    rows = quality.gathered(docs, labels, "quality", 40).where("bucket < 0")
+    n = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300))
+    assert rows.count() == n  # too few to leave any out before the cut
+    whole, few = quality.fit(docs, labels), quality.fit(docs, labels, max_rows=10, max_values=60)
+    assert np.count_nonzero(whole.weights) >= np.count_nonzero(few.weights) > 0
+
+
 # 10: sharding
 
 def test_sharding(docs, no_docs, fixture_rows):
