@@ -107,8 +107,23 @@ def test_verified_pairs_and_texts_of_one_id(spark):
     assert sorted(tuple(r) for r in set_pairs.verified(pairs, d, 3, 90).collect()) == [(1, 2), (2, 3)]
 
 
-def test_slot_counts(spark):
-    d = spark.createDataFrame([(1, "a b c"), (2, "A b c d"), (3, None)], "doc_id long, text string")
-    counts = jaccard_join.slot_counts(d, 1 << 10)
-    assert counts.sum() == 3 and sorted(counts[counts > 0].tolist()) in ([1, 2], [3])
-    assert isinstance(counts, np.ndarray) and jaccard_join.slot_counts(d.where(F.lit(False)), 16).sum() == 0
+def test_slot_levels(spark):
+    d = spark.createDataFrame([(1, "a b c"), (2, "A b c d"), (3, None)], "doc_id long, text string").repartition(3)
+    levels = jaccard_join.slot_levels(d, 1 << 16)
+    assert sorted(levels[levels > 0].tolist()) in ([1, 2], [3])
+    assert not jaccard_join.slot_levels(d.where(F.lit(False)), 16).any()
+    counts = jaccard_join.level_of(np.arange(100000))
+    assert (np.diff(counts.astype(int)) >= 0).all() and counts[128] == 128 and counts.max() < 255
+
+
+@pytest.mark.parametrize("n, m", [(10, 12), (500, 530), (1020, 1030), (3000, 2800), (1100, 1000)])
+def test_profiles_bound_the_difference(spark, n, m):
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 1 << 63, n, np.uint64)
+    b = np.concatenate([a[:n * 9 // 10], rng.integers(0, 1 << 63, m - n * 9 // 10, np.uint64)])
+    size = lambda s: max(jaccard_join.PARTS, 1 << (2 * len(s) // 64).bit_length())
+    row = [(jaccard_join.profile(s, size(s)).tolist()) for s in (a, b)]
+    df = spark.createDataFrame([tuple(row)], "a array<long>, b array<long>")
+    (got,) = df.select(jaccard_join.differing("a", "b")).first()
+    true = len(np.setxor1d(a, b))
+    assert true * 0.5 < got <= true
