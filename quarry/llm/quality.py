@@ -33,6 +33,7 @@ rows every score is 0.5; null labels are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,25 +136,27 @@ def training_labels(docs: DataFrame, labels: DataFrame, label: str = "quality")
             .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label")))
 
 
-GATHERED = "bucket int, p long, q long, label int, hash long, n int, features binary"
+CHUNK = 1 << 14  # buckets whose counts travel together
+GATHERED = "chunk int, counts binary, label int, hash long, n int, features binary"
 
 
 def _gather(least_hash: int):
     """Count vectors of a task's training rows, and the features of those whose hash is below ``least_hash``."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, q, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), set()
+        counts, seen = np.zeros((2, BUCKETS), np.int64), set()
         for b in batches:
             kept = []
             for label, h, f in zip(b.label.tolist(), b.hash.tolist(), features_of(b.text)):
-                (p if label else q)[f] += 1
+                counts[0 if label else 1, f] += 1
                 if h < least_hash and h not in seen:
                     seen.add(h)
                     kept.append((label, h, len(f), f.tobytes()))
             if kept:
-                yield pd.DataFrame(kept, columns=["label", "hash", "n", "features"]).assign(bucket=-1, p=0, q=0)[GATHERED_NAMES]
-        at = np.flatnonzero(p + q).astype(np.int32)
-        yield pd.DataFrame({"bucket": at, "p": p[at], "q": q[at], "label": 0, "hash": 0, "n": 0, "features": None})
+                yield pd.DataFrame(kept, columns=["label", "hash", "n", "features"]).assign(chunk=-1, counts=None)[GATHERED_NAMES]
+        for at in range(0, BUCKETS, CHUNK):
+            if (own := counts[:, at:at + CHUNK]).any():
+                yield pd.DataFrame({"chunk": [at // CHUNK], "counts": [zlib.compress(own.tobytes(), 1)], "label": 0, "hash": 0, "n": 0, "features": None})
 
     return gather
 
@@ -162,7 +165,7 @@ GATHERED_NAMES = [x.split()[0] for x in GATHERED.split(", ")]
 
 
 def gathered(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Counts (bucket, p, q) and, with bucket -1, the sample (label, hash, n, features), stored."""
+    """Counts of each task (chunk, counts) and, with chunk -1, the sample (label, hash, n, features), stored."""
     lab = staged(training_labels(docs, labels, label), "quality-labels")
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES))
     rows = docs.select("doc_id").join(lab.select("doc_id"), "doc_id").count()
@@ -195,17 +198,24 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     return w, bias
 
 
-def log_count_ratios(counts: DataFrame) -> np.ndarray:
-    """``r`` of every bucket, from (bucket, p, q); buckets that never occur have 0."""
-    total = counts.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()  # at most BUCKETS rows
-    p, q = np.ones(BUCKETS), np.ones(BUCKETS)
-    at = total["bucket"].to_numpy()
-    p[at] += total["p"].to_numpy()
-    q[at] += total["q"].to_numpy()
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    seen = np.zeros(BUCKETS, bool)
-    seen[at] = True
-    return np.where(seen, ratio, 0.0)
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sum of each chunk's counts, read as a stream."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for chunk, counts in zip(b.chunk.tolist(), b["counts"]):
+            own = np.frombuffer(zlib.decompress(counts), np.int64)
+            sums[chunk] = sums[chunk] + own if chunk in sums else own
+    yield pd.DataFrame({"chunk": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+
+
+def log_count_ratios(rows: DataFrame) -> np.ndarray:
+    """``r`` of every bucket, from (chunk, counts) of all tasks; buckets that never occur have 0."""
+    got = rows.repartition(BUCKETS // CHUNK, "chunk").mapInPandas(_summed, "chunk int, counts binary").toArrow().to_pydict()  # 2 * BUCKETS numbers
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for chunk, own in zip(got["chunk"], got["counts"]):
+        counts[:, chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(own, np.int64).reshape(2, CHUNK)
+    p, q = counts + 1.0
+    return np.where(counts.any(axis=0), np.log((p / p.sum()) / (q / q.sum())), 0.0)
 
 
 def _fitter(ratio):
@@ -225,8 +235,8 @@ def _fitter(ratio):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, beta: float = 0.75,
         max_values: int = MAX_VALUES) -> Model:
     rows = gathered(docs, labels, label, max_rows)
-    ratio = log_count_ratios(rows.where("bucket >= 0").select("bucket", "p", "q"))
-    sample = rows.where("bucket < 0").select("label", "hash", "n", "features")
+    ratio = log_count_ratios(rows.where("chunk >= 0").select("chunk", "counts"))
+    sample = rows.where("chunk < 0").select("label", "hash", "n", "features")
     # the last hash within both bounds, from a little over max_rows narrow rows
     sizes = sample.groupBy("hash").agg(F.max("n").alias("n")).toArrow().to_pandas().sort_values("hash")
     within = sizes[(np.arange(len(sizes)) < max_rows) & (sizes.n.cumsum() <= max_values)]

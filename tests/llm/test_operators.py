@@ -517,7 +517,7 @@ def test_quality_scores_against_a_plain_fit(spark, max_rows):
 def test_quality_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"word{i} and some more") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
-    rows = quality.gathered(docs, labels, "quality", 40).where("bucket < 0")
+    rows = quality.gathered(docs, labels, "quality", 40).where("chunk < 0")
     n = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300))
     assert rows.count() == n  # too few to leave any out before the cut
     whole, few = quality.fit(docs, labels), quality.fit(docs, labels, max_rows=10, max_values=60)
