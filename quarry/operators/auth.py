@@ -1,8 +1,9 @@
-"""Access tokens and request authorisation, evaluated per run at ``as_of``.
+"""Access tokens and request authorisation.
 
-The service fetched the token list once and cached it for ever; here each
-run joins the requests with the tokens live at an explicit ``as_of``, so
-results repeat and expiry is honoured. Token values are never logged.
+The service fetched the token list once and cached it for ever. Here each run
+joins the requests with the tokens live at an explicit ``as_of``, so results
+repeat and expiry is honoured; or (``authorize_at``) with the tokens live at
+each request's own time. Token values are never logged.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import defaults as D
 from quarry.functions.text import strip_bearer
 from quarry.plans.joins import lookup_join
+from quarry.plans.scan import running
 
 ERR_NO_HEADER = "authorization header is missing"
 ERR_BAD_SCHEME = "invalid authorization header format"
@@ -53,11 +55,11 @@ def issue_tokens(users: DataFrame, as_of, secret: str | None = None) -> DataFram
                         (stamp + F.expr(D.TOKEN_LIFETIME)).alias("expiration"))
 
 
-def _parsed(requests: DataFrame, header_col: str) -> DataFrame:
+def _parsed(requests: DataFrame, header_col: str, *cols: str) -> DataFrame:
     h = F.col(header_col)
     reason = (F.when(h.isNull() | (h == ""), F.lit(ERR_NO_HEADER))
               .when(~h.startswith(D.BEARER_PREFIX), F.lit(ERR_BAD_SCHEME)))
-    return requests.select("request_id", strip_bearer(h).alias("token"), reason.alias("reason"))
+    return requests.select("request_id", strip_bearer(h).alias("token"), reason.alias("reason"), *cols)
 
 
 def _match_tokens(parsed: DataFrame, tokens: DataFrame, how: str) -> DataFrame:
@@ -78,3 +80,31 @@ def unauthorized(requests: DataFrame, tokens: DataFrame, as_of, header_col: str
     unknown = (_match_tokens(p.where(F.col("reason").isNull()), live_tokens(tokens, as_of), "left_anti")
                .select("request_id", F.lit(ERR_BAD_TOKEN).alias("reason")))
     return malformed.unionByName(unknown)
+
+
+def authorize_at(requests: DataFrame, lifetimes: DataFrame, time_col: str = "ts", header_col: str = "auth_header") -> DataFrame:
+    """Every request judged at its own time -> (request_id, user_id, reason).
+
+    ``lifetimes``: token, user_id, issued, expiration: a token may be issued and
+    renewed often, with lifetimes that overlap. A request is good if one of them
+    holds its time: issued <= time < expiration. Requests and lifetimes of a token
+    meet as one ordered stream of events; the latest expiration so far decides
+    (of equal ones, that of the largest user). The running maximum is a distributed
+    scan, so neither a hot token's requests nor its renewals meet in one task, and
+    no pair of a request and a lifetime is made.
+    """
+    at = F.col(time_col).cast("timestamp_ntz")
+    h = _parsed(requests.select("request_id", header_col, at.alias("_at")), header_col, "_at")
+    good = h.where("reason is null")
+    none = F.lit(None).cast("struct<expiration:timestamp_ntz,user_id:long>")
+    issues = lifetimes.where("token is not null and issued is not null and expiration is not null").select(
+        "token", F.col("issued").cast("timestamp_ntz").alias("_at"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
+        F.struct(F.col("expiration").cast("timestamp_ntz").alias("expiration"), F.col("user_id").cast("long").alias("user_id")).alias("_life"),
+        F.lit(False).alias("_asks"))
+    asks = good.where("_at is not null").select("token", "_at", "request_id", none.alias("_life"), F.lit(True).alias("_asks"))
+    seen = running(issues.unionByName(asks), ["token"], [F.col("_at")], most={"_latest": "_life"}).where("_asks")
+    live = F.coalesce(F.col("_latest.expiration") > F.col("_at"), F.lit(False))
+    judged = seen.select("request_id", F.when(live, F.col("_latest.user_id")).alias("user_id"), F.when(~live, F.lit(ERR_BAD_TOKEN)).alias("reason"))
+    timeless = good.where("_at is null").select("request_id", F.lit(None).cast("long").alias("user_id"), F.lit(ERR_BAD_TOKEN).alias("reason"))
+    refused = h.where("reason is not null").select("request_id", F.lit(None).cast("long").alias("user_id"), "reason")
+    return judged.unionByName(timeless).unionByName(refused)

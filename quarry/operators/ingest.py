@@ -4,21 +4,28 @@ decode JSON -> embed (a vector lookup or any embedder returning a column)
 -> default dataset -> get-or-create datasets -> assign ids -> append.
 Each request keeps a status; one failing item never stops the others.
 
-Surrogate keys (``assign_ids``) are distributed: ranges of the key, a count
-per range, a row number in each. The id equals base + global rank, so it is
-stable across retries and equal to ``ROW_NUMBER() OVER (ORDER BY key)`` in any
-engine.
+Everything that decides about a request is narrow: its keys, and the size and
+validity of its vector. Bodies and vectors are left where they are until the
+accepted documents are written; no text is sorted, numbered or joined for a
+status or an id.
+
+Surrogate keys (``assign_ids``) are an exclusive scan of row counts per written
+partition of the keys (``plans.scan``). The id equals base + global rank, so it
+is stable across retries and equal to ``ROW_NUMBER() OVER (ORDER BY key)`` in
+any engine; the number of partitions follows the number of keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.vectors import has_bad_element, word_count
 from quarry.operators.validate import default_if_empty
 from quarry.plans.joins import lookup_join
+from quarry.plans.scan import numbered
+from quarry.plans.stage import staged
 
 DOC_REQUEST_SCHEMA = "title string, url string, body string, dataset string"
 CORRUPT = "_corrupt_record"
@@ -49,6 +56,33 @@ def decode_documents(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     return out.drop("_j")
 
 
+def decode_typed(raw: DataFrame, json_col: str = "payload") -> DataFrame:
+    """Like ``decode_documents``, with the service's rules of types and names.
+
+    The payload is a VARIANT, so a number is told from a string: a field of any
+    type but string makes the request invalid. Names match in any case. A field
+    that is null, or a payload that is the word null, leaves fields empty; other
+    payloads that are no object are invalid, unknown fields are ignored. Of a field
+    written in several cases the last in order of names counts; a payload that
+    repeats a name to the letter is invalid.
+    """
+    v = F.try_parse_json(F.col(json_col))  # the first value; what follows it is ignored, as the service does
+    j = raw.withColumn("_v", v).withColumn("_kind", F.schema_of_variant("_v"))
+    members = F.when(F.col("_kind").startswith("OBJECT"), F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>")))
+    j = j.withColumn("_members", F.transform(members, lambda e: F.struct(
+        F.lower(e["key"]).alias("name"), F.schema_of_variant(e["value"]).alias("kind"), F.try_variant_get(e["value"], "$", "string").alias("text"))))
+    names = ("title", "url", "body", "dataset")
+    wrong = F.exists("_members", lambda m: m["name"].isin(*names) & ~m["kind"].isin("STRING", "VOID"))
+    good = F.coalesce((F.col("_kind") == "VOID") | (F.col("_kind").startswith("OBJECT") & ~wrong), F.lit(False))
+
+    def field(name: str):
+        own = F.filter("_members", lambda m: (m["name"] == name) & (m["kind"] == "STRING"))
+        return F.when(good, F.coalesce(F.try_element_at(own, F.lit(-1))["text"], F.lit(""))).alias(name)
+
+    return j.select(*raw.columns, *[field(n) for n in names],
+                    F.when(good, F.lit(ST_OK)).otherwise(F.lit(ST_BAD_JSON)).alias("status"))
+
+
 def decode_bulk(raw: DataFrame, json_col: str = "payload", batch_col: str = "batch_id") -> DataFrame:
     """One JSON array per row -> one row per item (position 1-based).
 
@@ -68,30 +102,11 @@ def decode_bulk(raw: DataFrame, json_col: str = "payload", batch_col: str = "bat
     return items.unionByName(bad)
 
 
-def assign_ids(df: DataFrame, order_cols: list[str], base: Column | int = 0, id_col: str = "id",
-               when: Column | None = None, buckets: int = 256) -> DataFrame:
-    """Dense ids base+1, base+2, ... in the order of ``order_cols`` (a unique key).
-
-    The first column must be a number. Its approximate percentiles, one array
-    of ``buckets - 1`` values, cut the rows into ranges; a row's id is the count
-    of rows in earlier ranges plus its number in its own. So nothing is sorted
-    globally, no checkpoint is needed, and a recomputed task gives the same ids.
-    With ``when``, only rows that satisfy it are numbered; others get NULL.
-    """
-    key = F.col(order_cols[0]).cast("double")
-    cuts = df.select(key.alias("_key")).agg(
-        F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
-    flag = (F.lit(True) if when is None else F.coalesce(when, F.lit(False))).cast("long")
-    keyed = (df.withColumn("_flag", flag).crossJoin(F.broadcast(cuts))
-             .withColumn("_range", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < key))).drop("_cuts"))
-    counts = keyed.groupBy("_range").agg(F.sum("_flag").alias("_n"))
-    # at most ``buckets`` rows
-    offsets = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    base_c = base if isinstance(base, Column) else F.lit(base)
-    number = (base_c + F.col("_before") + F.sum("_flag").over(within)).cast("long")
-    return (keyed.join(F.broadcast(offsets), "_range")
-            .withColumn(id_col, F.when(F.col("_flag") == 1, number)).drop("_flag", "_range", "_before"))
+def assign_ids(keys: DataFrame, order_cols: list[str], base: Column | int = 0, id_col: str = "id") -> DataFrame:
+    """Dense ids base+1, base+2, ... in the order of ``order_cols`` (a unique key); hand over narrow rows."""
+    base = base if isinstance(base, Column) else F.lit(base)
+    placed = numbered(keys, [], [F.col(c) for c in order_cols], "_place")
+    return placed.withColumn(id_col, (base + F.col("_place") + 1).cast("long")).drop("_place")
 
 
 def get_or_create(existing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,66 +116,64 @@ def get_or_create(existing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Da
     Returns (resolved, all_datasets): resolved = name, user_id, id, created
     for every distinct wanted pair; all_datasets = existing + new rows.
     """
-    pairs = wanted.select("name", "user_id").distinct()
     ex = existing.select("id", "user_id", "name")
-    new = pairs.join(ex, ["name", "user_id"], "left_anti")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    created = (assign_ids(new, ["user_id", "name"], id_col="_no").crossJoin(F.broadcast(top))
-               .select("name", "user_id", (F.col("_top") + F.col("_no")).cast("long").alias("id")))
-    all_ds = ex.unionByName(created.select("id", "user_id", "name"))
-    resolved = (pairs.join(ex, ["name", "user_id"], "inner").withColumn("created", F.lit(False))
+    pairs = staged(wanted.select("name", "user_id").distinct().join(ex.withColumnRenamed("id", "_id"), ["name", "user_id"], "left"), "wanted-datasets")
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    created = assign_ids(pairs.where("_id is null").select("name", "user_id"), ["user_id", "name"], int(top))
+    created = staged(created.select("name", "user_id", "id"), "new-datasets")
+    resolved = (pairs.where("_id is not null").select("name", "user_id", F.col("_id").alias("id"), F.lit(False).alias("created"))
                 .unionByName(created.withColumn("created", F.lit(True))))
-    return resolved, all_ds
+    return resolved, ex.unionByName(created.select("id", "user_id", "name"))
 
 
 def ingest(requests: DataFrame, vectors: DataFrame, datasets: DataFrame, doc_id_base: int = 0,
-           dataset_dims: DataFrame | None = None) -> dict[str, DataFrame]:
+           dataset_dims: DataFrame | None = None, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Whole ingest pipeline.
 
-    ``requests``: request_id, user_id, title, url, body, dataset.
+    ``requests``: request_id (unique), user_id, title, url, body, dataset.
     ``vectors``: request_id, vector (the embedder's output; a missing row
     means the embedding call failed). It is read more than once: an embedder
     that calls a model hands over a stored table (``streaming.jobs`` does).
-    Returns ``results`` (every request with dataset_id, status, and, where
-    accepted, its document id), ``status`` and ``documents`` (its accepted
-    rows), ``datasets`` (existing + created) and ``resolved``.
+    Returns ``results`` (every request with dataset_id, status, the narrow
+    columns ``keep`` of its request, dim (the size of its vector) and, where
+    accepted, its document id), ``status``, ``documents`` (the accepted rows as
+    the store keeps them), ``datasets`` (existing + created) and ``resolved``.
     Datasets are created for every request that embedded, even when its
     vector is then rejected (the service creates the dataset first).
     One vector dimension per dataset: from ``dataset_dims`` (dataset_id, dim;
     e.g. read from the store), else from the dataset's earliest request with a
     valid vector; other dimensions are rejected.
     """
-    req = requests.withColumn("dataset", default_if_empty(F.col("dataset"), D.DEFAULT_DATASET))
-    emb = req.join(vectors.select("request_id", "vector"), "request_id", "left").withColumn(
-        "_embedded", F.col("vector").isNotNull())
-    wanted = emb.where("_embedded").select(F.col("dataset").alias("name"), "user_id")
-    resolved, all_ds = get_or_create(datasets, wanted)
+    req = requests.select("request_id", "user_id", default_if_empty(F.col("dataset"), D.DEFAULT_DATASET).alias("dataset"), *keep)
+    facts = vectors.where("vector is not null").select("request_id", F.size("vector").alias("dim"), has_bad_element("vector").alias("_bad"))
+    emb = staged(req.join(facts, "request_id", "left"), "ingest-requests")
+    resolved, all_ds = get_or_create(datasets, emb.where("dim is not null").select(F.col("dataset").alias("name"), "user_id"))
     ids = resolved.select(F.col("name").alias("dataset"), "user_id", F.col("id").alias("dataset_id"))
-    joined = lookup_join(emb, ids, ["dataset", "user_id"], "left")
     # min_by combines map-side, so a hot dataset reaches the shuffle as one row per task
-    valid = emb.where(F.col("_embedded") & (F.size("vector") > 0) & ~has_bad_element("vector"))
-    first = valid.groupBy("dataset", "user_id").agg(F.min_by(F.size("vector"), "request_id").alias("_first_dim"))
-    joined = lookup_join(joined, first, ["dataset", "user_id"], "left")
+    first = emb.where("dim > 0 and not _bad").groupBy("dataset", "user_id").agg(F.min_by("dim", "request_id").alias("_first_dim"))
+    known = lookup_join(ids, first, ["dataset", "user_id"], "left")
     dim = F.col("_first_dim")
     if dataset_dims is not None:
-        joined = lookup_join(joined, dataset_dims.select("dataset_id", F.col("dim").alias("_known_dim")), ["dataset_id"], "left")
+        known = lookup_join(known, dataset_dims.select("dataset_id", F.col("dim").alias("_known_dim")), ["dataset_id"], "left")
         dim = F.coalesce("_known_dim", "_first_dim")
-    status = (F.when(~F.col("_embedded"), F.lit(ST_EMBED_FAILED))
-              .when(F.size("vector") == 0, F.lit(ST_EMPTY_VECTOR))
-              .when(has_bad_element("vector"), F.lit(ST_BAD_VECTOR))
-              .when(F.size("vector") != dim, F.lit(ST_DIMENSION))
+    joined = lookup_join(emb, known.select("dataset", "user_id", "dataset_id", dim.alias("_dim")), ["dataset", "user_id"], "left")
+    status = (F.when(F.col("dim").isNull(), F.lit(ST_EMBED_FAILED))
+              .when(F.col("dim") == 0, F.lit(ST_EMPTY_VECTOR))
+              .when(F.col("_bad"), F.lit(ST_BAD_VECTOR))
+              .when(F.col("dim") != F.col("_dim"), F.lit(ST_DIMENSION))
               .otherwise(F.lit(ST_OK)))
-    st = joined.withColumn("status", status).select("request_id", "user_id", "dataset", "dataset_id", "status",
-                                                    "title", "url", "body", "vector")
-    results = assign_ids(st, ["request_id"], base=doc_id_base, when=F.col("status") == ST_OK)
+    st = staged(joined.withColumn("status", status).select("request_id", "user_id", "dataset", "dataset_id", "status", "dim", *keep), "ingest-status")
+    numbers = assign_ids(st.where(F.col("status") == ST_OK).select("request_id"), ["request_id"], doc_id_base)
+    results = st.join(numbers, "request_id", "left")
     return {"results": results, "status": st.select("request_id", "user_id", "dataset", "dataset_id", "status"),
-            "documents": accepted_documents(results), "datasets": all_ds, "resolved": resolved}
+            "documents": accepted_documents(results, requests, vectors), "datasets": all_ds, "resolved": resolved}
 
 
-def accepted_documents(results: DataFrame) -> DataFrame:
+def accepted_documents(results: DataFrame, requests: DataFrame, vectors: DataFrame) -> DataFrame:
     """The new documents among the results of an ingest, as the store keeps them."""
-    return results.where(F.col("status") == ST_OK).select(
-        "id", "dataset_id", "title", "url", "body", "vector", word_count("body").alias("word_count"), "request_id")
+    ok = results.where(F.col("status") == ST_OK).select("request_id", "id", "dataset_id")
+    return (requests.select("request_id", "title", "url", "body").join(ok, "request_id").join(vectors.select("request_id", "vector"), "request_id")
+            .select("id", "dataset_id", "title", "url", "body", "vector", word_count("body").alias("word_count"), "request_id"))
 
 
 def store_documents(docs: DataFrame, path: str, bucket_count: int | None = None,

@@ -2,33 +2,37 @@
 
 Plan shape (see ``plans.checks``):
 
-* queries are resolved to a dataset id (tenant filter: name + user);
+* queries are resolved to a dataset id (tenant filter: name + user) and staged;
 * the query side is broadcast when one aggregate over it proves it small, so
   documents are streamed from the scan; otherwise both sides meet in a
   sort-merge join whose hot datasets adaptive execution splits;
 * ranking rows are narrow (query_id, id, distance): no text is read before
-  the candidates are known. Three limits: per map task (``WindowGroupLimit``),
-  per (query, group of map tasks), per query. So a hot query never brings the
-  candidates of all map tasks into one task;
+  the candidates are known. Requests of up to ``GROUP_LIMIT`` rows are cut per map
+  task (``WindowGroupLimit``), per (query, group of map tasks) and per query; in
+  the same pass over the vectors, larger requests keep all their rows. Candidates
+  are staged: vectors are scanned and compared once per set of requests;
+* running word counts and ranks come from a distributed prefix sum
+  (``plans.scan``): a request of any size is spread over many tasks;
 * word counts and titles / urls / bodies are looked up for candidates and
-  winners only; a fixed-size sketch of their ids keeps all other texts out of
-  the shuffle.
+  winners only; a sketch of their ids keeps all other texts out of the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.vectors import is_finite, l2_distance, word_count
 from quarry.plans.broadcast import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, measure
 from quarry.plans.joins import lookup_join
+from quarry.plans.scan import numbered, running
 from quarry.plans.sketch import key_sketch, maybe_in
+from quarry.plans.stage import staged
+from quarry.sources.store import MOST_FOLDERS
 
-# Requests up to this many rows are ranked with a group limit in each map task
-# (Spark plans one up to its default threshold, 1000). Larger requests are
-# ranked apart, so they never change the plan or the rows of the others.
+# Requests of up to this many rows are cut in each map task: Spark plans a group
+# limit up to its default threshold, 1000.
 GROUP_LIMIT = 1000
 GROUPS = 64  # groups of map tasks that cut their candidates before the last limit
 
@@ -44,40 +48,34 @@ def score_pairs(queries: DataFrame, documents: DataFrame, broadcast_queries: boo
     """query_id, id, distance (+ query_cols) of every (query, document of its dataset).
 
     ``queries``: query_id, dataset_id, query_vector (+ query_cols).
-    ``documents``: id, dataset_id, vector. Pairs of differing dimension are
-    dropped (``dimension_errors`` reports their queries).
+    ``documents``: id, dataset_id, vector (and folder: of a store). Pairs of differing
+    dimension are dropped (``dimension_errors`` reports their queries).
     """
     q = queries.select("query_id", "dataset_id", "query_vector", *query_cols)
-    d = documents.select("id", "dataset_id", "vector")
-    pairs = d.join(F.broadcast(q) if broadcast_queries else q, "dataset_id", "inner")
+    on = ["dataset_id"]
+    if "folder" in documents.columns:  # of a store (``sources.store``): folders of other datasets are pruned
+        q, on = q.withColumn("folder", F.pmod("dataset_id", F.lit(MOST_FOLDERS))), [*on, "folder"]
+    d = documents.select("id", "vector", *on)
+    pairs = d.join(F.broadcast(q) if broadcast_queries else q, on, "inner")
     # The lambda fold measured 4.5x faster than a 64-term unrolled expression
     # (whose generated method is too large to JIT) on 4M pairs.
     return (pairs.where(F.size("vector") == F.size("query_vector"))
             .select("query_id", "id", l2_distance("vector", "query_vector").alias("distance"), *query_cols))
 
 
-def top_k(pairs: DataFrame, k: int, limit=None) -> DataFrame:
-    """Rows with rank <= ``limit`` per query, rank by (distance, id).
+def top_rows(pairs: DataFrame, limit: str) -> DataFrame:
+    """At least the first ``limit`` (a column) rows of each query by (distance, id), for requests above ``GROUP_LIMIT`` all.
 
-    ``k`` is a literal no less than any ``limit`` (a column; default ``k``).
-    Distances that are no number (a bad element in a stored vector) rank last
-    and are never returned.
+    A row of a large request is a group of its own, so one pass serves both.
+    Distances that are no number (a bad element in a stored vector) are never returned.
     """
-    limit = F.lit(k) if limit is None else limit
-    order = (F.col("distance").asc_nulls_last(), F.col("id"))
-    grouped = pairs.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
-    some = (grouped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(*order)))
-            .where((F.col("rank") <= k) & (F.col("rank") <= limit)).drop("rank", "_group"))
-    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return best.where((F.col("rank") <= k) & (F.col("rank") <= limit) & is_finite("distance"))
-
-
-def by_size(queries: DataFrame, limit_col: str, most: int, rank) -> DataFrame:
-    """``rank(queries, k)`` for the requests within ``GROUP_LIMIT`` and, apart, for larger ones."""
-    small = rank(queries.where(F.col(limit_col) <= GROUP_LIMIT) if most > GROUP_LIMIT else queries, min(most, GROUP_LIMIT))
-    if most <= GROUP_LIMIT:
-        return small
-    return small.unionByName(rank(queries.where(F.col(limit_col) > GROUP_LIMIT), most))
+    order = (F.col("distance"), F.col("id"))
+    own = F.when(F.col(limit) > GROUP_LIMIT, F.col("id"))
+    rows = pairs.where(is_finite("distance")).withColumns({"_own": own, "_group": F.pmod(F.spark_partition_id(), F.lit(GROUPS))})
+    for spec in (Window.partitionBy("query_id", "_own", "_group"), Window.partitionBy("query_id", "_own")):
+        rows = rows.withColumn("_place", F.row_number().over(spec.orderBy(*order))).where(F.col("_place") <= GROUP_LIMIT)
+        rows = rows.where(F.col("_place") <= F.col(limit))
+    return rows.drop("_own", "_group", "_place")
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -88,20 +86,19 @@ def word_counts(documents: DataFrame) -> DataFrame:
 def within_budget(candidates: DataFrame, limit_col: str = "word_limit") -> DataFrame:
     """Documents in distance order while the running word count fits the budget.
 
-    ``candidates``: the first ``budget + 1`` rows of each query with rank and
+    ``candidates``: at least the first ``budget + 1`` rows of each query, with
     word_count. The running sum uses the RANGE frame over ``distance`` (equal
     distances are peers and share the sum, so ties are kept or dropped
     together). The limit is exact: every word_count >= 1, so at most B documents
     fit budget B; a tie group cut by the limit contains row B + 1, whose sum
     exceeds B.
     """
-    peers = Window.partitionBy("query_id").orderBy("distance")
-    cum = candidates.withColumn("cumulative_words", F.sum("word_count").over(peers).cast("long"))
-    return cum.where(F.col("cumulative_words") <= F.col(limit_col))
+    summed = running(candidates, ["query_id"], [F.col("distance")], {"cumulative_words": "word_count"}, "_place", [F.col("id")])
+    return summed.where(F.col("cumulative_words") <= F.col(limit_col)).withColumn("rank", F.col("_place").cast("int") + 1).drop("_place")
 
 
 def looked_up(rows: DataFrame, attrs: DataFrame) -> DataFrame:
-    """``rows`` joined to ``attrs`` by id; attributes of other ids are left in their scan."""
+    """``rows`` (a stored table: it is read twice) joined to ``attrs`` by id; attributes of other ids are left in their scan."""
     return rows.join(maybe_in(attrs, key_sketch(rows, "id"), "id"), "id", "inner")
 
 
@@ -110,41 +107,44 @@ def attach(ranked: DataFrame, attrs: DataFrame, cols: tuple[str, ...]) -> DataFr
     return looked_up(ranked, attrs.select("id", *cols))
 
 
-def _fits(n: int, size: int) -> bool:
-    return n <= DEFAULT_MAX_ROWS and size <= DEFAULT_MAX_BYTES
+def candidates(requests: DataFrame, datasets: DataFrame, documents: DataFrame, limit: Column, cols: tuple[str, ...],
+               broadcast_queries: bool | None = None) -> tuple[DataFrame, int]:
+    """(rows, most): query_id, id, distance and cols of the rows that may be returned, and the largest limit.
+
+    ``limit``: how many rows a request needs at most, from its columns ``cols``.
+    """
+    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id", "dataset", *cols), datasets)
+    resolved = staged(resolved.withColumn("_rows", limit), "requests")
+    n, size, most = measure(resolved, "_rows")
+    small = n <= DEFAULT_MAX_ROWS and size <= DEFAULT_MAX_BYTES if broadcast_queries is None else broadcast_queries
+    pairs = score_pairs(resolved.where("_rows > 0"), documents, small, (*cols, "_rows"))
+    return top_rows(pairs, "_rows").drop("_rows"), most
 
 
 def budget_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
                   broadcast_queries: bool | None = None) -> DataFrame:
-    """Word-budget retrieval for every accepted request.
+    """Word-budget retrieval for every accepted request, as a stored table.
 
     ``requests``: validated rows (query_id, query_vector, user_id, dataset,
     word_limit); ``documents``: id, dataset_id, vector and word_count or body.
     Returns query_id, rank, id, word_count, cumulative_words, distance.
     """
-    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id", "dataset", "word_limit"), datasets)
-    resolved = resolved.withColumn("_rows", F.col("word_limit") + 1)
-    n, size, most = measure(resolved, "_rows")
-    small = _fits(n, size) if broadcast_queries is None else broadcast_queries
-
-    def rank(queries: DataFrame, k: int) -> DataFrame:
-        return top_k(score_pairs(queries, documents, small, ("word_limit", "_rows")), k, F.col("_rows"))
-
-    candidates = looked_up(by_size(resolved, "_rows", most, rank).drop("_rows"), word_counts(documents))
-    return within_budget(candidates).select("query_id", "rank", "id", "word_count", "cumulative_words", "distance")
+    rows, _ = candidates(requests, datasets, documents, F.col("word_limit") + 1, ("word_limit",), broadcast_queries)
+    counted = looked_up(staged(rows, "candidates"), word_counts(documents))
+    out = within_budget(counted).select("query_id", "rank", "id", "word_count", "cumulative_words", "distance")
+    return staged(out, "hits")
 
 
 def topk_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
                 broadcast_queries: bool | None = None) -> DataFrame:
-    """Top-k retrieval for every accepted request (its own ``k``): query_id, rank, id, distance."""
-    resolved = resolve_datasets(requests.select("query_id", "query_vector", "user_id", "dataset", "k"), datasets)
-    n, size, most = measure(resolved, "k")
-    small = _fits(n, size) if broadcast_queries is None else broadcast_queries
-
-    def rank(queries: DataFrame, k: int) -> DataFrame:
-        return top_k(score_pairs(queries, documents, small, ("k",)), k, F.col("k"))
-
-    return by_size(resolved, "k", most, rank).select("query_id", "rank", "id", "distance")
+    """Top-k retrieval for every accepted request (its own ``k``), as a stored table: query_id, rank, id, distance."""
+    rows, most = candidates(requests, datasets, documents, F.col("k"), ("k",), broadcast_queries)
+    order = [F.col("distance"), F.col("id")]
+    if most > GROUP_LIMIT:
+        ranked = numbered(rows, ["query_id"], order, "_place").withColumn("rank", F.col("_place").cast("int") + 1)
+    else:  # at most ``GROUP_LIMIT`` rows a request
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return staged(ranked.where(F.col("rank") <= F.col("k")).select("query_id", "rank", "id", "distance"), "hits")
 
 
 def dataset_dimensions(documents: DataFrame) -> DataFrame:

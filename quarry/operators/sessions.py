@@ -33,18 +33,26 @@ def session_messages(turns: DataFrame, sep: str = "\n") -> DataFrame:
 def upsert(current: DataFrame | None, changes: DataFrame) -> DataFrame:
     """Last write wins per ``id``: messages and model from the highest version.
 
-    ``user_id`` keeps the value of the lowest version (the service's conflict
-    branch does not update it). Inputs: id, user_id, messages, model, version.
-    Rows with an empty id are rejected upstream (see :func:`rejected_saves`).
+    ``user_id`` keeps the value of the lowest version ever seen (the service's
+    conflict branch does not update it), which ``first_version`` tells: a save
+    that comes late compares with it, not with the newest one. Inputs: id,
+    user_id, messages, model, version; ``current`` has first_version too, else
+    its owner stays. Rows with an empty id are rejected upstream (see
+    :func:`rejected_saves`).
     """
-    rows = changes if current is None else current.unionByName(changes)
+    rows = changes.withColumn("first_version", F.col("version"))
+    if current is not None:
+        if "first_version" not in current.columns:
+            current = current.withColumn("first_version", F.lit(-(1 << 63)).cast("long"))
+        rows = current.unionByName(rows)
     rows = rows.where(F.coalesce(F.col("id"), F.lit("")) != "")
     latest = rows.groupBy("id").agg(
         F.max_by(F.struct("messages", "model"), "version").alias("_last"),
-        F.min_by("user_id", "version").alias("user_id"),
+        F.min_by("user_id", "first_version").alias("user_id"),
+        F.min("first_version").alias("first_version"),
         F.max("version").alias("version"))
     return latest.select("id", "user_id", F.col("_last.messages").alias("messages"),
-                         F.col("_last.model").alias("model"), "version")
+                         F.col("_last.model").alias("model"), "version", "first_version")
 
 
 def rejected_saves(changes: DataFrame) -> DataFrame:

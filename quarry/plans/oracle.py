@@ -19,6 +19,10 @@ VIEWS: dict[str, str] = {
         CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE concat('https://kb.example/', d.lang, '/', CAST(d.doc_id AS VARCHAR)) END AS url,
         d.text AS body, e.embedding AS vector
         FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
+    "kb_all_documents": """SELECT doc_id + 1 AS id, CAST(substr(source, 4) AS BIGINT) + 1 AS dataset_id,
+        concat('Document ', CAST(doc_id AS VARCHAR)) AS title,
+        CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('https://kb.example/', lang, '/', CAST(doc_id AS VARCHAR)) END AS url,
+        text AS body FROM documents""",
     "kb_ties": """SELECT id, dataset_id, title, url, body, vector FROM kb_documents
         UNION ALL SELECT id + 1000000 AS id, dataset_id, title, url, body, vector FROM kb_documents""",
     "kb_queries": """SELECT e.vec_id AS query_id, b.text AS query, e.embedding AS query_vector,
@@ -39,6 +43,10 @@ VIEWS: dict[str, str] = {
         CASE WHEN event_id % 10 = 0 THEN NULL
              WHEN event_id % 10 = 1 THEN concat('Token ', md5(CAST(user_id AS VARCHAR)))
              ELSE concat('Bearer ', md5(CAST(user_id AS VARCHAR))) END AS auth_header FROM events""",
+    "kb_token_lifetimes": """SELECT md5(CAST(o_custkey AS VARCHAR)) AS token, o_custkey % 5 + 1 AS user_id, o_orderdate AS issued,
+        o_orderdate + INTERVAL '1' YEAR AS expiration FROM orders""",
+    "kb_timed_requests": """SELECT request_id, auth_header,
+        TIMESTAMP '1995-01-01 00:00:00' + to_seconds(80 * CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00')) AS BIGINT)) AS ts FROM kb_requests""",
     "kb_messages": """SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, text AS content FROM conversations""",
     "kb_replies": """SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS reply_id, conv_id, concat(text, ' [citation]', CAST(conv_id % 700 + 1 AS VARCHAR),
         '[/citation] and [citation]', CAST(conv_id % 7 + 1 AS VARCHAR), '[/citation]') AS response
@@ -51,6 +59,7 @@ DEPS: dict[str, tuple[str, ...]] = {
     "kb_ties": ("kb_documents",),
     "kb_context": ("kb_replies", "kb_documents"),
     "kb_planted_queries": ("kb_queries",),
+    "kb_timed_requests": ("kb_requests",),
 }
 
 
@@ -136,6 +145,7 @@ def _budget(doc_view: str) -> str:
 ORACLE: dict[str, str] = {
     "budget_search": _budget("kb_documents"),
     "budget_search_ties": _budget("kb_ties"),
+    "budget_search_stored": f"""SELECT b.*, concat('Document ', CAST(b.id - 1 AS VARCHAR)) AS title FROM ({_budget("kb_documents")}) b""",
 }
 
 NL = "\n"
@@ -238,12 +248,14 @@ ORACLE.update({
     "topk_search": with_views(["kb_queries", "kb_datasets", "kb_documents"], [SEARCH_REQUESTS, TOPK_RANKED],
         """SELECT query_id, CAST(rn AS INTEGER) AS rank, id, title, url, round(distance, 6) AS distance
         FROM topk_ranked"""),
+    "topk_pruned": with_views(["kb_queries", "kb_datasets", "kb_documents"], [SEARCH_REQUESTS, TOPK_RANKED],
+        """SELECT query_id, CAST(rn AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM topk_ranked"""),
     "search_response_json": with_views(["kb_queries", "kb_datasets", "kb_documents"], [SEARCH_REQUESTS, TOPK_RANKED,
         ("items", """SELECT query_id, list({'title': title, 'url': COALESCE(url, ''), 'text': body} ORDER BY rn) AS items
             FROM topk_ranked GROUP BY query_id""")],
         "SELECT r.query_id, " + go_escape("to_json({'responses': COALESCE(i.items, [])})::VARCHAR")
         + " AS json FROM search_requests r LEFT JOIN items i ON i.query_id = r.query_id"),
-    "document_json": with_views(["kb_documents"], [], f"SELECT id, {doc_json()} AS json FROM kb_documents"),
+    "document_json": with_views(["kb_all_documents"], [], f"SELECT id, {doc_json()} AS json FROM kb_all_documents"),
     "build_prompts": PROMPTS,
     "extract_citations": with_views(["kb_replies"], [
         ("c", f"SELECT reply_id, regexp_extract_all(response, '{CITATION}', 1) AS ids FROM kb_replies")],
@@ -308,6 +320,12 @@ ORACLE.update({
         FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, sha256('quarry' || CAST(conv_id AS VARCHAR)) AS h FROM conversations) t""",
     "authorize_requests": with_views(["kb_access_tokens", "kb_requests"], AUTH_STEPS,
         """SELECT p.request_id, l.user_id FROM parsed p JOIN live l ON l.token = p.token WHERE p.reason IS NULL"""),
+    "authorize_at_request_time": with_views(["kb_timed_requests", "kb_token_lifetimes"], [
+        ("parsed", AUTH_STEPS[1][1].replace("SELECT request_id,", "SELECT request_id, ts,").replace("kb_requests", "kb_timed_requests")),
+        ("live", """SELECT p.request_id, max(l.user_id) AS user_id FROM parsed p JOIN kb_token_lifetimes l
+            ON l.token = p.token AND l.issued <= p.ts AND l.expiration > p.ts WHERE p.reason IS NULL GROUP BY p.request_id""")],
+        """SELECT p.request_id, l.user_id, CASE WHEN l.request_id IS NULL THEN COALESCE(p.reason, 'invalid token') END AS reason
+        FROM parsed p LEFT JOIN live l ON l.request_id = p.request_id"""),
     "unauthorized_requests": with_views(["kb_access_tokens", "kb_requests"], AUTH_STEPS,
         """SELECT request_id, reason FROM parsed WHERE reason IS NOT NULL
         UNION ALL
@@ -437,6 +455,12 @@ ORACLE.update({
         CASE WHEN ok THEN {_field('payload', 'url')} END AS url, CASE WHEN ok THEN {_field('payload', 'body')} END AS body,
         CASE WHEN ok THEN {_field('payload', 'dataset')} END AS dataset,
         CASE WHEN ok THEN 'accepted' ELSE 'invalid json' END AS status FROM p"""),
+    # what each payload says, stated beside how it was made
+    "decode_documents_typed": """SELECT request_id, CASE WHEN ok THEN CASE WHEN k IN (0, 2, 6) THEN 'Document ' || CAST(request_id AS VARCHAR) ELSE '' END END AS title,
+        CASE WHEN ok THEN '' END AS url, CASE WHEN ok THEN CASE WHEN k IN (0, 6, 7) THEN COALESCE(text, '') ELSE '' END END AS body,
+        CASE WHEN ok THEN CASE WHEN k IN (0, 2) THEN 'ds' || CAST(request_id % 4 AS VARCHAR) ELSE '' END END AS dataset,
+        CASE WHEN ok THEN 'accepted' ELSE 'invalid json' END AS status
+        FROM (SELECT doc_id AS request_id, text, doc_id % 9 AS k, doc_id % 9 IN (0, 2, 3, 6, 7) AS ok FROM documents) d""",
     "bulk_ingest_status": with_views(["kb_datasets"], [ITEMS,
         ("b", """SELECT batch_id, '[' || string_agg(item, ',' ORDER BY request_id)
                 || CASE WHEN batch_id % 10 = 3 THEN ',}]' ELSE ']' END AS payload
@@ -460,13 +484,13 @@ ORACLE.update({
         ("resolved", "SELECT ROW_NUMBER() OVER (ORDER BY user_id, name) AS id, name, user_id FROM newp"), *INGEST_STEPS[6:]],
         f"""SELECT request_id, id, title, md5(body) AS body_md5, {word_count('body')} AS word_count, {vector_digest('vector')} AS vector_md5
         FROM numbered WHERE id IS NOT NULL"""),
-    "cascade_delete": with_views(["kb_datasets", "kb_documents"], [],
-        """SELECT dataset_id, count(*) AS n FROM kb_documents d
+    "cascade_delete": with_views(["kb_datasets", "kb_all_documents"], [],
+        """SELECT dataset_id, count(*) AS n FROM kb_all_documents d
         WHERE NOT EXISTS (SELECT 1 FROM kb_datasets s WHERE s.user_id = 3 AND s.id = d.dataset_id)
         GROUP BY dataset_id"""),
-    "cascade_update": with_views(["kb_datasets", "kb_documents"], [],
+    "cascade_update": with_views(["kb_datasets", "kb_all_documents"], [],
         """SELECT d.id, CASE WHEN s.user_id = 2 THEN d.dataset_id + 1000 ELSE d.dataset_id END AS dataset_id
-        FROM kb_documents d LEFT JOIN kb_datasets s ON s.id = d.dataset_id"""),
+        FROM kb_all_documents d LEFT JOIN kb_datasets s ON s.id = d.dataset_id"""),
     "constraint_report": with_views(["kb_datasets", "kb_documents", "kb_users", "kb_access_tokens", "kb_messages"], PLANTED,
         "\nUNION ALL ".join(f"SELECT '{r}' AS rule, CAST({q} AS BIGINT) AS violations" for r, q in _RULES)),
 })
@@ -493,6 +517,9 @@ ORACLE.update({
             'max_tokens': {D.CHAT_MAX_TOKENS}, 'temperature': {D.CHAT_TEMPERATURE}, 'seed': {D.SEARCH_WORDS_SEED}}})::VARCHAR AS payload FROM kb_queries"""),
     "embedding_requests": with_views(["kb_queries"], [],
         f"SELECT query_id, to_json({{'model': '{D.DEFAULT_MODEL}', 'input': query}})::VARCHAR AS payload FROM kb_queries"),
+    "rewrite_turns_once": with_views([], [("p", f"SELECT conv_id, turn, length('{D.SEARCH_WORDS_INSTRUCTION}' || COALESCE(text, '')) AS n FROM conversations")],
+        """SELECT conv_id, turn, CASE WHEN n % 9 <> 0 THEN 'n=' || CAST(n AS VARCHAR) || ' none [citation]0[/citation]' || chr(92) || 'n.' END AS search_words,
+        CASE WHEN n % 9 = 0 THEN 'no response from model server' END AS error FROM p"""),
     "rewrite_queries": with_views(["kb_queries"], [("p", f"SELECT query_id, length('{D.SEARCH_WORDS_INSTRUCTION}' || query) AS n FROM kb_queries")],
         """SELECT query_id, CASE WHEN n % 9 <> 0 THEN 'n=' || CAST(n AS VARCHAR) || ' none [citation]0[/citation]' || chr(92) || 'n.' END AS search_words,
         CASE WHEN n % 9 = 0 THEN 'no response from model server' END AS error FROM p"""),
@@ -533,6 +560,9 @@ ORACLE.update({
 })
 
 ORACLE["stream_session_upsert"] = ORACLE["session_upsert"]
+ORACLE["stream_standing_budget"] = ORACLE["budget_search"]
+ORACLE["constraint_report_incremental"] = ORACLE["constraint_report"]
+ORACLE["stream_session_state"] = ORACLE["session_upsert"]
 ORACLE["decode_query_requests"] = f"""WITH r AS (
     SELECT conv_id, turn, conv_id * 3 + turn AS i, text FROM conversations),
 v AS (

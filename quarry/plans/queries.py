@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
 from quarry.functions.vectors import l2_distance, word_count
-from quarry.operators import answer, auth, context, embed, inference, ingest, intake, integrity, retrieve, sessions, validate
+from quarry.operators import answer, auth, block_index, constraints, context, embed, inference, ingest, intake, integrity, ledger, retrieve, sessions, standing, validate
 from quarry.plans.parallel import spread
-from quarry.sources import kb
+from quarry.plans.stage import fresh_path, shared_dir, staged
+from quarry.sources import kb, store
 from quarry.sources.tables import Catalog
-from quarry.streaming import jobs
+from quarry.streaming import jobs, session_state
+from quarry.streaming import standing as stream_standing
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -97,6 +99,31 @@ def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "id", "title", "url", F.round("distance", 6).alias("distance"))
 
 
+@register("budget_search_stored")
+def budget_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget retrieval over the written store: bucketed tables, one folder per dataset."""
+    cat = Catalog(spark, sf_dir)
+    req = validate.accepted(validate.answer_requests(kb.queries(cat)))
+    at = store.write(kb.documents(cat))
+    try:
+        hits = retrieve.budget_search(req, kb.datasets(cat), at.vectors)
+        out = retrieve.attach(hits, at.texts, ("title",))
+        return staged(out.select("query_id", "rank", "id", "title", "word_count", "cumulative_words", F.round("distance", 6).alias("distance")), "stored-hits")
+    finally:
+        at.drop()
+
+
+@register("topk_pruned")
+def topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k over the stored block index: blocks that cannot hold a winner are not read."""
+    cat = Catalog(spark, sf_dir)
+    req = validate.accepted(validate.search_requests(kb.queries(cat)))
+    path = fresh_path(spark, "block-index")
+    block_index.build(kb.documents(cat, with_body=False), path)
+    hits, _ = block_index.search(req, kb.datasets(cat), spark, path)
+    return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 @register("search_response_json")
 def search_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat, req, ranked = _search_hits(spark, sf_dir)
@@ -107,7 +134,7 @@ def search_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("document_json")
 def document_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
-    return context.documents_json(kb.documents(cat))
+    return context.documents_json(kb.document_attrs(cat))
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +246,13 @@ def unauthorized_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auth.unauthorized(kb.requests(cat), kb.access_tokens(cat), AS_OF)
 
 
+@register("authorize_at_request_time")
+def authorize_at_request_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request judged at its own time: the same token is good for some of its requests and expired for others."""
+    cat = Catalog(spark, sf_dir)
+    return auth.authorize_at(kb.timed_requests(cat), kb.token_lifetimes(cat))
+
+
 @register("session_messages")
 def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sessions.session_messages(kb.messages(Catalog(spark, sf_dir)))
@@ -294,6 +328,29 @@ def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "title", "url", "body", "dataset", "status")
 
 
+def typed_payloads(cat: Catalog) -> DataFrame:
+    """Requests as clients get them wrong: names in capitals, numbers and lists for strings, nulls, no object at all."""
+    d = cat.documents
+    i = F.col("doc_id")
+    title, body, ds = F.concat(F.lit("Document "), i.cast("string")), F.col("text"), F.concat(F.lit("ds"), (i % 4).cast("string"))
+    made = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    payload = (F.when(i % 9 == 0, made(title.alias("TITLE"), body.alias("Body"), ds.alias("dataSet")))
+               .when(i % 9 == 1, made(i.alias("title"), body.alias("body")))
+               .when(i % 9 == 2, made(title.alias("title"), F.lit(None).cast("string").alias("body"), ds.alias("dataset")))
+               .when(i % 9 == 3, F.lit("null")).when(i % 9 == 4, F.concat(F.lit("["), made(body.alias("body")), F.lit("]")))
+               .when(i % 9 == 5, made(title.alias("title"), F.array(body).alias("body")))
+               .when(i % 9 == 6, made(title.alias("title"), body.alias("body"), F.struct(i.alias("title")).alias("more")))
+               .when(i % 9 == 7, F.concat(made(body.alias("body")), F.lit("}")))
+               .otherwise(made(title.alias("title"), (i % 2 == 0).alias("url"), body.alias("body"))))
+    return d.select(i.alias("request_id"), payload.alias("payload"))
+
+
+@register("decode_documents_typed")
+def decode_documents_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.decode_typed(typed_payloads(Catalog(spark, sf_dir)))
+    return out.select("request_id", "title", "url", "body", "dataset", "status")
+
+
 @register("bulk_ingest_status")
 def bulk_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = doc_items(Catalog(spark, sf_dir))
@@ -307,10 +364,10 @@ def bulk_ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     # items go on one by one: embedded (the vector of their document), given a dataset and an id
     cat = Catalog(spark, sf_dir)
     req = good.select((F.col("batch_id") * 4 + F.col("position") - 1).alias("request_id"), (F.col("batch_id") % 5 + 1).alias("user_id"),
-                      "title", "url", "body", "dataset")
-    done = ingest.ingest(req, ingest_inputs(cat)[1], kb.datasets(cat))["results"]
+                      "title", "url", "body", "dataset", F.md5("body").alias("body_md5"))
+    done = ingest.ingest(req, ingest_inputs(cat)[1], kb.datasets(cat), keep=("title", "url", "body_md5"))["results"]
     named = done.select(F.floor(F.col("request_id") / 4).cast("long").alias("batch_id"), (F.col("request_id") % 4 + 1).cast("int").alias("position"),
-                        "title", "url", F.md5("body").alias("body_md5"), "dataset", "dataset_id", "id", "status")
+                        "title", "url", "body_md5", "dataset", "dataset_id", "id", "status")
     refused = items.where("position = 0").select(
         "batch_id", "position", "title", "url", F.md5("body").alias("body_md5"), "dataset", F.lit(None).cast("long").alias("dataset_id"),
         F.lit(None).cast("long").alias("id"), "status")
@@ -355,18 +412,21 @@ def dataset_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req, vec = ingest_inputs(cat)
-    out = ingest.ingest(req, vec, kb.datasets(cat))["results"]
+    # digests are taken where the texts and vectors are read: neither is moved
+    req = req.withColumns({"body_md5": F.md5("body"), "word_count": word_count("body")})
+    out = ingest.ingest(req, vec, kb.datasets(cat), keep=("title", "url", "body_md5", "word_count"))["results"]
+    digests = vec.where("vector is not null").select("request_id", vector_digest(F.col("vector")).alias("vector_md5"))
     ok = F.col("id").isNotNull()
-    return out.select("request_id", "user_id", "dataset", "dataset_id", "status", "id", "title", "url", F.md5("body").alias("body_md5"),
-                      word_count("body").alias("word_count"), F.when(ok, F.size("vector")).alias("dim"),
-                      F.when(ok, vector_digest(F.col("vector"))).alias("vector_md5"))
+    return out.join(digests, "request_id", "left").select(
+        "request_id", "user_id", "dataset", "dataset_id", "status", "id", "title", "url", "body_md5", "word_count",
+        F.when(ok, F.col("dim")).alias("dim"), F.when(ok, F.col("vector_md5")).alias("vector_md5"))
 
 
 @register("cascade_delete")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     gone = kb.datasets(cat).where(F.col("user_id") == 3)
-    left = ingest.cascade_delete(kb.documents(cat, with_body=False), gone)
+    left = ingest.cascade_delete(kb.document_attrs(cat, with_body=False), gone)
     return left.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -375,7 +435,7 @@ def cascade_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User 2's datasets get new ids; their documents follow."""
     cat = Catalog(spark, sf_dir)
     moved = kb.datasets(cat).where(F.col("user_id") == 2).select(F.col("id").alias("old_id"), (F.col("id") + 1000).alias("new_id"))
-    docs = ingest.cascade_update(kb.documents(cat, with_body=False), moved)
+    docs = ingest.cascade_update(kb.document_attrs(cat, with_body=False), moved)
     return docs.select("id", "dataset_id")
 
 
@@ -409,6 +469,20 @@ def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        kb.access_tokens(cat), planted_sessions(cat))
 
 
+@register("constraint_report_incremental")
+def constraint_report_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tables in three batches; each is checked against the counts of those before. Parents may come after their children."""
+    cat = Catalog(spark, sf_dir)
+    tables = [(kb.datasets(cat), "id"), (planted_documents(cat), "id"), (kb.users(cat), "id"), (kb.access_tokens(cat), "id"), (planted_sessions(cat), "id")]
+    tables = [(staged(df, "planted"), key) for df, key in tables]
+    counters, totals = constraints.empty(spark)
+    for part in range(3):
+        new = [df.where(F.coalesce(F.pmod(F.xxhash64(key), F.lit(3)), F.lit(0)) == part) for df, key in tables]
+        touched, totals = constraints.update(counters, totals, constraints.batch_counters(*new))
+        counters = constraints.merged(counters, touched)
+    return totals
+
+
 # Job configuration (the deployment supplies its own system prompt).
 SYSTEM_PROMPT = "Answer the question using only the search results above."
 HASH_DIM = 64
@@ -564,6 +638,16 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.answer_questions(planted_queries(cat), kb.datasets(cat), kb.documents(cat), _shipped(citing_client), SYSTEM_PROMPT)
 
 
+@register("rewrite_turns_once")
+def rewrite_turns_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query rewriting of every conversation turn through a ledger: a text that many turns repeat is asked once."""
+    turns = Catalog(spark, sf_dir).conversations.select(F.struct("conv_id", "turn").alias("key"), "text")
+    payloads = turns.select("key", inference.search_words_request(F.col("text")).alias("payload"))
+    raw = ledger.run_model(payloads, "payload", _shipped(citing_client), "key", fresh_path(spark, "ledger"))
+    content, parse_err = inference.parse_chat_response(F.col("response"))
+    return raw.select("key.conv_id", "key.turn", content.alias("search_words"), F.coalesce(F.col("error"), parse_err).alias("error"))
+
+
 @register("rewrite_queries")
 def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query rewriting of every query, with the same client."""
@@ -571,13 +655,22 @@ def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's input, output and progress: under the
-    cluster's shared folder, or a local one where the session names none."""
-    import tempfile
+    """A new folder for a stream's input, output and progress."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(root or tempfile.mkdtemp(prefix='quarry-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+SLICES = 3
+
+
+def _in_slices(df: DataFrame, slice_no, path: str, kind: str) -> int:
+    """Writes ``df`` as files slice by slice (0 to SLICES - 1), so that a stream takes a slice per
+    micro-batch or several; the number of files of a slice."""
+    files = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    for i in range(SLICES):
+        df.where(F.coalesce(slice_no, F.lit(0)) == i).repartition(files).write.mode("append").format(kind).save(path)
+    return files
 
 
 STREAM_REQUEST_SCHEMA = "request_id long, user_id long, title string, url string, body string, dataset string"
@@ -589,30 +682,59 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req, vec = ingest_inputs(cat)
     at = _stream_folder(spark)
-    req.write.json(f"{at}/in")
+    # in order of request_id, as ids follow arrival
+    most = req.agg(F.max("request_id")).first()[0] or 0
+    files = _in_slices(req, F.least(F.floor(F.col("request_id") * SLICES / (most + 1)), F.lit(SLICES - 1)), f"{at}/in", "json")
     embedder = lambda batch: batch.select("request_id").join(vec, "request_id")
-    jobs.start_ingest(spark, f"{at}/in", STREAM_REQUEST_SCHEMA, embedder, f"{at}/store", f"{at}/progress").awaitTermination()
+    jobs.start_ingest(spark, f"{at}/in", STREAM_REQUEST_SCHEMA, embedder, f"{at}/store", f"{at}/progress", max_files_per_trigger=files).awaitTermination()
     docs = spark.read.schema(jobs.DOCUMENT_SCHEMA).parquet(f"{at}/store/documents")
     return docs.select("request_id", "id", "title", F.md5("body").alias("body_md5"), "word_count", vector_digest(F.col("vector")).alias("vector_md5"))
 
 
+def _late_saves(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """The save log as files, the odd versions last: half of the saves come late. (folder, files per slice)"""
+    at = _stream_folder(spark)
+    late = F.when(F.col("version") % 4 == 2, F.lit(0)).when(F.col("version") % 2 == 0, F.lit(1)).otherwise(F.lit(2))
+    return at, _in_slices(session_changes(Catalog(spark, sf_dir)), late, f"{at}/in", "json")
+
+
 @register("stream_session_upsert")
 def stream_session_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every session save through the streaming job, in four files; the sessions it left."""
-    at = _stream_folder(spark)
-    session_changes(Catalog(spark, sf_dir)).repartition(4, "version").write.json(f"{at}/in")
-    jobs.start_session_upsert(spark, f"{at}/in", at, f"{at}/progress").awaitTermination()
+    """Every session save through the streaming job, in several micro-batches and out of order; the sessions it left."""
+    at, files = _late_saves(spark, sf_dir)
+    jobs.start_session_upsert(spark, f"{at}/in", at, f"{at}/progress", max_files_per_trigger=files, compact_every=2).awaitTermination()
     return jobs.read_sessions(spark, at).select("id", "user_id", "model", F.array_join("messages", "\n").alias("messages"), "version")
 
 
+@register("stream_session_state")
+def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same saves through keyed state: first owner and last save of each session."""
+    at, files = _late_saves(spark, sf_dir)
+    session_state.start(spark, f"{at}/in", at, f"{at}/progress", max_files_per_trigger=files).awaitTermination()
+    return session_state.read(spark, at).select("id", "user_id", "model", F.array_join("messages", "\n").alias("messages"), "version")
+
+
+@register("stream_standing_budget")
+def stream_standing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every budget query standing, while the documents arrive in several micro-batches."""
+    cat = Catalog(spark, sf_dir)
+    at = _stream_folder(spark)
+    docs = kb.documents(cat).select("id", "dataset_id", "body", "vector")
+    files = _in_slices(docs, F.col("id") * 7 % SLICES, f"{at}/in", "parquet")
+    req = validate.accepted(validate.answer_requests(kb.queries(cat)))
+    queries = standing.resolved(req, kb.datasets(cat), "word_limit")
+    stream_standing.start(spark, f"{at}/in", "id long, dataset_id long, body string, vector array<float>", queries, at, f"{at}/progress",
+                          max_files_per_trigger=files).awaitTermination()
+    return stream_standing.read(spark, at).select("query_id", "rank", "id", "word_count", "cumulative_words", F.round("distance", 6).alias("distance"))
+
+
 @register("stream_answers")
 def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query through the streaming answer job, with the deterministic client."""
     cat = Catalog(spark, sf_dir)
     at = _stream_folder(spark)
-    q = planted_queries(cat)
-    q.write.parquet(f"{at}/in")
+    files = _in_slices(planted_queries(cat), F.col("query_id") % SLICES, f"{at}/in", "parquet")
     schema = "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit long"
     jobs.start_answering(spark, f"{at}/in", schema, kb.datasets(cat), kb.documents(cat), f"{at}/out", f"{at}/progress",
-                         client_factory=_shipped(citing_client), system_prompt=SYSTEM_PROMPT).awaitTermination()
+                         client_factory=_shipped(citing_client), system_prompt=SYSTEM_PROMPT, max_files_per_trigger=files).awaitTermination()
     return spark.read.parquet(f"{at}/out/answers").select("query_id", "json", "error")

@@ -1,4 +1,4 @@
-"""Distributed prefix sums over groups of any size.
+"""Distributed prefix sums and maxima over groups of any size.
 
 A window over a whole group runs in one task. Here rows are dealt to ranges of
 (group, order): a hot group spans many ranges, and rows of equal order (peers)
@@ -23,13 +23,6 @@ from quarry.plans.stage import staged
 RANGE = "__range"
 
 
-def _offsets(ranges: DataFrame, by: list[str], value: Column) -> DataFrame:
-    """by, range, before: the sum of ``value`` over the group's earlier ranges."""
-    sums = ranges.groupBy(*by, RANGE).agg(F.sum(value).alias("__sum"))
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*by, RANGE, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-
-
 def ranged(df: DataFrame, by: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
     """``df`` staged with the number of each row's range of (by, order)."""
     keys = [F.col(b) for b in by] + order
@@ -37,23 +30,34 @@ def ranged(df: DataFrame, by: list[str], order: list[Column], ranges: int | None
     return staged(dealt.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
-def running_sum(df: DataFrame, by: list[str], order: list[Column], value: str, name: str, peers: bool = True,
-                ranges: int | None = None) -> DataFrame:
-    """``df`` with the running sum of an integer column in each group.
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str] | None = None, place: str | None = None,
+            ties: list[Column] | None = None, ranges: int | None = None, most: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with running sums and the place of each row in its group.
 
-    With ``peers``, rows of equal order share a sum (a RANGE frame). Without, the
-    order must be a total one (a ROWS frame).
+    ``sums``: new column -> integer column summed over the group up to the row and
+    its peers (the RANGE frame of ``order``). ``most``: new column -> column whose
+    greatest value so far is taken, over the same frame. ``place``: a column with the
+    row's place, from 0, by ``order`` and then ``ties``, which make the order total.
     """
+    sums, most = sums or {}, most or {}
     r = ranged(df, by, order, ranges)
-    frame = Window.partitionBy(*by, RANGE).orderBy(*order)
-    frame = frame.rangeBetween(Window.unboundedPreceding, 0) if peers else frame.rowsBetween(Window.unboundedPreceding, 0)
-    joined = r.join(_offsets(r, by, F.col(value)), [*by, RANGE])
-    return joined.withColumn(name, (F.col("__before") + F.sum(value).over(frame)).cast("long")).select(*df.columns, name)
+    held = r.groupBy(*by, RANGE).agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(v).alias(f"__sum_{c}") for c, v in sums.items()],
+                                     *[F.max(v).alias(f"__max_{c}") for c, v in most.items()])
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(*by, RANGE, *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(x) for x in ["__rows", *(f"__sum_{c}" for c in sums)]],
+                         *[F.max(f"__max_{c}").over(earlier).alias(f"__max_{c}") for c in most])
+    joined = r.join(before, [*by, RANGE])
+    here = Window.partitionBy(*by, RANGE)
+    peers = here.orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {c: (F.col(f"__sum_{c}") + F.sum(v).over(peers)).cast("long") for c, v in sums.items()}
+    for c, v in most.items():
+        here_most = F.max(v).over(peers)
+        added[c] = F.when(F.col(f"__max_{c}").isNull() | (here_most > F.col(f"__max_{c}")), here_most).otherwise(F.col(f"__max_{c}"))
+    if place:
+        added[place] = (F.col("__rows") + F.row_number().over(here.orderBy(*order, *(ties or []))) - 1).cast("long")
+    return joined.withColumns(added).select(*df.columns, *added)
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, ranges: int | None = None) -> DataFrame:
     """``df`` with each row's place in its group, from 0, in a total order."""
-    r = ranged(df, by, order, ranges)
-    place = F.row_number().over(Window.partitionBy(*by, RANGE).orderBy(*order))
-    joined = r.join(_offsets(r, by, F.lit(1)), [*by, RANGE])
-    return joined.withColumn(name, (F.col("__before") + place - 1).cast("long")).select(*df.columns, name)
+    return running(df, by, order, place=name, ranges=ranges)

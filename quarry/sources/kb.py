@@ -120,6 +120,22 @@ def requests(cat: Catalog) -> DataFrame:
          .otherwise(F.concat(F.lit("Bearer "), tok)).alias("auth_header"))
 
 
+def token_lifetimes(cat: Catalog) -> DataFrame:
+    """Every order renews its customer's token for a year: token, user_id, issued, expiration."""
+    o = cat.orders
+    issued = F.col("o_orderdate").cast("timestamp_ntz")
+    return o.select(F.md5(F.col("o_custkey").cast("string")).alias("token"), (F.col("o_custkey") % 5 + 1).alias("user_id"),
+                    issued.alias("issued"), (issued + F.expr("INTERVAL '1' YEAR")).alias("expiration"))
+
+
+def timed_requests(cat: Catalog) -> DataFrame:
+    """The requests, their month of events stretched eighty times over the years of the orders: request_id, ts, auth_header."""
+    r = requests(cat)
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    at = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(seconds * 80).cast("decimal(18,6)"))
+    return r.withColumn("ts", at)
+
+
 def messages(cat: Catalog) -> DataFrame:
     return cat.conversations.select(F.col("conv_id").cast("string").alias("session_id"),
                                     "turn", "role", F.col("text").alias("content"))

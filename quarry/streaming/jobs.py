@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators import answer, context, ingest, retrieve, sessions, validate
+from quarry.streaming import manifest
 
 Embedder = Callable[[DataFrame], DataFrame]  # requests -> (request_id, vector)
 
@@ -48,8 +49,7 @@ def _overwrite_partitions(df: DataFrame, path: str, *cols: str) -> None:
 
 DATASET_SCHEMA = "id long, user_id long, name string, batch_id long"
 VECTOR_SCHEMA = "request_id long, vector array<float>, batch_id long"
-RESULT_SCHEMA = ("request_id long, user_id long, dataset string, dataset_id long, status string, title string, url string, "
-                 "body string, vector array<float>, id long, batch_id long")
+RESULT_SCHEMA = "request_id long, user_id long, dataset string, dataset_id long, status string, dim int, id long, batch_id long"
 MARK_SCHEMA = "max_id long, batch_id long"
 DIM_SCHEMA = "dataset_id long, dim int, batch_id long"
 DOCUMENT_SCHEMA = ("id long, title string, url string, body string, vector array<float>, "
@@ -78,13 +78,14 @@ def ingest_batch(batch: DataFrame, batch_id: int, embedder: Embedder, store: str
     # the batch's results are computed once and stored; all that follows reads them
     _overwrite_partitions(out["results"].withColumn("batch_id", bid), f"{store}/results", "batch_id")
     results = spark.read.schema(RESULT_SCHEMA).parquet(f"{store}/results").where(F.col("batch_id") == batch_id).drop("batch_id")
-    docs = ingest.accepted_documents(results)
+    docs = ingest.accepted_documents(results, batch, vectors)
     _overwrite_partitions(docs.withColumn("batch_id", bid), doc_path, "dataset_id", "batch_id")
+    accepted = results.where("id is not null")
     status = results.select("request_id", "user_id", "dataset", "dataset_id", "status")
     _overwrite_partitions(status.withColumn("batch_id", bid), st_path, "batch_id")
-    mark = docs.agg(F.coalesce(F.max("id"), F.lit(int(base))).alias("max_id")).withColumn("batch_id", bid)
+    mark = accepted.agg(F.coalesce(F.max("id"), F.lit(int(base))).alias("max_id")).withColumn("batch_id", bid)
     _overwrite_partitions(mark, mark_path, "batch_id")
-    new_dims = (docs.groupBy("dataset_id").agg(F.min(F.size("vector")).alias("dim"))
+    new_dims = (accepted.groupBy("dataset_id").agg(F.min("dim").alias("dim"))
                 .join(dims.select("dataset_id"), "dataset_id", "left_anti"))
     _overwrite_partitions(new_dims.withColumn("batch_id", bid), dim_path, "batch_id")
 
@@ -103,52 +104,55 @@ def start_ingest(spark: SparkSession, source: str, request_schema: str, embedder
     return w.start()
 
 
-SESSION_SCHEMA = "id string, user_id long, messages array<string>, model string, version long, batch_id long"
+SESSION_SCHEMA = "id string, user_id long, messages array<string>, model string, version long, first_version long, batch_id long"
 
 
 def _latest(rows: DataFrame) -> DataFrame:
-    """Latest row per session across batch folders (the newest batch wins)."""
-    return (rows.groupBy("id").agg(F.max_by(F.struct("user_id", "messages", "model", "version"),
-                                            F.col("batch_id")).alias("s"))
-            .select("id", "s.*"))
+    """Latest row per session across batch folders (the newest batch wins), with its batch."""
+    return (rows.groupBy("id").agg(F.max_by(F.struct("user_id", "messages", "model", "version", "first_version"), F.col("batch_id")).alias("s"),
+                                   F.max("batch_id").alias("batch_id"))
+            .select("id", "s.*", "batch_id"))
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+def upsert_batch(batch: DataFrame, batch_id: int, store: str, compact_every: int = 0) -> None:
     """One micro-batch of session saves.
 
     Writes only the sessions this batch touches, merged with their state
     from earlier batches (read for those ids only, via a semi join), so a
     batch costs what it changes, not the size of the table. Readers take the
-    newest row per id (:func:`read_sessions`); a compaction job may fold old
-    folders. A replay re-reads the same earlier folders and rewrites the same
-    rows.
+    newest row per id (:func:`read_sessions`). Every ``compact_every`` batches
+    the folders of earlier batches are folded into a snapshot
+    (``streaming.manifest``). A replay re-reads the same earlier state and
+    rewrites the same rows.
     """
     spark = batch.sparkSession
     path = f"{store}/sessions"
     changes = batch.select("id", "user_id", "messages", "model", "version")
     prev = None
-    s = _read_or_none(spark, path, SESSION_SCHEMA)
+    s = manifest.live(spark, path, SESSION_SCHEMA)
     if s is not None:
         touched = changes.select("id").distinct()
-        prev = _latest(s.where(F.col("batch_id") < batch_id).join(touched, "id", "left_semi"))
+        prev = _latest(s.where(F.col("batch_id") < batch_id).join(touched, "id", "left_semi")).drop("batch_id")
     merged = sessions.upsert(prev, changes)
     _overwrite_partitions(merged.withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id")
+    if compact_every and batch_id and batch_id % compact_every == 0:
+        manifest.compact(spark, path, SESSION_SCHEMA, _latest, batch_id - 1)  # this batch may still be replayed
 
 
 def read_sessions(spark: SparkSession, store: str) -> DataFrame:
-    """Current sessions: the newest row of each id across batch folders."""
-    return _latest(spark.read.schema(SESSION_SCHEMA).parquet(f"{store}/sessions"))
+    """Current sessions: the newest row of each id in the snapshot and the batch folders after it."""
+    return _latest(manifest.live(spark, f"{store}/sessions", SESSION_SCHEMA)).drop("batch_id")
 
 
 def start_session_upsert(spark: SparkSession, source: str, store: str, checkpoint: str,
-                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                         available_now: bool = True, max_files_per_trigger: int | None = None, compact_every: int = 0) -> StreamingQuery:
     """Continuous session saves (id, user_id, messages, model, version) from JSON files."""
     schema = "id string, user_id long, messages array<string>, model string, version long"
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(source)
-    w = (stream.writeStream.foreachBatch(lambda df, bid: upsert_batch(df, bid, store))
+    w = (stream.writeStream.foreachBatch(lambda df, bid: upsert_batch(df, bid, store, compact_every))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
@@ -175,13 +179,16 @@ def answer_batch(batch: DataFrame, batch_id: int, datasets: DataFrame, documents
 
 def start_answering(spark: SparkSession, source: str, query_schema: str, datasets: DataFrame,
                     documents: DataFrame, out: str, checkpoint: str, available_now: bool = True,
-                    client_factory=None, system_prompt: str = "") -> StreamingQuery:
+                    client_factory=None, system_prompt: str = "", max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Continuous question answering: query stream x static knowledge base.
 
     Ranking needs ``row_number``, which a streaming DataFrame does not allow,
     so each micro-batch runs the batch retrieval.
     """
-    stream = spark.readStream.schema(query_schema).parquet(source)
+    reader = spark.readStream.schema(query_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source)
     w = (stream.writeStream
          .foreachBatch(lambda df, bid: answer_batch(df, bid, datasets, documents, out,
                                                     client_factory, system_prompt))

@@ -22,7 +22,7 @@ def test_decode(spark):
 
 def test_assign_ids_dense_and_ordered(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"))
-    out = ingest.assign_ids(df, ["k"], base=100, buckets=7)
+    out = ingest.assign_ids(df, ["k"], base=100)
     got = rows(out, "k", "id")
     assert got == [(k, 101 + k) for k in range(1000)]
 
@@ -122,3 +122,15 @@ def test_one_dimension_per_dataset(spark):
     out = ingest.ingest(req, vec, ds, dataset_dims=known)
     assert dict(out["status"].select("request_id", "status").collect()) == {
         1: ingest.ST_DIMENSION, 2: "accepted", 3: ingest.ST_DIMENSION, 4: "accepted"}
+
+
+def test_decode_typed(spark):
+    cases = {'{"title":"t","BODY":"b","Dataset":null,"x":[1]}': ("t", "", "b", "", "accepted"), "null": ("", "", "", "", "accepted"),
+             "{}": ("", "", "", "", "accepted"), '{"title":5}': None, '{"title":true}': None, '{"url":["a"]}': None, '{"body":{"a":1}}': None,
+             "[]": None, '"text"': None, "5": None, "": None, "{bad": None, '{"title":"a"}}': ("a", "", "", "", "accepted"), '{"title":"5"}': ("5", "", "", "", "accepted"),
+             '{"more":{"title":7},"title":"é\\n\\u0041"}': ("é\nA", "", "", "", "accepted"), '{"titles":1}': ("", "", "", "", "accepted")}
+    df = spark.createDataFrame([(i, p, "x") for i, p in enumerate(cases)] + [(99, None, "x")], "request_id long, payload string, kind string")
+    got = {r.request_id: (r.title, r.url, r.body, r.dataset, r.status) for r in ingest.decode_typed(df).collect()}
+    for i, (p, want) in enumerate(cases.items()):
+        assert got[i] == (want or (None, None, None, None, "invalid json")), p
+    assert got[99][4] == "invalid json"

@@ -1,20 +1,45 @@
 """Plan shape: the properties that make retrieval scale."""
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
+from quarry.operators import retrieve, validate
 from quarry.plans import checks
 from quarry.plans.queries import REGISTRY
+from quarry.sources import kb
+from quarry.sources.tables import Catalog
+
+
+def _ranking(spark, sf):
+    """The plan of the rows that may be returned, before they are stored."""
+    cat = Catalog(spark, sf)
+    req = validate.accepted(validate.answer_requests(kb.queries(cat)))
+    rows, most = retrieve.candidates(req, kb.datasets(cat), kb.documents(cat), F.col("word_limit") + 1, ("word_limit",))
+    assert most > retrieve.GROUP_LIMIT  # the same plan serves small and large requests
+    return checks.plan_text(rows)
 
 
 def test_budget_plan(spark):
-    plan = checks.plan_text(REGISTRY["budget_search"](spark, SF_SMALL))
+    plan = _ranking(spark, SF_SMALL)
     assert "WindowGroupLimit" in plan
     assert checks.partial_group_limit_before_exchange(plan)
     assert "SinglePartition" not in plan
     assert "BroadcastHashJoin" in plan
 
 
+def test_vectors_are_scanned_once_for_a_set_of_requests(spark):
+    """One scan of the vectors in the ranking; what follows reads stored rows."""
+    plan = _ranking(spark, SF_SMALL)
+    assert len(checks.read_schemas(plan, "embeddings")) == 1
+    for key in ("budget_search", "topk_search"):
+        assert all("embedding:" not in s for s in checks.read_schemas(checks.plan_text(REGISTRY[key](spark, SF_SMALL)), "embeddings")), key
+
+
 def test_topk_ranking_reads_no_text(spark):
-    plan = checks.plan_text(REGISTRY["topk_search"](spark, SF_SMALL))
+    cat = Catalog(spark, SF_SMALL)
+    req = validate.accepted(validate.search_requests(kb.queries(cat)))
+    rows, _ = retrieve.candidates(req, kb.datasets(cat), kb.documents(cat, with_body=False), F.col("k"), ("k",))
+    plan = checks.plan_text(rows)
     assert "WindowGroupLimit" in plan and "SinglePartition" not in plan
     for schema in checks.read_schemas(plan, "documents"):
         assert "text" not in schema
@@ -45,8 +70,8 @@ def test_spread_only_for_under_split_input(spark, monkeypatch):
 def test_ranking_and_texts(spark):
     """The ranking scan reads no text, and no exchange carries the texts of all documents."""
     for sf in (SF_SMALL, "/root/testdata/sf0.1"):
-        plan = checks.plan_text(REGISTRY["budget_search"](spark, sf))
-        assert any("text" not in s for s in checks.read_schemas(plan, "documents"))
+        schemas = checks.read_schemas(_ranking(spark, sf), "documents")
+        assert schemas and all("text" not in s for s in schemas)
         for key in ("build_prompts", "search_response_json", "chat_requests"):
             df = REGISTRY[key](spark, sf)
             assert checks.unfiltered_text_exchanges(df, "text") == [], key

@@ -169,3 +169,38 @@ def test_dimension_errors_reported(spark):
     assert retrieve.dimension_errors(req, spark.createDataFrame([(1, 7, "x")], DS_SCHEMA), mixed).count() == 2
     errs = retrieve.dimension_errors(req, spark.createDataFrame([(1, 7, "x")], DS_SCHEMA), docs)
     assert rows(errs) == [(1, "vector dimension differs from its dataset")]
+
+
+def test_large_requests_use_many_tasks_and_equal_the_window(spark):
+    """Budgets from one word to more than all documents, ties over the borders of ranges."""
+    rng = random.Random(8)
+    docs, queries, ds = _random_case(rng, n_docs=3000)
+    queries = [(q[0], q[1], q[2], q[3], q[4], [1, 50, 1500, 4000, 9000, 3_000_000_000][i]) for i, q in enumerate(queries)]
+    fast = _budget(spark, docs, queries, ds)
+    slow = _full_window(spark, docs, queries, ds)
+    assert rows(fast, "query_id", "id", "cumulative_words") == rows(slow, "query_id", "id", "c")
+    ranks = {}
+    for q, rank in rows(fast, "query_id", "rank"):
+        ranks.setdefault(q, []).append(rank)
+    assert all(r == list(range(1, len(r) + 1)) for r in ranks.values())
+    d = _docs(spark, docs).select("id", "dataset_id", "vector")
+    req = validate.accepted(validate.search_requests(spark.createDataFrame(queries, Q_SCHEMA).withColumn("k", F.lit(2000).cast("long")), k_col="k"))
+    hits = retrieve.topk_search(req, spark.createDataFrame(ds, DS_SCHEMA), d)
+    assert {r["count"] for r in hits.groupBy("query_id").count().collect()} == {1500}
+    assert hits.where("query_id = 1").agg(F.max("rank")).first()[0] == 1500
+
+
+def test_running_sum_of_a_hot_group_is_spread(spark):
+    from quarry.plans import scan
+
+    rng = random.Random(9)
+    data = [(1 if i % 3 else i % 7, rng.randrange(400), i, rng.randrange(5)) for i in range(4000)]
+    df = spark.createDataFrame(data, "g long, o long, id long, v long").repartition(6)
+    ranged = scan.ranged(df, ["g"], [F.col("o")], 8)
+    assert ranged.where("g = 1").select(scan.RANGE).distinct().count() > 3
+    got = scan.running(df, ["g"], [F.col("o")], {"s": "v"}, "p", [F.col("id")], 8, {"m": "v"})
+    w = Window.partitionBy("g").orderBy("o")
+    want = df.withColumns({"s": F.sum("v").over(w), "m": F.max("v").over(w), "p": F.row_number().over(w.orderBy("o", "id")) - 1})
+    cols = ("g", "o", "id", "v", "s", "p", "m")
+    assert rows(got, *cols) == rows(want, *cols)
+    assert scan.running(df.limit(0), ["g"], [F.col("o")], {"s": "v"}).count() == 0

@@ -21,6 +21,17 @@ def test_upsert_idempotent(spark):
     assert rows(once) == rows(twice)
 
 
+def test_late_save_does_not_change_the_owner(spark):
+    first = sessions.upsert(None, spark.createDataFrame([("s", 1, ["a"], "m1", 1), ("s", 9, ["c"], "m3", 3)], CH))
+    late = spark.createDataFrame([("s", 7, ["b"], "m2", 2)], CH)
+    (r,) = sessions.upsert(first, late).collect()
+    assert (r.user_id, r.messages, r.model, r.version, r.first_version) == (1, ["c"], "m3", 3, 1)
+    (r,) = sessions.upsert(first.drop("first_version"), late).collect()  # a state without it keeps its owner
+    assert (r.user_id, r.version) == (1, 3)
+    earliest = spark.createDataFrame([("s", 4, ["z"], "m0", 0)], CH)
+    assert sessions.upsert(first, earliest).first()["user_id"] == 4
+
+
 def test_lookup(spark):
     s = spark.createDataFrame([("s", 1, ["a"], "m", 1)], CH)
     req = spark.createDataFrame([(1, "s"), (2, "zz"), (3, "")], "request_id long, session_id string")
