@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import defaults as D
-from quarry.functions.vectors import l2_distance, word_count
+from quarry.functions.vectors import has_bad_element, l2_distance, word_count
 from quarry.operators import answer, auth, block_index, constraints, context, embed, inference, ingest, intake, integrity, ledger, retrieve, sessions, standing, validate
 from quarry.plans.parallel import spread
 from quarry.plans.stage import fresh_path, shared_dir, staged
@@ -415,7 +415,7 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # digests are taken where the texts and vectors are read: neither is moved
     req = req.withColumns({"body_md5": F.md5("body"), "word_count": word_count("body")})
     out = ingest.ingest(req, vec, kb.datasets(cat), keep=("title", "url", "body_md5", "word_count"))["results"]
-    digests = vec.where("vector is not null").select("request_id", vector_digest(F.col("vector")).alias("vector_md5"))
+    digests = vec.select("request_id", F.when(F.col("vector").isNotNull() & ~has_bad_element("vector"), vector_digest(F.col("vector"))).alias("vector_md5"))
     ok = F.col("id").isNotNull()
     return out.join(digests, "request_id", "left").select(
         "request_id", "user_id", "dataset", "dataset_id", "status", "id", "title", "url", "body_md5", "word_count",
