@@ -14,6 +14,13 @@ of the first phrase are looked up in whole batches, and only around them the
 words before and behind it are aligned, up to the next such place and in
 stretches of at most ``STRETCH`` times the template's words.
 
+A long template (over ``LONG`` words) is also found where a key phrase is altered
+or missing, a title left out for instance: runs of ``RUN`` words, spread over the
+template, are looked up in whole batches too; where several stand at their
+distances the template is aligned around them. Such a match must be nearly whole
+(``KEYLESS``), with hardly a foreign word in between, and stands behind any match
+with about as many words that lies there: key phrases decide between rivals.
+
 A template without key phrases (a caller's own) is looked for by its words
 alone. A match needs nearly all of its distinct words: a document without them is
 passed by (this loses nothing: ``distinct - (1 - least) * words`` of them are in
@@ -46,6 +53,10 @@ from quarry.llm import hashing
 
 LEAST = 0.8
 STRETCH = 2
+LONG = 150  # words of a template that may be found without its key phrases
+KEYLESS = 0.97  # coverage that this takes, and share of the template's words in the stretch
+RUN, RUNS, LEAST_RUNS = 8, 24, 3  # words of a run, runs of a template, runs near one another that are worth an alignment
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 BETWEEN = ~hashing.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 # The notices to look for (public license texts).
@@ -264,22 +275,40 @@ def side(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return best
 
 
+def run_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of the RUN words from each place on."""
+    n = max(0, len(words) - RUN + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(RUN):
+        out = (out + words[j:j + n]) * _ODD
+    return hashing.mix(out)
+
+
 class Scanner:
     """All templates, ready to be looked for in hashed words."""
 
     def __init__(self, templates: dict[str, str], least: float, keys: dict[str, tuple[str, ...]] | None = None):
         self.least, self.templates, self.keyed = least, [], []
+        runs = []  # (hash of a run of words, number of the keyed template, place in it)
         for name, text in sorted(templates.items()):
             words = hashed(text)
             if phrases := [hashed(p) for p in (keys or {}).get(name, ())]:
                 at = [places_of(p, np.array(words, np.uint64)).tolist() for p in phrases]
                 if len(at[0]) != 1 or not all(at):
                     raise ValueError(f"template {name} lacks a key phrase, or repeats the first")
+                if len(words) > LONG:
+                    h = run_hashes(np.array(words, np.uint64))
+                    once = [i for i in np.linspace(0, len(h) - 1, RUNS).astype(int).tolist() if (h == h[i]).sum() == 1]
+                    runs += [(h[i], len(self.keyed), i) for i in once]
                 self.keyed.append((name, words, phrases[0], [(a[0], a[0] + len(p)) for a, p in zip(at, phrases)]))
             elif words:
                 need = max(1, int(np.ceil(len(set(words)) - (1 - least) * len(words) - 1e-9)))
                 self.templates.append((name, words, frozenset(words), need))
         self.vocabulary = np.unique(np.array([w for _, words, _, _ in self.templates for w in words], np.uint64))
+        self.runs = defaultdict(list)
+        for h, k, i in runs:
+            self.runs[int(h)].append((k, i))
+        self.run_hashes = np.array(sorted(self.runs), np.uint64)
 
     def matches(self, words: np.ndarray, known: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word) in a text; ``known`` are the places of template words."""
@@ -337,10 +366,45 @@ class Scanner:
                     out[t][k].append(p - int(ends[t] - counts[t]))
         return out
 
+    def run_places(self, words: np.ndarray, counts: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """Number of the text -> number of the keyed template -> (place in the text, in the template) of its runs."""
+        out: dict = defaultdict(lambda: defaultdict(list))
+        if not len(self.run_hashes) or len(words) < RUN:
+            return out
+        h = run_hashes(words)
+        at = np.minimum(np.searchsorted(self.run_hashes, h), len(self.run_hashes) - 1)
+        found = np.flatnonzero(self.run_hashes[at] == h)
+        ends = np.cumsum(counts)
+        text = np.searchsorted(ends, found, "right")
+        for t, p in zip(text.tolist(), found.tolist()):
+            if p + RUN <= ends[t]:
+                for k, i in self.runs[int(h[p])]:
+                    out[t][k].append((p - int(ends[t] - counts[t]), i))
+        return out
+
+    def along(self, words: np.ndarray, hits: list[tuple[int, int]], template: list[int], taken: list[tuple]) -> Iterator[tuple]:
+        """Nearly whole copies of a long template around its runs, key phrases or not; ``taken``: its matches so far."""
+        behind = 0
+        for n, (p, i) in enumerate(hits):
+            if p < behind or any(m[2] <= p <= m[3] for m in taken):
+                continue
+            near = [x for x in hits[n:n + 2 * RUNS] if abs((x[0] - p) - (x[1] - i)) <= len(template) * (1 - KEYLESS) * 2 + RUN]
+            if len(near) < LEAST_RUNS:
+                continue
+            left = side(words[max(behind, p - i - i // 4):p][::-1].tolist(), template[:i][::-1])
+            rest = len(template) - i - RUN
+            right = side(words[p + RUN:p + RUN + rest + rest // 4 + RUN].tolist(), template[i + RUN:])
+            at = {i - 1 - y: p - 1 - x for x, y in left} | {y: p + y - i for y in range(i, i + RUN)} | {i + RUN + y: p + RUN + x for x, y in right}
+            first, last = min(at.values()), max(at.values())
+            if len(at) >= KEYLESS * len(template) and (last - first + 1) * KEYLESS <= len(template):
+                yield len(at) / len(template), first, last
+                behind = last + 1
+
     def scan(self, texts) -> Iterator[list[tuple]]:
         for _, group in hashing.blocks(texts):
             h, counts = hashing.words_of(group, BETWEEN, hashing.LOWER)
             keys = self.key_places(h, counts)
+            runs = self.run_places(h, counts)
             at = np.searchsorted(self.vocabulary, h)
             known = np.flatnonzero(self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == h) if len(self.vocabulary) else h[:0].astype(np.int64)
             start = 0
@@ -351,6 +415,15 @@ class Scanner:
                 for k, places in keys.get(t, {}).items():
                     name, template, _, spans = self.keyed[k]
                     out += [(name, *m) for m in self.around(words, places, template, spans)]
+                without_key = []
+                for k, hits in runs.get(t, {}).items():
+                    name, template = self.keyed[k][:2]
+                    without_key += [(name, *m, len(template)) for m in self.along(words, hits, template, [m for m in out if m[0] == name])]
+                # a rival that has its key phrases there, or more words, stands before it
+                sizes = {x[0]: len(x[1]) for x in self.keyed} | {x[0]: len(x[1]) for x in self.templates}
+                for m in sorted(without_key, key=lambda m: (-m[1] * m[4], m[0])):
+                    if not any(o[2] <= m[3] and m[2] <= o[3] and o[1] * sizes[o[0]] >= KEYLESS * m[1] * m[4] for o in out):
+                        out.append(m[:4])
                 yield out
                 start += n
 

@@ -100,6 +100,55 @@ def test_rival_license_texts(spark):
         assert best[:2] == (name, 1.0)
 
 
+LONG_TEMPLATES = [n for n, t in license_scan.TEMPLATES.items() if len(license_scan.hashed(t)) > license_scan.LONG]
+
+
+@pytest.mark.parametrize("name", LONG_TEMPLATES)
+def test_long_license_without_its_key_phrase_or_title(name):
+    """A word put into the first key phrase, or the first words left out."""
+    text, phrase = license_scan.TEMPLATES[name], license_scan.KEYS[name][0]
+    words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)
+    n = license_scan.hashed(phrase)
+    at = int(license_scan.places_of(n, np.array(license_scan.hashed(text), np.uint64))[0])
+    altered = " ".join(words[:at + 1] + ["quite"] + words[at + 1:])
+    best = lambda t: max(found_in(t), key=lambda m: m[1] * len(license_scan.hashed(license_scan.TEMPLATES[m[0]])), default=None)
+    for t, last in ((f"one two {altered} three four", len(words) + 2), (f"{' '.join(words[min(14, len(words) // 40):])} and more", len(words) - min(14, len(words) // 40) - 1)):
+        m = best(t)
+        assert m and m[0] == name and m[1] > 0.96 and m[3] == last, (m, last)
+
+
+def test_long_text_like_a_license_is_none():
+    """A sister license: the key phrase differs and a twentieth of the words."""
+    words = re.findall(r"\w+", license_scan.TEMPLATES["GPL-3.0-text"])
+    sister = ["other" if i % 20 == 7 else w for i, w in enumerate(words)]
+    at = int(license_scan.places_of(license_scan.hashed(license_scan.KEYS["GPL-3.0-text"][0]), np.array(license_scan.hashed(" ".join(words)), np.uint64))[0])
+    assert not [m for m in found_in(" ".join(sister[:at + 2] + ["Affero"] + sister[at + 2:])) if m[0] == "GPL-3.0-text"]
+    quoted = " ".join(words[300:900])  # a part is no license either
+    assert not [m for m in found_in(f"as it says {quoted} and so on") if m[0] == "GPL-3.0-text"]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_against_longest_common_subsequence(seed):
+    rnd = np.random.default_rng(seed)
+    template = license_scan.hashed(license_scan.TEMPLATES[["MIT-text", "BSD-3-Clause-text", "ISC-text"][seed % 3]])
+    text = []
+    for w in template:
+        p = rnd.random()
+        text += [w, 1] if p < 0.05 else [] if p < 0.1 else [2] if p < 0.13 else [w]
+    pairs = license_scan.align(text, template)
+    most = longest_common(text, template)
+    assert all(text[i] == template[j] for i, j in pairs) and 0.97 * most <= len(pairs) <= most
+
+
 @pytest.mark.parametrize("keys", [license_scan.KEYS, {}], ids=["keys", "words alone"])
 def test_altered_notices_in_a_row(keys):
     notice = license_scan.TEMPLATES["GPL-3.0"]
