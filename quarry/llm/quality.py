@@ -51,6 +51,7 @@ BUCKETS = 1 << BUCKET_BITS
 MAX_ROWS = 20_000  # training rows of the fit; the counts take all rows
 MAX_VALUES = 1 << 25  # features of these rows together (128 MiB)
 HASHES = 1 << 62
+LONG_TEXT = 1 << 18  # words whose n-grams are held at once
 
 
 WHITE, LOWER, UPPER, DIGIT, OTHER = range(5)
@@ -111,8 +112,15 @@ def features_of(texts, use_shapes: bool = True, use_words: bool = True) -> Itera
             h[1:][w[1:] == w[:-1]] ^= REPEATED
             own = plain[plain_start:plain_start + m]
             plain_start += m
-            grams = np.concatenate([ngrams(x) for x, used in ((h, use_shapes), (own, use_words)) if used])
-            yield np.unique((grams >> shift).astype(np.int32))
+            used = [x for x, use in ((h, use_shapes), (own, use_words)) if use]
+            if n + m <= LONG_TEXT:
+                yield np.unique((np.concatenate([ngrams(x) for x in used]) >> shift).astype(np.int32))
+                continue
+            seen = np.zeros(BUCKETS, bool)  # a long text in pieces that overlap by two words
+            for x in used:
+                for at in range(0, len(x), LONG_TEXT):
+                    seen[(ngrams(x[at:at + LONG_TEXT + 2]) >> shift).astype(np.int32)] = True
+            yield np.flatnonzero(seen).astype(np.int32)
 
 
 @dataclass

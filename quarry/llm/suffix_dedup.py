@@ -194,6 +194,16 @@ def runs(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray, window: int):
     return owner[a], offset[a], offset[b] + window
 
 
+def merged_spans(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that some spans cover; spans that touch are one run."""
+    order = np.argsort(at, kind="stable")
+    at, reach = at[order], np.maximum.accumulate(to[order])
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return at[first], reach[np.append(first[1:], len(at)) - 1]
+
+
 def merged_earliest(lists: list[tuple]) -> list[np.ndarray]:
     """Which entries of some sorted lists of (digest, order) are repeats.
 
@@ -226,13 +236,25 @@ def numbered(docs: DataFrame) -> DataFrame:
     return keyed.select(F.col("doc_id").alias("own_id"), number.alias("doc_id"), "text")
 
 
+def in_pieces(group: list[bytes], window: int = WINDOW, size: int = hashing.LONG) -> Iterator[tuple]:
+    """``segments`` of some texts; a long one in pieces that overlap, each window in one of them."""
+    if sum(map(len, group)) <= size:
+        yield segments(group, window)
+        return
+    for k, text in enumerate(group):
+        for first in range(0, max(1, len(text) - window + 1), size):
+            _, at, n, anchor, digest = segments([text[first:first + size + window - 1]], window)
+            yield np.full(len(at), k), at + first, n, anchor, digest
+
+
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The anchors of all documents, with their counts per block of texts."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, group in hashing.blocks(batch.column(0).to_pylist()):
-                anchor, n = np.unique(segments(group, window)[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
+                for found in in_pieces(group, window):
+                    anchor, n = np.unique(found[3], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
     return docs.select("text").mapInArrow(emit, "anchor long, n long")
 
@@ -244,10 +266,10 @@ def located_segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, group in hashing.blocks(batch.column(1).to_pylist()):
-                text, at, n, anchor, digest = segments(group, window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(text + base)),
-                     pa.array(at), pa.array(n)], ["anchor", "digest", "doc_id", "at", "n"])
+                for text, at, n, anchor, digest in in_pieces(group, window):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(text + base)),
+                         pa.array(at), pa.array(n)], ["anchor", "digest", "doc_id", "at", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(emit, f"anchor long, digest long, doc_id {id_type}, at long, n long")
 
@@ -360,15 +382,12 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (text, spans) in enumerate(zip(batch.column(1), batch.column(2))):
-                data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                depth = np.zeros(len(data) + 1, np.int32)
-                np.add.at(depth, spans.values.field("at").to_numpy(), 1)
-                np.add.at(depth, spans.values.field("to").to_numpy(), -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                a, b = merged_spans(spans.values.field("at").to_numpy(), spans.values.field("to").to_numpy())
+                kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([data[~gone].tobytes()], pa.binary()), pa.array([len(data)]),
-                     pa.array([int(gone.sum())]), pa.array([n_spans])], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                    [batch.column(0).slice(i, 1), pa.array([kept], pa.binary()), pa.array([len(data)]),
+                     pa.array([int((b - a).sum())]), pa.array([len(a)])], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return both.mapInArrow(emit, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long")
 
