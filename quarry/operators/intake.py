@@ -9,6 +9,7 @@ function run in ``mapInPandas``, with an error column per file.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -20,6 +21,7 @@ from quarry.functions import defaults as D
 ERR_TOO_BIG = "file is larger than 10 MiB"
 ERR_NOT_PDF = "not a PDF file"
 ERR_NO_SIZE = "file size is unknown"
+ERR_NO_CONTENT = "file has no content"
 
 
 def is_pdf(name: Column) -> Column:
@@ -66,8 +68,8 @@ def extract_text(files: DataFrame, extractor: Callable[[bytes], str],
             texts, errs = [], []
             for blob in pdf[content_col]:
                 try:
-                    texts.append(extractor(bytes(blob)))
-                    errs.append(None)
+                    texts.append(None if blob is None else extractor(bytes(blob)))
+                    errs.append(None if blob is not None else ERR_NO_CONTENT)
                 except Exception as exc:  # noqa: BLE001
                     texts.append(None)
                     errs.append(f"{type(exc).__name__}: {exc}"[:500])
@@ -91,3 +93,11 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, TAG_RE, " ")
     t = F.regexp_replace(t, SPACE_RE, " ")
     return F.trim(t)
+
+
+def html_extractor(blob: bytes) -> str:
+    """Bytes of an HTML file -> text, as :func:`html_text`; bytes that are no UTF-8 are replaced."""
+    t = blob.decode("utf-8", "replace")
+    for pattern in (SCRIPT_RE, STYLE_RE, TAG_RE, SPACE_RE):
+        t = re.sub(pattern, " ", t)
+    return t.strip(" ")

@@ -60,14 +60,23 @@ def rejected_saves(changes: DataFrame) -> DataFrame:
             .select("*", F.lit(D.ERR_EMPTY_SESSION).alias("error")))
 
 
-def lookup(requests: DataFrame, sessions: DataFrame, id_col: str = "session_id") -> DataFrame:
-    """Point lookups as a join: found flag, session fields, error for ''."""
-    s = sessions.select(F.col("id").alias(id_col), "messages", "model")
+def lookup(requests: DataFrame, sessions: DataFrame, id_col: str = "session_id", user_col: str | None = None) -> DataFrame:
+    """Point lookups as a join: found flag, session fields, error for ''.
+
+    The service finds a session by its id alone. With ``user_col`` (a column of
+    the requests) only the session's owner finds it.
+    """
+    s = sessions.select(F.col("id").alias(id_col), "messages", "model", *([F.col("user_id").alias("_owner")] if user_col else []))
     out = lookup_join(requests, s, [id_col], "left")
     empty = F.coalesce(F.col(id_col), F.lit("")) == ""
+    found = F.col("model").isNotNull() & ~empty
+    if user_col:
+        found = found & F.coalesce(F.col("_owner") == F.col(user_col), F.lit(False))
+        out = out.withColumns({c: F.when(found, F.col(c)) for c in ("messages", "model")}).drop("_owner")
+        found = F.col("model").isNotNull()
     return out.select(
         "*",
-        (F.col("model").isNotNull() & ~empty).alias("found"),
+        found.alias("found"),
         F.when(empty, F.lit(D.ERR_EMPTY_SESSION)).alias("error"))
 
 

@@ -561,6 +561,7 @@ ORACLE.update({
 
 ORACLE["stream_session_upsert"] = ORACLE["session_upsert"]
 ORACLE["stream_standing_budget"] = ORACLE["budget_search"]
+ORACLE["page_text_extracted"] = f"""SELECT page_id, text, CASE WHEN text IS NULL THEN 'file has no content' END AS error FROM ({ORACLE["page_text"]}) t"""
 ORACLE["constraint_report_incremental"] = ORACLE["constraint_report"]
 ORACLE["stream_session_state"] = ORACLE["session_upsert"]
 ORACLE["decode_query_requests"] = f"""WITH r AS (

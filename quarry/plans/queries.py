@@ -581,6 +581,14 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", intake.html_text(F.col("html")).alias("text"))
 
 
+@register("page_text_extracted")
+def page_text_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as uploaded files: bytes through the per-file extractor."""
+    files = Catalog(spark, sf_dir).pages.select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    out = intake.extract_text(files, intake.html_extractor)
+    return out.select(F.col("path").cast("long").alias("page_id"), "text", "error")
+
+
 def query_bodies(cat: Catalog) -> DataFrame:
     """POST /query bodies built from every conversation turn: with and without
     a limit (0, NULL, absent), a model, a dataset; every 13th malformed."""
@@ -624,18 +632,11 @@ def citing_client():
     return client
 
 
-def _shipped(factory):
-    """The client by value, so that workers need not import this module."""
-    import types
-
-    return types.FunctionType(factory.__code__, {"__builtins__": __builtins__, "__name__": "__main__"}, factory.__name__)
-
-
 @register("answer_questions")
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole answer path over every query, with a deterministic client."""
     cat = Catalog(spark, sf_dir)
-    return answer.answer_questions(planted_queries(cat), kb.datasets(cat), kb.documents(cat), _shipped(citing_client), SYSTEM_PROMPT)
+    return answer.answer_questions(planted_queries(cat), kb.datasets(cat), kb.documents(cat), citing_client, SYSTEM_PROMPT)
 
 
 @register("rewrite_turns_once")
@@ -643,7 +644,7 @@ def rewrite_turns_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query rewriting of every conversation turn through a ledger: a text that many turns repeat is asked once."""
     turns = Catalog(spark, sf_dir).conversations.select(F.struct("conv_id", "turn").alias("key"), "text")
     payloads = turns.select("key", inference.search_words_request(F.col("text")).alias("payload"))
-    raw = ledger.run_model(payloads, "payload", _shipped(citing_client), "key", fresh_path(spark, "ledger"))
+    raw = ledger.run_model(payloads, "payload", citing_client, "key", fresh_path(spark, "ledger"))
     content, parse_err = inference.parse_chat_response(F.col("response"))
     return raw.select("key.conv_id", "key.turn", content.alias("search_words"), F.coalesce(F.col("error"), parse_err).alias("error"))
 
@@ -651,7 +652,7 @@ def rewrite_turns_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rewrite_queries")
 def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query rewriting of every query, with the same client."""
-    return answer.rewrite_queries(kb.queries(Catalog(spark, sf_dir)), _shipped(citing_client))
+    return answer.rewrite_queries(kb.queries(Catalog(spark, sf_dir)), citing_client)
 
 
 def _stream_folder(spark: SparkSession) -> str:
@@ -736,5 +737,5 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _in_slices(planted_queries(cat), F.col("query_id") % SLICES, f"{at}/in", "parquet")
     schema = "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit long"
     jobs.start_answering(spark, f"{at}/in", schema, kb.datasets(cat), kb.documents(cat), f"{at}/out", f"{at}/progress",
-                         client_factory=_shipped(citing_client), system_prompt=SYSTEM_PROMPT, max_files_per_trigger=files).awaitTermination()
+                         client_factory=citing_client, system_prompt=SYSTEM_PROMPT, max_files_per_trigger=files).awaitTermination()
     return spark.read.parquet(f"{at}/out/answers").select("query_id", "json", "error")

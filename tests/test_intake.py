@@ -37,3 +37,12 @@ def test_html_text(spark):
     html = "<html><head><style>p{}</style><script>var a='<p>';</script></head><body><p>Hi \n there</p></body></html>"
     df = spark.createDataFrame([(html,)], "h string")
     assert df.select(intake.html_text(F.col("h"))).first()[0] == "Hi there"
+
+
+def test_html_extractor_as_the_expression(spark):
+    pages = [(1, "<p>a <b>b</b></p>\n<script x>var a = '<p>';</script> c"), (2, ""), (3, None), (4, "<STYLE>x</STYLE>é\t \r\n😀<"), (5, "\x0b a \u00a0 ")]
+    df = spark.createDataFrame(pages, "i long, html string")
+    want = {r.i: r.t for r in df.select("i", intake.html_text(F.col("html")).alias("t")).collect()}
+    files = df.select(F.col("i").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    got = {int(r.path): (r.text, r.error) for r in intake.extract_text(files, intake.html_extractor).collect()}
+    assert got == {i: (t, None if t is not None else intake.ERR_NO_CONTENT) for i, t in want.items()}

@@ -39,6 +39,13 @@ def test_lookup(spark):
     assert got == {1: (True, None), 2: (False, None), 3: (False, "empty session id")}
 
 
+def test_lookup_by_its_owner_alone(spark):
+    s = spark.createDataFrame([("s", 1, ["a"], "m", 1)], CH)
+    req = spark.createDataFrame([(1, "s", 1), (2, "s", 2), (3, "zz", 1), (4, "", 1), (5, "s", None)], "request_id long, session_id string, asker long")
+    got = {r.request_id: (r.found, r.messages, r.error) for r in sessions.lookup(req, s, user_col="asker").collect()}
+    assert got == {1: (True, ["a"], None), 2: (False, None, None), 3: (False, None, None), 4: (False, None, "empty session id"), 5: (False, None, None)}
+
+
 def test_messages_and_ids(spark):
     t = spark.createDataFrame([("s", 2, "b"), ("s", 1, "a")], "session_id string, turn long, content string")
     r = sessions.session_messages(t).first()
