@@ -26,8 +26,8 @@ def _rules() -> str:
 
 
 def _hits(terms) -> str:
-    """Distinct terms standing as whole words in the lower-cased url."""
-    tests = ", ".join(f"CASE WHEN regexp_matches(lower(url), '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') THEN '{t}' END" for t in sorted(terms))
+    """Distinct terms standing as whole words in the lower-cased url or its percent-decoded form (punycode is beyond SQL)."""
+    tests = ", ".join(f"CASE WHEN regexp_matches(lower(concat(url, ' ', try(url_decode(url)))), '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') THEN '{t}' END" for t in sorted(terms))
     return f"list_filter([{tests}], lambda x: x IS NOT NULL)"
 
 

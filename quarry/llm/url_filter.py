@@ -3,8 +3,9 @@
 Rules (host, path, verdict) come first: a rule fits its host and all its
 subdomains when the URL's path starts with the rule's path; the longest rule
 wins. Everything else is judged by the vocabulary: an Aho-Corasick automaton
-finds every term in the lower-cased URL in one pass. A hit counts only when the
-characters around it are not letters or digits (of any script). One strict
+finds every term in the lower-cased URL in one pass, and in the URL with its
+escapes and its punycode labels decoded. A hit counts only when the characters
+around it are not letters or digits (of any script). One strict
 term, or ``soft_limit`` distinct soft terms, block the URL.
 
 The automaton is built once per task from the (small, given) vocabulary; the
@@ -17,7 +18,9 @@ repeated results; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,9 +29,19 @@ from pyspark.sql import functions as F
 ALLOW, BLOCK = "allow", "block"
 RULES = (("com", "/", ALLOW), ("example.com", "/en/", BLOCK), ("www.example.com", "/en/", ALLOW),
          ("net", "/es/", BLOCK), ("net", "/fr/", BLOCK))
-STRICT = ("porn", "xxx", "escort", "casino", "malware", "phishing", "warez")
-SOFT = ("adult", "bet", "betting", "cheap", "dating", "free", "gambling", "keygen", "loan", "lottery", "nude",
-        "pills", "poker", "sex", "torrent", "viagra")
+# Default vocabulary: one strict term rejects a URL, SOFT_LIMIT distinct soft terms do.
+STRICT = tuple("""
+    bestiality camgirl camgirls casino carding cumshot deepfakes escort escorts fullz gangbang hentai hookup incest malware
+    milf phishing porn porno pornhub pornstar ransomware stealer upskirt warez webcamsex xnxx xvideos xxx
+""".split())
+SOFT = tuple("""
+    adult adults amateur babes bet bets betting bingo bitcoin blackjack bonus bride brides cams cheap cialis cigarettes clickbait
+    coupon crack cracked credit crypto dating debt diet discount download erotic escrow essay fetish forex free freebies
+    gambling girls giveaway hack hacked hacks hot jackpot keygen kinky lesbian levitra lingerie loan loans lottery lotto mature
+    meds miracle mortgage naked nude nudes nulled offshore payday pharmacy pills pirated poker prescription profit proxy replica
+    roulette seo serial sex sexy singles slots spam strip supplement swinger teen topless torrent torrents viagra vpn
+    weightloss winner winners
+""".split())
 SOFT_LIMIT = 2
 
 
@@ -43,13 +56,26 @@ def automaton(strict: Iterable[str], soft: Iterable[str]):
     return a
 
 
+def forms(url: str) -> Iterator[str]:
+    """A URL as it is, with its percent escapes decoded, and with its host's punycode labels decoded."""
+    yield url
+    if "%" in url:
+        yield unquote(url)
+    for label in re.findall(r"(?i)xn--([0-9a-z-]+)", url):
+        try:
+            yield label.encode().decode("punycode")
+        except UnicodeError:
+            continue
+
+
 def vocabulary_hits(a, url: str) -> tuple[set[str], set[str]]:
-    """Distinct strict and soft terms that stand as whole words in ``url``."""
-    u, found = url.lower(), {"strict": set(), "soft": set()}
-    for end, (term, kind) in a.iter(u):
-        start = end + 1 - len(term)
-        if (start == 0 or not u[start - 1].isalnum()) and (end + 1 == len(u) or not u[end + 1].isalnum()):
-            found[kind].add(term)
+    """Distinct strict and soft terms that stand as whole words in a form of ``url``."""
+    found: dict[str, set[str]] = {"strict": set(), "soft": set()}
+    for u in map(str.lower, forms(url)):
+        for end, (term, kind) in a.iter(u):
+            start = end + 1 - len(term)
+            if (start == 0 or not u[start - 1].isalnum()) and (end + 1 == len(u) or not u[end + 1].isalnum()):
+                found[kind].add(term)
     return found["strict"], found["soft"]
 
 

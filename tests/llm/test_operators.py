@@ -235,6 +235,11 @@ def test_url_filter(spark):
              9: ("http://x.org/casinos/excasino", "x.org", "/casinos/excasino", None, "allow"), 10: ("http://x.org?a=://b/c", "x.org", "", None, "allow"),
              11: ("http://notexample.com/en/", "notexample.com", "/en/", "com/", "allow"), 12: ("", "", "", None, "allow"),
              13: ("http://x.org/éfree-betting", "x.org", "/éfree-betting", None, "allow"), 14: ("http://x.org/" + "a/" * 20000 + "xxx", "x.org", "/" + "a/" * 20000 + "xxx", None, "block")}
+    odd = {15: ("http://x.org/%70orn", "block"), 16: ("http://x.org/fr%65e%2Ddating", "block"), 17: ("http://x.org/%zz/%", "allow"), 18: ("http://xn--porn-9pa.org/", "block"),
+           19: ("http://xn--caf-dma.org/a", "allow"), 20: ("http://xn--99999999999.org/", "allow"), 21: ("http://x.org/100%25free/%C3%A9free", "allow")}
+    assert list(url_filter.forms("http://xn--caf-dma.org/%41"))[1:] == ["http://xn--caf-dma.org/A", "café"]
+    got = url_filter.judge(spark.createDataFrame([(i, u) for i, (u, _) in odd.items()], "page_id long, url string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {i: v for i, (_, v) in odd.items()}
     df = spark.createDataFrame([(i, c[0], None, "clash") for i, c in cases.items()] + [(None, "http://a.com/", None, "x")],
                                "page_id long, url string, html string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
