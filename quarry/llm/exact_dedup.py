@@ -3,13 +3,14 @@
 Two documents are copies when their texts are identical once the ASCII white
 space ``[\\x20\\x09-\\x0D]`` is deleted (``normalised``).
 
-1. The MD5 of the normalised text is counted: 16 bytes and a count per
-   document are all that is shuffled, combined in each task first.
+1. One pass over the texts stores the digests of every row (MD5, SHA-256, code
+   points). The MD5 is counted: 16 bytes and a count per document are all that is
+   shuffled, combined in each task first.
 2. Only texts whose hash occurs twice or more are moved. They are grouped by
    (hash, text itself), so the grouping compares bytes, and texts that merely
-   collide fall into different groups. A fixed-size sketch of the repeated
-   hashes (2 MiB at most) keeps all other texts out of this shuffle. Copies
-   met in one task are combined before the shuffle.
+   collide fall into different groups. A fixed-size sketch of the ids that hold a
+   repeated hash keeps all other texts from being hashed again, one of the hashes
+   out of this shuffle. Copies met in one task are combined before the shuffle.
 3. Groups of two or more, a few narrow rows, are joined back on (MD5,
    SHA-256). A hot group is split by the skew join; no group is collected.
 
@@ -39,13 +40,20 @@ def content_hash(col):
     return F.unhex(F.md5(col))
 
 
-def copy_groups(docs: DataFrame, hash_fn=content_hash) -> DataFrame:
-    """Groups of two or more copies: hash, text_sha256, keep_id, group_size."""
-    d = docs.select("doc_id", normalised().alias("norm"),
-                    F.char_length(F.coalesce(F.col("text"), F.lit(""))).alias("points"))
-    d = d.withColumn("hash", hash_fn(F.col("norm")))
-    repeated = d.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    candidates = maybe_in(d, key_sketch(repeated, "hash"), "hash")
+def digests(docs: DataFrame, hash_fn=content_hash) -> DataFrame:
+    """doc_id, hash, text_sha256 of every row, stored."""
+    norm = docs.select("doc_id", normalised().alias("norm"))
+    return staged(norm.select("doc_id", hash_fn(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256")), "digests")
+
+
+def copy_groups(docs: DataFrame, hash_fn=content_hash, light: DataFrame | None = None) -> DataFrame:
+    """Groups of two or more copies: hash, text_sha256, keep_id, group_size; ``light``: the ``digests``, if there already (only hashes are needed)."""
+    light = staged(docs.select("doc_id", hash_fn(normalised()).alias("hash")), "hashes") if light is None else light
+    repeated = staged(light.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated-hashes")
+    ids = maybe_in(light.select("doc_id", "hash"), key_sketch(repeated, "hash"), "hash").join(repeated, "hash").select("doc_id")
+    near = maybe_in(docs.select("doc_id", "text"), key_sketch(ids, "doc_id"), "doc_id")
+    d = near.select("doc_id", normalised().alias("norm"), F.char_length(F.coalesce(F.col("text"), F.lit(""))).alias("points"))
+    candidates = maybe_in(d.withColumn("hash", hash_fn(F.col("norm"))), key_sketch(repeated, "hash"), "hash")
     by_length = candidates.groupBy("hash", "norm", "points").agg(
         F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     # a null id sorts behind every id of its length, and behind shorter texts with an id
@@ -58,9 +66,8 @@ def copy_groups(docs: DataFrame, hash_fn=content_hash) -> DataFrame:
 
 def exact_groups(docs: DataFrame, hash_fn=content_hash) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    norm = docs.select("doc_id", normalised().alias("norm"))
-    light = norm.select("doc_id", hash_fn(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
-    out = light.join(copy_groups(docs, hash_fn), ["hash", "text_sha256"], "left")
+    light = digests(docs, hash_fn)
+    out = light.join(copy_groups(docs, hash_fn, light), ["hash", "text_sha256"], "left")
     grouped = F.col("group_size").isNotNull()
     keep = F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", keep.alias("keep_id"),
