@@ -609,3 +609,29 @@ def test_weights_confine_movement(spark):
     # only region b weighs more: what moves goes there, and inside b only into shard 3
     assert all(t in (3, 4) for (s, t), n in moves.items() if n)
     assert not moves[3, 4] and not any(moves[s, t] for s in (0, 1, 2) for t in (0, 1, 2) if s != t)
+
+
+def plain_descent(key, tree, path=""):
+    """The tree descended in plain Python, with the public xxHash."""
+    import xxhash
+
+    if not isinstance(tree, dict):
+        return None
+    start = 42 if key is None else xxhash.xxh64(int(key).to_bytes(8, "little", signed=True), seed=42).intdigest()
+    best = None
+    for name, child in tree.items():
+        if (w := sharding.weight(child)) > 0:
+            bits = xxhash.xxh64(f"{path}/{name}".encode(), seed=start).intdigest() >> 11
+            d = -math.log((bits + 0.5) / (1 << 53)) / w
+            if best is None or d < best[0]:
+                best = (d, name, child)
+    return plain_descent(key, best[2], f"{path}/{best[1]}") if isinstance(best[2], dict) else best[1]
+
+
+@pytest.mark.parametrize("tree", [sharding.grown_topology(16), sharding.grown_topology(19, 16), {"a": {"x": {0: 1.5, 1: 0}, "y": {2: 3}}, "b": {"z": {3: 0}}}],
+                         ids=["sixteen", "grown", "weighted"])
+def test_descent_against_plain_python(spark, tree):
+    ids = [*range(-50, 3000), 10**15, None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = {r.doc_id: r.s for r in df.select("doc_id", sharding.descend(F.col("doc_id"), tree).alias("s")).collect()}
+    assert got == {i: plain_descent(i, tree) for i in ids}
