@@ -10,7 +10,8 @@ The vocabulary file (``tokenizers`` JSON, BPE with word ends) is a parameter;
 it is read by each task once, and its normaliser, splitter and special tokens
 are followed: NFC, white space to one space, lower case, words by script class,
 special tokens matched in the raw text. Fragments and words are memoised in
-bounded tables, so a repeated word costs one look-up. Documents are encoded
+bounded tables of two generations, so a repeated word costs one look-up and
+frequent ones stay when a table is full. Documents are encoded
 where they are scanned: no shuffle, any text length, whole texts.
 
 Defined results: a null text is the empty text, with no ids; it decodes to the
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 
 # White space of Unicode (property White_Space), which the normaliser folds.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # as in a character class
-#: Entries of each memo table; a full table is emptied.
-MEMO = 1 << 19
+#: Entries of a memo table; a full one becomes the older one, whose entries are taken over when they are met again.
+CHUNKS, FRAGMENTS = 1 << 17, 1 << 16
+LONG_KEY = 64  # characters; longer words are not remembered
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split only
 WORD_END = "</w>"
 NEVER = 1 << 60
@@ -85,8 +87,8 @@ class WordBPE:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]  # smallest first, the new id below
-        self.fragments: dict[tuple, list[int]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.fragments, self.older_fragments = {}, {}  # what was met lately, and before that
+        self.chunks, self.older_chunks = {}, {}
 
     def cuts(self, symbols: list[int]) -> list[list[int]]:
         """The symbols of a word, cut wherever two never meet inside a token."""
@@ -137,17 +139,20 @@ class WordBPE:
 
     def fragment(self, symbols: list[int]) -> list[int]:
         """As ``merged``, remembered: fragments of cut words recur."""
-        key = tuple(symbols)
+        if len(symbols) > LONG_KEY:
+            return self.merged(symbols)
+        key = bytes([s & 255 for s in symbols]), symbols[-1] > 255
         found = self.fragments.get(key)
         if found is None:
-            if len(self.fragments) >= MEMO:
-                self.fragments.clear()
-            found = self.fragments[key] = self.merged(symbols)
+            found = self.older_fragments.get(key) or self.merged(symbols)
+            if len(self.fragments) >= FRAGMENTS:
+                self.fragments, self.older_fragments = {}, self.fragments
+            self.fragments[key] = found
         return found
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a run of text without white space."""
-        found = self.chunks.get(text)
+        found = self.older_chunks.get(text)
         if found is None:
             ids = []
             for word in [text] if text.isascii() and text.isalpha() else self.word.findall(text):
@@ -159,9 +164,12 @@ class WordBPE:
                 else:
                     for part in parts:
                         ids += self.fragment(part)
-            if len(self.chunks) >= MEMO:
-                self.chunks.clear()
-            found = self.chunks[text] = tuple(ids)
+            found = tuple(ids)
+            if len(text) > LONG_KEY:
+                return found
+        if len(self.chunks) >= CHUNKS:
+            self.chunks, self.older_chunks = {}, self.chunks
+        self.chunks[text] = found
         return found
 
     def plain(self, text: str) -> Iterable[int]:
@@ -169,9 +177,9 @@ class WordBPE:
             # letter by letter: a sigma keeps its form at the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        chunks, chunk = self.chunks, self.chunk
+        chunk = self.chunk
         parts = text.split() if not ODD_SEPARATORS.search(text) else filter(None, re.split(f"[{WHITE}]+", text))
-        return chain.from_iterable([chunks.get(p) or chunk(p) for p in parts])
+        return chain.from_iterable([self.chunks.get(p) or chunk(p) for p in parts])
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

@@ -67,3 +67,16 @@ def test_documents(spark, pair):
     assert back[0].text == pair[1].decode(pair[1].encode("Hello World").ids, skip_special_tokens=False)
     assert back[1].text == ""
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_full_memo_tables_change_nothing(pair, monkeypatch):
+    ours, theirs = pair
+    for name, value in (("CHUNKS", 5), ("FRAGMENTS", 3), ("LONG_KEY", 8)):
+        monkeypatch.setattr(bpe, name, value)
+    fresh = bpe.WordBPE(bpe.default_vocabulary())
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefgqxz.-é1") for _ in range(rnd.randrange(1, 30))) for _ in range(60)]
+    for _ in range(40):
+        text = " ".join(rnd.choice(words) for _ in range(30))
+        assert fresh.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    assert len(fresh.chunks) <= 5 and len(fresh.older_chunks) <= 5 and len(fresh.fragments) <= 3
