@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 # White space of Unicode (property White_Space), which the normaliser folds.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # as in a character class
 #: Entries of a memo table; a full one becomes the older one, whose entries are taken over when they are met again.
-CHUNKS, FRAGMENTS = 1 << 17, 1 << 16
+CHUNKS, FRAGMENTS = 1 << 18, 1 << 17
 LONG_KEY = 64  # characters; longer words are not remembered
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split only
 WORD_END = "</w>"
@@ -141,7 +141,7 @@ class WordBPE:
         """As ``merged``, remembered: fragments of cut words recur."""
         if len(symbols) > LONG_KEY:
             return self.merged(symbols)
-        key = bytes([s & 255 for s in symbols]), symbols[-1] > 255
+        key = tuple(symbols)
         found = self.fragments.get(key)
         if found is None:
             found = self.older_fragments.get(key) or self.merged(symbols)
@@ -152,7 +152,7 @@ class WordBPE:
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a run of text without white space."""
-        found = self.older_chunks.get(text)
+        found = self.chunks.get(text) or self.older_chunks.get(text)
         if found is None:
             ids = []
             for word in [text] if text.isascii() and text.isalpha() else self.word.findall(text):
@@ -177,9 +177,9 @@ class WordBPE:
             # letter by letter: a sigma keeps its form at the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        chunk = self.chunk
+        get, chunk = self.chunks.get, self.chunk
         parts = text.split() if not ODD_SEPARATORS.search(text) else filter(None, re.split(f"[{WHITE}]+", text))
-        return chain.from_iterable([self.chunks.get(p) or chunk(p) for p in parts])
+        return chain.from_iterable([get(p) or chunk(p) for p in parts])
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
