@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+#: Rows of a narrow stored table (about 100 bytes each at most) that may be broadcast: 20 MB.
+FEW = 200_000
+
+
+def few(stored: DataFrame) -> DataFrame:
+    """A stored narrow table, broadcast if its rows are counted to be few; else Spark deals both sides by key."""
+    return F.broadcast(stored) if stored.count() <= FEW else stored
+
+
 ROW = "__row"
 
 

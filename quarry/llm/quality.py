@@ -9,8 +9,8 @@ Both are hashed to the same ``BUCKETS`` buckets, so the model has a fixed size
 whatever the corpus.
 
 1. Labels are joined to ids first. Texts of labelled training rows, kept apart by
-   a fixed-size sketch of their ids, meet their label in one shuffle; where they
-   arrive each task featurises them, adds up its own two count vectors and
+   a fixed-size sketch of their ids, meet their label where they are scanned if the
+   labels are few, else in one shuffle; there each task featurises them, adds up its own two count vectors and
    hands on features of the sample alone. No feature is shuffled.
 2. Class counts of every bucket over all training rows give the log-count ratios
    ``r``: log((p / |p|) / (q / |q|)), smoothed by one.
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import staged
+from quarry.llm.common import few, staged
 from quarry.plans.sketch import key_sketch, maybe_in
 
 BUCKET_BITS = 18
@@ -178,7 +178,7 @@ def gathered(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES))
     rows = docs.select("doc_id").join(lab.select("doc_id"), "doc_id").count()
     part = min(1.0, 1.2 * (max_rows + 1000) / max(1, rows))  # the few too many are cut later
-    near = maybe_in(docs.select("doc_id", "text"), key_sketch(lab, "doc_id"), "doc_id").join(lab, "doc_id")
+    near = maybe_in(docs.select("doc_id", "text"), key_sketch(lab, "doc_id"), "doc_id").join(few(lab), "doc_id")
     return staged(near.select("label", hashed.alias("hash"), "text").mapInPandas(_gather(int(part * HASHES)), GATHERED), "quality-gathered")
 
 
