@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +23,20 @@ CHUNK = 64
 
 def _similar(words: int, percent: int):
 
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader = None, []
         for batch in batches:
-            out = []
-            for a, chunk, b, s in zip(batch.a.tolist(), batch.chunk.tolist(), batch.b.tolist(), shingle_sets(batch.text, words)):
+            out: list[tuple[int, int]] = []
+            a, chunk, b, text = (batch.column(i) for i in range(4))
+            texts = (t.as_py() for t in text)  # one block of them at a time becomes Python's
+            for a, chunk, b, s in zip(a.to_pylist(), chunk.to_pylist(), b.to_pylist(), shingle_sets(texts, words)):
                 if (a, chunk) != key:
                     key, leader = (a, chunk), []
                 if b == a:  # texts of the leader stand first
                     leader.append(s)
                 elif any(100 * both >= percent * (len(x) + len(s) - both) for x in leader if (both := len(np.intersect1d(x, s, assume_unique=True)))):
                     out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return similar
 
@@ -49,4 +51,4 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     leaders = dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("b"))
     rows = dealt.unionByName(leaders).join(texts.withColumnRenamed("doc_id", "b"), "b").withColumn("member", F.col("a") != F.col("b"))
     stream = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member").select("a", "chunk", "b", "text")
-    return stream.mapInPandas(_similar(words, percent), "a long, b long").distinct()
+    return stream.mapInArrow(_similar(words, percent), "a long, b long").distinct()
