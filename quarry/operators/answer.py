@@ -14,12 +14,13 @@ from quarry.operators import context, inference, retrieve, validate
 
 
 def answer_questions(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
-                     client_factory, system_prompt: str, dims: DataFrame | None = None) -> DataFrame:
+                     client_factory, system_prompt: str, dims: DataFrame | None = None, parts: retrieve.Parts | None = None) -> DataFrame:
     """query_id, json, error: one row per request.
 
     ``requests``: query_id, query, query_vector, user_id, dataset, word_limit
     and, if given, model. ``documents``: id, dataset_id, title, url, body,
-    vector (and word_count). The model's replies are read once, by one chain of
+    vector (and word_count); where it joins texts and vectors, ``parts`` names the two
+    and it needs no body. The model's replies are read once, by one chain of
     operators, so every question is asked once and its text and links come from
     the same reply.
     """
@@ -28,8 +29,8 @@ def answer_questions(requests: DataFrame, datasets: DataFrame, documents: DataFr
     req = req.join(wrong.withColumnRenamed("error", "_dim"), "query_id", "left").withColumn(
         "error", F.coalesce("error", "_dim")).drop("_dim")
     ok = validate.accepted(req)
-    kept = retrieve.budget_search(ok, datasets, documents)
-    hits = retrieve.attach(kept, documents, ("dataset_id", "title", "url", "body"))
+    kept = retrieve.budget_search(ok, datasets, documents, parts=parts)
+    hits = retrieve.attach(kept, documents, ("dataset_id", "title", "url", "body"), parts)
     prompts = context.build_prompts(ok, hits)
     model = F.col("model") if "model" in requests.columns else None
     payloads = prompts.select("query_id", inference.chat_request(F.col("prompt"), system_prompt, model).alias("payload"))

@@ -15,10 +15,14 @@ Plan shape (see ``plans.checks``):
   (``plans.scan``): a request of any size is spread over many tasks;
 * word counts and titles / urls / bodies are looked up for candidates and
   winners only; a sketch of their ids keeps all other texts out of the shuffle.
+  Where ``documents`` is itself a join of texts and vectors, its ``Parts`` are
+  looked up instead, since that join would move every text first.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,13 @@ GROUP_LIMIT = 1000
 GROUPS = 64  # groups of map tasks that cut their candidates before the last limit
 
 
+class Parts(NamedTuple):
+    """The two tables that ``documents`` joins, for looking up texts where they are scanned."""
+
+    texts: DataFrame  # title, url, body ... and the columns of ``vectors``: a row per text
+    vectors: DataFrame  # id and any other columns both are joined by: a row per vector
+
+
 def resolve_datasets(queries: DataFrame, datasets: DataFrame) -> DataFrame:
     """Attach ``dataset_id`` by (dataset name, user_id); unknown datasets drop out."""
     ds = datasets.select(F.col("name").alias("dataset"), "user_id", F.col("id").alias("dataset_id"))
@@ -78,9 +89,9 @@ def top_rows(pairs: DataFrame, limit: str) -> DataFrame:
     return rows.drop("_own", "_group", "_place")
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """id, word_count: as stored, else counted from the bodies."""
-    return documents.select("id", "word_count" if "word_count" in documents.columns else word_count("body").alias("word_count"))
+def word_counts(documents: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """keys, word_count: as stored, else counted from the bodies."""
+    return documents.select(*keys, "word_count" if "word_count" in documents.columns else word_count("body").alias("word_count"))
 
 
 def within_budget(candidates: DataFrame, limit_col: str = "word_limit") -> DataFrame:
@@ -97,13 +108,21 @@ def within_budget(candidates: DataFrame, limit_col: str = "word_limit") -> DataF
     return summed.where(F.col("cumulative_words") <= F.col(limit_col)).withColumn("rank", F.col("_place").cast("int") + 1).drop("_place")
 
 
-def looked_up(rows: DataFrame, attrs: DataFrame) -> DataFrame:
-    """``rows`` (a stored table: it is read twice) joined to ``attrs`` by id; attributes of other ids are left in their scan."""
-    return rows.join(maybe_in(attrs, key_sketch(rows, "id"), "id"), "id", "inner")
+def looked_up(rows: DataFrame, attrs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """``rows`` (a stored table: it is read twice) joined to ``attrs`` by id; attributes of other ids are left in their scan.
+
+    With ``vectors`` (of ``Parts``), ``attrs`` counts as joined to them: its rows come once for each vector.
+    """
+    sketch, keys = key_sketch(rows, "id"), ["id"]
+    if vectors is not None:
+        rows, keys = rows.join(maybe_in(vectors, sketch, "id"), "id", "inner"), vectors.columns
+    return rows.join(maybe_in(attrs, sketch, "id"), keys, "inner").drop(*[k for k in keys if k != "id"])
 
 
-def attach(ranked: DataFrame, attrs: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    """Late materialisation: document attributes for the winners only."""
+def attach(ranked: DataFrame, attrs: DataFrame, cols: tuple[str, ...], parts: Parts | None = None) -> DataFrame:
+    """Late materialisation: document attributes for the winners only, from the ``parts`` of ``attrs`` if given."""
+    if parts is not None:
+        return looked_up(ranked, parts.texts.select(*parts.vectors.columns, *cols), parts.vectors)
     return looked_up(ranked, attrs.select("id", *cols))
 
 
@@ -122,15 +141,17 @@ def candidates(requests: DataFrame, datasets: DataFrame, documents: DataFrame, l
 
 
 def budget_search(requests: DataFrame, datasets: DataFrame, documents: DataFrame,
-                  broadcast_queries: bool | None = None) -> DataFrame:
+                  broadcast_queries: bool | None = None, parts: Parts | None = None) -> DataFrame:
     """Word-budget retrieval for every accepted request, as a stored table.
 
     ``requests``: validated rows (query_id, query_vector, user_id, dataset,
-    word_limit); ``documents``: id, dataset_id, vector and word_count or body.
+    word_limit); ``documents``: id, dataset_id, vector and, without ``parts``,
+    word_count or body.
     Returns query_id, rank, id, word_count, cumulative_words, distance.
     """
     rows, _ = candidates(requests, datasets, documents, F.col("word_limit") + 1, ("word_limit",), broadcast_queries)
-    counted = looked_up(staged(rows, "candidates"), word_counts(documents))
+    counts = word_counts(parts.texts, parts.vectors.columns) if parts else word_counts(documents)
+    counted = looked_up(staged(rows, "candidates"), counts, parts.vectors if parts else None)
     out = within_budget(counted).select("query_id", "rank", "id", "word_count", "cumulative_words", "distance")
     return staged(out, "hits")
 

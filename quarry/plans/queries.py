@@ -33,11 +33,18 @@ def register(key: str):
     return deco
 
 
+def _parts(cat: Catalog) -> retrieve.Parts:
+    """The tables that ``kb.documents`` joins."""
+    return retrieve.Parts(kb.document_attrs(cat), kb.vector_ids(cat))
+
+
 def _budget(spark: SparkSession, sf_dir: str, ties: bool) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.answer_requests(kb.queries(cat)))
-    docs = kb.ties(cat) if ties else kb.documents(cat)
-    out = retrieve.budget_search(req, kb.datasets(cat), docs)
+    docs, parts = kb.documents(cat, with_body=False), _parts(cat)
+    if ties:
+        docs, parts = kb.ties(cat, with_body=False), retrieve.Parts(*map(kb.twice, parts))
+    out = retrieve.budget_search(req, kb.datasets(cat), docs, parts=parts)
     return out.select("query_id", "rank", "id", "word_count", "cumulative_words",
                       F.round("distance", 6).alias("distance"))
 
@@ -140,8 +147,7 @@ def document_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     req = validate.accepted(validate.answer_requests(kb.queries(cat)))
-    docs = kb.documents(cat)
-    kept = retrieve.budget_search(req, kb.datasets(cat), docs)
+    kept = retrieve.budget_search(req, kb.datasets(cat), kb.documents(cat, with_body=False), parts=_parts(cat))
     hits = retrieve.attach(kept, kb.document_attrs(cat), ("dataset_id", "title", "url", "body"))
     return context.build_prompts(req, hits)
 
@@ -636,7 +642,8 @@ def citing_client():
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole answer path over every query, with a deterministic client."""
     cat = Catalog(spark, sf_dir)
-    return answer.answer_questions(planted_queries(cat), kb.datasets(cat), kb.documents(cat), citing_client, SYSTEM_PROMPT)
+    return answer.answer_questions(planted_queries(cat), kb.datasets(cat), kb.documents(cat, with_body=False), citing_client, SYSTEM_PROMPT,
+                                   parts=_parts(cat))
 
 
 @register("rewrite_turns_once")
@@ -736,6 +743,6 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _stream_folder(spark)
     files = _in_slices(planted_queries(cat), F.col("query_id") % SLICES, f"{at}/in", "parquet")
     schema = "query_id long, query string, query_vector array<float>, user_id long, dataset string, word_limit long"
-    jobs.start_answering(spark, f"{at}/in", schema, kb.datasets(cat), kb.documents(cat), f"{at}/out", f"{at}/progress",
-                         client_factory=citing_client, system_prompt=SYSTEM_PROMPT, max_files_per_trigger=files).awaitTermination()
+    jobs.start_answering(spark, f"{at}/in", schema, kb.datasets(cat), kb.documents(cat, with_body=False), f"{at}/out", f"{at}/progress",
+                         client_factory=citing_client, system_prompt=SYSTEM_PROMPT, max_files_per_trigger=files, parts=_parts(cat)).awaitTermination()
     return spark.read.parquet(f"{at}/out/answers").select("query_id", "json", "error")

@@ -71,12 +71,19 @@ def document_attrs(cat: Catalog, with_body: bool = True) -> DataFrame:
     return d.select(*cols)
 
 
-def ties(cat: Catalog) -> DataFrame:
-    """Every document twice (second copy's id offset by 1,000,000): same
-    vector, same whole text, so every distance ties with its twin."""
-    kd = documents(cat)
-    cols = ["dataset_id", "title", "url", "body", "vector"]
-    return kd.select("id", *cols).unionByName(kd.select((F.col("id") + 1000000).alias("id"), *cols))
+def vector_ids(cat: Catalog) -> DataFrame:
+    """id of every vector: with ``document_attrs`` the parts that ``documents`` joins."""
+    return cat.embeddings.select((F.col("vec_id") + 1).alias("id"))
+
+
+def twice(df: DataFrame) -> DataFrame:
+    """Every row twice, the second copy's id offset by 1,000,000; ``copy`` tells them apart where ids meet."""
+    return df.withColumn("copy", F.lit(0)).unionByName(df.withColumns({"id": F.col("id") + 1000000, "copy": F.lit(1)}))
+
+
+def ties(cat: Catalog, with_body: bool = True) -> DataFrame:
+    """Every document twice: same vector, same whole text, so every distance ties with its twin."""
+    return twice(documents(cat, with_body)).drop("copy")
 
 
 def queries(cat: Catalog) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators import answer, context, ingest, retrieve, sessions, validate
+from quarry.plans.stage import staged
 from quarry.streaming import manifest
 
 Embedder = Callable[[DataFrame], DataFrame]  # requests -> (request_id, vector)
@@ -159,18 +160,18 @@ def start_session_upsert(spark: SparkSession, source: str, store: str, checkpoin
 
 
 def answer_batch(batch: DataFrame, batch_id: int, datasets: DataFrame, documents: DataFrame, out: str,
-                 client_factory=None, system_prompt: str = "") -> None:
+                 client_factory=None, system_prompt: str = "", dims: DataFrame | None = None, parts: retrieve.Parts | None = None) -> None:
     """One micro-batch of questions: budget retrieval -> prompts, and with a
     model client the whole answer (model call, citations, JSON)."""
     bid = F.lit(batch_id).cast("long")
     if client_factory is not None:
-        answers = answer.answer_questions(batch, datasets, documents, client_factory, system_prompt)
+        answers = answer.answer_questions(batch, datasets, documents, client_factory, system_prompt, dims, parts)
         _overwrite_partitions(answers.withColumn("batch_id", bid), f"{out}/answers", "batch_id")
         return
     req = validate.answer_requests(batch)
     ok = validate.accepted(req)
-    kept = retrieve.budget_search(ok, datasets, documents)
-    hits = retrieve.attach(kept, documents, ("dataset_id", "title", "url", "body"))
+    kept = retrieve.budget_search(ok, datasets, documents, parts=parts)
+    hits = retrieve.attach(kept, documents, ("dataset_id", "title", "url", "body"), parts)
     prompts = context.build_prompts(ok, hits)
     _overwrite_partitions(prompts.withColumn("batch_id", bid), f"{out}/prompts", "batch_id")
     rej = validate.rejected(req).select("query_id", "error", bid.alias("batch_id"))
@@ -179,19 +180,22 @@ def answer_batch(batch: DataFrame, batch_id: int, datasets: DataFrame, documents
 
 def start_answering(spark: SparkSession, source: str, query_schema: str, datasets: DataFrame,
                     documents: DataFrame, out: str, checkpoint: str, available_now: bool = True,
-                    client_factory=None, system_prompt: str = "", max_files_per_trigger: int | None = None) -> StreamingQuery:
+                    client_factory=None, system_prompt: str = "", max_files_per_trigger: int | None = None,
+                    parts: retrieve.Parts | None = None) -> StreamingQuery:
     """Continuous question answering: query stream x static knowledge base.
 
     Ranking needs ``row_number``, which a streaming DataFrame does not allow,
-    so each micro-batch runs the batch retrieval.
+    so each micro-batch runs the batch retrieval. The dimensions of the
+    datasets are stored once; ``parts``: see ``answer.answer_questions``.
     """
+    dims = staged(retrieve.dataset_dimensions(documents), "dimensions") if client_factory is not None else None
     reader = spark.readStream.schema(query_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source)
     w = (stream.writeStream
          .foreachBatch(lambda df, bid: answer_batch(df, bid, datasets, documents, out,
-                                                    client_factory, system_prompt))
+                                                    client_factory, system_prompt, dims, parts))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

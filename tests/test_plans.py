@@ -83,3 +83,29 @@ def test_query_sides_are_measured_in_full(spark):
     df = spark.range(2000).selectExpr("id", "array_repeat(repeat('x', 5000), 10) AS messages")
     n, size, most = measure(df, "id")
     assert n == 2000 and size > 100_000_000 and most == 1999
+
+
+def test_answers_move_no_text_but_the_winners(spark, monkeypatch):
+    """No exchange of the answer stream carries texts straight from their scan, however large the vectors are."""
+    from quarry.plans import scan
+    from quarry.streaming import jobs
+
+    seen, bad = [], []
+
+    def checked(write):
+        def run(df, *args):
+            seen.append(args)
+            bad.extend(checks.unfiltered_text_exchanges(df, "text"))
+            return write(df, *args)
+        return run
+
+    for module in (retrieve, scan):
+        monkeypatch.setattr(module, "staged", checked(module.staged))
+    monkeypatch.setattr(jobs, "_overwrite_partitions", checked(jobs._overwrite_partitions))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        REGISTRY["stream_answers"](spark, SF_SMALL)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(seen) > 9 and bad == []

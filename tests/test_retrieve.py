@@ -204,3 +204,23 @@ def test_running_sum_of_a_hot_group_is_spread(spark):
     cols = ("g", "o", "id", "v", "s", "p", "m")
     assert rows(got, *cols) == rows(want, *cols)
     assert scan.running(df.limit(0), ["g"], [F.col("o")], {"s": "v"}).count() == 0
+
+
+def test_parts_give_the_rows_of_their_join(spark):
+    """Texts and vectors apart: the same rows as from their join, with repeated and null ids, and copies whose ids meet."""
+    texts = spark.createDataFrame([(1, 0, 1, "a b"), (1, 0, 1, "c"), (2, 0, 1, "d"), (3, 0, 1, "no vector"), (None, 0, 1, "e"), (4, 0, 1, "f g h"),
+                                   (2, 1, 1, "i j"), (5, 1, 1, "k")], "id long, copy int, dataset_id long, body string")
+    vectors = spark.createDataFrame([(1, 0, [0.0, 1.0]), (1, 0, [0.0, 2.0]), (2, 0, [3.0, 0.0]), (None, 0, [0.0, 0.0]), (4, 0, [9.0, 0.0]), (6, 0, [0.0, 0.0]),
+                                     (2, 1, [3.0, 0.0]), (5, 0, [1.0, 1.0])], "id long, copy int, vector array<float>")
+    documents = texts.join(vectors, ["id", "copy"])
+    parts = retrieve.Parts(texts, vectors.select("id", "copy"))
+    datasets = spark.createDataFrame([(1, 7, "x")], DS_SCHEMA)
+    req = validate.accepted(validate.answer_requests(spark.createDataFrame(
+        [(1, "q", [0.0, 0.0], 7, "x", 1000), (2, "q", [0.0, 0.0], 7, "x", 30)], Q_SCHEMA)))
+    cols = ("query_id", "id", "word_count", "cumulative_words", "distance")
+    whole = retrieve.budget_search(req, datasets, documents)
+    apart = retrieve.budget_search(req, datasets, documents.drop("body"), parts=parts)
+    assert whole.count() > 20 and rows(apart, *cols) == rows(whole, *cols)
+    want = retrieve.attach(whole, documents, ("dataset_id", "body"))
+    got = retrieve.attach(apart, documents, ("dataset_id", "body"), parts)
+    assert rows(got, *cols, "dataset_id", "body") == rows(want, *cols, "dataset_id", "body")
