@@ -69,6 +69,10 @@ def _kinds() -> np.ndarray:
 
 KIND = _kinds()
 BETWEEN = KIND == WHITE
+# by kind: letters, kinds whose runs become one, and signs
+LETTERS = np.isin(np.arange(256), (LOWER, UPPER, OTHER))
+RUNS = np.isin(np.arange(256), (LOWER, UPPER, DIGIT, OTHER))
+SIGNS = np.arange(256) > OTHER
 IS_KIND = np.arange(256) == WHITE
 BETWEEN_WORDS = ~hashing.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -81,13 +85,21 @@ def shapes(data: bytes) -> bytes:
     Bytes of other scripts count as letters of the kind before them.
     """
     kind = KIND[np.frombuffer(data, np.uint8)]
-    after_letter = np.concatenate([[False], (kind[:-1] >= LOWER) & (kind[:-1] <= OTHER) & (kind[:-1] != DIGIT)])[:len(kind)]
-    kind = kind[~((kind == OTHER) & after_letter)]
+    keep = kind == OTHER  # in place: a long text takes a few bytes a byte
+    keep[1:] &= LETTERS[kind[:-1]]
+    keep[:1] = False
+    kind = kind[np.logical_not(keep, out=keep)]
+    del keep
     same = kind[1:] == kind[:-1]
-    drop = np.zeros(len(kind), bool)
-    drop[1:] = same & (kind[1:] <= OTHER) & (kind[1:] != WHITE)
-    drop[2:] |= same[1:] & same[:-1] & (kind[2:] > OTHER)
-    return kind[~drop].tobytes()
+    thrice = SIGNS[kind[2:]]
+    thrice &= same[1:]
+    thrice &= same[:-1]
+    same &= RUNS[kind[1:]]
+    same[1:] |= thrice
+    del thrice
+    keep = np.ones(len(kind), bool)
+    np.logical_not(same, out=keep[1:])
+    return kind[keep].tobytes()
 
 
 def ngrams(h: np.ndarray) -> np.ndarray:
