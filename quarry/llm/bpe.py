@@ -11,8 +11,9 @@ it is read by each task once, and its normaliser, splitter and special tokens
 are followed: NFC, white space to one space, lower case, words by script class,
 special tokens matched in the raw text. Fragments and words are memoised in
 bounded tables of two generations, so a repeated word costs one look-up and
-frequent ones stay when a table is full. Documents are encoded
-where they are scanned: no shuffle, any text length, whole texts.
+frequent ones stay when a table is full; the ids in them are shared objects, one
+for each token. Documents are encoded where they are scanned: no shuffle, any
+text length, whole texts.
 
 Defined results: a null text is the empty text, with no ids; it decodes to the
 empty text. Repeated rows give repeated results; other columns are not read.
@@ -33,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import in_small_batches
+
 # White space of Unicode (property White_Space), which the normaliser folds.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # as in a character class
 #: Entries of a memo table; a full one becomes the older one, whose entries are taken over when they are met again.
@@ -87,6 +90,7 @@ class WordBPE:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]  # smallest first, the new id below
+        self.one = {i: i for i in self.token}  # each id as one object
         self.fragments, self.older_fragments = {}, {}  # what was met lately, and before that
         self.chunks, self.older_chunks = {}, {}
 
@@ -137,14 +141,14 @@ class WordBPE:
                     heapq.heappush(heap, (m, a, (ids[a], ids[b])))
         return [x for x, live in zip(ids, alive) if live]
 
-    def fragment(self, symbols: list[int]) -> list[int]:
+    def fragment(self, symbols: list[int]) -> Iterable[int]:
         """As ``merged``, remembered: fragments of cut words recur."""
         if len(symbols) > LONG_KEY:
             return self.merged(symbols)
         key = tuple(symbols)
         found = self.fragments.get(key)
         if found is None:
-            found = self.older_fragments.get(key) or self.merged(symbols)
+            found = self.older_fragments.get(key) or tuple(map(self.one.__getitem__, self.merged(symbols)))
             if len(self.fragments) >= FRAGMENTS:
                 self.fragments, self.older_fragments = {}, self.fragments
             self.fragments[key] = found
@@ -164,7 +168,7 @@ class WordBPE:
                 else:
                     for part in parts:
                         ids += self.fragment(part)
-            found = tuple(ids)
+            found = tuple(map(self.one.__getitem__, ids))
             if len(text) > LONG_KEY:
                 return found
         if len(self.chunks) >= CHUNKS:
@@ -214,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in texts:
             yield pd.Series([t.encode(x) for x in batch], dtype=object)
 
-    return docs.select("doc_id", ids("text").alias("ids"))
+    return in_small_batches(docs).select("doc_id", ids("text").alias("ids"))
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -248,4 +252,4 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                              hashlib.sha256(t.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", both("text").alias("r")).select("doc_id", "r.*")
+    return in_small_batches(docs).select("doc_id", both("text").alias("r")).select("doc_id", "r.*")

@@ -14,6 +14,7 @@ import numpy as np
 
 BLOCK = 1 << 20  # bytes of text handled at once; a longer text is a group of its own, in pieces
 LONG = 4 * BLOCK
+SMALL = BLOCK // 4  # for work that holds many numbers a word
 K = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33, S29 = np.uint64(33), np.uint64(29)

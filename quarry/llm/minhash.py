@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import ROW, staged, with_row_key, without
+from quarry.llm.common import ROW, in_small_batches, staged, with_row_key, without
 from quarry.llm.set_pairs import verified
 from quarry.llm.shingles import WORDS, shingle_sets
 
@@ -97,7 +97,7 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     out.append((0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)))
             yield pd.DataFrame(out, columns=["n_shingles", "set_a", "set_b", "bands", "profile"])
 
-    return docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
+    return in_small_batches(docs).select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import few, staged
+from quarry.llm.common import few, in_small_batches, staged
 from quarry.plans.sketch import key_sketch, maybe_in
 
 BUCKET_BITS = 18
@@ -113,7 +113,7 @@ def ngrams(h: np.ndarray) -> np.ndarray:
 def features_of(texts, use_shapes: bool = True, use_words: bool = True) -> Iterator[np.ndarray]:
     """The distinct buckets of each text's n-grams, sorted."""
     shift = np.uint64(64 - BUCKET_BITS)
-    for _, group in hashing.blocks(texts):
+    for _, group in hashing.blocks(texts, hashing.SMALL):
         exact, counts = hashing.words_of(group, BETWEEN)
         one, _ = hashing.words_of([shapes(g) for g in group], IS_KIND)
         plain, plain_counts = hashing.words_of(group, BETWEEN_WORDS, hashing.LOWER)
@@ -191,7 +191,7 @@ def gathered(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
     rows = docs.select("doc_id").join(lab.select("doc_id"), "doc_id").count()
     part = min(1.0, 1.2 * (max_rows + 1000) / max(1, rows))  # the few too many are cut later
     near = maybe_in(docs.select("doc_id", "text"), key_sketch(lab, "doc_id"), "doc_id").join(few(lab), "doc_id")
-    return staged(near.select("label", hashed.alias("hash"), "text").mapInPandas(_gather(int(part * HASHES)), GATHERED), "quality-gathered")
+    return staged(in_small_batches(near).select("label", hashed.alias("hash"), "text").mapInPandas(_gather(int(part * HASHES)), GATHERED), "quality-gathered")
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = 0.01,
@@ -286,7 +286,7 @@ def score_column(spark, model: Model, text: str = "text"):
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: fitted and applied to every document."""
     model = fit(docs, labels)
-    out = docs.select("doc_id", held_out().alias("held_out"), score_column(docs.sparkSession, model).alias("score"))
+    out = in_small_batches(docs).select("doc_id", held_out().alias("held_out"), score_column(docs.sparkSession, model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -294,4 +294,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | N
     """The documents predicted as good, with all their columns."""
     model = fit(docs if train_docs is None else train_docs, labels)
     cols = docs.columns
-    return docs.withColumn("__score", score_column(docs.sparkSession, model)).where("__score >= 0.5").select(*cols)
+    return in_small_batches(docs).withColumn("__score", score_column(docs.sparkSession, model)).where("__score >= 0.5").select(*cols)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import in_small_batches
 from quarry.llm.shingles import shingle_sets
 from quarry.plans.sketch import key_sketch, maybe_in
 
@@ -51,4 +52,4 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     leaders = dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("b"))
     rows = dealt.unionByName(leaders).join(texts.withColumnRenamed("doc_id", "b"), "b").withColumn("member", F.col("a") != F.col("b"))
     stream = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member").select("a", "chunk", "b", "text")
-    return stream.mapInArrow(_similar(words, percent), "a long, b long").distinct()
+    return in_small_batches(stream).mapInArrow(_similar(words, percent), "a long, b long").distinct()

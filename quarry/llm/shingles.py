@@ -17,7 +17,7 @@ _SALT = _C[WORDS:] * np.arange(256, dtype=np.uint64)  # for a sequence of n word
 
 def shingle_sets(texts: Iterable[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text (whole sequence if shorter), of at most ``WORDS`` words."""
-    for _, group in hashing.blocks(texts):
+    for _, group in hashing.blocks(texts, hashing.SMALL):
         h, counts = hashing.words_of(group, BETWEEN, hashing.LOWER)
         full = np.full(max(0, len(h) - words + 1), _SALT[words], np.uint64)
         for at in range(0, len(full), STEP):

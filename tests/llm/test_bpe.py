@@ -80,3 +80,13 @@ def test_full_memo_tables_change_nothing(pair, monkeypatch):
         text = " ".join(rnd.choice(words) for _ in range(30))
         assert fresh.encode(text) == theirs.encode(text, add_special_tokens=False).ids
     assert len(fresh.chunks) <= 5 and len(fresh.older_chunks) <= 5 and len(fresh.fragments) <= 3
+
+
+def test_memo_tables_hold_each_id_once(pair):
+    """Entries of the tables share the ids' objects: an id takes no memory of its own in each entry."""
+    fresh = bpe.WordBPE(bpe.default_vocabulary())
+    rnd = random.Random(8)
+    for _ in range(300):
+        same((fresh, pair[1]), " ".join("".join(rnd.choice("abcdefghinrst-é1") for _ in range(rnd.randrange(1, 20))) for _ in range(20)))
+    held = [i for table in (fresh.chunks, fresh.fragments) for ids in table.values() for i in ids]
+    assert len(held) > 3 * len(set(held)) and len({id(i) for i in held}) == len(set(held))

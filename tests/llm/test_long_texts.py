@@ -6,7 +6,7 @@ import sys
 import numpy as np
 import pytest
 
-from quarry.llm import hashing, quality, shingles, suffix_dedup
+from quarry.llm import bpe, common, hashing, minhash, quality, shingles, suffix_dedup
 
 WORDS = np.array([f"w{i}".encode() for i in range(5000)] + [b"Caf\xc3\xa9,", b"A" * 3000])
 
@@ -92,3 +92,38 @@ print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600).stdout.split()
     assert int(out[1]) > 90_000_000 and float(out[2]) < 1024, out
+
+
+def test_groups_of_small_blocks(monkeypatch):
+    """Results do not depend on the bytes handled at once."""
+    texts = ["", "one", *(text(i, 300) for i in range(40)), "x y"]
+    sets, features = list(shingles.shingle_sets(texts)), list(quality.features_of(texts))
+    monkeypatch.setattr(hashing, "SMALL", 100)
+    assert all((a == b).all() for a, b in zip(shingles.shingle_sets(texts), sets, strict=True))
+    assert all((a == b).all() for a, b in zip(quality.features_of(texts), features, strict=True))
+
+
+@pytest.mark.parametrize("set_to", ["64m", "1g", "1000000b"])
+@pytest.mark.parametrize("what", ["quality", "minhash", "encode", "digests"])
+def test_texts_go_to_python_in_small_batches(spark, what, set_to):
+    """A worker holds a few MB of texts at once, whatever the number of rows in a batch; a lower limit stays."""
+    before = spark.conf.get(common.BATCH_SETTING)
+    spark.conf.set(common.BATCH_SETTING, set_to)
+    docs = spark.range(60, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 50000) as text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    try:
+        if what == "quality":
+            quality.scored(docs, docs.selectExpr("doc_id", "1 as quality"))
+        else:
+            {"minhash": minhash.sketched, "encode": bpe.encode, "digests": bpe.digests}[what](docs)
+        largest = docs.select("text").mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+        assert largest < common.BATCH_BYTES + 500_000
+        assert set_to != "1000000b" or spark.conf.get(common.BATCH_SETTING) == set_to
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
