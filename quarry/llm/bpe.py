@@ -27,6 +27,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -91,6 +92,10 @@ class WordBPE:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]  # smallest first, the new id below
         self.one = {i: i for i in self.token}  # each id as one object
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memo tables."""
         self.fragments, self.older_fragments = {}, {}  # what was met lately, and before that
         self.chunks, self.older_chunks = {}, {}
 
@@ -208,15 +213,25 @@ def tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+@contextmanager
+def in_task(path: str) -> Iterator[WordBPE]:
+    """The tokenizer for one task; the worker goes on to other work without its memo tables."""
+    t = tokenizer(path)
+    try:
+        yield t
+    finally:
+        t.forget()
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids (array of int)."""
     path = vocabulary or default_vocabulary()
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(path)
-        for batch in texts:
-            yield pd.Series([t.encode(x) for x in batch], dtype=object)
+        with in_task(path) as t:
+            for batch in texts:
+                yield pd.Series([t.encode(x) for x in batch], dtype=object)
 
     return in_small_batches(docs).select("doc_id", ids("text").alias("ids"))
 
@@ -241,15 +256,15 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
-        number = {i: str(i) for i in t.token}
-        for batch in texts:
-            rows = []
-            for x in batch:
-                ids = t.encode(x)
-                listed = " ".join(map(number.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(),
-                             hashlib.sha256(t.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        with in_task(path) as t:
+            number = {i: str(i) for i in t.token}
+            for batch in texts:
+                rows = []
+                for x in batch:
+                    ids = t.encode(x)
+                    listed = " ".join(map(number.__getitem__, ids))
+                    rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(),
+                                 hashlib.sha256(t.decode(ids).encode()).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return in_small_batches(docs).select("doc_id", both("text").alias("r")).select("doc_id", "r.*")

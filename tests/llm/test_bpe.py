@@ -90,3 +90,20 @@ def test_memo_tables_hold_each_id_once(pair):
         same((fresh, pair[1]), " ".join("".join(rnd.choice("abcdefghinrst-é1") for _ in range(rnd.randrange(1, 20))) for _ in range(20)))
     held = [i for table in (fresh.chunks, fresh.fragments) for ids in table.values() for i in ids]
     assert len(held) > 3 * len(set(held)) and len({id(i) for i in held}) == len(set(held))
+
+
+def test_workers_give_up_memo_tables_after_a_task(spark):
+    """A reused Python worker goes on to other work without the tables of its BPE tasks."""
+    path = bpe.default_vocabulary()
+    rows = [(i, f"words{i} of-document {i}é") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def held(batches):
+        t = bpe.tokenizer(path)
+        n = sum(map(len, (t.chunks, t.older_chunks, t.fragments, t.older_fragments)))
+        for b in batches:
+            yield b.assign(id=n)
+
+    for run in (bpe.digests, bpe.encode):
+        assert run(docs).collect()
+        assert {r.id for r in spark.range(64).repartition(16).mapInPandas(held, "id long").collect()} == {0}
