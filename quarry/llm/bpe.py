@@ -11,8 +11,8 @@ it is read by each task once, and its normaliser, splitter and special tokens
 are followed: NFC, white space to one space, lower case, words by script class,
 special tokens matched in the raw text. Fragments and words are memoised in
 bounded tables of two generations, so a repeated word costs one look-up and
-frequent ones stay when a table is full; the ids in them are shared objects, one
-for each token. Documents are encoded where they are scanned: no shuffle, any
+frequent ones stay when a table is full; the ids in them are packed, two bytes
+each. A task empties its tables when it ends. Documents are encoded where they are scanned: no shuffle, any
 text length, whole texts.
 
 Defined results: a null text is the empty text, with no ids; it decodes to the
@@ -26,10 +26,10 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,7 +91,7 @@ class WordBPE:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[vocab[a], vocab[b]] = rank << 20 | vocab[a + b]  # smallest first, the new id below
-        self.one = {i: i for i in self.token}  # each id as one object
+        self.width = "H" if max(self.token) < 1 << 16 else "I"  # of an id in the tables
         self.forget()
 
     def forget(self) -> None:
@@ -146,34 +146,35 @@ class WordBPE:
                     heapq.heappush(heap, (m, a, (ids[a], ids[b])))
         return [x for x, live in zip(ids, alive) if live]
 
-    def fragment(self, symbols: list[int]) -> Iterable[int]:
-        """As ``merged``, remembered: fragments of cut words recur."""
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.width, ids).tobytes()
+
+    def fragment(self, symbols: list[int]) -> bytes:
+        """As ``merged``, packed and remembered: fragments of cut words recur."""
         if len(symbols) > LONG_KEY:
-            return self.merged(symbols)
+            return self.packed(self.merged(symbols))
         key = tuple(symbols)
         found = self.fragments.get(key)
         if found is None:
-            found = self.older_fragments.get(key) or tuple(map(self.one.__getitem__, self.merged(symbols)))
+            found = self.older_fragments.get(key) or self.packed(self.merged(symbols))
             if len(self.fragments) >= FRAGMENTS:
                 self.fragments, self.older_fragments = {}, self.fragments
             self.fragments[key] = found
         return found
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """Ids of a run of text without white space."""
+    def chunk(self, text: str) -> bytes:
+        """Ids of a run of text without white space, packed."""
         found = self.chunks.get(text) or self.older_chunks.get(text)
         if found is None:
-            ids = []
+            found = b""
             for word in [text] if text.isascii() and text.isalpha() else self.word.findall(text):
                 symbols = list(word.encode("utf-8", "replace"))
                 symbols[-1] += 256
                 parts = self.cuts(symbols)
                 if len(parts) == 1:
-                    ids += self.merged(symbols)
+                    found += self.packed(self.merged(symbols))
                 else:
-                    for part in parts:
-                        ids += self.fragment(part)
-            found = tuple(map(self.one.__getitem__, ids))
+                    found += b"".join(map(self.fragment, parts))
             if len(text) > LONG_KEY:
                 return found
         if len(self.chunks) >= CHUNKS:
@@ -181,27 +182,28 @@ class WordBPE:
         self.chunks[text] = found
         return found
 
-    def plain(self, text: str) -> Iterable[int]:
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens, packed."""
         if not text.isascii():
             # letter by letter: a sigma keeps its form at the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         get, chunk = self.chunks.get, self.chunk
         parts = text.split() if not ODD_SEPARATORS.search(text) else filter(None, re.split(f"[{WHITE}]+", text))
-        return chain.from_iterable([get(p) or chunk(p) for p in parts])
+        return b"".join([get(p) or chunk(p) for p in parts])
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         if "<" not in text or not self.special_at.search(text):
-            return list(self.plain(text))
-        out, end = [], 0
+            return array(self.width, self.plain(text)).tolist()
+        out, end = array(self.width), 0
         for m in self.special_at.finditer(text):
-            out.extend(self.plain(text[end:m.start()]))
+            out.frombytes(self.plain(text[end:m.start()]))
             out.append(self.special[m[0]])
             end = m.end()
-        out.extend(self.plain(text[end:]))
-        return out
+        out.frombytes(self.plain(text[end:]))
+        return out.tolist()
 
     def decode(self, ids: Iterable[int] | None) -> str:
         """Tokens joined by a space, special ones included; unknown ids are left out."""

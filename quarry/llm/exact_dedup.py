@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import few, staged
+from quarry.llm.common import are_few, staged
 from quarry.plans.sketch import flagged, key_sketch, maybe_in
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -86,8 +86,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     g = staged(copy_groups(docs).select(F.col("hash").alias("__hash"), F.col("text_sha256").alias("__sha"),
                                         F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size")), "copy-groups")
     d = flagged(docs.withColumn("__hash", content_hash(normalised())), key_sketch(g, "__hash"), "__hash", "__maybe")
-    joined = d.where("__maybe").withColumn("__sha", F.sha2(normalised(), 256)).join(few(g), ["__hash", "__sha"], "left")
-    single = d.where("not __maybe").select(*cols).unionByName(joined.where(F.col("__size").isNull()).select(*cols))
+    if are_few(g):  # looked up where they are scanned: one pass for all that is single
+        joined = d.withColumn("__sha", F.when(F.col("__maybe"), F.sha2(normalised(), 256))).join(F.broadcast(g), ["__hash", "__sha"], "left")
+        single = joined.where(F.col("__size").isNull()).select(*cols)
+    else:
+        joined = d.where("__maybe").withColumn("__sha", F.sha2(normalised(), 256)).join(g, ["__hash", "__sha"], "left")
+        single = d.where("not __maybe").select(*cols).unionByName(joined.where(F.col("__size").isNull()).select(*cols))
     kept = joined.where(F.col("__size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep")))
     row = F.struct(*cols)
     best = kept.groupBy("__hash", "__sha").agg(F.max_by(row, F.struct(F.coalesce(F.char_length("text"), F.lit(0)), F.to_json(row))).alias("__row"))

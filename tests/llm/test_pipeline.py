@@ -7,7 +7,7 @@ import tokenizers
 
 import corpus_pipeline
 from corpus_fixture import docs, fixture_rows, no_docs  # noqa: F401 - fixtures
-from quarry.llm import bpe, decontam, minhash, quality
+from quarry.llm import bpe, common, decontam, exact_dedup, minhash, quality
 from quarry.llm.common import table
 from test_operators import brute_components, brute_contamination, brute_copies
 
@@ -74,3 +74,24 @@ def test_rows_without_id_and_of_one_id_are_judged_apart(spark):
 
 def test_run_writes_every_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_few_that_go_are_looked_up_in_one_pass(spark, tmp_path, monkeypatch):
+    """No stage reads the texts twice to return those that stay, nor writes them to more files; the other way gives the same rows."""
+    copy = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(20)), "x") for i in range(40)]
+    rows += [(50, copy, "y"), (51, copy, "y"), (52, copy + " ", None), (None, copy, "z"), (50, "of an id that is there", "z"), (None, None, None), (3, rows[3][1], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    items = spark.createDataFrame([(7, rows[5][1])], "item_id long, text string")
+    stages = {"exact": (exact_dedup.dedup, 2), "near": (minhash.one_of_each, 1), "clean": (lambda d: decontam.clean_documents(d, items), 1)}
+    got = {}
+    for name, (stage, scans) in stages.items():
+        out = stage(docs)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("text#") and plan.count(f"Relation [{docs.columns[0]}#") <= scans + 1, plan  # and the narrow scan of ids
+        got[name] = Counter(tuple(r) for r in out.collect())
+    monkeypatch.setattr(common, "FEW", -1)
+    for name, (stage, _) in stages.items():
+        assert Counter(tuple(r) for r in stage(docs).collect()) == got[name], name
+    assert sum(got["exact"].values()) < len(rows) and sum(got["near"].values()) < len(rows) and sum(got["clean"].values()) == len(rows) - 1
